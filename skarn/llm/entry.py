@@ -6,9 +6,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skarn.llm import sql
 from skarn.llm.best_fit import best_fit_packing
 from skarn.llm.common import documents, fresh_path
 from skarn.llm.exact_dedup import exact_dedup
+from skarn.llm.license_rules import recognise_licenses
+from skarn.llm.line_quality import line_quality
+from skarn.llm.secret_ledger import scan_secrets, secret_columns
 from skarn.llm.token_files import read_token_files, write_token_files
 
 
@@ -22,6 +26,18 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(documents(spark, sf_dir), carry={"text_sha256": F.sha2(F.col("__norm").cast("binary"), 256)})
 
 
+def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognise_licenses(documents(spark, sf_dir)).select("doc_id", "n_license_sentences", "license_ids", "licenses")
+
+
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_columns(scan_secrets(documents(spark, sf_dir), fresh_path(spark, "secret-ledger")))
+
+
+def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_quality(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -29,20 +45,15 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_rules": op3_license_rules,
+    "op4_secret_ledger": op4_secret_ledger,
+    "op5_line_quality": op5_line_quality,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
 ORACLE_SQL = {
-    "op2_exact_dedup": r"""
-        WITH d AS (
-            SELECT doc_id, length(coalesce(text, '')) AS n,
-                   sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h
-            FROM documents
-        ), k AS (
-            SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY n DESC, doc_id) AS keep_id,
-                   count(*) OVER (PARTITION BY h) AS group_size
-            FROM d
-        )
-        SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k
-    """,
+    "op2_exact_dedup": sql.DEDUP,
+    "op3_license_rules": sql.LICENSES,
+    "op4_secret_ledger": sql.SECRETS,
+    "op5_line_quality": sql.LINES,
 }
