@@ -10,8 +10,10 @@ from skarn.llm import sql
 from skarn.llm.best_fit import best_fit_packing
 from skarn.llm.common import documents, fresh_path
 from skarn.llm.exact_dedup import exact_dedup
+from skarn.llm.language_mixture import languages
 from skarn.llm.license_rules import recognise_licenses
 from skarn.llm.line_quality import line_quality
+from skarn.llm.lsa_knn import quality
 from skarn.llm.secret_ledger import scan_secrets, secret_columns
 from skarn.llm.token_files import read_token_files, write_token_files
 
@@ -38,6 +40,15 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(documents(spark, sf_dir))
 
 
+def op6_lsa_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mix = F.array_join(F.transform(F.array_sort(F.map_keys("lang_mix")), lambda k: k), ",")
+    return languages(documents(spark, sf_dir)).withColumn("languages", mix).drop("lang_mix")
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -48,6 +59,8 @@ QUERIES = {
     "op3_license_rules": op3_license_rules,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_line_quality": op5_line_quality,
+    "op6_lsa_knn_quality": op6_lsa_knn_quality,
+    "op7_language_mixture": op7_language_mixture,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
