@@ -71,6 +71,12 @@ class Mixture:
         smooth = counts + 0.05
         self.p = (smooth / smooth.sum(0, keepdims=True)).astype(np.float64)
 
+    @classmethod
+    def of(cls, state: dict) -> Mixture:
+        found = cls.__new__(cls)
+        vars(found).update(state)
+        return found
+
     def infer(self, text: bytes | None) -> tuple[str, float, dict[str, float]]:
         """(language, score, proportions of the chosen set)."""
         if not self.languages or not has_letter(text):
@@ -138,10 +144,10 @@ def fit(docs: DataFrame, most: int = MAX_TEXTS) -> Mixture:
 
 def languages(docs: DataFrame, model: Mixture | None = None) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, lang_mix map<string, double>) of docs (doc_id, text, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model or fit(docs)))
 
     def run(batches):
-        mixture = shared.value
+        mixture = Mixture.of(shared.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):

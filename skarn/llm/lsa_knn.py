@@ -127,6 +127,12 @@ class LatentVoters:
         ones = float(self.labels.sum())
         self.weight = np.where(self.labels == 1, n / max(1.0, 2 * ones), n / max(1.0, 2 * (n - ones))).astype(np.float32)
 
+    @classmethod
+    def of(cls, state: dict) -> LatentVoters:
+        found = cls.__new__(cls)
+        vars(found).update(state)
+        return found
+
     def score(self, texts: list[bytes | None], bags: Bags, prior: float) -> np.ndarray:
         out = np.full(len(texts), prior)
         if not len(self.labels):
@@ -166,10 +172,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
 
 def score_quality(docs: DataFrame, model: LatentVoters, prior: float, keep: list[str]) -> DataFrame:
     """keep columns of docs plus score double, for docs with column text."""
-    shared = docs.sparkSession.sparkContext.broadcast((model, prior))
+    shared = docs.sparkSession.sparkContext.broadcast((vars(model), prior))  # plain arrays, whatever executors have installed
 
     def run(batches):
-        (voters, base), bags = shared.value, Bags()
+        state, base = shared.value
+        voters, bags = LatentVoters.of(state), Bags()
         for batch in batches:
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in slices(texts):
