@@ -15,7 +15,9 @@ from skarn.llm.license_rules import recognise_licenses
 from skarn.llm.line_quality import line_quality
 from skarn.llm.lsa_knn import quality
 from skarn.llm.secret_ledger import scan_secrets, secret_columns
+from skarn.llm.signature_join import linked_groups
 from skarn.llm.token_files import read_token_files, write_token_files
+from skarn.llm.trie_bpe import bpe_round_trip
 
 
 def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +51,14 @@ def op7_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages(documents(spark, sf_dir)).withColumn("languages", mix).drop("lang_mix")
 
 
+def op8_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_round_trip(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op9_signature_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_groups(documents(spark, sf_dir))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -61,6 +71,8 @@ QUERIES = {
     "op5_line_quality": op5_line_quality,
     "op6_lsa_knn_quality": op6_lsa_knn_quality,
     "op7_language_mixture": op7_language_mixture,
+    "op8_trie_bpe": op8_trie_bpe,
+    "op9_signature_join": op9_signature_join,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
