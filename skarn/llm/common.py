@@ -89,3 +89,13 @@ def mark_keys(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: st
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def split_by_key(docs: DataFrame, key: Column, keys: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key is surely not in keys, the other rows with column __key), without a shuffle of docs.
+
+    keys has one column __key of key's type. The second part holds all rows whose key is in keys and few others; the
+    caller settles it by an exact join, so only that part is shuffled.
+    """
+    marked = mark_keys(docs.withColumn("__key", key), F.col("__key"), key_bitmap(keys, F.col("__key"), bits), bits, "__maybe")
+    return marked.filter(~F.col("__maybe")).drop("__maybe", "__key"), marked.filter("__maybe").drop("__maybe")

@@ -170,8 +170,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     return LatentVoters([r[2] for r in got], [r[1] for r in got]), (prior.get(1, 0) / total if total else 0.5)
 
 
-def score_quality(docs: DataFrame, model: LatentVoters, prior: float, keep: list[str]) -> DataFrame:
-    """keep columns of docs plus score double, for docs with column text."""
+def score_quality(docs: DataFrame, model: LatentVoters, prior: float, keep: list[str], name: str = "score") -> DataFrame:
+    """keep columns of docs plus double `name`, the score of column text."""
     shared = docs.sparkSession.sparkContext.broadcast((vars(model), prior))  # plain arrays, whatever executors have installed
 
     def run(batches):
@@ -181,11 +181,11 @@ def score_quality(docs: DataFrame, model: LatentVoters, prior: float, keep: list
             texts = batch.column(batch.num_columns - 1).to_pylist()
             for a, b in slices(texts):
                 scores = pa.array(voters.score(texts[a:b], bags, base), pa.float64())
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), scores], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(a, b - a) for i in range(len(keep))), scores], [*keep, name])
 
     rows = docs.select(*keep, F.col("text").cast("binary").alias("__raw"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(run, schema + ", score double")
+    return rows.mapInArrow(run, f"{schema}, `{name}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ no rows. Sets are told apart by a 64-bit hash of their contents, shingles by a 6
 
 How pairs are found, without a cap and without listing the pairs of a group:
 
-1. Two linked sets share one of their first n - ceil(0.85 n) + 1 shingles in any common order. The order puts shingles
+1. Two linked sets share one of their first n - ceil(0.85 n) + 1 shingles (for 0.85) in any common order. The order puts shingles
    that are frequent in the corpus last (a count sketch of fixed size over all documents; ties by hash), so only rare
    shingles bring documents together.
 2. Shingles held by one set drop out in a streaming pass. The sets of each other shingle are compared with its smallest
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from skarn.llm.common import durable, shuffle_partitions
 from skarn.llm.word_ids import slices
 
-WORDS = 4
-NEED, OF = 85, 100
+WORDS, NEED = 4, 85  # words of a shingle; least similarity in hundredths
+OF = 100
 SKETCH_BITS = 18
 FILTER_BITS = 25
 MIN_BITS, MAX_BITS = 1 << 10, 1 << 16
@@ -94,10 +94,10 @@ def folded(bitmap: int, bits: int, to: int) -> int:
     return bitmap
 
 
-def can_link(low_a: int, high_a: int, low_b: int, high_b: int, overlap: int) -> bool:
+def can_link(low_a: int, high_a: int, low_b: int, high_b: int, overlap: int, need: int = NEED) -> bool:
     """Whether sets of these sizes can link when they share at most `overlap` shingles."""
     overlap = min(overlap, high_a, high_b)
-    return OF * high_a >= NEED * low_b and OF * high_b >= NEED * low_a and (NEED + OF) * overlap >= NEED * (low_a + low_b)
+    return OF * high_a >= need * low_b and OF * high_b >= need * low_a and (need + OF) * overlap >= need * (low_a + low_b)
 
 
 class Node:
@@ -130,11 +130,11 @@ def tree(members: list[tuple]) -> Node:
     return level[0]
 
 
-def may_link(a: Node, b: Node) -> int:
+def may_link(a: Node, b: Node, need: int = NEED) -> int:
     """The largest possible overlap of a member of a and one of b, or -1 when none of them can link."""
     if a.comp is not None and a.comp == b.comp:
         return -1
-    if OF * a.high < NEED * b.low or OF * b.high < NEED * a.low:
+    if OF * a.high < need * b.low or OF * b.high < need * a.low:
         return -1
     bits = min(a.bits, b.bits)
     x, y = folded(a.bitmap, a.bits, bits), folded(b.bitmap, b.bits, bits)
@@ -146,10 +146,10 @@ def may_link(a: Node, b: Node) -> int:
         most = min(most, a.high - (x ^ both).bit_count())  # a bit of a that b lacks is a shingle that b lacks
     if b.member is not None:
         most = min(most, b.high - (y ^ both).bit_count())
-    return min(most, a.high, b.high) if can_link(a.low, a.high, b.low, b.high, most) else -1
+    return min(most, a.high, b.high) if can_link(a.low, a.high, b.low, b.high, most, need) else -1
 
 
-def traverse(first: Node, second: Node, best_only: bool) -> list[tuple]:
+def traverse(first: Node, second: Node, best_only: bool, need: int = NEED) -> list[tuple]:
     """Pairs of members that may link, of different components; best_only: for two components only the most promising."""
     found: list[tuple] = []
     best: dict[tuple, tuple] = {}
@@ -160,7 +160,7 @@ def traverse(first: Node, second: Node, best_only: bool) -> list[tuple]:
             if a.member is None and a.comp is None:
                 stack += [(p, q) for i, p in enumerate(a.parts) for q in a.parts[i:]]
             continue
-        most = may_link(a, b)
+        most = may_link(a, b, need)
         if most < 0:
             continue
         if a.member is not None and b.member is not None:
@@ -183,11 +183,11 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
     """Light rows (doc_id, n, key, sig) of every document and sketch rows (slot, count) of every task, in one pass."""
 
     def run(batches):
-        shingles, sketch, mask = Shingler(), np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
+        shingles, sketch, mask = Shingler(n_words), np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
         names = ["doc_id", "n", "key", "sig", "slot", "count"]
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
@@ -207,12 +207,12 @@ def profile(docs: DataFrame) -> DataFrame:
     return _rows(docs).mapInArrow(run, "doc_id long, n long, key long, sig binary, slot int, count long")
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+def prefixes(docs: DataFrame, counts: np.ndarray, n_words: int = WORDS, need: int = NEED) -> DataFrame:
     """(token, key, n): the prefix shingles of every set under the order (sketch count, hash); a set once a task."""
     shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS numbers
 
     def run(batches):
-        shingles, count, mask, met = Shingler(), shared.value, np.uint64((1 << SKETCH_BITS) - 1), set()
+        shingles, count, mask, met = Shingler(n_words), shared.value, np.uint64((1 << SKETCH_BITS) - 1), set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -223,7 +223,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray) -> DataFrame:
                     if not n or key in met:
                         continue
                     met.add(key)
-                    p = n - (NEED * n + OF - 1) // OF + 1
+                    p = n - (need * n + OF - 1) // OF + 1
                     order = count[(s & mask).astype(np.int64)]
                     if p < n:
                         s = s[np.lexsort((s, order))[:p]]
@@ -286,12 +286,12 @@ def key_filter(pairs: DataFrame) -> bytes:
     return bytes(out)
 
 
-def exact_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def exact_links(docs: DataFrame, pairs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
     """The pairs (a, b) whose sets link. Sets of the keys concerned are read from the texts, once a key."""
     marked = docs.sparkSession.sparkContext.broadcast(key_filter(pairs))
 
     def sets(batches):
-        shingles, wanted, met = Shingler(), marked.value, set()
+        shingles, wanted, met = Shingler(n_words), marked.value, set()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
@@ -313,7 +313,7 @@ def exact_links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(OF * both >= NEED * (len(x) + len(y) - both))
+                keep.append(OF * both >= need * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     each = _rows(docs).mapInArrow(sets, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
@@ -350,7 +350,7 @@ def _several(rows: DataFrame) -> DataFrame:
     return rows.join(many, "token")
 
 
-def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, cell: int = CELL) -> DataFrame:
+def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, need: int = NEED, cell: int = CELL) -> DataFrame:
     """Distinct pairs (a, b) of rows (token, key, n, comp) that may link, by one signature tree a token and cell."""
     parts = F.ceil(F.col("m") / cell).cast("int")
     mine = F.pmod(F.xxhash64("key"), parts).cast("int")
@@ -363,9 +363,9 @@ def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, cell: int = CE
         def pairs():
             if at[1] == at[2]:
                 top = tree([m for _, m in group])
-                return traverse(top, top, best_only)
+                return traverse(top, top, best_only, need)
             left, right = ([m for side, m in group if side == s] for s in at[1:])
-            return traverse(tree(left), tree(right), best_only) if left and right else []
+            return traverse(tree(left), tree(right), best_only, need) if left and right else []
 
         for batch in batches:
             out: set[tuple] = set()
@@ -384,27 +384,27 @@ def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, cell: int = CE
     return sorted_rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def linked_groups(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of docs (doc_id, text, ...)."""
+def linked_groups(docs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of docs (doc_id, text, ...), for n_words and a similarity of need hundredths."""
     spark: SparkSession = docs.sparkSession
-    first = durable(profile(docs), "join-profile")
+    first = durable(profile(docs, n_words), "join-profile")
     light = first.filter(F.col("slot").isNull()).select("doc_id", "n", "key", "sig")
     slots = first.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("count").alias("count")).toPandas()
     counts = np.zeros(1 << SKETCH_BITS, np.int64)
     counts[slots["slot"].to_numpy()] = slots["count"].to_numpy()
 
     sigs = durable(light.filter("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc")), "join-sets-light")
-    held = durable(shared_tokens(prefixes(docs, counts)), "join-shared")
-    size = lambda a, b: (OF * F.least(a, b) >= NEED * F.greatest(a, b))
+    held = durable(shared_tokens(prefixes(docs, counts, n_words, need)), "join-shared")
+    size = lambda a, b: OF * F.least(a, b) >= need * F.greatest(a, b)
     star = held.filter((F.col("key") != F.col("first")) & size(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("key").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb")).distinct()
-    links = durable(exact_links(docs, durable(promising(star, sigs), "join-star")), "join-links")
+    links = durable(exact_links(docs, durable(promising(star, sigs, need), "join-star"), n_words, need), "join-links")
     for best_only in (True, True, True, False):
         comp = components(links)
         rows = held.select("token", "key", "n").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        pairs = durable(tree_pairs(rows, sigs.select("key", "sig"), best_only), "join-pairs")
+        pairs = durable(tree_pairs(rows, sigs.select("key", "sig"), best_only, need), "join-pairs")
         if pairs.isEmpty():
             break
-        links = durable(links.unionByName(exact_links(docs, pairs)).distinct(), "join-links")
+        links = durable(links.unionByName(exact_links(docs, pairs, n_words, need)).distinct(), "join-links")
     comp = components(links)
     named = comp.join(sigs.select("key", "doc"), "key")
     smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
@@ -414,14 +414,14 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     return some.unionByName(none)
 
 
-def promising(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def promising(pairs: DataFrame, sigs: DataFrame, need: int = NEED) -> DataFrame:
     """The pairs (a, b, na, nb) whose signatures leave room for a link."""
 
     def run(batches):
         for batch in batches:
             a, b, na, nb, x, y = (batch.column(i).to_pylist() for i in range(6))
             leaf = lambda key, n, sig: Node(member=(key, key, n, int.from_bytes(sig, "little"), 8 * len(sig)))
-            keep = [may_link(leaf(*p), leaf(*q)) >= 0 for p, q in zip(zip(a, na, x), zip(b, nb, y))]
+            keep = [may_link(leaf(*p), leaf(*q), need) >= 0 for p, q in zip(zip(a, na, x), zip(b, nb, y))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     with_a = pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("x")), "a")
