@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from skarn.plans import text_queries
+
+_PARTS = [text_queries]
+QUERIES: dict = {k: f for part in _PARTS for k, f in part.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {k: s for part in _PARTS for k, s in part.ORACLE_SQL.items()}
