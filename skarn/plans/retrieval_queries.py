@@ -51,6 +51,10 @@ def _top(scored, k):
     return ranked.select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+#: CTEs that end in top (q_id, doc_id, score, rank), the ten best documents of each passage.
+_BM25_TOP_SQL = f"{_bm25_sql(tokens_sql)}, top AS ({_top_sql('bm', 10)})"
+
+
 @query("bm25_topk", f"WITH {_bm25_sql(tokens_sql)} {_top_sql('bm', 10)}")
 def bm25_topk(spark, sf_dir):
     return _top(R.bm25(_docs(spark, sf_dir), _bench(spark, sf_dir)), 10)
