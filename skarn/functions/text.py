@@ -161,7 +161,7 @@ def sentences(text: Column | str) -> Column:
 
 def key_sentences(text: Column | str) -> Column:
     """Sentences of more than 30 characters without boilerplate phrases."""
-    parts = F.transform(sentences(F.replace(repaired(text), F.lit("\n"), F.lit(" "))), F.trim)
+    parts = F.transform(sentences(F.replace(repaired(text), F.lit("\n"), F.lit(" "))), lambda x: F.trim(x))
     return F.filter(parts, lambda s: (F.length(s) > 30) & ~has_any(F.lower(s), BOILERPLATE))
 
 
@@ -172,20 +172,20 @@ def _n_words(s: Column) -> Column:
 def long_sentences(text: Column | str, least: int = 4) -> Column:
     """Sentences of `least` words; the whole text when there is none."""
     whole = F.trim(text_of(text))
-    good = F.filter(F.transform(sentences(whole), F.trim), lambda s: _n_words(s) >= least)
+    good = F.filter(F.transform(sentences(whole), lambda x: F.trim(x)), lambda s: _n_words(s) >= least)
     return F.when(F.size(good) > 0, good).otherwise(F.array(whole))
 
 
 def atoms(text: Column | str) -> Column:
     """Sentences cut at an 'and' that opens a new statement; three words at least, else the whole text."""
     parts = F.flatten(F.transform(long_sentences(text), lambda s: F.split(s, r"\s+and\s+(?=[A-Z]|the\b|it\b|they\b|this\b)")))
-    good = F.filter(F.transform(parts, F.trim), lambda p: _n_words(p) >= 3)
+    good = F.filter(F.transform(parts, lambda x: F.trim(x)), lambda p: _n_words(p) >= 3)
     return F.when(F.size(good) > 0, good).otherwise(F.array(F.trim(text_of(text))))
 
 
 def candidate_sentences(text: Column | str) -> Column:
     """Sentences of more than 55 characters, cut to 500."""
-    return F.transform(F.filter(F.transform(sentences(text), F.trim), lambda s: F.length(s) > 55), lambda s: F.substring(s, 1, 500))
+    return F.transform(F.filter(F.transform(sentences(text), lambda x: F.trim(x)), lambda s: F.length(s) > 55), lambda s: F.substring(s, 1, 500))
 
 
 def short_quote(text: Column, query_tokens: Column, most: int = 220) -> Column:
@@ -301,7 +301,7 @@ def is_refusal(text: Column | str) -> Column:
 
 def substantive_sentences(text: Column | str) -> Column:
     """Sentences of more than 40 characters that are no refusals."""
-    parts = F.transform(sentences(F.replace(text_of(text), F.lit("\n"), F.lit(" "))), F.trim)
+    parts = F.transform(sentences(F.replace(text_of(text), F.lit("\n"), F.lit(" "))), lambda x: F.trim(x))
     return F.filter(parts, lambda s: (F.length(s) > 40) & ~s.rlike(REFUSALS))
 
 

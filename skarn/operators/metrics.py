@@ -90,7 +90,7 @@ def set_f1(rows: DataFrame, key: str) -> DataFrame:
 
 def clauses(text: Column | str) -> Column:
     """Pieces of three words or more between commas, stops, semicolons and line feeds; the whole text without one."""
-    return F.filter(F.transform(F.split(text, r"[,.;\n]"), F.trim), lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))) >= 3)
+    return F.filter(F.transform(F.split(text, r"[,.;\n]"), lambda x: F.trim(x)), lambda c: F.size(F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))) >= 3)
 
 
 def _grounded(parts: Column, whole: Column, share: float) -> Column:
