@@ -187,10 +187,13 @@ def answer_filters(spark, sf_dir):
 
 @query(
     "short_quotes",
-    rf"""WITH q AS (SELECT {tokens_sql('text')} AS t FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
-    s AS (SELECT doc_id, text, list_filter({sentences_sql('text')}, lambda x: list_has_any({tokens_sql('x')}, t)) AS hit FROM documents, q)
+    rf"""WITH q AS (SELECT item_id, {tokens_sql('text')} AS t FROM benchmark), n AS (SELECT count(*) AS n FROM benchmark),
+    s AS (SELECT doc_id, text, list_filter({sentences_sql('text')}, lambda x: list_has_any({tokens_sql('x')}, t)) AS hit FROM documents, n JOIN q ON item_id = doc_id % n)
     SELECT doc_id, trim(left(coalesce(hit[1], text), 220)) AS quote FROM s""",
 )
 def short_quotes(spark, sf_dir):
-    first = table(spark, sf_dir, "benchmark").agg(F.min_by("text", "item_id").alias("q")).select(T.tokenize("q").alias("t"))
-    return table(spark, sf_dir, "documents").join(F.broadcast(first)).select("doc_id", T.short_quote(F.col("text"), F.col("t")).alias("quote"))
+    """Each document quoted for one of the passages, dealt out in turn."""
+    b = table(spark, sf_dir, "benchmark")
+    n = b.agg(F.count(F.lit(1)).alias("n"))  # one row
+    d = table(spark, sf_dir, "documents").join(F.broadcast(n)).withColumn("item_id", F.col("doc_id") % F.col("n"))
+    return d.join(b.select("item_id", T.tokenize("text").alias("t")), "item_id").select("doc_id", T.short_quote(F.col("text"), F.col("t")).alias("quote"))
