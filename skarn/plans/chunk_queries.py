@@ -85,18 +85,33 @@ def merge_figures(spark, sf_dir):
     return C.merge_figures(c, f)
 
 
-@query("layout_blocks")
+@query(
+    "layout_blocks",
+    r"""WITH b AS (SELECT doc_id AS paper_id, unnest(x) AS t, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), s AS (SELECT paper_id, n, trim(t) AS t FROM b WHERE length(trim(t)) >= 10),
+    h AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:\d+(?:\.\d+)*\.?\s+)?[A-Z][A-Za-z\s\-]{3,60}$') AND length(t) <= 80 THEN t END AS h FROM s),
+    w AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY n), 'Body') AS section, lead(n) OVER (PARTITION BY paper_id ORDER BY n) AS nx FROM h)
+    SELECT paper_id, count(*) AS n_blocks, count(*) FILTER (contains(t, '|') OR contains(t, chr(9)) OR contains(left(t, 15), 'Table ')) AS n_tables, count(DISTINCT section) AS n_sections, count(nx) AS n_next FROM w GROUP BY 1""",
+)
 def layout_blocks(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
     return C.layout_blocks(d).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if("is_table").alias("n_tables"), F.countDistinct("section").alias("n_sections"), F.count("next").alias("n_next"))
 
 
-@query("inferred_metadata")
+@query(
+    "inferred_metadata",
+    r"""WITH f AS (SELECT source AS paper_id, min_by(text, doc_id) AS t FROM documents GROUP BY 1), x AS (SELECT paper_id, trim(regexp_extract(t, '^\s*([^\n]+)', 1)) AS ti, trim(regexp_replace(regexp_extract(t, '(?is)\babstract\b[:.\s-]*(.+)', 1), '\s+', ' ', 'g')) AS ab FROM f)
+    SELECT paper_id, CASE WHEN length(ti) BETWEEN 12 AND 220 THEN ti END AS title, left(ab, 1800) AS abstract FROM x""",
+)
 def inferred_metadata(spark, sf_dir):
     return C.inferred_metadata(_pages(spark, sf_dir))
 
 
-@query("figure_captions")
+@query(
+    "figure_captions",
+    r"""WITH e AS (SELECT source AS paper_id, doc_id AS page, unnest(m) AS c, generate_subscripts(m, 1) AS p FROM (SELECT source, doc_id, regexp_extract_all(text, '(?i)(?:^|\n)\s*((?:figure|fig\.?|table)\s*\d+(?:\.\d+)?[.:]?[^\n]*)', 1) AS m FROM documents)),
+    n AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY page, p) AS figure_no FROM e)
+    SELECT paper_id, page, figure_no, CASE WHEN lower(c) LIKE 'table%' THEN 'table' ELSE 'figure' END AS kind, regexp_extract(c, '\d+(?:\.\d+)?') AS number, trim(c) AS caption FROM n WHERE figure_no <= 80""",
+)
 def figure_captions(spark, sf_dir):
     return C.figure_captions(_pages(spark, sf_dir))
 

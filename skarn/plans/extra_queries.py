@@ -155,7 +155,10 @@ def ext_sessions(spark, sf_dir):
     return E.sessions(table(spark, sf_dir, "events"))
 
 
-@query("ext_running_totals_stream")
+@query(
+    "ext_running_totals_stream",
+    "SELECT user_id, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1",
+)
 def ext_running_totals_stream(spark, sf_dir):
     """The last state of each user from a stream with custom state."""
     out = f"{_folder(spark)}/out"

@@ -136,7 +136,12 @@ def reasoning_labels(spark, sf_dir):
     return P.reasoning_labels(_nodes(spark, sf_dir), F.col("q_id") % 2 == 0).select("q_id", "node_id", F.col("step").cast("long").alias("step"), "mode")
 
 
-@query("plan_faults")
+@query(
+    "plan_faults",
+    """WITH RECURSIVE e AS (SELECT l_orderkey AS plan_id, CAST(l_linenumber AS VARCHAR) AS a, CAST(l_suppkey % 9 AS VARCHAR) AS b FROM lineitem), n AS (SELECT l_orderkey AS plan_id, CAST(l_linenumber AS VARCHAR) AS a FROM lineitem),
+    r AS (SELECT plan_id, a AS start, b FROM e UNION SELECT r.plan_id, r.start, e.b FROM r JOIN e ON e.plan_id = r.plan_id AND e.a = r.b)
+    SELECT plan_id, 'repeated id' AS fault FROM n GROUP BY plan_id, a HAVING count(*) > 1 UNION SELECT plan_id, 'unknown dependency' FROM e WHERE (plan_id, b) NOT IN (SELECT plan_id, a FROM n) UNION SELECT DISTINCT plan_id, 'cycle' FROM r WHERE start = b""",
+)
 def plan_faults(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     nodes = li.select(F.col("l_orderkey").alias("plan_id"), F.col("l_linenumber").cast("string").alias("node_id"))

@@ -8,7 +8,8 @@ from skarn.operators import evidence as V
 from skarn.operators import reports as P
 from skarn.operators.verify import corrupted
 from skarn.plans.base import quoted, sentences_sql
-from skarn.plans.metric_queries import _runs, _axes, _turns
+from skarn.plans.metric_queries import _RUNS, _SQ, _TURNS, _UNIVERSE, _axes, _runs, _turns
+from skarn.plans.retrieval_queries import _N, _SS
 from skarn.operators import metrics as M
 from skarn.session import table
 
@@ -108,14 +109,23 @@ def study_goal_chunks(spark, sf_dir):
     return V.study_goal_chunks(_chunks(spark, sf_dir)).withColumn("place", F.col("place").cast("long"))
 
 
-@query("title_matches")
+@query(
+    "title_matches",
+    f"""WITH q AS (SELECT p_size AS q_id, {_N('min(p_name)')} AS qn, list_distinct({_SS('min(p_name)')}) AS qt FROM part GROUP BY p_size), p AS (SELECT p_partkey AS doc_id, {_N('p_name')} AS tn, list_distinct({_SS('p_name')}) AS tt FROM part),
+    m AS (SELECT q_id, doc_id, qn, tn, len(list_intersect(qt, tt)) / len(qt) AS a, len(list_intersect(qt, tt)) / len(tt) AS b FROM q, p WHERE len(qt) >= 2 AND len(tt) > 0)
+    SELECT q_id, doc_id, round(a + b + CASE WHEN qn = tn THEN 10 WHEN contains(tn, qn) OR contains(qn, tn) THEN 4 ELSE 0 END, 6) AS score FROM m WHERE a >= 0.8 AND b >= 0.45""",
+)
 def title_matches(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     q = part.groupBy(F.col("p_size").alias("q_id")).agg(F.min("p_name").alias("text"))
     return _rounded(V.title_matches(part.select(F.col("p_partkey").alias("doc_id"), F.col("p_name").alias("title")), q), "score")
 
 
-@query("image_channel")
+@query(
+    "image_channel",
+    """WITH v AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), c AS (SELECT a.doc_id AS q_id, b.doc_id, list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) AS s FROM v a JOIN v b ON a.doc_id <> b.doc_id WHERE a.doc_id % 50 = 0)
+    SELECT q_id, doc_id, round(s, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY s DESC, doc_id) AS rank FROM c WHERE s >= 0.2) WHERE rank <= 10""",
+)
 def image_channel(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
     return _rounded(V.image_channel(v.filter("doc_id % 50 = 0"), v), "score")
@@ -214,7 +224,12 @@ def multihop_scores(spark, sf_dir):
     return _rounded(P.multihop_scores(rows, "key"), "exact_match", "f1", "evidence_path_recall", "abstention_accuracy")
 
 
-@query("visual_scores")
+@query(
+    "visual_scores",
+    f"""WITH {_TURNS}, r AS (SELECT length(p) % 4 AS kind, array_to_string({_SQ('p')}, ' ') AS p, array_to_string({_SQ("string_split(r, ' ')[1]")}, ' ') AS g, nullif(length(r) % 8, 0) AS f FROM t)
+    SELECT kind, count(*) AS n, round(avg(CAST(g <> '' AND contains(p, g) AS INT)), 6) AS accuracy, round(avg(CAST(p = g AS INT)), 6) AS exact_match, round(avg(coalesce(CAST(f <= 1 AS INT), 0)), 6) AS hit_1, round(avg(coalesce(CAST(f <= 3 AS INT), 0)), 6) AS hit_3,
+    round(avg(coalesce(CAST(f <= 5 AS INT), 0)), 6) AS hit_5, round(avg(coalesce(1 / f, 0)), 6) AS mrr FROM r GROUP BY kind""",
+)
 def visual_scores(spark, sf_dir):
     rows = _turns(spark, sf_dir).select((F.length("prediction") % 4).alias("kind"), "prediction", F.split("reference", " ")[0].alias("reference"), F.nullif(F.length("reference") % 8, F.lit(0)).alias("first_rank"))
     return _rounded(P.visual_scores(rows, "kind"), "accuracy", "exact_match", "hit_1", "hit_3", "hit_5", "mrr")
@@ -233,7 +248,12 @@ def faithfulness_scores(spark, sf_dir):
     return _rounded(P.faithfulness(claims, chunks, "conv_id"), "strict", "soft")
 
 
-@query("semantic_entailment")
+@query(
+    "semantic_entailment",
+    """WITH v AS (SELECT vec_id, label AS key, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, key, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v),
+    b AS (SELECT a.key, a.vec_id, max(list_dot_product(a.u, p.u)) AS m FROM u a JOIN u p ON a.key = p.key WHERE a.vec_id % 50 = 0 GROUP BY 1, 2), s AS (SELECT key, avg(m) AS score FROM b GROUP BY key)
+    SELECT key, round(score, 6) AS score, CASE WHEN score >= 0.42 THEN 'ENTAILMENT' WHEN score >= 0.25 THEN 'NEUTRAL' ELSE 'CONTRADICTION' END AS label FROM s""",
+)
 def semantic_entailment(spark, sf_dir):
     v = table(spark, sf_dir, "embeddings")
     unit = F.transform("embedding", lambda x: x / F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y.cast("double") * y)))
@@ -298,14 +318,22 @@ def negative_control(spark, sf_dir):
     return _rounded(P.negative_control(true.join(false, "item_id")), "mean_true", "mean_corrupt", "separation", "caught_rate", "flagged_rate", "contradiction_rate")
 
 
-@query("evidence_sensitivity")
+@query(
+    "evidence_sensitivity",
+    """SELECT round(coalesce(avg(CAST(contains(replace(props, '1', '9'), '9') AS INT)) FILTER (user_id % 2 = 0), 0), 6) AS text_value_edit, round(coalesce(avg(CAST(contains(replace(props, '1', '9'), '9') AS INT)) FILTER (user_id % 2 <> 0), 0), 6) AS visual_value_edit FROM events""",
+)
 def evidence_sensitivity(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     rows = e.select(F.when(F.col("user_id") % 2 == 0, "TEXT_VALUE_EDIT").otherwise("VISUAL_VALUE_EDIT").alias("kind"), P.perturbed(F.col("props"), F.lit("1"), F.lit("9")).alias("prediction"), F.lit("9").alias("new"))
     return _rounded(P.sensitivity(rows), "text_value_edit", "visual_value_edit")
 
 
-@query("telemetry_summary")
+@query(
+    "telemetry_summary",
+    """WITH r AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 100), g AS (SELECT list_sort(list(value)) AS v FROM r WHERE value > 0)
+    SELECT (SELECT count(*) FROM events) AS total_traces, v[len(v) // 2 + 1] AS p50_latency_ms, len(v) AS sample_size, (SELECT count(*) FROM r) AS total_claims, (SELECT count(*) FROM r WHERE user_id % 2 = 0) AS supported_claims,
+    round(100.0 * (SELECT count(*) FROM r WHERE user_id % 2 = 0) / (SELECT count(*) FROM r), 6) AS support_rate_pct FROM g""",
+)
 def telemetry_summary(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("trace_id"), "ts", F.col("value").alias("latency_ms"), F.array(F.when(F.col("user_id") % 2 == 0, "SUPPORTED").otherwise("PARTIAL")).alias("labels"))
     return _rounded(P.telemetry(e), "support_rate_pct")
@@ -316,7 +344,12 @@ def split_overlaps(spark, sf_dir):
     return P.split_overlaps(table(spark, sf_dir, "documents").select(F.col("source").alias("paper_id"), F.col("lang").alias("split")))
 
 
-@query("release_faults")
+@query(
+    "release_faults",
+    f"""WITH {_UNIVERSE}, {_RUNS}, h AS (SELECT system, model, seed, case_id, count(*) AS n FROM a GROUP BY ALL), k AS (SELECT DISTINCT system, model, seed, case_id FROM a WHERE status <> 'ERROR'),
+    f AS (SELECT 'raw missing' AS fault, count(*) AS n FROM (SELECT * FROM u ANTI JOIN h USING (system, model, seed, case_id)) UNION ALL SELECT 'raw extra', count(*) FROM (SELECT * FROM h ANTI JOIN u USING (system, model, seed, case_id)) UNION ALL SELECT 'raw repeated', count(*) FROM h WHERE n > 1
+    UNION ALL SELECT 'not scored', count(*) FROM (SELECT * FROM a ANTI JOIN k USING (system, model, seed, case_id))) SELECT * FROM f WHERE n > 0""",
+)
 def release_faults(spark, sf_dir):
     runs = _runs(spark, sf_dir)
     return P.release_faults(M.key_universe(*_axes(spark, sf_dir)), runs, runs.filter("status <> 'ERROR'"))
@@ -330,7 +363,12 @@ def scored_rows(spark, sf_dir):
     return P.scored_rows(rows, specs).groupBy("metric", "status").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("n_all"))
 
 
-@query("citation_scores")
+@query(
+    "citation_scores",
+    """WITH c AS (SELECT l_orderkey AS case_id, l_suppkey % 3 AS source, l_partkey AS id, l_linenumber % 4 AS page FROM lineitem), h AS (SELECT DISTINCT l_orderkey AS case_id, l_partkey AS id, l_linenumber % 4 AS page FROM lineitem WHERE l_quantity > 25)
+    SELECT c.case_id, count(*) AS n, round(avg(CAST(c.source = o_custkey % 3 AND c.page IN (1, 2) AS INT)), 6) AS precision, round(avg(CAST(h.id IS NOT NULL AS INT)), 6) AS page_accuracy
+    FROM c JOIN orders ON o_orderkey = c.case_id AND o_orderkey % 2 = 0 LEFT JOIN h ON h.case_id = c.case_id AND h.id = c.id AND h.page = c.page GROUP BY 1""",
+)
 def citation_scores(spark, sf_dir):
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     cites = li.select(F.col("l_orderkey").alias("case_id"), (F.col("l_suppkey") % 3).alias("source"), F.col("l_partkey").alias("id"), (F.col("l_linenumber") % 4).alias("page"))
@@ -360,7 +398,15 @@ def citing_chunks(spark, sf_dir):
     return V.citing_chunks(refs, b.select("source", word.alias("entity")), _chunks(spark, sf_dir))
 
 
-@query("multi_level_sentences")
+@query(
+    "multi_level_sentences",
+    """WITH s AS (SELECT conv_id AS q_id, text AS s, min(turn) AS o, length(text) AS n FROM conversations GROUP BY conv_id, text), a AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY n DESC, o) <= 2),
+    b AS (SELECT * FROM s ANTI JOIN a USING (q_id, s) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY n % 17 DESC, o) <= 2), c AS (SELECT * FROM (SELECT * FROM s ANTI JOIN a USING (q_id, s)) x ANTI JOIN b USING (q_id, s) QUALIFY row_number() OVER (PARTITION BY q_id ORDER BY -n DESC, o) <= 2)
+    SELECT q_id, 'problem' AS level, row_number() OVER (PARTITION BY q_id ORDER BY n DESC, o) AS place, md5(s) AS s FROM a UNION ALL SELECT q_id, 'derivation', row_number() OVER (PARTITION BY q_id ORDER BY n % 17 DESC, o), md5(s) FROM b
+    UNION ALL SELECT q_id, 'empirical', row_number() OVER (PARTITION BY q_id ORDER BY -n DESC, o), md5(s) FROM c""",
+)
 def multi_level_sentences(spark, sf_dir):
-    s = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("q_id"), F.col("text").alias("s"), F.col("turn").alias("ord"), F.length("text").alias("score_problem"), (F.length("text") % 17).alias("score_derivation"), (-F.length("text")).alias("score_empirical"))
-    return V.multi_level(s.dropDuplicates(["q_id", "s"]), ["problem", "derivation", "empirical"]).select("q_id", "level", "place", F.md5(F.col("s").cast("binary")).alias("s"))
+    s = table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("q_id"), F.col("text").alias("s")).agg(F.min("turn").alias("ord"))
+    s = s.withColumns({"score_problem": F.length("s"), "score_derivation": F.length("s") % 17, "score_empirical": -F.length("s")})
+    out = V.multi_level(s, ["problem", "derivation", "empirical"])
+    return out.select("q_id", "level", F.col("place").cast("long").alias("place"), F.md5(F.col("s").cast("binary")).alias("s"))

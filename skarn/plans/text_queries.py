@@ -79,7 +79,18 @@ def sentence_splits(spark, sf_dir):
     )
 
 
-@query("atom_splits")
+_REPAIRED = "text"
+for _a, _b in T.LIGATURES:
+    _REPAIRED = f"replace({_REPAIRED}, {quoted(_a)}, {quoted(_b)})"
+_REPAIR_SQL = rf"replace(regexp_replace({_REPAIRED}, '(\w+)-\s+(\w+)', '\1\2', 'g'), chr(10), ' ')"
+
+
+@query(
+    "atom_splits",
+    rf"""WITH d AS (SELECT doc_id, text, trim(text) AS t FROM documents), g AS (SELECT doc_id, text, t, list_filter(list_transform({sentences_sql('t')}, lambda x: trim(x)), lambda x: len(regexp_extract_all(x, '\S+')) >= 4) AS g FROM d),
+    l AS (SELECT doc_id, text, CASE WHEN len(g) > 0 THEN g ELSE [t] END AS g FROM g), a AS (SELECT doc_id, text, len(list_filter(flatten(list_transform(g, lambda x: string_split(regexp_replace(x, '\s+and\s+([A-Z]|the\b|it\b|they\b|this\b)', chr(1) || '\1', 'g'), chr(1)))), lambda x: len(regexp_extract_all(x, '\S+')) >= 3)) AS n FROM l)
+    SELECT doc_id, CASE WHEN n > 0 THEN n ELSE 1 END AS n_atoms, len(list_filter(list_transform({sentences_sql(_REPAIR_SQL)}, lambda x: trim(x)), lambda s: length(s) > 30 AND NOT ({_BOILER}))) AS n_key_sentences FROM a""",
+)
 def atom_splits(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(T.atoms("text")).cast("long").alias("n_atoms"), F.size(T.key_sentences("text")).cast("long").alias("n_key_sentences"))
 
