@@ -138,7 +138,16 @@ def valid_cases(spark, sf_dir):
     return C.valid_cases(c).select("case_id", F.lower(F.trim("question")).alias("question"))
 
 
-@query("conversation_referents")
+@query(
+    "conversation_referents",
+    rf"""WITH c AS (SELECT conv_id, turn, lower(role) AS role, trim(text) AS t FROM conversations),
+    w AS (SELECT *, coalesce(last_value(CASE WHEN role = 'user' THEN nullif(t, '') END IGNORE NULLS) OVER p, last_value(nullif(t, '') IGNORE NULLS) OVER p) AS x FROM c WINDOW p AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING)),
+    h AS (SELECT *, regexp_matches(t, '(?i)\b(it|its|they|them|their|this|that|these|those)\b') OR len(list_filter(regexp_extract_all(t, '(?i)\bthe\s+(?:model|method|approach|architecture|authors?)\b(\s+(?:of|in|for|from|described|proposed|named)\b)?', 1), lambda y: coalesce(y, '') = '')) > 0
+        OR {' OR '.join(f"starts_with(lower(t), {quoted(e)})" for e in C.ELLIPTIC)} AS has FROM w WHERE role = 'user'),
+    b AS (SELECT *, trim(regexp_replace(regexp_replace(x, {quoted(C.QUESTION_LEAD)}, ''), '^[? .!]+|[? .!]+$', '', 'g')) AS bare, trim(regexp_replace(x, '^[? .!]+|[? .!]+$', '', 'g')) AS whole FROM h),
+    p AS (SELECT *, list_filter(string_split_regex(CASE WHEN bare <> '' THEN bare ELSE whole END, '\s+'), lambda y: y <> '') AS ws, CASE WHEN bare <> '' THEN bare ELSE whole END AS plain FROM b)
+    SELECT conv_id, turn, CASE WHEN has AND x IS NOT NULL AND plain <> '' THEN t || ' (context: ' || CASE WHEN len(ws) > 8 THEN array_to_string(ws[1:8], ' ') ELSE plain END || ')' ELSE t END AS resolved FROM p""",
+)
 def conversation_referents(spark, sf_dir):
     return C.resolved_queries(table(spark, sf_dir, "conversations"))
 

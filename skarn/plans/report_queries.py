@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skarn.operators import evidence as V
@@ -217,7 +218,14 @@ def first_places(spark, sf_dir):
     return _rounded(P.first_places(o, "model", "rank"), "mean_rank")
 
 
-@query("multihop_scores")
+@query(
+    "multihop_scores",
+    f"""WITH {_TURNS}, g AS (SELECT key, p, unnest([r, lower(p)]) AS g, length(p) % 3 <> 0 AS ok, length(p) % 2 = 0 AS ab FROM t), w AS (SELECT *, {_SQ('p')} AS pw, {_SQ('g')} AS gw FROM g),
+    f AS (SELECT key, p, ok, ab, CAST(pw = gw AS INT) AS em, list_sum(list_transform(list_distinct(pw), lambda x: least(len(list_filter(pw, lambda y: y = x)), len(list_filter(gw, lambda y: y = x))))) AS c, len(pw) AS np, len(gw) AS ng FROM w),
+    b AS (SELECT key, p, ok, ab, max(em) AS em, max(CASE WHEN np = 0 AND ng = 0 THEN 1 ELSE coalesce(2.0 * c / nullif(np + ng, 0), 0) END) AS f1 FROM f GROUP BY key, p, ok, ab)
+    SELECT round(coalesce(sum(em) FILTER (ok), 0) / greatest(count(*) FILTER (ok), 1), 6) AS exact_match, round(coalesce(sum(f1) FILTER (ok), 0) / greatest(count(*) FILTER (ok), 1), 6) AS f1, round(coalesce(avg(0.5) FILTER (ok), 0), 6) AS evidence_path_recall,
+    round(coalesce(avg(CAST(ab OR contains(lower(p), 'insufficient') OR trim(p) = '' AS INT)) FILTER (NOT ok), 1), 6) AS abstention_accuracy FROM b""",
+)
 def multihop_scores(spark, sf_dir):
     t = _turns(spark, sf_dir)
     rows = t.select("key", "prediction", F.array("reference", F.lower("prediction")).alias("golds"), F.array(F.lit("a"), F.lit("b")).alias("gold_sources"), F.array(F.lit("a")).alias("sources"), (F.length("prediction") % 3 != 0).alias("answerable"), (F.length("prediction") % 2 == 0).alias("abstained"))
@@ -355,10 +363,16 @@ def release_faults(spark, sf_dir):
     return P.release_faults(M.key_universe(*_axes(spark, sf_dir)), runs, runs.filter("status <> 'ERROR'"))
 
 
-@query("scored_rows")
+@query(
+    "scored_rows",
+    f"""WITH {_RUNS}, r AS (SELECT * EXCLUDE (metric), case_id % 2 = 0 AS ok FROM a QUALIFY row_number() OVER (PARTITION BY system, model, seed, case_id ORDER BY status, value) = 1), s(metric, er, ab, needs) AS (VALUES ('recall', 0.0, 0.0, TRUE), ('abstained', NULL, 1.0, FALSE), ('latency', NULL, NULL, NULL)),
+    v AS (SELECT metric, status, CASE WHEN needs IS NULL OR needs = ok THEN CASE status WHEN 'ERROR' THEN er WHEN 'ABSTAINED' THEN ab ELSE CASE metric WHEN 'recall' THEN value / 50 WHEN 'latency' THEN value END END END AS v FROM r, s)
+    SELECT metric, status, count(v) AS n, count(*) AS n_all FROM v GROUP BY ALL""",
+)
 def scored_rows(spark, sf_dir):
     specs = spark.createDataFrame([("recall", 0.0, 0.0, True), ("abstained", None, 1.0, False), ("latency", None, None, None)], "metric string, on_error double, on_abstain double, needs_answerable boolean")
-    runs = _runs(spark, sf_dir).dropDuplicates(M.KEY)
+    first = Window.partitionBy(*M.KEY).orderBy("status", "value")
+    runs = _runs(spark, sf_dir).withColumn("r", F.row_number().over(first)).filter("r = 1")
     rows = runs.select(*M.KEY, "status", (F.col("case_id") % 2 == 0).alias("answerable"), F.create_map(F.lit("recall"), F.col("value") / 50, F.lit("latency"), F.col("value")).alias("values"))
     return P.scored_rows(rows, specs).groupBy("metric", "status").agg(F.count("value").alias("n"), F.count(F.lit(1)).alias("n_all"))
 
