@@ -4,39 +4,44 @@ A document's set holds the 64-bit hashes of its distinct 4-word shingles (A-Z lo
 a text of fewer words is one shingle). Two documents link when 100 * intersection >= 85 * union. The result names each
 document's group: component_id, the smallest doc_id reachable by links, itself included. Null or empty text, or text
 without words: an empty set, linked with nothing. Equal sets are one vertex, so copies are never paired. Repeated
-doc_ids keep one output row an input row. A null doc_id counts as the largest. Extra columns are ignored; an empty table gives
-no rows. Sets are told apart by a 64-bit hash of their contents, shingles by a 64-bit hash of their words.
+doc_ids keep one output row an input row; null doc_ids are no candidates for a group's smallest doc_id. Extra columns
+are ignored; an empty table gives no rows. Sets are told apart by a 64-bit hash of their contents, shingles by a 64-bit
+hash of their words.
 
 How pairs are found, without a cap and without listing the pairs of a group:
 
-1. Two linked sets share one of their first n - ceil(0.85 n) + 1 shingles (for 0.85) in any common order. The order puts shingles
-   that are frequent in the corpus last (a count sketch of fixed size over all documents; ties by hash), so only rare
-   shingles bring documents together.
-2. Shingles held by one set drop out in a streaming pass. The sets of each other shingle are compared with its smallest
-   member only (size and signature bounds first, then the exact sets); components of these links are built.
-3. Shingles that still join several components get a signature tree over their members: nodes hold OR-combined shingle
+1. Two linked sets share one of their first n - ceil(0.85 n) + 1 shingles (for 0.85) in any common order. The order puts
+   shingles first that are known to be in one set only, then goes by hash. They are known from a bitmap of fixed size,
+   filled over all documents for shingles of the lowest hashes (region()), enough of them to fill the prefix of a text of
+   its own. It may take a single shingle for a shared one but not the reverse; single shingles can't be shared and are
+   never sent. A fuller bitmap sends more rows and changes no result.
+2. Shingles held by one set drop out in a streaming pass. Every other set is compared with one set that is the smallest
+   of many of its shingles (size and signature bounds first, then the exact sets); components of these links are built.
+3. Shingles with the same smallest set form one group of all their sets, each once; two sets that share a shingle share
+   such a group. A group of several components gets a signature tree over its members: nodes hold OR-combined shingle
    bitmaps and size ranges. A dual traversal drops node pairs of one component, of sizes that can't link, and those whose
-   largest possible overlap is too small. First the best pair of two components is checked, again while that links
-   something; then every pair left.
-   A shingle with more members than CELL is dealt out in cells, pairs of member chunks, so no task gets a whole group.
-4. Checked pairs get their exact sets, read again from the texts of the documents concerned.
+   largest possible overlap is too small. First the best pair of two components is checked, then every pair left. A group with more members than CELL is dealt out in cells, pairs of member chunks, so no task gets a
+   whole group.
+4. Checked pairs get their exact sets, which were written once for the sets that step 1 did not rule out.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import durable, shuffle_partitions
+from skarn.llm.common import durable, key_bitmap, mark_keys, shuffle_partitions
 from skarn.llm.word_ids import slices
 
 WORDS, NEED = 4, 85  # words of a shingle; least similarity in hundredths
 OF = 100
-SKETCH_BITS = 18
-FILTER_BITS = 25
-MIN_BITS, MAX_BITS = 1 << 10, 1 << 16
+SEEN_BITS = 28  # 2**28 bits, 32 MiB: the bitmap of shared shingles, broadcast
+CHUNK = 1 << 16
+FLUSH = 4_000_000
+FILTER_BITS = 26
+MIN_BITS, MAX_BITS = 1 << 9, 1 << 16
 CELL = 4000
 FANOUT = 6
 
@@ -44,7 +49,7 @@ FANOUT = 6
 class Shingler:
     """Whole texts -> sorted distinct shingle hashes (uint64)."""
 
-    def __init__(self, n_words: int = WORDS, entries: int = 500_000):
+    def __init__(self, n_words: int = WORDS, entries: int = 200_000):
         import xxhash
 
         self.digest, self.n_words, self.entries, self.known = xxhash.xxh3_64_intdigest, n_words, entries, {}
@@ -77,9 +82,9 @@ class Shingler:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap of 4 to 8 bits a shingle, little-endian; bit (hash mod bits)."""
+    """Bitmap of 6 to 12 bits a shingle (fewer for very long texts), little-endian; bit (hash mod bits)."""
     bits = MIN_BITS
-    while bits < 4 * len(tokens) and bits < MAX_BITS:
+    while bits < 6 * len(tokens) and bits < MAX_BITS:
         bits *= 2
     flags = np.zeros(bits, np.uint8)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -183,58 +188,120 @@ def _rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
 
 
-def profile(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
-    """Light rows (doc_id, n, key, sig) of every document and sketch rows (slot, count) of every task, in one pass."""
+def region(need: int) -> np.uint64:
+    """Shingles below this hash are counted: the prefix share of all hashes and 0.15 more."""
+    return np.uint64(int(min(1.0, 1 - need / OF + 0.15) * (2**64 - 1)))
+
+
+def profile(docs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
+    """Light rows (doc_id, n, key) of every document and rows (chunk, once, twice) for seen_twice(), in one pass.
+
+    once and twice: sorted places in the chunk, as differences, of region shingles met once and more often since the last
+    flush.
+    A set counts once a task.
+    """
 
     def run(batches):
-        shingles, sketch, mask = Shingler(n_words), np.zeros(1 << SKETCH_BITS, np.int64), np.uint64((1 << SKETCH_BITS) - 1)
-        names = ["doc_id", "n", "key", "sig", "slot", "count"]
+        shingles, mask, low, met, held = Shingler(n_words), np.uint64((1 << SEEN_BITS) - 1), region(need), set(), []
+        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+
+        def flush():
+            at, times = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            edges = np.arange(0, (1 << SEEN_BITS) + 1, CHUNK)
+            payloads = []
+            for some in (at[times == 1], at[times > 1]):
+                cuts = np.searchsorted(some, edges).tolist()
+                place = (some % CHUNK).astype(np.uint16)
+                payloads.append([np.diff(place[x:y], prepend=np.uint16(0)).astype("<u2").tobytes() for x, y in zip(cuts, cuts[1:])])
+            m = len(edges) - 1
+            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 3 + [pa.array(np.arange(m, dtype=np.int32)), *(pa.array(p, pa.binary()) for p in payloads)], schema=schema)
+
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                sets = [shingles(t) for t in texts[a:b]]
-                sketch += np.bincount((np.concatenate(sets) & mask).astype(np.int64), minlength=len(sketch))
-                m = b - a
-                key = pa.array([shingles.key(s) if len(s) else None for s in sets], pa.int64())
-                sig = pa.array([signature(s) if len(s) else None for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array([len(s) for s in sets], pa.int64()), key, sig, pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64())], names)
-        at = np.flatnonzero(sketch)
-        for lo in range(0, len(at), 1 << 14):
-            s = at[lo : lo + (1 << 14)]
-            m = len(s)
-            yield pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.array(s.astype(np.int32)), pa.array(sketch[s])], names)
+                m, sizes, keys = b - a, [], []
+                for t in texts[a:b]:
+                    s = shingles(t)
+                    sizes.append(len(s))
+                    keys.append(shingles.key(s) if len(s) else None)
+                    if len(s) and keys[-1] not in met:
+                        met.add(keys[-1])
+                        held.append((s[: np.searchsorted(s, low)] & mask).astype(np.uint32))
+                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+                if sum(map(len, held)) > FLUSH:
+                    yield flush()
+        if held:
+            yield flush()
+
+    return _rows(docs).mapInArrow(run, "doc_id long, n long, key long, chunk int, once binary, twice binary")
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, key long, sig binary, slot int, count long")
 
+def seen_twice(rows: DataFrame) -> np.ndarray:
+    """The bitmap, as bytes, of places that were met twice or more over all rows (chunk, once, twice)."""
 
-def prefixes(docs: DataFrame, counts: np.ndarray, n_words: int = WORDS, need: int = NEED) -> DataFrame:
-    """(token, key, n): the prefix shingles of every set under the order (sketch count, hash); a set once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(counts)  # 2**SKETCH_BITS numbers
+    def run(batches):
+        one, two, at = np.zeros(CHUNK, bool), np.zeros(CHUNK, bool), None
+        done = lambda: pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int32()), "bits": pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())})
+        for batch in batches:
+            for chunk, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
+                if chunk != at:
+                    if at is not None:
+                        yield done()
+                    one[:], two[:], at = False, False, chunk
+                x = np.cumsum(np.frombuffer(once, "<u2"), dtype=np.int64)
+                two[x[one[x]]] = True
+                one[x] = True
+                y = np.cumsum(np.frombuffer(twice, "<u2"), dtype=np.int64)
+                two[y] = True
+        if at is not None:
+            yield done()
+
+    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "chunk").sortWithinPartitions("chunk")
+    out = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
+    for r in dealt.mapInArrow(run, "chunk int, bits binary").toLocalIterator():
+        out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
+    return out
+
+
+def prefixes(docs: DataFrame, twice: np.ndarray, n_words: int = WORDS, need: int = NEED) -> DataFrame:
+    """Rows (token, key, n) of the prefix shingles that several sets may hold, and for each set with such a row one row
+    (key, n, sig, tokens); a set once a task."""
+    shared = docs.sparkSession.sparkContext.broadcast(twice)  # 2**SEEN_BITS bits
 
     def run(batches):
-        shingles, count, mask, met = Shingler(n_words), shared.value, np.uint64((1 << SKETCH_BITS) - 1), set()
+        shingles, seen, mask, low, met = Shingler(n_words), shared.value, np.uint64((1 << SEEN_BITS) - 1), region(need), set()
+        names = ["token", "key", "n", "sig", "tokens"]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):
-                tokens, keys, sizes = [], [], []
+                tokens, keys, sizes, sets = [], [], [], []
                 for t in texts[a:b]:
                     s = shingles(t)
-                    n, key = len(s), shingles.key(s) if len(s) else 0
-                    if not n or key in met:
+                    n = len(s)
+                    if not n:
+                        continue
+                    at = (s[: np.searchsorted(s, low)] & mask).astype(np.int64)
+                    many = np.ones(n, bool)
+                    many[: len(at)] = seen[at >> 3] >> (at & 7).astype(np.uint8) & 1
+                    p = n - (need * n + OF - 1) // OF + 1 - (n - int(many.sum()))  # single shingles come first
+                    if p <= 0:
+                        continue
+                    key = shingles.key(s)
+                    if key in met:
                         continue
                     met.add(key)
-                    p = n - (need * n + OF - 1) // OF + 1
-                    order = count[(s & mask).astype(np.int64)]
-                    if p < n:
-                        s = s[np.lexsort((s, order))[:p]]
-                    tokens.append(s)
+                    tokens.append(s[many][:p])  # sorted by hash, the order of the rest
                     keys.append(key)
                     sizes.append(n)
+                    sets.append(s)
                 if tokens:
                     times = [len(s) for s in tokens]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), times)), pa.array(np.repeat(np.array(sizes, np.int32), times))], ["token", "key", "n"])
+                    k, m, total = len(keys), np.array(sizes, np.int32), sum(times)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), times)), pa.array(np.repeat(m, times)), pa.nulls(total, pa.binary()), pa.nulls(total, pa.binary())], names)
+                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(keys, pa.int64()), pa.array(m), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names)
 
-    return _rows(docs).mapInArrow(run, "token long, key long, n int")
+    return _rows(docs).mapInArrow(run, "token long, key long, n int, sig binary, tokens binary")
 
 
 def shared_tokens(rows: DataFrame) -> DataFrame:
@@ -275,36 +342,8 @@ def shared_tokens(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "token long, key long, n int, first long, first_n int")
 
 
-def key_filter(pairs: DataFrame) -> bytes:
-    """The keys of pairs (a, b) as a bitmap of 2**FILTER_BITS bits, a fixed size; other keys may be marked too."""
-    keys = pairs.select(F.explode(F.array("a", "b")).alias("key"))
-    at = F.col("key").bitwiseAND((1 << FILTER_BITS) - 1)
-    slots = keys.select(F.floor(at / 32768).cast("int").alias("bucket"), (at % 32768).alias("bit"))
-    out = bytearray(1 << (FILTER_BITS - 3))
-    for r in slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bits")).toLocalIterator():
-        out[4096 * r.bucket : 4096 * (r.bucket + 1)] = r.bits
-    return bytes(out)
-
-
-def exact_links(docs: DataFrame, pairs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
-    """The pairs (a, b) whose sets link. Sets of the keys concerned are read from the texts, once a key."""
-    marked = docs.sparkSession.sparkContext.broadcast(key_filter(pairs))
-
-    def sets(batches):
-        shingles, wanted, met = Shingler(n_words), marked.value, set()
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                keys, raw = [], []
-                for t in texts[a:b]:
-                    s = shingles(t)
-                    key = shingles.key(s) if len(s) else 0
-                    at = key & ((1 << FILTER_BITS) - 1)
-                    if len(s) and wanted[at >> 3] >> (at & 7) & 1 and key not in met:
-                        met.add(key)
-                        keys.append(key)
-                        raw.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(raw, pa.binary())], ["key", "tokens"])
+def exact_links(sets: DataFrame, pairs: DataFrame, need: int = NEED) -> DataFrame:
+    """The pairs (a, b) whose sets (key, tokens) link. Only sets that a pair names are shuffled, by a bitmap of fixed size."""
 
     def check(batches):
         for batch in batches:
@@ -316,11 +355,14 @@ def exact_links(docs: DataFrame, pairs: DataFrame, n_words: int = WORDS, need: i
                 keep.append(OF * both >= need * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    each = _rows(docs).mapInArrow(sets, "key long, tokens binary").groupBy("key").agg(F.first("tokens").alias("tokens"))
-    each = durable(each, "join-sets")
-    with_a = pairs.join(each.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
-    with_b = with_a.join(each.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b")
-    return with_b.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    def named(c: str, as_: str) -> DataFrame:
+        bitmap = key_bitmap(pairs.select(c), F.col(c), FILTER_BITS)
+        some = mark_keys(sets, F.col("key"), bitmap, FILTER_BITS, "__named").filter("__named")
+        one = some.groupBy("key").agg(F.first("tokens").alias("tokens"))  # a set that several tasks wrote
+        return one.select(F.col("key").alias(c), F.col("tokens").alias(as_))
+
+    both = pairs.join(named("b", "y"), "b").join(named("a", "x"), "a")
+    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -344,18 +386,13 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _several(rows: DataFrame) -> DataFrame:
-    """Rows of tokens that join several components."""
-    many = rows.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("token", "m")
-    return rows.join(many, "token")
-
-
 def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, need: int = NEED, cell: int = CELL) -> DataFrame:
-    """Distinct pairs (a, b) of rows (token, key, n, comp) that may link, by one signature tree a token and cell."""
+    """Distinct pairs (a, b) of rows (lead, key, n, comp) that may link, by one signature tree a group (lead) and cell."""
+    many = rows.groupBy("lead").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo < hi").select("lead", "m")
     parts = F.ceil(F.col("m") / cell).cast("int")
     mine = F.pmod(F.xxhash64("key"), parts).cast("int")
-    dealt = _several(rows).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "comp", "n").join(sigs, "key")
+    dealt = rows.join(many, "lead").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    dealt = dealt.select("lead", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "key", "comp", "n").join(sigs, "key")
 
     def run(batches):
         group, at = [], None
@@ -367,55 +404,61 @@ def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, need: int = NE
             left, right = ([m for side, m in group if side == s] for s in at[1:])
             return traverse(tree(left), tree(right), best_only, need) if left and right else []
 
+        def batch_of(out):
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+
         for batch in batches:
             out: set[tuple] = set()
-            for token, i, j, side, key, comp, n, sig in zip(*(batch.column(c).to_pylist() for c in range(8))):
-                if (token, i, j) != at:
+            for lead, i, j, side, key, comp, n, sig in zip(*(batch.column(c).to_pylist() for c in range(8))):
+                if (lead, i, j) != at:
                     if len(group) > 1:
                         out.update(pairs())
-                    group, at = [], (token, i, j)
+                    group, at = [], (lead, i, j)
                 group.append((side, (key, comp, n, int.from_bytes(sig, "little"), 8 * len(sig))))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+            yield batch_of(out)
         if len(group) > 1:
-            out = pairs()
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in out], pa.int64()), pa.array([p[1] for p in out], pa.int64())], ["a", "b"])
+            yield batch_of(pairs())
 
-    sorted_rows = dealt.select("token", "i", "j", "mine", "key", "comp", "n", "sig").repartition(shuffle_partitions(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j", "key")
-    return sorted_rows.mapInArrow(run, "a long, b long").distinct()
+    columns = ["lead", "i", "j", "mine", "key", "comp", "n", "sig"]
+    cells = dealt.select(*columns).repartition(shuffle_partitions(rows.sparkSession), "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "key")
+    return cells.mapInArrow(run, "a long, b long").distinct()
 
 
 def linked_groups(docs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text, ...), for n_words and a similarity of need hundredths."""
-    spark: SparkSession = docs.sparkSession
-    first = durable(profile(docs, n_words), "join-profile")
-    light = first.filter(F.col("slot").isNull()).select("doc_id", "n", "key", "sig")
-    slots = first.filter(F.col("slot").isNotNull()).groupBy("slot").agg(F.sum("count").alias("count")).toPandas()
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    counts[slots["slot"].to_numpy()] = slots["count"].to_numpy()
-
-    sigs = durable(light.filter("n > 0").groupBy("key").agg(F.first("sig").alias("sig"), F.min("doc_id").alias("doc")), "join-sets-light")
-    held = durable(shared_tokens(prefixes(docs, counts, n_words, need)), "join-shared")
-    size = lambda a, b: OF * F.least(a, b) >= need * F.greatest(a, b)
-    star = held.filter((F.col("key") != F.col("first")) & size(F.col("n"), F.col("first_n"))).select(F.col("first").alias("a"), F.col("key").alias("b"), F.col("first_n").alias("na"), F.col("n").alias("nb")).distinct()
-    links = durable(exact_links(docs, durable(promising(star, sigs, need), "join-star"), n_words, need), "join-links")
-    for best_only in (True, True, True, False):
+    first = durable(profile(docs, n_words, need), "join-profile")
+    light = first.filter(F.col("chunk").isNull()).select("doc_id", "n", "key")
+    twice = seen_twice(first.filter(F.col("chunk").isNotNull()).select("chunk", "once", "twice"))
+    second = durable(prefixes(docs, twice, n_words, need), "join-prefixes")
+    sets = second.filter(F.col("token").isNull()).select("key", "tokens")
+    sigs = durable(second.filter(F.col("token").isNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "join-sigs")
+    held = durable(shared_tokens(second.filter(F.col("token").isNotNull()).select("token", "key", "n")), "join-shared")
+
+    size = OF * F.least("n", "first_n") >= need * F.greatest("n", "first_n")
+    met = held.filter((F.col("key") != F.col("first")) & size).groupBy("key", "first").agg(F.count(F.lit(1)).alias("c"))
+    star = met.groupBy(F.col("key").alias("b")).agg(F.max_by("first", F.struct("c", "first")).alias("a")).select("a", "b")
+    links = durable(exact_links(sets, durable(promising(star, sigs, need), "join-star"), need), "join-links")
+    groups = durable(held.select(F.col("first").alias("lead"), "key", "n").distinct(), "join-groups")
+    for best_only in (True, False):
         comp = components(links)
-        rows = held.select("token", "key", "n").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        rows = groups.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         pairs = durable(tree_pairs(rows, sigs.select("key", "sig"), best_only, need), "join-pairs")
         if pairs.isEmpty():
             break
-        links = durable(links.unionByName(exact_links(docs, pairs, n_words, need)).distinct(), "join-links")
+        links = durable(links.unionByName(exact_links(sets, pairs, need)).distinct(), "join-links")
     comp = components(links)
-    named = comp.join(sigs.select("key", "doc"), "key")
-    smallest = named.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    of_key = sigs.select("key", "doc").join(comp, "key", "left").join(smallest, "comp", "left").select("key", F.coalesce("component_id", "doc").alias("component_id"))
-    some = light.filter("n > 0").select("doc_id", "n", "key").join(of_key, "key").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    none = light.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return some.unionByName(none)
+    # groups: the smallest document of each linked component, then of each set
+    linked = light.filter("n > 0").join(comp, "key")
+    smallest = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    alone = light.filter("n > 0").join(comp.select("key"), "key", "left_anti")
+    copies = alone.groupBy("key").agg(F.min("doc_id").alias("component_id"))
+    out = linked.join(smallest, "comp").select("doc_id", "n", "component_id").unionByName(alone.join(copies, "key").select("doc_id", "n", "component_id"))
+    none = light.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    return out.unionByName(none).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def promising(pairs: DataFrame, sigs: DataFrame, need: int = NEED) -> DataFrame:
-    """The pairs (a, b, na, nb) whose signatures leave room for a link."""
+    """The pairs (a, b) whose signatures leave room for a link."""
 
     def run(batches):
         for batch in batches:
@@ -424,6 +467,6 @@ def promising(pairs: DataFrame, sigs: DataFrame, need: int = NEED) -> DataFrame:
             keep = [may_link(leaf(*p), leaf(*q), need) >= 0 for p, q in zip(zip(a, na, x), zip(b, nb, y))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    with_a = pairs.join(sigs.select(F.col("key").alias("a"), F.col("sig").alias("x")), "a")
-    with_b = with_a.join(sigs.select(F.col("key").alias("b"), F.col("sig").alias("y")), "b")
+    with_a = pairs.join(sigs.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x")), "a")
+    with_b = with_a.join(sigs.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y")), "b")
     return with_b.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
