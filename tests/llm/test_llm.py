@@ -320,8 +320,8 @@ def test_tree_traversal_loses_no_pair():
     assert {p for p in want if p[0] < 20 <= p[1]} <= set(signature_join.traverse(left, right, False))
 
 
-def test_cells_cover_a_hot_token(spark):
-    rows = spark.createDataFrame([(1, k, 50, k) for k in range(30)], "token long, key long, n int, comp long")
+def test_cells_cover_a_hot_group(spark):
+    rows = spark.createDataFrame([(1, k, 50, k) for k in range(30)], "lead long, key long, n int, comp long")
     sig = signature_join.signature(np.arange(50, dtype=np.uint64) * np.uint64(7919))
     sigs = spark.createDataFrame([(k, bytearray(sig)) for k in range(30)], "key long, sig binary")
     got = {(r.a, r.b) for r in signature_join.tree_pairs(rows, sigs, False, cell=7).collect()}
