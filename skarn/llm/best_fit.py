@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import durable
-from skarn.llm.word_ids import ChunkEncoder, slices
+from skarn.llm.word_ids import ROWS, SIZE, ChunkEncoder, slices
 
 OPEN = 512
 SHARD = 1 << 17
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
         coder, tail = ChunkEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, ROWS, SIZE):
                 doc, piece, start, size, crc = [], [], [], [], []
                 for d, x in zip(ids[a:b], coder.encode(texts[a:b])):
                     x += tail

@@ -29,8 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skarn.llm.common import shuffle_partitions
-from skarn.llm.simple8b import n_values, pack, unpack
-from skarn.llm.word_ids import ChunkEncoder, slices
+from skarn.llm.simple8b import n_values, pack_all, unpack_all
+from skarn.llm.word_ids import ROWS, SIZE, ChunkEncoder, slices
 
 BLOCK_IDS = 1 << 16
 
@@ -45,8 +45,9 @@ def packed_ids(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[i
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             known = ids.is_valid().to_numpy(zero_copy_only=False)
             part = np.where(known, np.searchsorted(cuts, ids.fill_null(0).to_numpy(), side="right"), 0).astype(np.int32)
-            for a, b in slices(texts):
-                rows = [pack(np.frombuffer(x + tail, "<u4")) for x in coder.encode(texts[a:b])]
+            for a, b in slices(texts, ROWS, SIZE):
+                coded = [x + tail for x in coder.encode(texts[a:b])]
+                rows = pack_all(np.frombuffer(b"".join(coded), "<u4"), np.array([len(x) // 4 for x in coded]))
                 yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), ids.slice(a, b - a), pa.array(rows, pa.binary())], ["part", "doc_id", "payload"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
@@ -105,8 +106,8 @@ def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
     def run(batches):
         for batch in batches:
             for part, first, docs, offsets, payload in zip(*(batch.column(i).to_pylist() for i in range(5))):
-                ids = [unpack(payload[a:b]).astype("<u4") for a, b in zip(offsets, offsets[1:])]
-                n = np.array([len(x) for x in ids], np.int64)
+                flat, n = unpack_all([payload[a:b] for a, b in zip(offsets, offsets[1:])])
+                ids = np.split(flat.astype("<u4"), np.cumsum(n)[:-1])
                 cols = [pa.array(docs, pa.int64()), pa.array(base[part] + first + np.cumsum(n) - n), pa.array(n), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())]
                 if with_ids:
                     cols.append(pa.array([x.astype(np.int64).tolist() for x in ids], pa.list_(pa.int64())))
