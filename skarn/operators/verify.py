@@ -29,7 +29,7 @@ def support(claim: Column, evidence: Column) -> Column:
     ct, et = F.array_distinct(tokenize(c)), F.array_distinct(tokenize(e))
     share = lambda a, b: F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1))
     overlap = share(ct, et)
-    words = lambda x: F.array_distinct(all_matches(F.lower(x), r"\b[a-z']+\b"))
+    words = lambda x: F.array_distinct(all_matches(F.lower(x), r"(?U)\b[a-z']+\b"))
     neg = F.array(*[F.lit(w) for w in NEGATIONS])
     stop = F.array(*[F.lit(w) for w in SUPPORT_STOP])
     cw, ew = words(c), words(e)

@@ -192,7 +192,8 @@ def table_lookups(spark, sf_dir):
 
 
 _TURNS = "t AS (SELECT conv_id, turn, trim(regexp_replace(text, {c}, '', 'g')) AS c, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS raw, trim(regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), {c}, '', 'g')) AS e FROM conversations QUALIFY raw IS NOT NULL)".format(c=quoted("(?i)" + V.CITATION))
-_W = lambda c: f"list_distinct(regexp_extract_all(lower({c}), '\\b[a-z'']+\\b'))"
+#: Words of a-z and apostrophes between borders of Unicode words, which RE2 has no border for.
+_W = lambda c: rf"list_distinct(list_filter(regexp_extract_all(lower({c}), '[\p{{L}}\p{{M}}\p{{N}}_]+(?:''+[\p{{L}}\p{{M}}\p{{N}}_]+)*'), lambda w: regexp_full_match(w, '[a-z'']+')))"
 _MINUS = lambda a, ws: f"list_filter({a}, lambda x: NOT list_contains({sql_list(ws)}, x))"
 _STEM = lambda a: f"list_distinct(list_transform(list_filter({a}, lambda x: length(x) >= 4), lambda x: left(x, 4)))"
 _SHARE = lambda a, b: f"(len(list_intersect({a}, {b})) / greatest(len({a}), 1))"
