@@ -48,7 +48,7 @@ PER_WORD = 5
 class Bags:
     """Whole texts -> feature counts. Word features are memoised in a table that starts anew when it is full."""
 
-    def __init__(self, buckets: int = BUCKETS, entries: int = 400_000):
+    def __init__(self, buckets: int = BUCKETS, entries: int = 200_000):
         self.buckets, self.entries, self.known = buckets, entries, {}
 
     def _features(self, word: bytes) -> bytes:

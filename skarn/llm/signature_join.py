@@ -20,8 +20,9 @@ How pairs are found, without a cap and without listing the pairs of a group:
 3. Shingles with the same smallest set form one group of all their sets, each once; two sets that share a shingle share
    such a group. A group of several components gets a signature tree over its members: nodes hold OR-combined shingle
    bitmaps and size ranges. A dual traversal drops node pairs of one component, of sizes that can't link, and those whose
-   largest possible overlap is too small. First the best pair of two components is checked, then every pair left. A group with more members than CELL is dealt out in cells, pairs of member chunks, so no task gets a
-   whole group.
+   largest possible overlap is too small. Each component's most promising pair is checked, round by round while that
+   links something (a growing forest: as many pairs as members); then every pair left. A group with more members than
+   CELL is dealt out in cells, pairs of member chunks, so no task gets a whole group.
 4. Checked pairs get their exact sets, which were written once for the sets that step 1 did not rule out.
 """
 
@@ -44,6 +45,7 @@ FILTER_BITS = 26
 MIN_BITS, MAX_BITS = 1 << 9, 1 << 16
 CELL = 4000
 FANOUT = 6
+BEST_ROUNDS = 4  # then every pair left, however many rounds there were
 
 
 class Shingler:
@@ -82,9 +84,9 @@ class Shingler:
 
 
 def signature(tokens: np.ndarray) -> bytes:
-    """Bitmap of 6 to 12 bits a shingle (fewer for very long texts), little-endian; bit (hash mod bits)."""
+    """Bitmap of 12 to 24 bits a shingle (fewer for very long texts), little-endian; bit (hash mod bits)."""
     bits = MIN_BITS
-    while bits < 6 * len(tokens) and bits < MAX_BITS:
+    while bits < 12 * len(tokens) and bits < MAX_BITS:
         bits *= 2
     flags = np.zeros(bits, np.uint8)
     flags[(tokens & np.uint64(bits - 1)).astype(np.int64)] = 1
@@ -155,9 +157,9 @@ def may_link(a: Node, b: Node, need: int = NEED) -> int:
 
 
 def traverse(first: Node, second: Node, best_only: bool, need: int = NEED) -> list[tuple]:
-    """Pairs of members that may link, of different components; best_only: for two components only the most promising."""
+    """Pairs of members that may link, of different components; best_only: for each component only the most promising."""
     found: list[tuple] = []
-    best: dict[tuple, tuple] = {}
+    best: dict[int, tuple] = {}
     stack = [(first, second)]
     while stack:
         a, b = stack.pop()
@@ -173,15 +175,15 @@ def traverse(first: Node, second: Node, best_only: bool, need: int = NEED) -> li
             if not best_only:
                 found.append(pair)
                 continue
-            comps = (min(a.comp, b.comp), max(a.comp, b.comp))
             rank = (most / (a.high + b.high), pair)
-            if comps not in best or rank > best[comps]:
-                best[comps] = rank
+            for comp in (a.comp, b.comp):
+                if comp not in best or rank > best[comp]:
+                    best[comp] = rank
         elif b.member is not None or (a.member is None and len(a.parts) and a.high >= b.high):
             stack += [(p, b) for p in a.parts]
         else:
             stack += [(a, q) for q in b.parts]
-    return found + [pair for _, pair in best.values()]
+    return found + list({pair for _, pair in best.values()})
 
 
 def _rows(docs: DataFrame) -> DataFrame:
@@ -259,7 +261,7 @@ def seen_twice(rows: DataFrame) -> np.ndarray:
 
     dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "chunk").sortWithinPartitions("chunk")
     out = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
-    for r in dealt.mapInArrow(run, "chunk int, bits binary").toLocalIterator():
+    for r in dealt.mapInArrow(run, "chunk int, bits binary").collect():  # 2**SEEN_BITS bits in all
         out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
     return out
 
@@ -439,13 +441,19 @@ def linked_groups(docs: DataFrame, n_words: int = WORDS, need: int = NEED) -> Da
     star = met.groupBy(F.col("key").alias("b")).agg(F.max_by("first", F.struct("c", "first")).alias("a")).select("a", "b")
     links = durable(exact_links(sets, durable(promising(star, sigs, need), "join-star"), need), "join-links")
     groups = durable(held.select(F.col("first").alias("lead"), "key", "n").distinct(), "join-groups")
-    for best_only in (True, False):
+    rounds, best_only = 0, True
+    while True:
         comp = components(links)
         rows = groups.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
         pairs = durable(tree_pairs(rows, sigs.select("key", "sig"), best_only, need), "join-pairs")
         if pairs.isEmpty():
             break
-        links = durable(links.unionByName(exact_links(sets, pairs, need)).distinct(), "join-links")
+        new = durable(exact_links(sets, pairs, need), "join-new-links")
+        links = durable(links.unionByName(new).distinct(), "join-links")
+        if not best_only:
+            break
+        rounds += 1
+        best_only = rounds < BEST_ROUNDS and not new.isEmpty()
     comp = components(links)
     # groups: the smallest document of each linked component, then of each set
     linked = light.filter("n > 0").join(comp, "key")
