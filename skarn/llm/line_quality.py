@@ -6,6 +6,10 @@ host the distinct documents that hold a line are counted. A document here is a d
 so that a copied page is no boilerplate. A line above both limits of its host is removed; a document whose rest is
 below REST_WORDS words or a REST_SHARE share of its words is depleted and rejected.
 
+The second limit grows with the host, so on a large host the verdict of a line depends on the host's size. With share 0
+and whole_documents the limit is absolute: a line that more than min_docs documents of the host hold is removed, where a
+document is a row's (doc_id, text), so that copies under other ids count and repeated rows do not.
+
 Null text is an empty text (no words, so base_failed). A null host is a host of its own. Every input row gives one
 output row, repeated rows equal ones. Extra columns are ignored. An empty table gives no rows.
 
@@ -84,18 +88,24 @@ def _replaced(text: Column) -> Column:
     return text
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = HOST_SHARE) -> DataFrame:
-    """(host, h) of lines that more than min_docs distinct texts and more than a share of the host's texts hold."""
-    lines = rows.select("host", "text_hash", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
-    held = lines.groupBy("host", "h").agg(F.countDistinct("text_hash").alias("n")).filter(F.col("n") > min_docs)
-    hosts = rows.groupBy("host").agg(F.countDistinct("text_hash").alias("all"))
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = HOST_SHARE, whole_documents: bool = False) -> DataFrame:
+    """(host, h) of lines that more than min_docs distinct texts and more than a share of the host's texts hold.
+
+    With whole_documents, documents count in place of texts; a share of 0 sets no second limit."""
+    unit = F.xxhash64("doc_id", "text_hash") if whole_documents else F.col("text_hash")
+    rows = rows.select("host", unit.alias("unit"), "lines")
+    lines = rows.select("host", "unit", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    held = lines.groupBy("host", "h").agg(F.countDistinct("unit").alias("n")).filter(F.col("n") > min_docs)
+    if not share:
+        return held.select("host", "h")
+    hosts = rows.groupBy("host").agg(F.countDistinct("unit").alias("all"))
     return held.join(hosts, "host").filter(F.col("n") > F.col("all") * share).select("host", "h")
 
 
-def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = HOST_SHARE) -> DataFrame:
+def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = HOST_SHARE, whole_documents: bool = False) -> DataFrame:
     """The contract's columns plus n_removed_words long for docs (doc_id, text, source, ...)."""
     rows = durable(text_figures(docs), "line-figures")
-    often = frequent_lines(rows, min_docs, share)
+    often = frequent_lines(rows, min_docs, share, whole_documents)
     once = rows.select("doc_id", "text_hash", "host", "lines").dropDuplicates(["doc_id", "text_hash", "host"])
     each = once.select("doc_id", "text_hash", "host", F.explode("lines").alias("x")).select("doc_id", "text_hash", "host", F.col("x.h").alias("h"), F.col("x.n").alias("n"))
     removed = each.join(often, ["host", "h"]).groupBy("doc_id", "text_hash", "host").agg(F.sum("n").alias("n_removed_words"))

@@ -103,3 +103,12 @@ LINES = rf"""
            n_removed_words
     FROM v
 """
+
+_SHARED_LIMIT = """
+        SELECT host, p FROM (SELECT host, p, count(DISTINCT t) AS n FROM l GROUP BY host, p)
+        JOIN (SELECT host, count(DISTINCT t) AS m FROM d GROUP BY host) USING (host) WHERE n > 20 AND n > 0.1 * m
+"""
+#: LINES with one limit that does not grow with the host, over documents.
+LINES_ABSOLUTE = LINES.replace(_SHARED_LIMIT, """
+        SELECT host, p FROM l GROUP BY host, p HAVING count(DISTINCT doc_id) > 20
+""")

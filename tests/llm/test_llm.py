@@ -5,6 +5,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -171,6 +172,30 @@ def test_line_quality(docs, rows, empty):
     assert line_quality.line_quality(empty).count() == 0
 
 
+def test_line_limit_does_not_grow_with_the_host(spark):
+    body = lambda i, n: " ".join(f"w{i}x{k}" for k in range(n))
+    common, copied = "a line that many pages of the host hold", "copied page " + body("c", 20)
+    texts = [f"{common}\n" * 3 + body(i, 5) for i in range(25)] + [copied] * 21 + [body(i, 30) for i in range(25, 400)]
+    rows = [(i, t, "s") for i, t in enumerate(texts)] + [(50 + i % 2, texts[50 + i % 2], "s") for i in range(60)]  # repeated rows are no documents
+    docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
+    got = {r.doc_id: r for r in line_quality.line_quality(docs, share=0, whole_documents=True).collect()}
+    assert [i for i in range(400) if got[i].n_removed_words] == list(range(46))  # 25 texts of 401 are below a tenth of the host
+    assert all(not got[i].kept for i in range(25, 46)) and got[50].kept
+    assert sum(r.n_removed_words for r in line_quality.line_quality(docs).collect()) == 0
+
+
+def test_absolute_line_quality_equals_sql(spark):
+    from skarn.llm import entry, sql
+
+    assert sql.LINES_ABSOLUTE != sql.LINES
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
+    got = entry.QUERIES["op5_line_quality_absolute"](spark, "/root/testdata/sf0.1")
+    want = c.sql(sql.LINES_ABSOLUTE).fetchall()
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert any(r[-1] for r in want)
+
+
 # 6: quality classifier
 
 
