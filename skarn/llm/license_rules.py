@@ -88,8 +88,7 @@ def _identifier(plain: Column) -> Column:
 def license_sentences(text: Column) -> Column:
     """array<struct<at, id>>: the sentence's number from 0 and its identifier, null where it is unknown."""
     sentences = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda s: F.length(s) > 0)
-    known = "licen|permission|copyright|redistribut|reserved|endorse|warranty"  # words that every table sentence has
-    return F.transform(sentences, lambda s, i: F.struct(i.alias("at"), F.when(F.lower(s).rlike(known), let(normalised(s), _identifier)).alias("id")))
+    return F.transform(sentences, lambda s, i: F.struct(i.alias("at"), let(normalised(s), _identifier).alias("id")))
 
 
 def recognise_licenses(docs: DataFrame) -> DataFrame:

@@ -104,6 +104,14 @@ def test_license_rules_are_ordered(spark):
     assert [r.licenses for r in license_rules.recognise_licenses(df).orderBy("doc_id").collect()] == ["BSD-3-Clause", "", "", "LicenseRef-Reserved,MIT"]
 
 
+def test_every_licence_name_under_every_verb(spark):
+    names = {"CC BY 4.0": "CC-BY-4.0", "CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-NC 4.0": "CC-BY-NC-4.0", "CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0", "CC BY-ND 4.0": "CC-BY-ND-4.0"}
+    verbs = ("released", "available", "distributed", "published", "provided", "licensed")
+    cases = [(f"This work is {v} under {the}{n}.", i) for v in verbs for the in ("", "the terms of ") for n, i in names.items()]
+    df = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(cases)], "doc_id int, text string")
+    assert [r.licenses for r in license_rules.recognise_licenses(df).orderBy("doc_id").collect()] == [i for _, i in cases]
+
+
 # 4: secrets
 
 PATTERNS = [
