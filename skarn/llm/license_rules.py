@@ -1,9 +1,11 @@
 """Operator 3 [native]: licence recognition by sentence rules.
 
-A text is cut into sentences at line feeds and after runs of . ! ? that white space follows. A sentence is normalised
-(lower case, every run of other characters than a-z and 0-9 becomes one space, trimmed, leading phrases such as "this
-work is" dropped) and looked up in a fixed table of licence sentences. The identifiers, in order, with unknown
-sentences as breaks, are matched against licence rules: a rule is an ordered run of identifiers.
+A text is cut into pieces at line feeds and after runs of . ! ? that white space follows. A piece is normalised (lower
+case, every run of other characters than a-z and 0-9 becomes one space, trimmed). A sentence of the fixed tables is found
+where it fills whole pieces: one, or several when the text is wrapped or has a stop inside ("v. 2.0"); a list number may
+stand before it, and a leading phrase such as "this work is". The identifiers, in order, with words of other sentences as
+breaks, are matched against licence rules: a rule is an ordered run of identifiers. SENTENCES and RULES are those of the
+SQL, which looks single pieces up; TEXTS and MORE_RULES add the real sentences of licence texts, headers and notices.
 
 Null or empty text, and text without a licence sentence, gives zero counts and empty strings. A licence found twice is
 named once, at its first place. Every input row gives one output row; repeated rows give equal rows; extra columns are
@@ -73,38 +75,104 @@ LEAD = r"^((this|the) (work|software|file|program|project|library|code|text|docu
 UNDER = r"^(released|available|distributed|published|provided|licensed) under (the terms of )?"
 
 
+#: Real texts: sentences of the standard licence texts, headers and notices in normal form, besides SENTENCES.
+_GNU = "it and or modify it under the terms of the gnu {} as published by the free software foundation {}"
+_GENERAL = {"gpl": "general public license", "lgpl": "lesser general public license", "agpl": "affero general public license"}
+_CC = {"cc-by4": "attribution", "cc-by-sa4": "attribution sharealike", "cc-by-nc4": "attribution noncommercial", "cc-by-nc-sa4": "attribution noncommercial sharealike", "cc-by-nd4": "attribution noderivatives"}
+TEXTS = {
+    "licensed under the mit license": "mit-name",
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit-grant",
+    "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "mit-as-is",
+    "licensed under the apache license version 2 0 the license": "apache2-name",
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license": "apache2-name",
+    "licensed under the apache license 2 0": "apache2-name",
+    "licensed under the bsd 3 clause license": "bsd3-name",
+    "licensed under the bsd 2 clause license": "bsd2-name",
+    "released under the bsd 2 clause license": "bsd2-name",
+    "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed": "bsd-as-is",
+    "subject to the terms of the mozilla public license v 2 0": "mpl2-name",
+    **{f"licensed under the gnu {_GENERAL[k]} {v}": f"{k}{n}-name" for k, n in (("gpl", 3), ("gpl", 2), ("lgpl", 3), ("agpl", 3)) for v in (f"v{n}", f"v{n} 0", f"version {n} 0")},
+    **{f"{lead}you can redistribute {_GNU.format(_GENERAL[k], v)}": f"{k}{n.replace('.', '')}-{kind}"
+       for k, n in (("gpl", "3"), ("gpl", "2"), ("lgpl", "3"), ("lgpl", "2.1"), ("agpl", "3"))
+       for lead in ("free software ", "")
+       for kind, v in (("later", f"either version {n.replace('.', ' ')} of the license or at your option any later version"), ("name", f"version {n.replace('.', ' ')}"), ("name", f"version {n.replace('.', ' ')} of the license"))},
+    **{f"licensed under {a} creative commons {name} 4 0 international{end}": i for i, name in _CC.items() for a in ("a", "the") for end in (" license", "")},
+}
+#: Rules besides RULES, after them.
+MORE_RULES = [
+    ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-as-is"]),
+    ("BSD-2-Clause", ["bsd2-name"]),
+    ("LGPL-3.0-or-later", ["lgpl3-later"]),
+    ("LGPL-2.1-or-later", ["lgpl21-later"]),
+    ("LGPL-2.1-only", ["lgpl21-name"]),
+    ("AGPL-3.0-or-later", ["agpl3-later"]),
+]
+#: The lead of a sentence: LEAD, or the name of a program before "is free software".
+ANY_LEAD = f"(?:{LEAD.removeprefix('^')}|(?:[a-z0-9]+ ){{1,6}}is (?=free software ))"
+NUMBER = "(?:[0-9]{1,2}|[a-z]) "
+#: Ends of sentences before a colon: on one line more words may follow, since no piece ends there.
+COLON = ("following conditions", "conditions are met", "copy of the license at")
+
+
 def normalised(sentence: Column) -> Column:
-    """Normal form of a sentence; "released/available/... under X" becomes "licensed under X" unless the table has it."""
-    plain = F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
-    return F.regexp_replace(plain, LEAD, "")
+    """Normal form of a sentence, still with its leading phrase."""
+    return F.trim(F.regexp_replace(F.lower(sentence), "[^a-z0-9]+", " "))
+
+
+def _table() -> dict[str, str]:
+    return TEXTS | SENTENCES
+
+
+def _pattern() -> str:
+    """A known sentence between line ends of the joined text, over as many lines as it takes, longest first."""
+    verb = UNDER.removeprefix("^")
+    tails = sorted({s.removeprefix("licensed under ") for s in _table() if s.startswith("licensed under ")}, key=len, reverse=True)
+    whole = sorted((s for s in _table() if not s.startswith("licensed under ")), key=len, reverse=True)
+    wrapped = lambda s: s.replace(" ", "[ \n]+")
+    ends = "|".join(wrapped(s) + ("(?=[ \n])" if s.endswith(COLON) else "(?=\n)") for s in whole)
+    body = f"(?:{ends}|{wrapped(verb)}(?:{wrapped('|'.join(tails))})(?=\n))"
+    return f"((?:\n|\\G )(?:{wrapped(NUMBER)})?)((?:{wrapped(ANY_LEAD)})?{body})"
 
 
 def _identifier(plain: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in SENTENCES.items() for x in pair])
-    other = F.regexp_replace(plain, UNDER, "licensed under ")
-    return F.coalesce(F.try_element_at(table, plain), F.try_element_at(table, other))
+    """The identifier of a matched sentence: as it is, without its lead, or with "released/... under" as "licensed under"."""
+    table = F.create_map(*[F.lit(x) for pair in _table().items() for x in pair])
+    bare = F.regexp_replace(plain, "^" + ANY_LEAD, "")
+    forms = [form for s in (plain, bare) for form in (s, F.regexp_replace(s, UNDER, "licensed under "))]
+    return F.coalesce(*[F.try_element_at(table, x) for x in forms])
 
 
 def license_sentences(text: Column) -> Column:
-    """array<struct<at, id>>: the sentence's number from 0 and its identifier, null where it is unknown."""
-    sentences = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda s: F.length(s) > 0)
-    return F.transform(sentences, lambda s, i: F.struct(i.alias("at"), let(normalised(s), _identifier).alias("id")))
+    """array<struct<at, joins, id>>: the known sentences, the number from 0 of their first piece as SPLIT cuts them, and
+    whether no words but a list number stand between the sentence and the known one before it."""
+    pieces = F.filter(F.split(F.coalesce(text, F.lit("")), SPLIT), lambda s: F.length(s) > 0)
+    joined = F.concat(F.lit("\n"), F.array_join(F.transform(pieces, normalised), "\n"), F.lit("\n"))
+    return let(joined, _known)
+
+
+def _known(joined: Column) -> Column:
+    pattern = F.lit(_pattern())
+    lines = lambda s: F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))
+    before = F.zip_with(F.split(joined, pattern), F.regexp_extract_all(joined, pattern, F.lit(1)), lambda g, n: F.struct(g.alias("gap"), n.alias("number")))
+    parts = F.zip_with(before, F.regexp_extract_all(joined, pattern, F.lit(2)), lambda b, x: F.struct(b["gap"].alias("gap"), b["number"].alias("number"), x.alias("found")))
+
+    def step(a, x):
+        at = a["next"] + lines(x["gap"]) + lines(x["number"]) - 1
+        hit = F.struct(at.alias("at"), (~x["gap"].rlike("[a-z0-9]")).alias("joins"), let(F.regexp_replace(x["found"], "[ \n]+", " "), _identifier).alias("id"))
+        return F.struct((at + lines(x["found"]) + 1).alias("next"), F.concat(a["hits"], F.array(hit)).alias("hits"))
+
+    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,joins:boolean,id:string>>").alias("hits"))
+    return F.aggregate(F.filter(parts, lambda x: x["found"].isNotNull()), start, step, lambda a: a["hits"])
 
 
 def recognise_licenses(docs: DataFrame) -> DataFrame:
     """docs plus n_license_sentences long, license_ids string ("at:id" joined by commas), licenses string."""
     with_ids = docs.withColumn("__all", license_sentences(F.col("text")))
-    hits = F.filter("__all", lambda s: s["id"].isNotNull())
-    with_ids = with_ids.withColumn("__hits", F.when(F.exists("__all", lambda s: s["id"].isNotNull()), hits))
-    # unknown sentences break runs: consecutive hits whose numbers are not consecutive get a bar between them
-    line = F.aggregate(
-        "__hits",
-        F.struct(F.lit(" ").alias("line"), F.lit(-1).alias("last")),
-        lambda a, h: F.struct(F.concat(a["line"], F.when(h["at"] == a["last"] + 1, "").otherwise("| "), h["id"], F.lit(" ")).alias("line"), h["at"].alias("last")),
-        lambda a: a["line"],
-    )
+    with_ids = with_ids.withColumn("__hits", F.when(F.size("__all") > 0, F.col("__all")))
+    # unknown sentences break runs: a bar stands between hits that words part
+    line = F.aggregate("__hits", F.lit(" "), lambda a, h: F.concat(a, F.when(h["joins"], "").otherwise("| "), h["id"], F.lit(" ")))
     with_ids = with_ids.withColumn("__line", line)
-    found = F.array(*[F.struct(F.instr("__line", f" {' '.join(ids)} ").alias("p"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, ids) in enumerate(RULES)])
+    found = F.array(*[F.struct(F.instr("__line", f" {' '.join(ids)} ").alias("p"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, ids) in enumerate(RULES + MORE_RULES)])
     named = F.array_distinct(F.transform(F.sort_array(F.filter(found, lambda r: r["p"] > 0)), lambda r: r["name"]))
     return with_ids.select(
         *docs.columns,

@@ -112,6 +112,86 @@ def test_every_licence_name_under_every_verb(spark):
     assert [r.licenses for r in license_rules.recognise_licenses(df).orderBy("doc_id").collect()] == [i for _, i in cases]
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+ENDORSE = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER BE LIABLE."""
+GNU = """{} is free software{} you can redistribute it and/or modify
+it under the terms of the GNU {} as published by
+the Free Software Foundation{} {}.
+"""
+LATER = "either version {} of the License, or\n(at your option) any later version"
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+CC = "This work is licensed under a Creative Commons {} 4.0 International License. To view a copy, visit"
+
+
+def test_real_licence_texts(spark):
+    general = {"": "General Public License", "L": "Lesser General Public License", "A": "Affero General Public License"}
+    gnu = lambda who, k, n, part=":", later=True: GNU.format(who, part, general[k], ";" if part == ";" else ",", (LATER if later else "version {}").format(n))
+    cases = [
+        ("The software is provided as is without warranty of any kind, express or implied.", "", "0:mit-as-is"), (MIT, "MIT"), ("".join(f" * {x}\n" for x in MIT.split("\n")), "MIT"), (MIT.replace("\n", " "), "MIT"),
+        (APACHE, "Apache-2.0"), (APACHE.replace("\n", "\r\n# "), "Apache-2.0"), ("This project is licensed under the MIT License.", "MIT"), ("Released under the MIT License.", "MIT"),
+        (gnu("This program", "", 3), "GPL-3.0-or-later"), (gnu("This program", "", 2, ";"), "GPL-2.0-or-later"), (gnu("Some Tool", "", 3), "GPL-3.0-or-later"), (gnu("This program", "", 3, later=False), "GPL-3.0-only"),
+        (gnu("This program", "", 2, ";", later=False), "GPL-2.0-only"), (gnu("This library", "L", 3), "LGPL-3.0-or-later"), (gnu("This library", "L", "2.1", ";"), "LGPL-2.1-or-later"), (gnu("This library", "L", 3, later=False), "LGPL-3.0-only"),
+        (gnu("This program", "A", 3), "AGPL-3.0-or-later"), (gnu("This program", "A", 3, later=False), "AGPL-3.0-only"), ("This file is licensed under the\nGNU General Public License v3.0", "GPL-3.0-only"),
+        (BSD + BSD_AS_IS, "BSD-2-Clause"), (BSD + ENDORSE + BSD_AS_IS, "BSD-3-Clause"), (BSD.replace("1.", "Other words.\n1.") + BSD_AS_IS, ""), ("Released under the BSD 3-Clause License", "BSD-3-Clause"), (MPL, "MPL-2.0"),
+        ("Copyright (c) 2020 A. Person. All rights reserved.\n\n" + BSD + BSD_AS_IS, "LicenseRef-Reserved,BSD-2-Clause"), (CC.format("Attribution"), "CC-BY-4.0"), (CC.format("Attribution-ShareAlike"), "CC-BY-SA-4.0"),
+        (CC.format("Attribution-NonCommercial"), "CC-BY-NC-4.0"), (CC.format("Attribution-NonCommercial-ShareAlike"), "CC-BY-NC-SA-4.0"), (CC.format("Attribution-NoDerivatives"), "CC-BY-ND-4.0"), ("\n" * 20_000 + MIT + "\nmore" * 20_000, "MIT"),
+        ("This software is free of bugs. It is licensed under a licence.", ""), ("Title\n\n  \nBy A. Person.\nReleased under the MIT License.\nMore", "MIT", "4:mit-name"),
+    ]
+    df = spark.createDataFrame([(k, c[0]) for k, c in enumerate(cases)], "doc_id int, text string")
+    got = license_rules.recognise_licenses(df).orderBy("doc_id").collect()
+    assert [r.licenses for r in got] == [c[1] for c in cases]
+    assert all(r.license_ids == c[2] for r, c in zip(got, cases) if len(c) > 2)
+    assert {name for name, _ in license_rules.RULES + license_rules.MORE_RULES} - {"LGPL-2.1-only"} <= {x for r in got for x in r.licenses.split(",")}
+
+
+def test_licenses_equal_sql_on_the_given_tables(spark):
+    from skarn.llm import entry, sql
+
+    c = duckdb.connect()
+    c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
+    got = entry.QUERIES["op3_license_rules"](spark, "/root/testdata/sf0.1").collect()
+    assert sorted(tuple(r) for r in got) == sorted(c.sql(sql.LICENSES).fetchall())
+
+
 # 4: secrets
 
 PATTERNS = [
