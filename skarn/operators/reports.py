@@ -159,6 +159,37 @@ def semantic_entailment(claims: DataFrame, premises: DataFrame) -> DataFrame:
     return best.groupBy("key").agg(F.avg("m").alias("score")).withColumn("label", entailment_label(F.col("score"), 0.42, 0.25))
 
 
+def mutual_entailment(vectors: DataFrame, cell: int = 2048) -> DataFrame:
+    """G36/F2 over whole keys: vectors (key, sentence, vector), unit vectors: (key, score, label), where every sentence is
+    a claim and all other sentences of its key are its premises; one without premises scores 0.
+
+    A key's sentences are dealt into cells of about `cell` rows and each pair of cells is one matrix product, so that a hot
+    key is many tasks. Only keys above one cell are broadcast: at most rows / cell of them.
+    """
+    v = vectors.filter(F.col("key").isNotNull())
+    large = v.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / cell).cast("int").alias("cells")).filter("cells > 1")
+    v = v.join(F.broadcast(large), "key", "left").withColumn("cells", F.coalesce("cells", F.lit(1)))
+    v = v.withColumn("mine", F.pmod(F.xxhash64("sentence"), "cells").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    claims = v.select("key", F.col("mine").alias("i"), F.col("other").alias("j"), "sentence", "vector", F.lit(True).alias("claim"))
+    premises = v.select("key", F.col("other").alias("i"), F.col("mine").alias("j"), "sentence", "vector", F.lit(False).alias("claim"))
+
+    def best(both):
+        import numpy as np
+
+        a, b = both[both["claim"]], both[~both["claim"]]
+        m = np.full(len(a), -np.inf)
+        if len(a) and len(b):
+            s = np.stack(a["vector"].to_numpy()) @ np.stack(b["vector"].to_numpy()).T
+            s[a["sentence"].to_numpy()[:, None] == b["sentence"].to_numpy()[None, :]] = -np.inf
+            m = s.max(axis=1)
+        return a[["key", "sentence"]].assign(m=m)
+
+    schema = f"key {v.schema['key'].dataType.simpleString()}, sentence {v.schema['sentence'].dataType.simpleString()}, m double"
+    each = claims.unionByName(premises).groupBy("key", "i", "j").applyInPandas(best, schema).groupBy("key", "sentence").agg(F.max("m").alias("m"))
+    found = F.when(F.col("m") > float("-inf"), F.col("m")).otherwise(0.0)
+    return each.groupBy("key").agg(F.avg(found).alias("score")).withColumn("label", entailment_label(F.col("score"), 0.42, 0.25))
+
+
 def faithfulness(claims: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
     """Claims (key, text), chunks (key, place, text): (key, n_atoms, n_entailed, n_contradicted, strict, soft, label).
 

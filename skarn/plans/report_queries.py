@@ -269,6 +269,20 @@ def semantic_entailment(spark, sf_dir):
     return _rounded(P.semantic_entailment(u.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "sentence"), u.select("key", "vector")), "score")
 
 
+@query(
+    "semantic_entailment_all",
+    """WITH v AS (SELECT vec_id, label AS key, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), u AS (SELECT vec_id, key, list_transform(e, lambda x: x / sqrt(list_dot_product(e, e))) AS u FROM v WHERE key IS NOT NULL),
+    b AS (SELECT a.key, a.vec_id, coalesce(max(list_dot_product(a.u, p.u)), 0) AS m FROM u a LEFT JOIN u p ON a.key = p.key AND a.vec_id <> p.vec_id GROUP BY 1, 2), s AS (SELECT key, avg(m) AS score FROM b GROUP BY key)
+    SELECT key, round(score, 6) AS score, CASE WHEN score >= 0.42 THEN 'ENTAILMENT' WHEN score >= 0.25 THEN 'NEUTRAL' ELSE 'CONTRADICTION' END AS label FROM s""",
+)
+def semantic_entailment_all(spark, sf_dir):
+    """Every sentence against all others of its key; semantic_entailment takes every fiftieth, itself among its premises."""
+    v = table(spark, sf_dir, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, y: s + y.cast("double") * y))
+    u = v.withColumn("__norm", norm).select(F.col("label").alias("key"), F.col("vec_id").alias("sentence"), F.transform("embedding", lambda x: x / F.col("__norm")).alias("vector"))
+    return _rounded(P.mutual_entailment(u), "score")
+
+
 @query("answer_scores")
 def answer_scores(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")

@@ -223,3 +223,24 @@ def test_bridges_are_all_pairs(spark):
         if a[2] != b[2] and n >= 2:
             want[a[1], b[1]] = n
     assert got == want
+
+
+def test_mutual_entailment(spark):
+    from skarn.operators.reports import mutual_entailment
+
+    rng = random.Random(3)
+    rows = []
+    for i in range(120):
+        x = [rng.gauss(0, 1) + (2 if i % 3 == 0 else 0) for _ in range(6)]
+        n = math.sqrt(sum(a * a for a in x))
+        rows.append((i % 3, i, [a / n for a in x]))
+    rows += [(7, 200, [1.0] + [0.0] * 5), (8, 201, [1.0] + [0.0] * 5), (8, 202, [0.0, 1.0] + [0.0] * 4), (None, 203, [1.0] * 6)]
+    want = {}
+    for k in {r[0] for r in rows} - {None}:
+        own = [r for r in rows if r[0] == k]
+        want[k] = sum(max((sum(a * b for a, b in zip(r[2], p[2])) for p in own if p[1] != r[1]), default=0.0) for r in own) / len(own)
+    df = spark.createDataFrame(rows, "key int, sentence int, vector array<double>")
+    for cell in (7, 2048):  # cells of a key change no result
+        got = {r.key: r for r in mutual_entailment(df, cell).collect()}
+        assert set(got) == set(want) and all(abs(got[k].score - want[k]) < 1e-9 for k in want)
+        assert got[7].label == got[8].label == "CONTRADICTION" and got[0].label == "ENTAILMENT" and got[0].score < 1
