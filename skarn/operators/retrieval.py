@@ -47,6 +47,22 @@ def keyword_overlap(docs: DataFrame, queries: DataFrame, tokens=tokenize) -> Dat
     return shared.groupBy("q_id", "doc_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
 
 
+def page_hints(scored: DataFrame, docs: DataFrame, hints: DataFrame, boost: float, tokens=tokenize) -> DataFrame:
+    """D3 (boost 0.3 on bm25) and D5 (0.15 on keyword_overlap): (q_id, doc_id, score) with boost more for each document
+    with a token whose page is among the query's hints (q_id, page), also where the score was 0."""
+    on_page = docs.filter(F.size(tokens("text")) > 0).select("doc_id", "page").join(hints.select("q_id", "page").distinct(), "page")
+    more = on_page.select("q_id", "doc_id", F.lit(float(boost)).alias("score"))
+    return scored.select("q_id", "doc_id", "score").unionByName(more).groupBy("q_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
+def with_zeros(scored: DataFrame, docs: DataFrame, queries: DataFrame, tokens=tokenize) -> DataFrame:
+    """(q_id, doc_id, score) where every document with a token is ranked for every query, at 0 when no term is shared.
+
+    All pairs are the result, so its size is queries times documents."""
+    every = docs.filter(F.size(tokens("text")) > 0).select("doc_id").crossJoin(queries.select("q_id").distinct())
+    return every.join(scored.select("q_id", "doc_id", "score"), ["q_id", "doc_id"], "left").select("q_id", "doc_id", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "q_id", tie: str = "doc_id") -> DataFrame:
     """The k best rows of each query with their rank; Spark limits each partition before the shuffle."""
     order = Window.partitionBy(by).orderBy(F.col(score).desc(), F.col(tie))

@@ -244,3 +244,18 @@ def test_mutual_entailment(spark):
         got = {r.key: r for r in mutual_entailment(df, cell).collect()}
         assert set(got) == set(want) and all(abs(got[k].score - want[k]) < 1e-9 for k in want)
         assert got[7].label == got[8].label == "CONTRADICTION" and got[0].label == "ENTAILMENT" and got[0].score < 1
+
+
+def test_page_hints_and_zero_scores(spark):
+    docs = spark.createDataFrame([(1, 1, "alpha beta gamma"), (2, 2, "delta words here"), (3, 2, "alpha alpha"), (4, 2, ""), (5, 3, "other text")], "doc_id int, page int, text string")
+    queries = spark.createDataFrame([(1, "alpha gamma"), (2, "nothing shared")], "q_id int, text string")
+    hints = spark.createDataFrame([(1, 2), (1, 2), (2, 3)], "q_id int, page int")
+    table = lambda df: {(r.q_id, r.doc_id): r.score for r in df.collect()}
+    for score, boost in ((R.bm25, 0.3), (R.keyword_overlap, 0.15)):
+        plain = table(score(docs, queries))
+        assert set(plain) == {(1, 1), (1, 3)}
+        got = table(R.page_hints(score(docs, queries), docs, hints, boost))
+        want = {(1, 1): plain[1, 1], (1, 2): boost, (1, 3): plain[1, 3] + boost, (2, 5): boost}  # an empty chunk gets no boost
+        assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    plain, all_pairs = table(R.bm25(docs, queries)), table(R.with_zeros(R.bm25(docs, queries), docs, queries))
+    assert all_pairs == {(q, d): plain.get((q, d), 0.0) for q in (1, 2) for d in (1, 2, 3, 5)}
