@@ -28,22 +28,31 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.filter(F.col("__score") >= DECISION).select(*docs.columns)
 
 
-def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts one document stays. Whole repeated rows are one document."""
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id", "text"])
+def own_ids(docs: DataFrame) -> DataFrame:
+    """docs with long __own, unique to each row, in the order of doc_id (nulls last) and then text: doc_id itself where it
+    is unique and never null, else the place of the row in that order."""
+    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
+        return docs.withColumn("__own", F.col("doc_id").cast("long"))
     text = F.coalesce(F.col("text"), F.lit(""))
-    key = F.struct(F.col("doc_id"), F.xxhash64(text, F.length(text)).alias("h"))
-    gone = durable(exact_dedup(docs, carry={"__row": key}).filter(~F.col("kept")).select(F.col("__row").alias("__key")).distinct(), "gone-copies")
-    sure, maybe = split_by_key(docs, key, gone)
+    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(text, F.length(text)))
+    return durable(ordered.withColumn("__own", F.monotonically_increasing_id()), "own-ids")
+
+
+def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one row stays, also where rows share a doc_id or have none."""
+    rows = own_ids(docs)
+    alike = rows.select(F.col("__own").alias("doc_id"), "text")
+    gone = durable(exact_dedup(alike).filter(~F.col("kept")).select(F.col("doc_id").alias("__key")), "gone-copies")
+    sure, maybe = split_by_key(rows, F.col("__own"), gone)
     return sure.unionByName(maybe.join(gone, "__key", "left_anti").drop("__key")).select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest doc_id stays."""
-    groups = linked_groups(docs, NEAR_WORDS, NEAR_NEED)
+    """Of each group of linked rows the first by doc_id, then text stays, also where rows share a doc_id or have none."""
+    rows = own_ids(docs)
+    groups = linked_groups(rows.select(F.col("__own").alias("doc_id"), "text"), NEAR_WORDS, NEAR_NEED)
     gone = durable(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__key")).distinct(), "gone-near")
-    sure, maybe = split_by_key(docs, F.col("doc_id").cast("long"), gone)
+    sure, maybe = split_by_key(rows, F.col("__own"), gone)
     return sure.unionByName(maybe.join(gone, "__key", "left_anti").drop("__key")).select(*docs.columns)
 
 

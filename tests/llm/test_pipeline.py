@@ -40,6 +40,19 @@ def test_stages_on_hard_rows(spark, docs, rows, sf01):
         assert new[4] == (len(new[1]) if secret_want(r[1]) else r[4])
 
 
+def test_one_row_of_a_group_stays_whatever_the_ids(spark, sf01):
+    text = lambda k, n=60: " ".join(f"w{k}x{i}" for i in range(n))
+    rows = [(1, text("a")), (2, text("a") + " more"), (2, text("b")), (None, text("c")), (None, text("c") + " more"), (None, text("d")), (3, text("d") + " more"), (4, text("e")), (4, text("e"))]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    near = [(r[0], r[1]) for r in as_rows(P.near_dedup_stage(spark, docs, sf01))]
+    assert len(near) == 5 and {(1, text("a")), (2, text("b")), (3, text("d") + " more"), (4, text("e"))} < set(near)
+    assert sum(t.startswith("wcx") for _, t in near) == 1
+    same = [(5, "one two"), (5, "one  two"), (None, "three"), (None, "thr ee"), (6, "four"), (6, "four"), (6, "five")]
+    docs = spark.createDataFrame([(*r, "en", "s", 1) for r in same], "doc_id long, text string, lang string, source string, n_chars long")
+    left = [(r[0], r[1]) for r in as_rows(P.exact_dedup_stage(spark, docs, sf01))]
+    assert sorted(left, key=str) == sorted([(5, "one  two"), (None, "thr ee"), (6, "four"), (6, "five")], key=str)
+
+
 def test_empty_tables(spark, empty, sf01):
     for _, stage in P.STAGES:
         assert stage(spark, empty, sf01).count() == 0
