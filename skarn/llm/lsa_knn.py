@@ -1,6 +1,7 @@
 """Operator 6: quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes a bag of hashed features over its whole words: the word, its shape, its ends and marks; then logarithmic
+A text becomes a bag of hashed features over its words: the letters of a word below five letters, else the last three
+bytes of its letters, its shape, marks, capitals and length; a longer word is no feature as a whole. Then logarithmic
 counts times inverse document frequency, projected on the first latent directions of the labelled texts (truncated SVD)
 and scaled to length one. The labelled vectors are broadcast; every document's cosine products with all of them are
 computed exactly, block by block, and the NEIGHBOURS nearest vote with a weight that grows with similarity.
