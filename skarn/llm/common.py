@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,21 @@ def durable(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: later stages neither recompute it nor lose it with an executor."""
     path = fresh_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def forget(*tables: DataFrame) -> None:
+    """Delete tables that durable() wrote and that nothing will read again; others are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            hadoop = table.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
 def let(value: Column, body) -> Column:
@@ -67,7 +83,7 @@ def words_of(text: Column) -> Column:
 
 
 def key_bitmap(df: DataFrame, key: Column, bits: int) -> DataFrame:
-    """The keys of df as a bitmap of 2**bits bits in rows of 4 KiB: (bucket, bitmap). Its size is bounded by bits alone.
+    """The keys of df as a bitmap of 2**bits bits in rows of 4 KiB: (bucket, bitmap).
 
     It is a one-hash Bloom filter: it may mark other keys too, never miss one. Duplicate keys are merged map-side.
     """
@@ -76,14 +92,28 @@ def key_bitmap(df: DataFrame, key: Column, bits: int) -> DataFrame:
     return slots.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("bitmap"))
 
 
-def mark_keys(df: DataFrame, key: Column, bitmap: DataFrame, bits: int, name: str) -> DataFrame:
-    """df with boolean `name`: whether key is in the bitmap. The bitmap is broadcast: at most 2**bits / 8 bytes."""
+#: The largest bitmap that is broadcast: 2**28 bits are 32 MiB.
+MOST_BITS = 28
+
+
+def mark_keys(df: DataFrame, key: Column, keys: DataFrame, name: str, most_bits: int = MOST_BITS) -> DataFrame:
+    """df with boolean `name`: true where key is among those of keys, and for few others. key is a column of both.
+
+    keys is counted first (give a written table). A bitmap of 16 bits a key is broadcast while it has at most
+    2**most_bits bits, so df isn't shuffled; for more keys df is joined with them, which grows with the data.
+    """
+    n = keys.count()
+    if 16 * n > 1 << most_bits:
+        found = keys.select(F.xxhash64(key).alias("__hash")).distinct().withColumn("__hit", F.lit(True))
+        joined = df.withColumn("__hash", F.xxhash64(key)).join(found, "__hash", "left")
+        return joined.withColumn(name, F.coalesce("__hit", F.lit(False))).drop("__hash", "__hit")
+    bits = max(15, math.ceil(math.log2(16 * n + 1)))
     at = F.pmod(F.xxhash64(key), F.lit(1 << bits))
     probe = df.withColumn("__bucket", F.floor(at / 32768).cast("int")).withColumn("__bit", (at % 32768).cast("int"))
-    small = bitmap.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    small = key_bitmap(keys, key, bits).select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
     joined = probe.join(F.broadcast(small), "__bucket", "left")
     byte = F.expr("cast(conv(hex(substring(__bitmap, cast(floor(__bit / 8) as int) + 1, 1)), 16, 10) as int)")
-    hit = F.coalesce(F.expr("shiftright({}, __bit % 8) & 1".format("__byte")) == 1, F.lit(False))
+    hit = F.coalesce(F.expr("shiftright(__byte, __bit % 8) & 1") == 1, F.lit(False))
     return joined.withColumn("__byte", byte).withColumn(name, hit).drop("__bucket", "__bit", "__bitmap", "__byte")
 
 
@@ -91,11 +121,11 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def split_by_key(docs: DataFrame, key: Column, keys: DataFrame, bits: int = 26) -> tuple[DataFrame, DataFrame]:
-    """(rows of docs whose key is surely not in keys, the other rows with column __key), without a shuffle of docs.
+def split_by_key(docs: DataFrame, key: Column, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose key is surely not in keys, the other rows with column __key), by mark_keys().
 
     keys has one column __key of key's type. The second part holds all rows whose key is in keys and few others; the
     caller settles it by an exact join, so only that part is shuffled.
     """
-    marked = mark_keys(docs.withColumn("__key", key), F.col("__key"), key_bitmap(keys, F.col("__key"), bits), bits, "__maybe")
+    marked = mark_keys(docs.withColumn("__key", key), F.col("__key"), keys, "__maybe")
     return marked.filter(~F.col("__maybe")).drop("__maybe", "__key"), marked.filter("__maybe").drop("__maybe")

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import durable, key_bitmap, mark_keys
+from skarn.llm.common import durable, mark_keys
 
 #: Fixed values of the rules: kind, pattern, group whose length counts, least length.
 RULES = [
@@ -32,7 +32,6 @@ RULES = [
 VERSION = "base-1"
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 LEDGER = f"blob binary, rule_version string, spans {SPANS}"
-BITMAP_BITS = 26
 
 
 def kind_spans(text: Column, rule: int) -> Column:
@@ -72,7 +71,7 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame([], LEDGER)
 
 
-def scan_secrets(docs: DataFrame, ledger_path: str, version: str = VERSION, bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+def scan_secrets(docs: DataFrame, ledger_path: str, version: str = VERSION) -> DataFrame:
     """(doc_id, blob, spans) of docs (doc_id, text, ...); brings the ledger up to date first."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -80,9 +79,10 @@ def scan_secrets(docs: DataFrame, ledger_path: str, version: str = VERSION, bitm
     versions = durable(docs.select("doc_id", blob.alias("blob")), "blob-versions")
     seen = read_ledger(spark, ledger_path).filter(F.col("rule_version") == version)
     unseen = versions.groupBy("blob").agg(F.min("doc_id").alias("doc_id")).join(seen.select("blob"), "blob", "left_anti")
+    unseen = durable(unseen, "blob-unseen")
     path = F.struct(F.col("blob"), F.col("doc_id"))
     at_blob = docs.select("doc_id", blob.alias("blob"), text.alias("__text"))
-    due = mark_keys(at_blob, path, key_bitmap(unseen, path, bitmap_bits), bitmap_bits, "__due").filter("__due")
+    due = mark_keys(at_blob, path, unseen, "__due").filter("__due")
     scanned = due.select("blob", secret_spans(F.col("__text")).alias("spans"))
     new = scanned.groupBy("blob").agg(F.first("spans").alias("spans")).join(seen.select("blob"), "blob", "left_anti")
     new.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger_path)

@@ -11,19 +11,20 @@ hash of their words.
 How pairs are found, without a cap and without listing the pairs of a group:
 
 1. Two linked sets share one of their first n - ceil(0.85 n) + 1 shingles (for 0.85) in any common order. The order puts
-   shingles first that are known to be in one set only, then goes by hash. They are known from a bitmap of fixed size,
-   filled over all documents for shingles of the lowest hashes (region()), enough of them to fill the prefix of a text of
-   its own. It may take a single shingle for a shared one but not the reverse; single shingles can't be shared and are
-   never sent. A fuller bitmap sends more rows and changes no result.
-2. Shingles held by one set drop out in a streaming pass. Every other set is compared with one set that is the smallest
-   of many of its shingles (size and signature bounds first, then the exact sets); components of these links are built.
+   shingles first that are in one set only, then goes by hash. Which are is counted exactly for the shingles of the lowest
+   hashes (region()), enough of them to fill the prefix of a text of its own: every task sums its sets up, packed by hash
+   ranges, and one exchange settles them, so the volume grows with the corpus and no faster. Shared shingles go back to
+   their sets, packed again, which cut their prefixes. Single shingles are sent no further.
+2. Sets with a shared shingle in the prefix are compared with one set that is the smallest of many of these shingles (size
+   and signature bounds first, then the exact sets); components of these links are built.
 3. Shingles with the same smallest set form one group of all their sets, each once; two sets that share a shingle share
    such a group. A group of several components gets a signature tree over its members: nodes hold OR-combined shingle
    bitmaps and size ranges. A dual traversal drops node pairs of one component, of sizes that can't link, and those whose
    largest possible overlap is too small. Each component's most promising pair is checked, round by round while that
    links something (a growing forest: as many pairs as members); then every pair left. A group with more members than
    CELL is dealt out in cells, pairs of member chunks, so no task gets a whole group.
-4. Checked pairs get their exact sets, which were written once for the sets that step 1 did not rule out.
+4. Checked pairs get their exact sets, which are written once, in a second pass over one document of each set that step 1
+   did not rule out. Tables that are no longer needed are deleted at once.
 """
 
 from __future__ import annotations
@@ -33,15 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import durable, key_bitmap, mark_keys, shuffle_partitions
+from skarn.llm.common import durable, forget, mark_keys, shuffle_partitions
 from skarn.llm.word_ids import slices
 
 WORDS, NEED = 4, 85  # words of a shingle; least similarity in hundredths
 OF = 100
-SEEN_BITS = 28  # 2**28 bits, 32 MiB: the bitmap of shared shingles, broadcast
-CHUNK = 1 << 16
-FLUSH = 4_000_000
-FILTER_BITS = 26
+FLUSH = 2_000_000  # shingles that a task holds before it passes them on
+LIGHT, ONCE, TWICE, PAIRS, SIZES = range(5)  # kinds of rows
+PROFILE = "part int, kind int, doc_id long, n long, key long, hash long, tokens binary, keys binary"
+COLUMNS = [c.split()[0] for c in PROFILE.split(", ")]
 MIN_BITS, MAX_BITS = 1 << 9, 1 << 16
 CELL = 4000
 FANOUT = 6
@@ -186,166 +187,216 @@ def traverse(first: Node, second: Node, best_only: bool, need: int = NEED) -> li
     return found + list({pair for _, pair in best.values()})
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-
-
 def region(need: int) -> np.uint64:
     """Shingles below this hash are counted: the prefix share of all hashes and 0.15 more."""
     return np.uint64(int(min(1.0, 1 - need / OF + 0.15) * (2**64 - 1)))
 
 
-def profile(docs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
-    """Light rows (doc_id, n, key) of every document and rows (chunk, once, twice) for seen_twice(), in one pass.
+def prefix_size(n, need: int):
+    """How many first shingles of a set of n can hold all that a linked set shares: one of them is shared."""
+    return n - (need * n + OF - 1) // OF + 1
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, raw, hash) of documents; hash names the text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"), F.xxhash64("text").alias("hash"))
+
+
+def part_bits(spark) -> int:
+    """2**bits parts, of hashes and of keys: some eight for each shuffle partition."""
+    return max(3, (8 * shuffle_partitions(spark) - 1).bit_length())
+
+
+def blocks(kind: int, part: np.ndarray, tokens: np.ndarray, keys: np.ndarray | None = None) -> pa.RecordBatch:
+    """A row (part, kind, tokens, keys) for each run of equal parts; tokens and keys are 64-bit numbers of the run's entries."""
+    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+    packed = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
+    m = len(cuts) - 1
+    none = pa.nulls(m, pa.int64())
+    own = pa.nulls(m, pa.binary()) if keys is None else packed(keys)
+    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(np.full(m, kind, np.int32)), none, none, none, none, packed(tokens), own], COLUMNS)
+
+
+def by_key(kind: int, bits: int, tokens: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    """blocks() dealt by key."""
+    part = keys.view(np.uint64) & np.uint64((1 << bits) - 1)
+    order = np.argsort(part, kind="stable")
+    return blocks(kind, part[order], tokens[order], keys[order])
+
 
-    once and twice: sorted places in the chunk, as differences, of region shingles met once and more often since the last
-    flush.
-    A set counts once a task.
+def turned(tokens: np.ndarray) -> np.ndarray:
+    """Hashes with their halves swapped: the low bits, which decide the part, first."""
+    return (tokens << np.uint64(32)) | (tokens >> np.uint64(32))
+
+
+def profile(docs: DataFrame, bits: int, n_words: int = WORDS, need: int = NEED) -> DataFrame:
+    """One pass over whole texts: a LIGHT row (doc_id, n, key, hash) a document, and packed rows of the shingles that may be
+    in a prefix: those of region() and, where these are fewer than the prefix, as many more as it takes.
+
+    Every FLUSH shingles are sorted and summed up, a set once a task: ONCE, dealt by shingle, has those of one set with its
+    key; TWICE those of several sets, without keys, however many sets these are; PAIRS, dealt by key, the shingles and keys
+    of the latter; SIZES the size of each set and its count in region().
     """
 
     def run(batches):
-        shingles, mask, low, met, held = Shingler(n_words), np.uint64((1 << SEEN_BITS) - 1), region(need), set(), []
-        schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key", pa.int64()), ("chunk", pa.int32()), ("once", pa.binary()), ("twice", pa.binary())])
+        shingles, low, met, held, keys, sizes, inside, row = Shingler(n_words), region(need), set(), [], [], [], [], 0
 
         def flush():
-            at, times = np.unique(np.concatenate(held), return_counts=True)
-            held.clear()
-            edges = np.arange(0, (1 << SEEN_BITS) + 1, CHUNK)
-            payloads = []
-            for some in (at[times == 1], at[times > 1]):
-                cuts = np.searchsorted(some, edges).tolist()
-                place = (some % CHUNK).astype(np.uint16)
-                payloads.append([np.diff(place[x:y], prepend=np.uint16(0)).astype("<u2").tobytes() for x, y in zip(cuts, cuts[1:])])
-            m = len(edges) - 1
-            return pa.RecordBatch.from_arrays([pa.nulls(m, pa.int64())] * 3 + [pa.array(np.arange(m, dtype=np.int32)), *(pa.array(p, pa.binary()) for p in payloads)], schema=schema)
+            tokens, own = turned(np.concatenate(held)), np.repeat(np.array(keys, np.int64), [len(s) for s in held])
+            order = np.argsort(tokens, kind="stable")
+            tokens, own = tokens[order], own[order]
+            heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            times = np.diff(np.append(heads, len(tokens)))
+            alone, part = np.repeat(times == 1, times), tokens >> np.uint64(64 - bits)
+            many, back = heads[times > 1], turned(tokens)
+            yield blocks(ONCE, part[alone], back[alone], own[alone])
+            if len(many):
+                yield blocks(TWICE, part[many], back[many])
+                yield by_key(PAIRS, bits, back[~alone], own[~alone])
+            yield by_key(SIZES, bits, np.array(sizes, np.uint64) << np.uint64(32) | np.array(inside, np.uint64), np.array(keys, np.int64))
+            for x in (held, keys, sizes, inside):
+                x.clear()
 
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
-                m, sizes, keys = b - a, [], []
+                m, count, names = b - a, [], []
                 for t in texts[a:b]:
                     s = shingles(t)
-                    sizes.append(len(s))
-                    keys.append(shingles.key(s) if len(s) else None)
-                    if len(s) and keys[-1] not in met:
-                        met.add(keys[-1])
-                        held.append((s[: np.searchsorted(s, low)] & mask).astype(np.uint32))
-                yield pa.RecordBatch.from_arrays([ids.slice(a, m), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], schema=schema)
+                    n = len(s)
+                    key = shingles.key(s) if n else None
+                    count.append(n)
+                    names.append(key)
+                    if n and key not in met:
+                        met.add(key)
+                        r = int(np.searchsorted(s, low))
+                        held.append(s[: max(r, prefix_size(n, need))])
+                        keys.append(key), sizes.append(n), inside.append(r)
+                part = (np.arange(row, row + m) % (1 << bits)).astype(np.int32)
+                row += m
+                none = pa.nulls(m, pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(m, LIGHT, np.int32)), ids.slice(a, m), pa.array(count, pa.int64()), pa.array(names, pa.int64()), batch.column(2).slice(a, m), none, none], COLUMNS)
                 if sum(map(len, held)) > FLUSH:
-                    yield flush()
+                    yield from flush()
         if held:
-            yield flush()
+            yield from flush()
 
-    return _rows(docs).mapInArrow(run, "doc_id long, n long, key long, chunk int, once binary, twice binary")
+    return _rows(docs).mapInArrow(run, PROFILE)
 
 
-def seen_twice(rows: DataFrame) -> np.ndarray:
-    """The bitmap, as bytes, of places that were met twice or more over all rows (chunk, once, twice)."""
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition(shuffle_partitions(rows.sparkSession), "part").sortWithinPartitions("part")
+
+
+def settled(rows: DataFrame, bits: int) -> DataFrame:
+    """profile() with ONCE and TWICE exchanged for PAIRS: which shingles several sets hold is counted a part at a time.
+
+    A shingle has one entry a flush at most, however many sets hold it.
+    """
 
     def run(batches):
-        one, two, at = np.zeros(CHUNK, bool), np.zeros(CHUNK, bool), None
-        done = lambda: pa.RecordBatch.from_pydict({"chunk": pa.array([at], pa.int32()), "bits": pa.array([np.packbits(two, bitorder="little").tobytes()], pa.binary())})
+        found, held, at = [], [], None
+
+        def flush():
+            out = by_key(PAIRS, bits, *(np.concatenate(c) for c in zip(*found)))
+            found.clear()
+            return out
+
+        def count():
+            once = [x for x in held if x[0] == ONCE]
+            tokens = np.frombuffer(b"".join(x[1] for x in once) + b"".join(x[1] for x in held if x[0] == TWICE), np.uint64)
+            own = np.frombuffer(b"".join(x[2] for x in once), np.int64)
+            several = np.arange(len(tokens)) >= len(own)
+            own = np.concatenate([own, np.zeros(len(tokens) - len(own), np.int64)])
+            order = np.argsort(tokens, kind="stable")
+            tokens, own, several = tokens[order], own[order], several[order]
+            heads = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
+            shared = np.logical_or.reduceat(several, heads) | (np.minimum.reduceat(own, heads) != np.maximum.reduceat(own, heads))
+            keep = np.repeat(shared, np.diff(np.append(heads, len(tokens)))) & ~several
+            if keep.any():
+                found.append((tokens[keep], own[keep]))
+            held.clear()
+
         for batch in batches:
-            for chunk, once, twice in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                if chunk != at:
-                    if at is not None:
-                        yield done()
-                    one[:], two[:], at = False, False, chunk
-                x = np.cumsum(np.frombuffer(once, "<u2"), dtype=np.int64)
-                two[x[one[x]]] = True
-                one[x] = True
-                y = np.cumsum(np.frombuffer(twice, "<u2"), dtype=np.int64)
-                two[y] = True
-        if at is not None:
-            yield done()
-
-    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "chunk").sortWithinPartitions("chunk")
-    out = np.zeros(1 << (SEEN_BITS - 3), np.uint8)
-    for r in dealt.mapInArrow(run, "chunk int, bits binary").collect():  # 2**SEEN_BITS bits in all
-        out[r.chunk * CHUNK // 8 : (r.chunk + 1) * CHUNK // 8] = np.frombuffer(r.bits, np.uint8)
-    return out
+            kinds = batch.column(1).to_numpy()
+            counted = (kinds == ONCE) | (kinds == TWICE)
+            yield batch.filter(pa.array(~counted))
+            rest = batch.filter(pa.array(counted))
+            for part, kind, tokens, own in zip(*(rest.column(i).to_pylist() for i in (0, 1, 6, 7))):
+                if part != at and held:
+                    count()
+                    if sum(len(x[0]) for x in found) > FLUSH:
+                        yield flush()
+                at = part
+                held.append((kind, tokens, own))
+        if held:
+            count()
+        if found:
+            yield flush()
+
+    return _dealt(rows).mapInArrow(run, PROFILE)
 
 
-def prefixes(docs: DataFrame, twice: np.ndarray, n_words: int = WORDS, need: int = NEED) -> DataFrame:
-    """Rows (token, key, n) of the prefix shingles that several sets may hold, and for each set with such a row one row
-    (key, n, sig, tokens); a set once a task."""
-    shared = docs.sparkSession.sparkContext.broadcast(twice)  # 2**SEEN_BITS bits
+def prefixes(rows: DataFrame, need: int = NEED) -> DataFrame:
+    """(token, key, n): the shared shingles in each set's prefix, from rows PAIRS and SIZES of settled().
+
+    The prefix holds the set's single shingles of region() first, which can't be shared, then the others by hash.
+    """
 
     def run(batches):
-        shingles, seen, mask, low, met = Shingler(n_words), shared.value, np.uint64((1 << SEEN_BITS) - 1), region(need), set()
-        names = ["token", "key", "n", "sig", "tokens"]
+        low, pairs, sizes, at = region(need), [], [], None
+
+        def cut():
+            join = lambda c, kind: np.frombuffer(b"".join(c), kind)
+            known, first = np.unique(join((x[1] for x in sizes), np.int64), return_index=True)
+            size = join((x[0] for x in sizes), np.uint64)[first]
+            n, r = (size >> np.uint64(32)).astype(np.int64), (size & np.uint64(0xFFFFFFFF)).astype(np.int64)
+            tokens, keys = join((x[0] for x in pairs), np.uint64), join((x[1] for x in pairs), np.int64)
+            pairs.clear(), sizes.clear()
+            order = np.lexsort((tokens, keys))
+            tokens, keys = tokens[order], keys[order]
+            new = np.concatenate([[True], (keys[1:] != keys[:-1]) | (tokens[1:] != tokens[:-1])])  # a set of several tasks
+            tokens, keys = tokens[new], keys[new]
+            heads = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            of = np.searchsorted(known, keys[heads])
+            room = prefix_size(n[of], need) - r[of] + np.add.reduceat((tokens < low).astype(np.int64), heads)
+            times = np.diff(np.append(heads, len(keys)))
+            keep = np.arange(len(keys)) - np.repeat(heads, times) < np.repeat(room, times)
+            return pa.RecordBatch.from_arrays([pa.array(tokens[keep].view(np.int64)), pa.array(keys[keep]), pa.array(np.repeat(n[of], times)[keep].astype(np.int32))], ["token", "key", "n"])
+
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                tokens, keys, sizes, sets = [], [], [], []
-                for t in texts[a:b]:
-                    s = shingles(t)
-                    n = len(s)
-                    if not n:
-                        continue
-                    at = (s[: np.searchsorted(s, low)] & mask).astype(np.int64)
-                    many = np.ones(n, bool)
-                    many[: len(at)] = seen[at >> 3] >> (at & 7).astype(np.uint8) & 1
-                    p = n - (need * n + OF - 1) // OF + 1 - (n - int(many.sum()))  # single shingles come first
-                    if p <= 0:
-                        continue
-                    key = shingles.key(s)
-                    if key in met:
-                        continue
-                    met.add(key)
-                    tokens.append(s[many][:p])  # sorted by hash, the order of the rest
-                    keys.append(key)
-                    sizes.append(n)
-                    sets.append(s)
-                if tokens:
-                    times = [len(s) for s in tokens]
-                    k, m, total = len(keys), np.array(sizes, np.int32), sum(times)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(keys, np.int64), times)), pa.array(np.repeat(m, times)), pa.nulls(total, pa.binary()), pa.nulls(total, pa.binary())], names)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(keys, pa.int64()), pa.array(m), pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names)
-
-    return _rows(docs).mapInArrow(run, "token long, key long, n int, sig binary, tokens binary")
-
-
-def shared_tokens(rows: DataFrame) -> DataFrame:
-    """(token, key, n, first, first_n) of tokens that several sets hold, each once; first: the smallest key of the token.
-
-    Tokens are dealt by hash and sorted, so a token's rows pass one by one and no group is ever held.
-    """
+            for part, kind, tokens, own in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                if part != at:
+                    if pairs:
+                        yield cut()
+                    pairs.clear(), sizes.clear()
+                    at = part
+                (pairs if kind == PAIRS else sizes).append((tokens, own))
+        if pairs:
+            yield cut()
+
+    packed = rows.filter(F.col("kind").isin(PAIRS, SIZES)).select("part", "kind", "tokens", "keys")
+    return _dealt(packed).mapInArrow(run, "token long, key long, n int")
+
+
+def exact_sets(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
+    """(key, n, sig, tokens) of the sets of docs (doc_id, raw, ...), once a task."""
 
     def run(batches):
-        held = None  # the last row so far, which a token of one set may be
-        last, first, first_n, shown = None, 0, 0, False
+        shingles, met = Shingler(n_words), set()
         for batch in batches:
-            t, k, n = (batch.column(i).to_numpy() for i in range(3))
-            if not len(t):
-                continue
-            new = np.concatenate([[last is None or (t[0], k[0]) != last], (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
-            last = (t[-1], k[-1])
-            t, k, n = t[new], k[new], n[new]
-            if not len(t):
-                continue
-            start = np.concatenate([[held is None or t[0] != held[0]], t[1:] != t[:-1]])
-            head = np.where(start, np.arange(len(t)), -1)
-            head = np.maximum.accumulate(head)
-            f, fn = np.where(head >= 0, k[head], first), np.where(head >= 0, n[head], first_n)
-            end = np.concatenate([start[1:], [True]])
-            alone = start & end
-            keep = ~alone
-            keep[-1] &= not start[-1]  # may go on in the next batch
-            out = [(t[keep], k[keep], n[keep], f[keep], fn[keep])]
-            if held is not None and not start[0] and not shown:
-                out.insert(0, tuple(np.array([x]) for x in (*held, held[1], held[2])))
-            shown = bool(keep[-1])
-            held, first, first_n = (t[-1], k[-1], n[-1]), f[-1], fn[-1]
-            cols = [np.concatenate(c) for c in zip(*out)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["token", "key", "n", "first", "first_n"])
-
-    dealt = rows.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token", "key")
-    return dealt.mapInArrow(run, "token long, key long, n int, first long, first_n int")
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts, size=1 << 20):
+                sets = {shingles.key(s): s for s in map(shingles, texts[a:b]) if len(s)}
+                sets = {k: s for k, s in sets.items() if k not in met}
+                met.update(sets)
+                yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), pa.array([signature(s) for s in sets.values()], pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["key", "n", "sig", "tokens"])
+
+    return docs.mapInArrow(run, "key long, n int, sig binary, tokens binary").dropDuplicates(["key"])
 
 
 def exact_links(sets: DataFrame, pairs: DataFrame, need: int = NEED) -> DataFrame:
-    """The pairs (a, b) whose sets (key, tokens) link. Only sets that a pair names are shuffled, by a bitmap of fixed size."""
+    """The written pairs (a, b) whose sets (key, tokens) link. Only sets that a pair names are shuffled."""
 
     def check(batches):
         for batch in batches:
@@ -357,13 +408,9 @@ def exact_links(sets: DataFrame, pairs: DataFrame, need: int = NEED) -> DataFram
                 keep.append(OF * both >= need * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    def named(c: str, as_: str) -> DataFrame:
-        bitmap = key_bitmap(pairs.select(c), F.col(c), FILTER_BITS)
-        some = mark_keys(sets, F.col("key"), bitmap, FILTER_BITS, "__named").filter("__named")
-        one = some.groupBy("key").agg(F.first("tokens").alias("tokens"))  # a set that several tasks wrote
-        return one.select(F.col("key").alias(c), F.col("tokens").alias(as_))
-
-    both = pairs.join(named("b", "y"), "b").join(named("a", "x"), "a")
+    ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
+    some = mark_keys(sets.select("key", "tokens"), F.col("key"), ends, "__named").filter("__named")
+    both = pairs.join(some.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").join(some.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
     return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
@@ -383,9 +430,24 @@ def components(edges: DataFrame) -> DataFrame:
         stepped = labels.join(all_near, "key", "left").select("key", F.col("comp").alias("was"), F.least("comp", F.coalesce("near", "comp")).alias("comp"))
         jump = labels.select(F.col("key").alias("comp"), F.col("comp").alias("far"))
         new = durable(stepped.join(jump, "comp", "left").select("key", "was", F.least("comp", F.coalesce("far", "comp")).alias("comp")), "cc")
-        labels = new.select("key", "comp")
-        if new.filter("comp <> was").isEmpty():
-            return labels
+        done = new.filter("comp <> was").isEmpty()
+        forget(labels)
+        labels = new
+        if done:
+            forget(both)
+            return labels.select("key", "comp")
+
+
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """components() of what comp (key, comp) already connects and of links (a, b): only links between its groups are followed."""
+    ends = links.select(F.col("a").alias("key")).unionByName(links.select(F.col("b").alias("key")))
+    every = durable(comp.unionByName(ends.distinct().join(comp, "key", "left_anti").select("key", F.col("key").alias("comp"))), "cc-all")
+    of = lambda c: every.select(F.col("key").alias(c), F.col("comp").alias(f"of_{c}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").select(F.col("of_a").alias("a"), F.col("of_b").alias("b")).filter("a <> b")
+    to = components(between).select(F.col("key").alias("comp"), F.col("comp").alias("to"))
+    out = durable(every.join(to, "comp", "left").select("key", F.coalesce("to", "comp").alias("comp")), "cc-joined")
+    forget(every)
+    return out
 
 
 def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, need: int = NEED, cell: int = CELL) -> DataFrame:
@@ -428,33 +490,41 @@ def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, need: int = NE
 
 def linked_groups(docs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
     """(doc_id, n_shingles, component_id) of docs (doc_id, text, ...), for n_words and a similarity of need hundredths."""
-    first = durable(profile(docs, n_words, need), "join-profile")
-    light = first.filter(F.col("chunk").isNull()).select("doc_id", "n", "key")
-    twice = seen_twice(first.filter(F.col("chunk").isNotNull()).select("chunk", "once", "twice"))
-    second = durable(prefixes(docs, twice, n_words, need), "join-prefixes")
-    sets = second.filter(F.col("token").isNull()).select("key", "tokens")
-    sigs = durable(second.filter(F.col("token").isNull()).groupBy("key").agg(F.first("sig").alias("sig"), F.first("n").alias("n")), "join-sigs")
-    held = durable(shared_tokens(second.filter(F.col("token").isNotNull()).select("token", "key", "n")), "join-shared")
-
-    size = OF * F.least("n", "first_n") >= need * F.greatest("n", "first_n")
-    met = held.filter((F.col("key") != F.col("first")) & size).groupBy("key", "first").agg(F.count(F.lit(1)).alias("c"))
-    star = met.groupBy(F.col("key").alias("b")).agg(F.max_by("first", F.struct("c", "first")).alias("a")).select("a", "b")
-    links = durable(exact_links(sets, durable(promising(star, sigs, need), "join-star"), need), "join-links")
-    groups = durable(held.select(F.col("first").alias("lead"), "key", "n").distinct(), "join-groups")
-    rounds, best_only = 0, True
+    bits = part_bits(docs.sparkSession)
+    first = durable(settled(profile(docs, bits, n_words, need), bits), "join-settled")
+    light = first.filter(F.col("kind") == LIGHT).select("doc_id", "n", "key", "hash")
+    prefix = durable(prefixes(first, need), "join-prefixes")
+    # the exact sets of those with a shared shingle in their prefix, from one document each
+    one = light.join(prefix.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "hash")).alias("x"))
+    one = durable(one.select("x.doc_id", "x.hash"), "join-one")
+    due = mark_keys(_rows(docs), F.struct("doc_id", "hash"), one, "__due").filter("__due").select("doc_id", "raw")
+    sets = durable(exact_sets(due, n_words), "join-sets")
+
+    leads = prefix.groupBy("token").agg(F.min(F.struct("key", "n")).alias("x"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    leads = leads.select("token", F.col("x.key").alias("lead"), F.col("x.n").alias("lead_n"))
+    groups = durable(prefix.join(leads, "token").groupBy("lead", "lead_n", "key", "n").agg(F.count(F.lit(1)).alias("c")), "join-groups")
+    forget(prefix, one)
+    size = OF * F.least("n", "lead_n") >= need * F.greatest("n", "lead_n")
+    star = groups.filter((F.col("key") != F.col("lead")) & size).groupBy(F.col("key").alias("b")).agg(F.max_by("lead", F.struct("c", "lead")).alias("a"))
+    sigs = sets.select("key", "sig")
+    pairs = durable(promising(star.select("a", "b"), sets.select("key", "n", "sig"), need), "join-star")
+    links = durable(exact_links(sets, pairs, need), "join-links")
+    forget(pairs)
+    comp, rounds, best_only = components(links), 0, True
     while True:
-        comp = components(links)
-        rows = groups.join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
-        pairs = durable(tree_pairs(rows, sigs.select("key", "sig"), best_only, need), "join-pairs")
+        rows = groups.select("lead", "key", "n").join(comp, "key", "left").withColumn("comp", F.coalesce("comp", "key"))
+        pairs = durable(tree_pairs(rows, sigs, best_only, need), "join-pairs")
         if pairs.isEmpty():
             break
-        new = durable(exact_links(sets, pairs, need), "join-new-links")
-        links = durable(links.unionByName(new).distinct(), "join-links")
+        links = durable(exact_links(sets, pairs, need), "join-links")
+        none = links.isEmpty()
+        comp = comp if none else joined(comp, links)
+        forget(pairs, links)
         if not best_only:
             break
         rounds += 1
-        best_only = rounds < BEST_ROUNDS and not new.isEmpty()
-    comp = components(links)
+        best_only = rounds < BEST_ROUNDS and not none
+    forget(groups, sets)
     # groups: the smallest document of each linked component, then of each set
     linked = light.filter("n > 0").join(comp, "key")
     smallest = linked.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
