@@ -3,7 +3,7 @@
 A language is a distribution over hashed character trigrams (UTF-8 bytes of the lower-cased letters, words padded with
 blanks). A text is a mixture of languages: expectation-maximisation estimates the proportions from the trigram
 likelihoods. The language set grows one language at a time while the likelihood, penalised by PENALTY * log(trigrams)
-for each language, improves (each trial drops the weakest at no gain). The prediction is the language with the largest
+for each language, improves. The prediction is the language with the largest
 proportion; score is its proportion times how sure the set's first language is against the runner-up, from 0 to 1.
 
 `und` with score 0 where the text is null or has no letter, or nothing was learnt. Learning uses at most MAX_TEXTS
@@ -19,17 +19,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.folds import held_out
+from skarn.llm.folds import held_out, smallest_hashes
 from skarn.llm.word_ids import slices
 
 BUCKETS = 1 << 15
 MAX_TEXTS = 2000
 PENALTY = 4.0
 ROUNDS = 12
-MOST_LANGUAGES = 400  # bound of the model: languages beyond it, the rarest, are refused loudly
+MOST_LANGUAGES = 400  # bound of the model: more languages raise an error
 
 #: ASCII letters to lower case, other ASCII to blanks, all other bytes as they are.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -116,8 +116,10 @@ class Mixture:
 def fit(docs: DataFrame, most: int = MAX_TEXTS) -> Mixture:
     """Trigram models of the languages of docs (doc_id, text, lang), from rows outside the held-out fold."""
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", "lang")
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    chosen = smallest_hashes(rows, "lang", sizes, most)  # MOST_LANGUAGES * most light rows at most
     texts = docs.select("doc_id", F.col("lang").alias("l"), F.col("text").cast("binary").alias("raw"))
     same = (texts["doc_id"] == chosen["doc_id"]) & (texts["l"] == chosen["lang"])
     taken = texts.join(F.broadcast(chosen), same, "left_semi").select("l", "raw")
@@ -133,9 +135,7 @@ def fit(docs: DataFrame, most: int = MAX_TEXTS) -> Mixture:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], ["lang", "bucket", "n"])
 
     sums = taken.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(got) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    got = sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").collect()
     counts = np.zeros((BUCKETS, len(got)))
     for k, r in enumerate(got):
         counts[r.bucket, k] = r.n

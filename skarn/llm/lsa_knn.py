@@ -14,8 +14,9 @@ outside the held-out fold, a documented bound that keeps the broadcast (2 * MAX_
 quality are no labels. Without any label every score is 0.5. Every input row gives one output row; extra columns are
 ignored; an empty table gives no rows.
 
-Plan: the labelled rows are found by a top-k each label, then one map over the scan scores all documents: no shuffle of
-the corpus.
+Plan: the labelled rows are found by a bound on their hash, then a top-k each label of the few that are left; their counted
+features (at most BUCKETS a text, however long) go to the driver. Then one map over the scan scores all documents: no
+shuffle of the corpus.
 """
 
 from __future__ import annotations
@@ -25,10 +26,10 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.folds import held_out
+from skarn.llm.folds import held_out, smallest_hashes
 from skarn.llm.word_ids import slices
 
 MAX_LABELLED = 1500
@@ -83,10 +84,13 @@ class Bags:
 
 
 def _rows(bags: Bags, texts: list[bytes | None], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    return _weighted([bags.counts(t) for t in texts], idf)
+
+
+def _weighted(found: list[tuple[np.ndarray, np.ndarray]], idf: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Weighted features of length one."""
     out = []
-    for t in texts:
-        b, n = bags.counts(t)
+    for b, n in found:
         v = np.log1p(n) * idf[b]
         norm = np.sqrt((v * v).sum())
         out.append((b, (v / norm).astype(np.float32) if norm else v.astype(np.float32)))
@@ -107,11 +111,20 @@ class LatentVoters:
     """The fitted model: idf, latent axes, labelled vectors and their labels. Size is bounded by the parameters."""
 
     def __init__(self, texts: list[bytes | None], labels: list[int], rank: int = RANK, neighbours: int = NEIGHBOURS):
-        bags, n = Bags(), max(1, len(texts))
-        found = [bags.counts(t) for t in texts]
+        bags = Bags()
+        self._fit([bags.counts(t) for t in texts], labels, rank, neighbours)
+
+    @classmethod
+    def of_counts(cls, found: list[tuple[np.ndarray, np.ndarray]], labels: list[int]) -> LatentVoters:
+        voters = cls.__new__(cls)
+        voters._fit(found, labels, RANK, NEIGHBOURS)
+        return voters
+
+    def _fit(self, found: list[tuple[np.ndarray, np.ndarray]], labels: list[int], rank: int, neighbours: int) -> None:
+        n = max(1, len(found))
         df = np.bincount(np.concatenate([b for b, _ in found] or [np.zeros(0, np.int64)]), minlength=BUCKETS)
         self.idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-        rows = _rows(bags, texts, self.idf)
+        rows = _weighted(found, self.idf)
         rank = min(rank, n)
         rng = np.random.default_rng(7)
         axes = rng.standard_normal((BUCKETS, rank)).astype(np.float32)
@@ -124,7 +137,7 @@ class LatentVoters:
         self.axes = axes
         self.labels = np.array(labels, np.float32)
         self.vectors = _projected(rows, axes)
-        self.neighbours = min(neighbours, len(texts))
+        self.neighbours = min(neighbours, len(found))
         ones = float(self.labels.sum())
         self.weight = np.where(self.labels == 1, n / max(1.0, 2 * ones), n / max(1.0, 2 * (n - ones))).astype(np.float32)
 
@@ -163,12 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
     """The model and the share of label 1, from rows of docs that labels covers, outside the held-out fold."""
     named = labels.filter(F.col(label).isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     prior = {r.y: r.n for r in named.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = named.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= most).select("doc_id", "y")
-    texts = docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", F.col("text").cast("binary").alias("raw")).dropDuplicates(["doc_id"])
-    got = sorted(((r.doc_id, r.y, bytes(r.raw or b"")) for r in texts.toLocalIterator()), key=lambda r: r[0])
+    chosen = smallest_hashes(named, "y", prior, most)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min(F.col("text").cast("binary")).alias("raw"))
+
+    def counted(batches):
+        bags = Bags()
+        for batch in batches:
+            at, n = zip(*map(bags.counts, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([x.astype("<i4").tobytes() for x in at], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in n], pa.binary())], ["doc_id", "y", "at", "n"])
+
+    found = texts.mapInArrow(counted, "doc_id string, y int, at binary, n binary")
+    got = sorted(((r.doc_id, r.y, np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.n, "<f4")) for r in found.toLocalIterator()), key=lambda r: r[:2])
     total = sum(prior.values())
-    return LatentVoters([r[2] for r in got], [r[1] for r in got]), (prior.get(1, 0) / total if total else 0.5)
+    return LatentVoters.of_counts([r[2:] for r in got], [r[1] for r in got]), (prior.get(1, 0) / total if total else 0.5)
 
 
 def score_quality(docs: DataFrame, model: LatentVoters, prior: float, keep: list[str], name: str = "score") -> DataFrame:
