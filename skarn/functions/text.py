@@ -104,13 +104,16 @@ def has_any(text: Column, words: list[str]) -> Column:
 def tokenize(text: Column | str) -> Column:
     """Technical tokens in lower case, stop words and short ones dropped, camelCase parts appended."""
     good = lambda w: ~w.isin(*STOP_WORDS) & (F.length(w) > 2)
+    camel, none = "[a-z0-9][A-Z]", F.array().cast("array<string>")
 
     def one(raw):
         low = F.lower(raw)
         parts = F.filter(F.transform(F.split(raw, r"(?<=[a-z0-9])(?=[A-Z])"), F.lower), lambda p: (p != low) & good(p))
-        return F.concat(F.when(good(low), F.array(low)).otherwise(F.array().cast("array<string>")), parts)
+        return F.concat(F.when(good(low), F.array(low)).otherwise(none), F.when(raw.rlike(camel), parts).otherwise(none))
 
-    return F.flatten(F.transform(all_matches(text_of(text), "[A-Za-z][A-Za-z0-9_-]+"), one))
+    words = all_matches(text_of(text), "[A-Za-z][A-Za-z0-9_-]+")
+    plain = F.filter(F.transform(words, F.lower), good)  # most texts have no camelCase
+    return F.when(text_of(text).rlike(camel), F.flatten(F.transform(words, one))).otherwise(plain)
 
 
 def tokenize_plain(text: Column | str) -> Column:
@@ -305,13 +308,48 @@ def substantive_sentences(text: Column | str) -> Column:
     return F.filter(parts, lambda s: (F.length(s) > 40) & ~s.rlike(REFUSALS))
 
 
-def number_cleaned(text: Column | str) -> Column:
-    """The first number of a table cell as DOUBLE; null without one."""
+def let(value: Column, body) -> Column:
+    """body(value) with value evaluated once a row, also where body uses it often."""
+    return F.transform(F.array(value), body)[0]
+
+
+def number_text(text: Column | str) -> Column:
+    """The first number of a table cell as it is written there, without notes, errors, commas and marks; "" without one."""
     t = F.regexp_replace(text_of(text), r"[\$\\^\*†‡§]", "")
     t = F.regexp_replace(t, r"\[.*?\]|\(.*?\)", "")
     t = F.split(F.split(t, "±")[0], r"\+/-")[0]
     t = F.translate(t, ",%", "")
-    return F.regexp_extract(t, r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", 0).try_cast("double")
+    return F.regexp_extract(t, r"[-+]?\d*\.?\d+(?:[eE][-+]?\d+)?", 0)
+
+
+def number_cleaned(text: Column | str) -> Column:
+    """The first number of a table cell as DOUBLE; null without one."""
+    return number_text(text).try_cast("double")
+
+
+def four_digits(value: Column) -> Column:
+    """A double with four significant digits, ties to even, without trailing zeros: fixed from 0.0001 below 10000, else with
+    an exponent."""
+    def rounded(x):
+        place = F.split(F.format_string("%.3e", x), "e")[1].cast("int")
+
+        def at(e):
+            near = x
+            for k in range(-4, 20):
+                near = F.when(e == k, F.coalesce(F.bround(x.try_cast("decimal(38,12)"), 3 - k).cast("double"), x)).otherwise(near)
+            return F.split(F.format_string("%.3e", near), "e")
+
+        return let(place, at)
+
+    def written(parts):
+        digits, exponent = parts[0], parts[1].cast("int")
+        bare = lambda c: F.regexp_replace(F.regexp_replace(c, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        fixed = F.lit(None).cast("string")
+        for e in range(-4, 4):
+            fixed = F.when(exponent == e, (digits.cast("decimal(5,3)") * F.lit(f"1e{e}").cast("decimal(10,4)")).cast(f"decimal(20,{max(0, 3 - e)})").cast("string")).otherwise(fixed)
+        return let(fixed, lambda x: F.when(x.isNull(), F.concat(bare(digits), F.lit("e"), parts[1])).when(x.contains("."), bare(x)).otherwise(x))
+
+    return F.when(value == 0, "0").otherwise(let(let(value, rounded), written))
 
 
 def number_set(text: Column | str) -> Column:

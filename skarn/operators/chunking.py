@@ -14,6 +14,17 @@ REFERENT = (
     r"(?!\s+(of|in|for|from|described|proposed|named))\b"
 )
 ELLIPTIC = ["what about", "how about", "does that", "is that", "why?", "and with", "what of"]
+HEADING = r"^(?:\d+(?:\.\d+)*|[A-Z][a-z]+)\s+[A-Z]"
+ABSTRACT = r"(?i)\babstract\b\s*(.+?)(?:\b1\s+introduction\b|\bintroduction\b|\bkeywords\b|$)"
+TITLE = r"(?i)^(.+?)(?:\[author|author|april|abstract)"
+NO_ABSTRACT = "Custom PDF uploaded for local study."
+NUMBERED = r"(?m)^\s*\[?(\d{1,3})\]?[.\s]+([A-Z].{8,})"
+AUTHOR_YEAR = r"(?m)([A-Z][a-z]+(?:,\s+[A-Z]\.?)+.*?\(\d{4}\)[.,]\s+)([A-Z][^.]{10,}\.)"
+LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "ﬃ": "ffi", "ﬄ": "ffl"}
+NO_ANSWER = ["does not provide", "does not specify", "not specified", "does not mention", "passage does not", "no specific", "not explicitly", "cannot be determined"]
+META_QUESTION = r"(?i:\bisbn\b|title of the (?:paper|book))|\bby [A-Z][a-z]+ (?:et al|and )"
+MATH = r"(?i)=|\\frac|\\sqrt|\\sum|softmax|gradient|\bloss\b|objective|probability|complexity|O\(|\blog\b|\bexp\b|theta|sigma|lambda|\^|_\{|\bformula\b|\bequation\b"
+GENERIC = ["what does the figure show", "what does the table show", "what does the figure/table show", "what is shown in the figure", "what is shown in the table"]
 QUESTION_LEAD = r"(?i)^(what|how|why|when|where|is|are|does|do|can|could|would)\s+(is|are|does|do)?\s*"
 
 
@@ -106,9 +117,9 @@ def merge_figures(chunks: DataFrame, figures: DataFrame) -> DataFrame:
 
 def layout_blocks(blocks: DataFrame) -> DataFrame:
     """Blocks (paper_id, block_no, text) of ten characters or more with the running section, a table flag and
-    links to the neighbours."""
+    links to the neighbours. A heading is one line below 80 characters that starts with a number or a word and a capital."""
     t = F.trim(text_of("text"))
-    heading = t.rlike(r"^(?:\d+(?:\.\d+)*\.?\s+)?[A-Z][A-Za-z\s\-]{3,60}$") & (F.length(t) <= 80)
+    heading = t.rlike(HEADING) & ~t.contains("\n") & (F.length(t) < 80)
     some = blocks.filter(F.length(t) >= 10).withColumn("__h", F.when(heading, t))
     w = Window.partitionBy("paper_id").orderBy("block_no")
     is_table = t.contains("|") | t.contains("\t") | F.substring(t, 1, 15).contains("Table ")
@@ -124,39 +135,75 @@ def layout_blocks(blocks: DataFrame) -> DataFrame:
 
 
 def inferred_metadata(pages: DataFrame) -> DataFrame:
-    """(paper_id, title, abstract) from the first page: a first line of 12 to 220 characters, 1800 characters after
-    'abstract'."""
+    """(paper_id, title, abstract) from the first page with its white space folded.
+
+    The title runs to an author mark, "April" or "Abstract" and has 12 to 220 characters, else it is the paper's id. The
+    abstract runs to the introduction or the keywords, 1800 characters at most; NO_ABSTRACT without one.
+    """
     first = pages.groupBy("paper_id").agg(F.min_by("text", "page").alias("t"))
-    title = F.trim(F.regexp_extract("t", r"^\s*([^\n]+)", 1))
-    abstract = F.trim(F.regexp_replace(F.regexp_extract("t", r"(?is)\babstract\b[:.\s-]*(.+)", 1), r"\s+", " "))
-    return first.select("paper_id", F.when(F.length(title).between(12, 220), title).alias("title"), F.substring(abstract, 1, 1800).alias("abstract"))
+    folded = first.select("paper_id", F.trim(F.regexp_replace(text_of("t"), r"\s+", " ")).alias("t"))
+    title = F.trim(F.regexp_extract("t", TITLE, 1))
+    abstract = F.substring(F.trim(F.regexp_extract("t", ABSTRACT, 1)), 1, 1800)
+    return folded.select(
+        "paper_id",
+        F.when(F.length(title).between(12, 220), title).otherwise(F.col("paper_id").cast("string")).alias("title"),
+        F.when(abstract == "", NO_ABSTRACT).otherwise(abstract).alias("abstract"),
+    )
 
 
 def bibliography(pages: DataFrame, last: int = 6) -> DataFrame:
-    """(paper_id, number, reference): numbered references of a paper's last pages, first of each number; with fewer
-    than five, author-year references numbered in order."""
-    w = Window.partitionBy("paper_id")
-    tail = pages.withColumn("r", F.row_number().over(w.orderBy(F.col("page").desc()))).filter(F.col("r") <= last)
-    hits = tail.select("paper_id", "page", F.posexplode(all_matches(text_of("text"), r"\[\d{1,3}\]\s+[^\[\n]{20,400}")).alias("p", "m"))
-    numbered = hits.select("paper_id", "page", "p", F.regexp_extract("m", r"\[(\d+)\]", 1).cast("int").alias("number"), F.trim(F.regexp_replace("m", r"^\[\d+\]\s+", "")).alias("reference"))
-    one = numbered.withColumn("r", F.row_number().over(Window.partitionBy("paper_id", "number").orderBy("page", "p"))).filter("r = 1")
-    enough = one.withColumn("n", F.count(F.lit(1)).over(w)).filter("n >= 5").select("paper_id", "number", "reference")
-    named = tail.join(enough.select("paper_id").distinct(), "paper_id", "left_anti").select("paper_id", "page", F.posexplode(all_matches(text_of("text"), r"[A-Z][A-Za-z\-]+,? [^\n]{5,200}\((?:19|20)\d\d\)[^\n]{5,200}")).alias("p", "reference"))
-    return enough.unionByName(named.select("paper_id", F.row_number().over(w.orderBy("page", "p")).alias("number"), F.trim("reference").alias("reference")))
+    """(paper_id, number, reference) from the text of a paper's last pages, joined by blanks; 120 characters each.
+
+    Numbered entries count by their number, the first of each. With fewer than five of them, author-year entries follow:
+    the i-th takes the number i plus the entries so far, unless that is taken.
+    """
+    ranked = pages.select("paper_id", "page", text_of("text").alias("t")).withColumn("r", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.col("page").desc())))
+    tail = ranked.filter(F.col("r") <= last).groupBy("paper_id").agg(F.sort_array(F.collect_list(F.struct("page", "t"))).alias("p"))  # `last` pages at most
+    rows = tail.select("paper_id", F.array_join(F.transform("p", lambda x: x["t"]), " ").alias("t"))
+    pairs = lambda pattern, g: F.regexp_extract_all("t", F.lit(pattern), F.lit(g))
+    entry = lambda n, x: F.struct(n.cast("int").alias("number"), F.substring(x, 1, 120).alias("reference"))
+    known = "array<struct<number:int,reference:string>>"
+    has = lambda a, n: F.exists(a, lambda e: e["number"] == n.cast("int"))
+    numbered = F.aggregate(
+        F.zip_with(pairs(NUMBERED, 1), pairs(NUMBERED, 2), lambda n, x: entry(n, x)), F.array().cast(known), lambda a, e: F.when(has(a, e["number"]), a).otherwise(F.concat(a, F.array(e)))
+    )
+    named = F.transform(pairs(AUTHOR_YEAR, 2), lambda x, i: entry(i + 1, x))
+    found = rows.select("paper_id", numbered.alias("e"), named.alias("more"))
+    place = lambda a, e: F.size(a) + e["number"]
+    both = F.aggregate("more", F.col("e"), lambda a, e: F.when(has(a, place(a, e)), a).otherwise(F.concat(a, F.array(entry(place(a, e), e["reference"])))))
+    return found.select("paper_id", F.explode(F.when(F.size("e") < 5, both).otherwise(F.col("e"))).alias("e")).select("paper_id", "e.number", "e.reference")
 
 
 def grounded(facts: Column, passage: Column) -> Column:
-    """At least half of the facts, rounded up, occur on word boundaries in the passage."""
-    quote = lambda f: F.concat(F.lit(r"(?i)(?<!\w)\Q"), f, F.lit(r"\E(?!\w)"))
-    return F.size(F.filter(facts, lambda f: F.regexp_like(passage, quote(f)))) >= F.ceil(F.size(facts) / 2)
+    """At least half of the facts, rounded up, occur on word boundaries in the passage; false without facts."""
+    quote = lambda f: F.concat(F.lit(r"(?i)(?<!\w)\Q"), F.replace(F.trim(f), F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?!\w)"))
+    hits = F.size(F.filter(facts, lambda f: (F.trim(f) != "") & F.regexp_like(passage, quote(f))))
+    return (F.size(facts) > 0) & (hits >= F.greatest(F.lit(1), F.floor((F.size(facts) + 1) / 2)))
 
 
 def valid_cases(cases: DataFrame) -> DataFrame:
-    """Cases (case_id, question, answer) with sane lengths, a question mark and an answer, one a question."""
-    q, a = F.trim(text_of("question")), F.trim(text_of("answer"))
-    good = F.length(q).between(15, 300) & q.endswith("?") & (F.length(a) >= 2) & ~F.lower(a).rlike(r"^(n/a|none|unknown|not (stated|given|mentioned))") & ~q.rlike(r"(?i)\bisbn\b")
-    one = Window.partitionBy(F.lower(q)).orderBy("case_id")
-    return cases.filter(good).withColumn("__r", F.row_number().over(one)).filter("__r = 1").drop("__r")
+    """Cases (case_id, kind, question, answer, facts array<string>, passage) that may be asked, one a question.
+
+    A question has 12 characters and ends in "?", an answer 8; answers that decline, questions about the book itself, math
+    cases without math and generic figure questions go. The first four facts must be grounded in the passage.
+    """
+
+    def plain(c):
+        for mark, letters in LIGATURES.items():
+            c = F.replace(c, F.lit(mark), F.lit(letters))
+        return F.trim(c)
+
+    q, a = plain(text_of("question")), plain(text_of("answer"))
+    facts = F.slice(F.filter(F.transform(F.coalesce("facts", F.array().cast("array<string>")), plain), lambda f: f != ""), 1, 4)
+    rows = cases.withColumns({"question": q, "answer": a, "facts": facts})
+    bare = F.trim(F.rtrim(F.lower("question"), F.lit("?")))
+    declines = F.lit(False)
+    for words in NO_ANSWER:
+        declines = declines | F.lower("answer").contains(words)
+    good = (F.length("question") >= 12) & F.col("question").endswith("?") & (F.length("answer") >= 8) & ~declines & ~F.col("question").rlike(META_QUESTION)
+    good = good & ((F.col("kind") != "math") | F.concat_ws(" ", "question", "answer").rlike(MATH)) & ((F.col("kind") != "figure") | ~bare.isin(GENERIC))
+    kept = rows.filter(good & grounded(F.col("facts"), text_of("passage")))
+    return kept.withColumn("__r", F.row_number().over(Window.partitionBy("question").orderBy("case_id"))).filter("__r = 1").drop("__r")
 
 
 def even_spread(papers: DataFrame, key: str, most: int = 25) -> DataFrame:

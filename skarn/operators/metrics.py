@@ -82,10 +82,23 @@ def token_f1(rows: DataFrame, key: str, empty_is_equal: bool) -> DataFrame:
 
 
 def set_f1(rows: DataFrame, key: str) -> DataFrame:
-    """(key, f1) on sets of lower-cased words; 0 when a side is empty."""
+    """(key, f1, evidence) of rows (key, prediction, reference, abstained, gold_page_found).
+
+    f1 goes by sets of lower-cased words. Without reference words an abstention is right and counts 1; else an empty side
+    counts 0. evidence is 1 where the gold page was found.
+    """
     words = lambda c: F.array_distinct(F.filter(F.split(F.lower(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != ""))
-    t = rows.select(key, words("prediction").alias("p"), words("reference").alias("r")).withColumn("n", F.size(F.array_intersect("p", "r")))
-    return t.select(key, F.coalesce(F.try_divide(2.0 * F.col("n"), F.size("p") + F.size("r")), F.lit(0.0)).alias("f1"))
+    flag = lambda c: F.coalesce(F.col(c).cast("boolean"), F.lit(False))
+    t = rows.select(key, words("prediction").alias("p"), words("reference").alias("r"), flag("abstained").alias("a"), flag("gold_page_found").alias("g"))
+    t = t.withColumn("n", F.size(F.array_intersect("p", "r")))
+    f1 = F.when((F.size("r") == 0) & F.col("a"), 1.0).otherwise(F.coalesce(F.try_divide(2.0 * F.col("n"), F.size("p") + F.size("r")), F.lit(0.0)))
+    return t.select(key, f1.alias("f1"), F.col("g").cast("int").alias("evidence"))
+
+
+def set_f1_means(scored: DataFrame) -> DataFrame:
+    """One row (answer_f1, evidence_recall) over set_f1(), both 0 without rows."""
+    mean = lambda c, name: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 4).alias(name)
+    return scored.agg(mean("f1", "answer_f1"), mean("evidence", "evidence_recall"))
 
 
 def clauses(text: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skarn.functions.text import has_any, number_cleaned, text_of
+from skarn.functions.text import four_digits, has_any, let, number_text, text_of
 
 # Cue patterns and budgets that decide routes and levels.
 CODE = r"\b(algorithm|pseudo-?code|code snippet|implementation|forward pass|pytorch|tensor|complexity|function|pseudocode|algorithm \d+|routine|subroutine)\b"
@@ -164,8 +164,8 @@ def _by(values: dict, column: str, other) -> Column:
 def prune_to_budget(nodes: DataFrame, max_blocks: int, max_tables: int, max_visuals: int) -> DataFrame:
     """Nodes (q_id, node_id, pos, modality, role, score) kept by role weight and score under quotas a modality.
 
-    A graph within all quotas stays as it is. Quotas are independent, so ranks a modality and then overall give what a
-    greedy walk gives.
+    A graph within all quotas stays as it is, in the order of pos; else step follows weight. Quotas are independent, so
+    ranks a modality and then overall give what a greedy walk gives.
     """
     w = Window.partitionBy("q_id")
     visual, tab = F.col("modality").isin("visual", "figure", "image"), F.col("modality") == "table"
@@ -176,7 +176,9 @@ def prune_to_budget(nodes: DataFrame, max_blocks: int, max_tables: int, max_visu
     n = n.withColumn("__fits", (F.col("__n") <= max_blocks) & (F.col("__t") <= max_tables) & (F.col("__v") <= max_visuals))
     n = n.withColumn("__r", F.row_number().over(Window.partitionBy("q_id", "__k").orderBy(*order)))
     quota = F.when(F.col("__k") == "table", max_tables).when(F.col("__k") == "visual", max_visuals).otherwise(2**31 - 1)
-    some = n.filter(F.col("__fits") | (F.col("__r") <= quota)).withColumn("step", F.row_number().over(Window.partitionBy("q_id").orderBy(*order)))
+    some = n.filter(F.col("__fits") | (F.col("__r") <= quota))
+    order = [F.when(F.col("__fits"), 0.0).otherwise(F.col("__p")).desc(), F.col("pos"), F.col("node_id")]
+    some = some.withColumn("step", F.row_number().over(Window.partitionBy("q_id").orderBy(*order)))
     return some.filter(F.col("__fits") | (F.col("step") <= max_blocks)).select(*nodes.columns, "step")
 
 
@@ -246,30 +248,64 @@ def sufficiency(query_tokens: Column, top_tokens: Column) -> Column:
 
 
 def numeric_plan(operation: Column, cells: Column) -> Column:
-    """struct<value, exact> of an operation over an array of table cells, in double precision after cleaning."""
-    v = F.filter(F.transform(cells, number_cleaned), lambda x: x.isNotNull())
-    n, a, b = F.size(v), F.get(v, F.lit(0)), F.get(v, F.lit(1))
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    value = (
-        F.when(n == 0, 0.0)
-        .when(operation == "difference", F.when(n >= 2, a - b).otherwise(a))
-        .when(operation == "percent_change", F.when((n >= 2) & (b != 0), F.try_divide(a - b, F.abs(b)) * 100).otherwise(0.0))
-        .when(operation == "ratio", F.when((n >= 2) & (b != 0), F.try_divide(a, b)).otherwise(0.0))
-        .when(operation == "sum", total)
-        .when(operation == "mean", F.try_divide(total, n))
-        .when(operation == "min", F.array_min(v))
-        .when(operation == "max", F.array_max(v))
-        .otherwise(0.0)
-    )
-    two = operation.isin("difference", "percent_change", "ratio")
-    exact = (n > 0) & F.when(two, (n >= 2) & ((operation == "difference") | (b != 0))).otherwise(operation.isin("sum", "mean", "min", "max"))
-    return F.struct(value.alias("value"), exact.alias("exact"))
-
-
-def table_lookup(markdown: Column, row_name: Column, column_name: Column) -> Column:
-    """The cell of a markdown table in the first row and column whose heads contain the names; null without."""
-    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x.startswith("|") & ~x.rlike(r"^\|[\s:|-]+\|$"))
-    cells = F.transform(lines, lambda x: F.transform(F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"), lambda x: F.trim(x)))
-    at = F.array_position(F.transform(F.get(cells, F.lit(0)), lambda h: F.lower(h).contains(F.lower(column_name))), F.lit(True))
-    rows = F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda r: F.lower(F.get(r, F.lit(0))).contains(F.lower(row_name)))
-    return F.when(at > 0, F.get(F.get(rows, F.lit(0)), (at - 1).cast("int")))
+    """struct<value, exact, formatted> of an operation over an array of table cells.
+
+    Cells are decimals of 26 and 12 digits, so sums and differences are exact; a number beyond them is taken as a double's
+    decimal. formatted holds the reason where there is no result.
+    """
+    decimal = lambda c: let(number_text(c), lambda x: F.coalesce(x.try_cast("decimal(38,12)"), x.try_cast("double").try_cast("decimal(38,12)")))
+    real = lambda c: c.cast("double")
+    two, divides = operation.isin("difference", "percent_change", "ratio"), operation.isin("percent_change", "ratio")
+
+    def result(v):
+        n, a, b = F.size(v), F.get(v, F.lit(0)), F.get(v, F.lit(1))
+        total = F.aggregate(v, F.lit("0").cast("decimal(38,12)"), lambda s, x: (s + x).cast("decimal(38,12)"))
+        value = (
+            F.when(n == 0, 0.0)
+            .when(operation == "difference", F.when(n >= 2, real(a - b)).otherwise(real(a)))
+            .when(operation == "percent_change", F.when((n >= 2) & (b != 0), F.try_divide(real(a - b), real(F.abs(b))) * 100).otherwise(0.0))
+            .when(operation == "ratio", F.when((n >= 2) & (b != 0), F.try_divide(real(a), real(b))).otherwise(0.0))
+            .when(operation == "sum", real(total))
+            .when(operation == "mean", F.try_divide(real(total), n))
+            .when(operation == "min", real(F.array_min(v)))
+            .when(operation == "max", real(F.array_max(v)))
+            .otherwise(0.0)
+        )
+        exact = (n > 0) & F.when(two, (n >= 2) & (~divides | (b != 0))).otherwise(operation.isin("sum", "mean", "min", "max"))
+        fault = F.when(n == 0, "N/A").when(two & (n < 2), "Error: Arity < 2").when(divides & (b == 0), "Undefined (division by zero)").when(~exact, "Unsupported")
+        return F.struct(value.alias("value"), exact.alias("exact"), fault.alias("fault"))
+
+    def told(r):
+        x = r["value"]
+        shown = F.when(operation == "percent_change", F.format_string("%.3f%%", x)).when(operation == "ratio", F.format_string("%.3fx", x)).otherwise(four_digits(x))
+        sign = F.when((x > 0) & operation.isin("difference", "percent_change"), "+").otherwise("")
+        return F.struct(x.alias("value"), r["exact"].alias("exact"), F.coalesce(r["fault"], F.concat(sign, shown)).alias("formatted"))
+
+    return let(let(F.filter(F.transform(cells, decimal), lambda x: x.isNotNull()), result), told)
+
+
+def table_arithmetic(markdown: Column, first: Column, second: Column, operation: Column, metric: Column) -> Column:
+    """numeric_plan() over the numbers of two entities of a markdown table; null unless both are found.
+
+    An entity's rows are those that name it anywhere, letter case aside. Its number is that of the column whose head
+    contains `metric`, else the first number after the first cell; the first such row that has one counts.
+    """
+    lines = F.filter(F.transform(F.split(markdown, "\n"), lambda x: F.trim(x)), lambda x: x.contains("|"))  # the first holds the heads
+    parts = lambda x: F.filter(F.transform(F.split(x, r"\|"), lambda c: F.trim(c)), lambda c: c != "")
+
+    def numbers(lines):
+        at = F.array_position(F.transform(parts(F.get(lines, F.lit(0))), lambda h: F.lower(h).contains(F.lower(metric))), F.lit(True))
+        at = F.when((metric != "") & (at > 0), at.cast("int") - 1)
+        body = F.filter(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda x: ~F.trim(F.replace(x, F.lit("|"), F.lit(""))).rlike("^[-:]*$"))
+
+        def of_row(cells):
+            rest = F.filter(F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0))), lambda c: number_text(c) != "")
+            return F.coalesce(F.get(F.filter(F.array(F.get(cells, at)), lambda c: number_text(c) != ""), F.lit(0)), F.get(rest, F.lit(0)))
+
+        def number(entity):
+            named = F.filter(body, lambda x: F.lower(x).contains(F.lower(entity)))
+            return F.get(F.filter(F.transform(named, lambda x: let(parts(x), of_row)), lambda c: c.isNotNull()), F.lit(0))
+
+        return F.filter(F.array(number(first), number(second)), lambda c: c.isNotNull())
+
+    return let(let(lines, numbers), lambda v: F.when(F.size(v) == 2, numeric_plan(operation, v)))

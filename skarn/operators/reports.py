@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as T
 from skarn.operators import metrics as M
+from skarn.operators.matching import phrase_hits
+from skarn.session import written
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -28,11 +30,34 @@ def citation_scores(citations: DataFrame, cases: DataFrame, hits: DataFrame) ->
     return rows.groupBy("case_id").agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce("good", F.lit(0))).alias("precision"), F.avg(F.coalesce("met", F.lit(0))).alias("page_accuracy"))
 
 
+def unique_keys(rows: DataFrame, key: list[str]) -> DataFrame:
+    """Rows as they are; the job that reads them fails when a key occurs twice."""
+    n = F.count(F.lit(1)).over(Window.partitionBy(*key))
+    said = F.concat(F.lit("repeated key: "), F.to_json(F.struct(*key)))
+    return rows.withColumn("__n", n).filter(F.when(F.col("__n") > 1, F.raise_error(said).cast("boolean")).otherwise(True)).drop("__n")
+
+
+def abstention_rates(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Rows (*by, abstained, answered_with_citation): n, the rates of abstentions and of answers to three digits, and
+    the number of answers that cite."""
+    g = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if("abstained").alias("k"), F.count_if("answered_with_citation").alias("fabricated_with_citation"))
+    rate = lambda c: F.round(c / F.col("n"), 3)
+    return g.select(*by, "n", rate(F.col("k")).alias("abstention_rate"), rate(F.col("n") - F.col("k")).alias("fabrication_rate"), "fabricated_with_citation")
+
+
+def parser_means(runs: DataFrame) -> DataFrame:
+    """Runs (config_id, ms_per_page, tables, sections, blocks, error) -> means to two digits of each configuration
+    over runs without an error; configurations without such a run are left out."""
+    mean = lambda c, name: F.round(F.avg(c), 2).alias(name)
+    good = runs.filter("error IS NULL")
+    return good.groupBy("config_id").agg(mean("ms_per_page", "mean_ms_per_page"), mean("tables", "mean_tables_extracted"), mean("sections", "mean_sections_extracted"), mean("blocks", "mean_evidence_blocks"))
+
+
 def scored_rows(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Rows (key columns, status, answerable, metric values map) times specs (metric, on_error, on_abstain,
     needs_answerable): one row a key and metric. Errors and abstentions take the spec's value, null keeps them out, and a
-    spec may ask for answerable or unanswerable cases only. specs is a short table of the caller's."""
-    both = rows.join(F.broadcast(specs))
+    spec may ask for answerable or unanswerable cases only. specs is a short table of the caller's. A repeated key fails."""
+    both = unique_keys(rows, M.KEY).join(F.broadcast(specs))
     value = F.when(F.col("status") == "ERROR", F.col("on_error")).when(F.col("status") == "ABSTAINED", F.col("on_abstain")).otherwise(F.try_element_at(F.col("values"), F.col("metric")))
     eligible = F.col("needs_answerable").isNull() | (F.col("needs_answerable") == F.col("answerable"))
     return both.select(*M.KEY, "status", "metric", F.when(eligible, value).alias("value"), F.lit(None).cast("long").alias("weight"))
@@ -313,23 +338,35 @@ def row_digest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("digest", F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).cast("binary"), 256))
 
 
-def unanswerable_controls(cases: DataFrame, papers: DataFrame, cap: int = 3, seed: int = 20260712) -> DataFrame:
-    """Cases (case_id, paper_id, fact), papers (paper_id, text): each case goes to a paper that lacks its fact, at most
-    `cap` a paper.
+def unanswerable_controls(cases: DataFrame, papers: DataFrame, cap: int = 3, seed: int = 20260712, bucket: int = 8) -> DataFrame:
+    """Cases (case_id, paper_id, fact), papers (paper_id, text), any number of texts a paper: (case_id, paper_id,
+    target): each case goes to another paper whose texts all lack its fact, at most `cap` a paper.
 
-    Candidates are all papers that lack the fact; instead of a walk that ends when a cap is full, each case ranks its
-    candidates by a seeded hash and rounds of proposals fill the papers, so cases are never compared on one machine.
+    In place of a walk that ends when a cap is full, papers lie in hashed buckets of about `bucket`, and a case proposes
+    to the first open paper that lacks its fact in the buckets it looks at; a paper takes proposals by a seeded hash. A
+    case without such a paper looks at twice as many buckets next. That ends when every case is placed or has seen all
+    papers, so a case stays out only if no open paper lacks its fact. Facts are looked up by phrase_hits(), not pair by pair.
     """
-    p = papers.select(F.col("paper_id").alias("target"), F.lower("text").alias("t"))
-    lacks = cases.join(p, (F.col("paper_id") != F.col("target")) & ~F.col("t").contains(F.lower("fact"))).select("case_id", "paper_id", "target")
-    left = lacks.withColumn("h", F.xxhash64(F.lit(seed), "case_id", "target"))
+    facts = cases.select("case_id", "paper_id", F.lower("fact").alias("fact"))
+    lower = papers.select(F.col("paper_id").alias("target"), F.lower("text").alias("t"))
+    held = written(phrase_hits(lower, "target", "t", facts, "fact").distinct(), "held-facts")
+    ids = papers.select(F.col("paper_id").alias("target")).distinct()
+    buckets = max(1, ids.count() // bucket)
+    dealt = written(ids.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "target"), F.lit(buckets)).cast("int")), "paper-buckets")
+    left = written(facts.withColumns({"lo": F.lit(0), "w": F.lit(1)}), "open-cases")
     taken = None
-    for _ in range(4):
-        first = left.withColumn("r", F.row_number().over(Window.partitionBy("case_id").orderBy("h", "target"))).filter("r = 1")
-        used = left.limit(0).groupBy("target").count() if taken is None else taken.groupBy("target").count()
-        room = first.join(used.withColumnRenamed("count", "used"), "target", "left").withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("h", "case_id")))
-        won = room.filter(F.col("k") + F.coalesce("used", F.lit(0)) <= cap).select("case_id", "paper_id", "target")
-        taken = won if taken is None else taken.unionByName(won)
-        full = taken.groupBy("target").count().filter(F.col("count") >= cap).select("target")
-        left = left.join(taken.select("case_id"), "case_id", "left_anti").join(full, "target", "left_anti")
-    return taken
+    while not left.isEmpty():
+        start = F.pmod(F.xxhash64(F.lit(seed), "case_id"), F.lit(buckets))
+        look = left.withColumn("step", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + F.col("w"), F.lit(buckets)) - 1)))
+        look = look.withColumn("b", F.pmod(start + F.col("step"), F.lit(buckets)).cast("int"))
+        seen = look.join(dealt, "b").filter(F.col("target") != F.col("paper_id")).join(held, ["target", "fact"], "left_anti")
+        used = dealt.select("target").withColumn("used", F.lit(0)) if taken is None else taken.groupBy("target").agg(F.count(F.lit(1)).cast("int").alias("used"))
+        room = seen.join(used, "target", "left").withColumn("used", F.coalesce("used", F.lit(0))).filter(F.col("used") < cap)
+        first = room.groupBy("case_id", "paper_id").agg(F.min(F.struct("step", F.xxhash64(F.lit(seed), "case_id", "target").alias("h"), "target", "used")).alias("x")).select("case_id", "paper_id", "x.h", "x.target", "x.used")
+        first = written(first.withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy("h", "case_id"))), "proposals")
+        won = first.filter(F.col("k") + F.col("used") <= cap).select("case_id", "paper_id", "target")
+        taken = written(won if taken is None else taken.unionByName(won), "placed-cases")
+        rest = left.join(won.select("case_id"), "case_id", "left_anti").join(first.select("case_id", F.lit(True).alias("saw")), "case_id", "left")
+        wide = rest.select("case_id", "paper_id", "fact", F.when(F.col("saw"), F.col("lo")).otherwise(F.col("lo") + F.col("w")).alias("lo"), F.when(F.col("saw"), F.col("w")).otherwise(2 * F.col("w")).alias("w"))
+        left = written(wide.filter(F.col("lo") < buckets), "open-cases")
+    return taken if taken is not None else facts.select("case_id", "paper_id", F.col("paper_id").alias("target")).limit(0)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import tokenize
+from skarn.session import written
 
 K1, B = 1.4, 0.72
 RRF_K = 60
@@ -20,30 +21,40 @@ def term_counts(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     return rows.select(key, F.explode(tokens).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, tokens=tokenize, k1: float = K1, b: float = B) -> DataFrame:
-    """(q_id, doc_id, score) for pairs that share a term.
+def postings(docs: DataFrame, queries: DataFrame, tokens=tokenize) -> DataFrame:
+    """(doc_id, dl, term, tf) of the documents' terms that a query has, and for each document a row of the empty term.
 
-    Postings are reduced to the query terms by a semi-join before anything else, so the corpus is tokenised once and
-    only matching postings are shuffled. Corpus size and mean length are one row.
+    The corpus is tokenised once and this table is written: bm25() and keyword_overlap() read it as often as they need.
+    Only matching terms are shuffled, by document; dl is the document's number of tokens.
     """
-    tokenized = docs.select("doc_id", tokens("text").alias("t")).withColumn("dl", F.size("t"))
-    stats = docs.select(F.size(tokens("text")).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    wanted = term_counts(queries, "q_id", tokens("text")).withColumnRenamed("tf", "qtf")
-    terms = wanted.select("term").distinct()
-    postings = tokenized.select("doc_id", "dl", F.explode("t").alias("term")).join(terms, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    scored = wanted.join(df, "term").join(postings, "term").join(F.broadcast(stats))  # stats: one row
+    terms = queries.select(F.explode(tokens("text")).alias("term")).distinct().unionByName(docs.sparkSession.createDataFrame([("",)], "term string"))
+    each = docs.select("doc_id", tokens("text").alias("t")).select("doc_id", F.size("t").alias("dl"), F.explode(F.array_append("t", F.lit(""))).alias("term"))
+    return written(each.join(terms, "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, tokens=tokenize, k1: float = K1, b: float = B, table: DataFrame | None = None) -> DataFrame:
+    """(q_id, doc_id, score) for pairs that share a term. table: postings() of the same docs and queries, if at hand.
+
+    Postings are dealt by document before they meet the queries' terms, so where those are small enough to be broadcast
+    the sums need no shuffle of pairs, and a following top_k() limits each partition first.
+    """
+    post = table if table is not None else postings(docs, queries, tokens)
+    stats = post.filter("term = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    real = post.filter("term <> ''")
+    df = real.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    weights = term_counts(queries, "q_id", tokens("text")).join(df, "term").join(F.broadcast(stats))  # stats: one row
+    weights = weights.select("q_id", "term", "avgdl", (F.col("tf") * idf).alias("w"))
     norm = k1 * (1 - b + b * F.col("dl") / F.greatest(F.col("avgdl"), F.lit(1.0)))
-    part = F.col("qtf") * idf * (F.col("tf") * (k1 + 1)) / (F.col("tf") + norm)
-    return scored.groupBy("q_id", "doc_id").agg(F.sum(part).alias("score"))
+    part = F.col("w") * (F.col("tf") * (k1 + 1)) / (F.col("tf") + norm)
+    return real.repartition("doc_id").join(weights, "term").groupBy("q_id", "doc_id").agg(F.sum(part).alias("score"))
 
 
-def keyword_overlap(docs: DataFrame, queries: DataFrame, tokens=tokenize) -> DataFrame:
-    """(q_id, doc_id, score): shared distinct tokens over the query's distinct tokens."""
-    q = queries.select("q_id", F.array_distinct(tokens("text")).alias("t"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokens("text"))).alias("term"))
-    shared = q.select("q_id", F.size("t").alias("n"), F.explode("t").alias("term")).join(d, "term")
+def keyword_overlap(docs: DataFrame, queries: DataFrame, tokens=tokenize, table: DataFrame | None = None) -> DataFrame:
+    """(q_id, doc_id, score): shared distinct tokens over the query's distinct tokens. table: as for bm25()."""
+    post = table if table is not None else postings(docs, queries, tokens)
+    q = queries.select("q_id", F.array_distinct(tokens("text")).alias("t")).select("q_id", F.size("t").alias("n"), F.explode("t").alias("term"))
+    shared = post.filter("term <> ''").select("doc_id", "term").repartition("doc_id").join(q, "term")
     return shared.groupBy("q_id", "doc_id").agg((F.count(F.lit(1)) / F.max("n")).alias("score"))
 
 
@@ -83,25 +94,28 @@ def cosine(queries: DataFrame, vectors: DataFrame, block: int = 4096) -> DataFra
     The query set is stated by the caller and goes in blocks of `block` rows, each small enough to broadcast
     (block * dimension * 4 bytes), against the vectors, which stay where they are.
     """
-    n = queries.count()
-    blocks = max(1, -(-n // block))
     q = queries.select(F.col("doc_id").alias("q_id"), F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
     v = vectors.withColumn("vn", norm(F.col("vector")))
+    sim = F.when((F.col("vn") > 0) & (F.col("qn") > 0), dot(F.col("vector"), F.col("qv")) / (F.col("vn") * F.col("qn"))).otherwise(F.lit(0.0))
+    return _against(q, v, block).select("q_id", "doc_id", F.greatest(sim, F.lit(0.0)).alias("score"))
+
+
+def _against(queries: DataFrame, rows: DataFrame, block: int) -> DataFrame:
+    """rows (doc_id, ...) beside every query (q_id, ...) of another id, queries broadcast in blocks of about `block` rows."""
+    blocks = max(1, -(-queries.count() // block))
     out = None
     for i in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)
-        pairs = v.join(F.broadcast(part), F.col("doc_id") != F.col("q_id"))
-        sim = F.when((F.col("vn") > 0) & (F.col("qn") > 0), dot(F.col("vector"), F.col("qv")) / (F.col("vn") * F.col("qn"))).otherwise(F.lit(0.0))
-        one = pairs.select("q_id", "doc_id", F.greatest(sim, F.lit(0.0)).alias("score"))
-        out = one if out is None else out.unionByName(one)
+        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)
+        pairs = rows.join(F.broadcast(part), F.col("doc_id") != F.col("q_id"))
+        out = pairs if out is None else out.unionByName(pairs)
     return out
 
 
-def maxsim(queries: DataFrame, pages: DataFrame) -> DataFrame:
+def maxsim(queries: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
     """Late interaction. queries (q_id, tokens array<array>), pages (doc_id, patches array<array>): mean over
-    query tokens of the best patch."""
+    query tokens of the best patch. Queries go in blocks of `block` rows, as in cosine()."""
     best = lambda t: F.array_max(F.transform("patches", lambda p: dot(t, p)))
-    pairs = pages.join(F.broadcast(queries), F.col("doc_id") != F.col("q_id"))
+    pairs = _against(queries, pages, block)
     return pairs.select("q_id", "doc_id", (F.aggregate(F.transform("tokens", best), F.lit(0.0), lambda s, x: s + x) / F.size("tokens")).alias("score"))
 
 
@@ -124,9 +138,11 @@ def rank_prior(rank: Column, most: float) -> Column:
     return F.when(rank > 0, F.least(F.lit(most), most / F.sqrt(rank.cast("double")))).otherwise(0.0)
 
 
+# Cue words of the reranker, and stop words of bridges.
 COMPARATIVE_WORDS = "outperform|crossover|tradeoff|trade-off|threshold|input context|context length|scaling|better|degrade|versus|vs"
 RESULT_SECTIONS = "result|observation|evaluation|discussion|scaling"
 CAPTION_WORDS = "comparison|scaling|degrade|performance|score|versus|vs"
+BRIDGE_STOP = "this that with from were been have more also then into their paper section model".split()
 
 
 def heuristic_rerank(rows: DataFrame) -> DataFrame:
@@ -178,8 +194,6 @@ def bridge_edges(nodes: DataFrame) -> DataFrame:
     return counted.withColumn("weight", F.least(F.lit(1.0), F.col("shared") / 5.0))
 
 
-BRIDGE_STOP = "this that with from were been have more also then into their paper section model".split()
-
 
 def merge_unique(primary: DataFrame, secondary: DataFrame, key: str, order: str, limit: int) -> DataFrame:
     """Primary rows, then secondary ones, first of each key, at most `limit`."""

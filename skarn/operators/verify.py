@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.text import NUMBER, STRUCTURAL_NUMBER, all_matches, is_disclaimer, tokenize
@@ -18,6 +18,8 @@ SUPPORT_STOP = (
     "again further once here there all any each few more most other some only own same too very can will should now it its we they their are was were been being "
     "have has had having do does did doing would could"
 ).split()
+CLAUSE = r"\s*;\s*|,?\s+(?:and|but|while|whereas|although|however)\s+"
+ABSTENTION = "The paper does not provide sufficient evidence to answer this question."
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "fig.", "eq.", "dr.", "mr.", "mrs.", "vs.")
 SUPPORTED, PARTIAL = 0.50, 0.25
 
@@ -84,15 +86,16 @@ def claims_of(answer: str | None) -> list[dict]:
             start = base + a + line[a:b].index(text)
             plain = re.sub(r"^\s*(?:[-*+]\s+|\d+[.)]\s+)", "", cite.sub("", text)).strip()
             refs = [r.upper() for m in cite.finditer(text) for r in ref.findall(m[0])]
-            found.append({"claim_id": f"C{len(found) + 1}", "text": text, "start": start, "end": start + len(text), "normalized": plain, "references": refs})
+            marks = [{"start": start + m.start(), "end": start + m.end()} for m in cite.finditer(text)]
+            found.append({"claim_id": f"C{len(found) + 1}", "text": text, "start": start, "end": start + len(text), "normalized": plain, "references": refs, "markers": marks})
     return found
 
 
-CLAIM = "array<struct<claim_id:string,text:string,start:int,end:int,normalized:string,references:array<string>>>"
+CLAIM = "array<struct<claim_id:string,text:string,start:int,end:int,normalized:string,references:array<string>,markers:array<struct<start:int,end:int>>>>"
 
 
-def parse_claims(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """One row a claim of each answer: (key, claim_id, text, start, end, normalized, references, claim_type).
+def parse_claims(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """One row a claim of each answer: (*keys, claim_id, text, start, end, normalized, references, markers, claim_type).
 
     The parser is a character automaton, so it runs as one Arrow-batched function over the answers.
     """
@@ -101,47 +104,149 @@ def parse_claims(rows: DataFrame, key: str, text: str) -> DataFrame:
     def parse(column):
         return column.map(claims_of)
 
-    each = rows.select(key, F.explode(parse(F.col(text))).alias("c")).select(key, "c.*")
+    each = rows.select(*keys, F.explode(parse(F.col(text))).alias("c")).select(*keys, "c.*")
     return each.withColumn("claim_type", F.when(is_disclaimer("normalized"), "disclaimer").otherwise("factual"))
 
 
-def resolve(claims: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """evidence (key, ref, ord, text) of each claim by its markers: (key, claim_id, refs, evidence)."""
-    alias = evidence.withColumn("alias", F.explode(F.array(F.upper("ref"), F.regexp_replace(F.upper("ref"), "^E_?", "")))).dropDuplicates([key, "alias"])
-    cited = claims.select(key, "claim_id", F.posexplode("references").alias("p", "alias")).groupBy(key, "claim_id", "alias").agg(F.min("p").alias("p"))
-    hit = cited.join(alias, [key, "alias"]).groupBy(key, "claim_id", "ref", "text").agg(F.min("p").alias("p"))
-    ordered = hit.groupBy(key, "claim_id").agg(F.sort_array(F.collect_list(F.struct("p", "ref", "text"))).alias("e"))  # one claim's own citations
-    return ordered.select(key, "claim_id", F.transform("e", lambda x: x["ref"]).alias("refs"), F.array_join(F.transform("e", lambda x: x["text"]), " ").alias("evidence"))
-
-
-def verification_report(labelled: DataFrame, key: str) -> DataFrame:
-    """counts, precision and unsupported rate an answer; abstains when nothing is supported."""
-    n = F.count(F.lit(1))
-    is_label = lambda *names: F.count_if(F.col("label").isin(*names))
-    return labelled.groupBy(key).agg(
-        n.alias("total_claims"),
-        is_label("SUPPORTED").alias("supported_claims"),
-        is_label("PARTIAL", "UNSUPPORTED", "CONTRADICTED").alias("unsupported_claims"),
-        (is_label("SUPPORTED") / n).alias("citation_precision"),
-        (is_label("PARTIAL", "UNSUPPORTED", "CONTRADICTED") / n).alias("unsupported_claim_rate"),
-        (is_label("SUPPORTED", "PARTIAL") == 0).alias("abstain"),
-    )
+def resolve(claims: DataFrame, evidence: DataFrame, keys: list[str], scope: str) -> DataFrame:
+    """evidence (scope, ref, ord, text) that a claim's markers name: (*keys, claim_id, refs, evidence).
+
+    scope is the one of keys that says whose evidence an answer may cite.
+    """
+    alias = evidence.withColumn("alias", F.explode(F.array(F.upper("ref"), F.regexp_replace(F.upper("ref"), "^E_?", "")))).dropDuplicates([scope, "alias"])
+    cited = claims.select(*keys, "claim_id", F.posexplode("references").alias("p", "alias")).groupBy(*keys, "claim_id", "alias").agg(F.min("p").alias("p"))
+    hit = cited.join(alias.select(scope, "alias", "ref", F.col("text").alias("said")), [scope, "alias"]).groupBy(*keys, "claim_id", "ref", "said").agg(F.min("p").alias("p"))
+    ordered = hit.groupBy(*keys, "claim_id").agg(F.sort_array(F.collect_list(F.struct("p", "ref", "said"))).alias("e"))  # one claim's own citations
+    return ordered.select(*keys, "claim_id", F.transform("e", lambda x: x["ref"]).alias("refs"), F.array_join(F.transform("e", lambda x: x["said"]), " ").alias("evidence"))
+
+
+def labelled(claims: DataFrame, evidence: DataFrame, keys: list[str], scope: str) -> DataFrame:
+    """claims with refs, evidence, label and confidence; what is no factual claim needs no evidence."""
+    found = claims.join(resolve(claims, evidence, keys, scope), [*keys, "claim_id"], "left")
+    found = found.withColumns({"evidence": F.coalesce("evidence", F.lit("")), "refs": F.coalesce("refs", F.array().cast("array<string>"))})
+    free = F.struct(F.lit("SUPPORTED").alias("label"), F.lit(1.0).alias("confidence"))
+    return found.withColumn("s", F.when(F.col("claim_type") != "factual", free).otherwise(support(F.col("text"), F.col("evidence")))).select("*", "s.*").drop("s")
+
 
+def verification_report(answers: DataFrame, claims: DataFrame, keys: list[str], gold: DataFrame | None = None) -> DataFrame:
+    """F5/F10 of every answer, those without claims too, from labelled() claims.
 
-def remap(claims: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
-    """for unsupported claims (key, claim_id, normalized, refs) the best unused evidence of the same answer."""
-    pairs = claims.join(evidence, key).filter(~F.array_contains("refs", F.col("ref")))
-    scored = pairs.withColumn("s", support(F.col("normalized"), F.col("text")))
-    order = Window.partitionBy(key, "claim_id").orderBy(F.col("s.confidence").desc(), "ord", "ref")
-    return scored.filter("s.label IN ('SUPPORTED', 'PARTIAL')").withColumn("r", F.row_number().over(order)).filter("r = 1").select(key, "claim_id", F.col("ref").alias("new_ref"), "s.label", "s.confidence")
+    The counts of labels and abstains (factual claims, none SUPPORTED) go by factual claims; precision, recall, F1 and the
+    unsupported rate by all. Recall is the share of gold (*keys, ref) that is cited; without gold 1 when anything is
+    supported, else 0. Without claims they are 1, 1, 1 and 0.
+    """
+    fact = F.col("claim_type") == "factual"
+    of = lambda name: F.count_if(fact & (F.col("label") == name))
+    n = claims.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("total_claims"),
+        F.count_if(fact).alias("factual_claims"),
+        *[of(x).alias(f"{x.lower()}_count") for x in ("SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED")],
+        F.count_if(F.col("label") == "SUPPORTED").alias("supported_claims"),
+    )
+    counts = [c for c in n.columns if c not in keys]
+    r = answers.select(*keys).join(n, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    recall = F.when(F.col("supported_claims") > 0, 1.0).otherwise(0.0)
+    if gold is not None:
+        cited = claims.select(*keys, F.explode("refs").alias("ref")).distinct().withColumn("hit", F.lit(1))
+        met = gold.select(*keys, "ref").distinct().join(cited, [*keys, "ref"], "left").groupBy(*keys).agg((F.count("hit") / F.count(F.lit(1))).alias("share"))
+        r = r.join(met, keys, "left")
+        recall = F.coalesce("share", recall)
+    none = F.col("total_claims") == 0
+    r = r.withColumns({"citation_precision": F.when(none, 1.0).otherwise(F.try_divide("supported_claims", "total_claims")), "citation_recall": F.when(none, 1.0).otherwise(recall)})
+    both = F.col("citation_precision") + F.col("citation_recall")
+    return r.select(
+        *keys,
+        *counts,
+        "citation_precision",
+        "citation_recall",
+        F.when(both > 0, 2 * F.col("citation_precision") * F.col("citation_recall") / both).otherwise(0.0).alias("citation_f1"),
+        (1 - F.col("citation_precision")).alias("unsupported_claim_rate"),
+        (F.col("partial_count") + F.col("unsupported_count") + F.col("contradicted_count") == 0).alias("overall_supported"),
+        ((F.col("factual_claims") > 0) & (F.col("supported_count") == 0)).alias("abstains"),
+    )
 
 
-def narrow(claims: DataFrame, key: str) -> DataFrame:
-    """the longest supported piece of a claim cut at ; and but while whereas although."""
-    parts = F.transform(F.split("normalized", r"(?i)\s*;\s*|,?\s+(?:and|but|while|whereas|although)\s+"), lambda x: F.trim(x))
-    each = claims.select(key, "claim_id", "evidence", F.posexplode(parts).alias("p", "piece")).withColumn("s", support(F.col("piece"), F.col("evidence")))
-    order = Window.partitionBy(key, "claim_id").orderBy(F.length("piece").desc(), "p")
-    return each.filter("s.label = 'SUPPORTED' AND length(piece) > 0").withColumn("r", F.row_number().over(order)).filter("r = 1").select(key, "claim_id", "piece")
+def with_marker(text: Column, ref: Column) -> Column:
+    """text with one marker [ref]: in place of its first citation, the others go; without one before its final mark."""
+    marker = F.concat(F.lit("["), F.regexp_replace(ref, "(?i)^E_?", ""), F.lit("]"))
+    parts = F.split(text, "(?i)" + CITATION)
+    ends = text.rlike("[.!?]$")
+    body = F.rtrim(F.when(ends, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text))
+    rest = F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), "")
+    return F.when(F.size(parts) > 1, F.concat(parts[0], marker, rest)).otherwise(F.concat(body, F.lit(" "), marker, F.when(ends, F.right(text, F.lit(1))).otherwise("")))
+
+
+def remap(claims: DataFrame, evidence: DataFrame, keys: list[str], scope: str) -> DataFrame:
+    """for UNSUPPORTED claims the evidence they don't cite that supports them best, if any does at least in part:
+    (*keys, claim_id, new_ref, label, confidence, remapped)."""
+    due = claims.filter("label = 'UNSUPPORTED' AND claim_type = 'factual'").select(*keys, "claim_id", F.col("text").alias("claim"), "refs")
+    pairs = due.join(evidence, scope).filter(~F.array_contains("refs", F.col("ref"))).withColumn("s", support(F.col("claim"), F.col("text")))
+    best = F.max_by(F.struct("ref", "s", "claim"), F.struct(F.col("s.confidence"), -F.col("ord"), "ref")).alias("x")
+    one = pairs.filter("s.label IN ('SUPPORTED', 'PARTIAL')").groupBy(*keys, "claim_id").agg(best)
+    return one.select(*keys, "claim_id", F.col("x.ref").alias("new_ref"), "x.s.label", "x.s.confidence", with_marker(F.col("x.claim"), F.col("x.ref")).alias("remapped"))
+
+
+def narrow(claims: DataFrame, keys: list[str]) -> DataFrame:
+    """the longest clause of a PARTIAL claim, with its markers and final mark, that its evidence supports at least in
+    part: (*keys, claim_id, piece). Clauses end at ; and but while whereas although however; the whole claim is none."""
+    due = claims.filter("label = 'PARTIAL' AND claim_type = 'factual' AND size(refs) > 0")
+    bare = F.regexp_replace("text", "(?i)" + CITATION, "")
+    marks = F.array_join(F.regexp_extract_all("text", F.lit("(?i)(" + CITATION + ")"), F.lit(1)), "")
+    rows = due.select(*keys, "claim_id", "evidence", bare.alias("bare"), marks.alias("marks"))
+    rows = rows.withColumn("final", F.regexp_extract("bare", "[.!?]$", 0)).withColumn("body", F.substring("bare", F.lit(1), F.length("bare") - F.length("final")))
+    pieces = F.transform(F.split("body", CLAUSE), lambda x: F.regexp_replace(x, "[ ,;]+$", ""))
+    pieces = F.filter(pieces, lambda x: (F.trim(x) != "") & (F.trim(x) != F.trim("body")))
+    marked = lambda x: F.when(F.col("marks") == "", x).otherwise(F.concat(F.rtrim(x), F.lit(" "), F.col("marks")))
+    each = rows.select(*keys, "claim_id", "evidence", F.posexplode(F.transform(pieces, lambda x: F.when(F.col("final") == "", marked(x)).otherwise(F.concat(F.rtrim(marked(x)), F.col("final"))))).alias("p", "piece"))
+    kept = each.withColumn("s", support(F.col("piece"), F.col("evidence"))).filter("s.label IN ('SUPPORTED', 'PARTIAL')")
+    return kept.groupBy(*keys, "claim_id").agg(F.max_by("piece", F.struct(F.length("piece"), -F.col("p"))).alias("piece"))
+
+
+def repair(answers: DataFrame, evidence: DataFrame, keys: list[str], scope: str, abstain: bool = True) -> DataFrame:
+    """answers (*keys, answer, mode) repaired against evidence (scope, ref, ord, text) and verified again:
+    (*keys, mode, final_answer, n_edits, abstained, reverified).
+
+    Mode NONE changes nothing. CITATION_REMAP_ONLY gives UNSUPPORTED claims the evidence of remap(). SELECTIVE does so too
+    and deletes those without; it deletes CONTRADICTED claims, narrows PARTIAL ones, which stay when they can't be
+    narrowed, and takes the markers from what makes no claim. An answer that had factual claims and keeps none that is
+    SUPPORTED or PARTIAL becomes ABSTENTION, one edit, if abstain is set.
+    """
+    first = labelled(parse_claims(answers.select(*keys, "mode", "answer"), [*keys, "mode"], "answer"), evidence, [*keys, "mode"], scope).drop("normalized")
+    names = [*keys, "mode", "claim_id"]
+    moved = remap(first.filter("mode <> 'NONE'"), evidence, [*keys, "mode"], scope).select(*names, "remapped")
+    cut = narrow(first.filter("mode = 'SELECTIVE'"), [*keys, "mode"])
+    rows = first.filter("mode <> 'NONE'").join(moved, names, "left").join(cut, names, "left")
+    fact, all_of_it = F.col("claim_type") == "factual", F.col("mode") == "SELECTIVE"
+    new = (
+        F.when((F.col("label") == "PARTIAL") & all_of_it, F.coalesce("piece", "text"))
+        .when(F.col("label") == "UNSUPPORTED", F.coalesce("remapped", F.when(all_of_it, "").otherwise(F.col("text"))))
+        .when((F.col("label") == "CONTRADICTED") & all_of_it, "")
+        .otherwise(F.col("text"))
+    )
+    one = lambda a, b, c: F.struct(a.alias("start"), b.alias("end"), c.alias("new"))
+    blank = lambda m: F.substring("text", m["start"] - F.col("start"), F.lit(1)).rlike(r"^\s$") & (m["start"] > F.col("start"))
+    bare = F.transform("markers", lambda m: one(m["start"] - F.when(blank(m), 1).otherwise(0), m["end"], F.lit("")))
+    none = F.array().cast("array<struct<start:int,end:int,new:string>>")
+    edits = F.when(~fact, F.when(all_of_it, bare).otherwise(none)).when(new == F.col("text"), none).otherwise(F.array(one(F.col("start"), F.col("end"), new)))
+    by_answer = rows.groupBy(*keys, "mode").agg(F.flatten(F.collect_list(edits)).alias("edits"))  # one answer's claims
+    done = answers.join(by_answer, [*keys, "mode"], "left").withColumn("edits", F.coalesce("edits", none))
+    text = apply_edits(F.col("answer"), F.col("edits"))
+    tidy = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*[-*+]\s*$\n?", ""), r"\n{3,}", "\n\n")
+    tidy = F.regexp_replace(tidy, r"^\s+|\s+$", "")
+    done = done.withColumn("final", F.when(text == F.col("answer"), F.col("answer")).otherwise(tidy))
+    second = labelled(parse_claims(done.select(*keys, "mode", "final"), [*keys, "mode"], "final"), evidence, [*keys, "mode"], scope)
+    had = first.groupBy(*keys, "mode").agg(F.count_if(fact).alias("had"))
+    has = second.groupBy(*keys, "mode").agg(F.count_if(fact & F.col("label").isin("SUPPORTED", "PARTIAL")).alias("has"))
+    rows = done.join(had, [*keys, "mode"], "left").join(has, [*keys, "mode"], "left").withColumns({"had": F.coalesce("had", F.lit(0)), "has": F.coalesce("has", F.lit(0))})
+    gives_up = (F.col("mode") != "NONE") & (F.col("had") > 0) & (F.col("has") == 0) & F.lit(abstain)
+    return rows.select(
+        *keys,
+        "mode",
+        F.when(gives_up, ABSTENTION).otherwise(F.col("final")).alias("final_answer"),
+        F.when(gives_up, 1).otherwise(F.size("edits")).cast("long").alias("n_edits"),
+        gives_up.alias("abstained"),
+        ((F.col("mode") != "NONE") & (F.col("has") > 0)).alias("reverified"),
+    )
 
 
 def apply_edits(text: Column, edits: Column) -> Column:

@@ -88,7 +88,7 @@ def merge_figures(spark, sf_dir):
 @query(
     "layout_blocks",
     r"""WITH b AS (SELECT doc_id AS paper_id, unnest(x) AS t, generate_subscripts(x, 1) AS n FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM documents)), s AS (SELECT paper_id, n, trim(t) AS t FROM b WHERE length(trim(t)) >= 10),
-    h AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:\d+(?:\.\d+)*\.?\s+)?[A-Z][A-Za-z\s\-]{3,60}$') AND length(t) <= 80 THEN t END AS h FROM s),
+    h AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:[0-9]+(?:[.][0-9]+)*|[A-Z][a-z]+)\s+[A-Z]') AND length(t) < 80 THEN t END AS h FROM s),
     w AS (SELECT *, coalesce(last_value(h IGNORE NULLS) OVER (PARTITION BY paper_id ORDER BY n), 'Body') AS section, lead(n) OVER (PARTITION BY paper_id ORDER BY n) AS nx FROM h)
     SELECT paper_id, count(*) AS n_blocks, count(*) FILTER (contains(t, '|') OR contains(t, chr(9)) OR contains(left(t, 15), 'Table ')) AS n_tables, count(DISTINCT section) AS n_sections, count(nx) AS n_next FROM w GROUP BY 1""",
 )
@@ -97,13 +97,21 @@ def layout_blocks(spark, sf_dir):
     return C.layout_blocks(d).groupBy("paper_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.count_if("is_table").alias("n_tables"), F.countDistinct("section").alias("n_sections"), F.count("next").alias("n_next"))
 
 
+def _first_pages(spark, sf_dir):
+    """Pages with a head: every text behind a title, an author mark and an abstract that an introduction ends in one of two."""
+    p = _pages(spark, sf_dir)
+    end = F.when(F.col("page") % 2 == 0, " 1 Introduction and ever more").otherwise("")
+    return p.select("paper_id", "page", F.concat(F.lit("A study of\n  "), "paper_id", F.lit(" documents\nAuthor list\n ABSTRACT  "), "text", end).alias("text"))
+
+
 @query(
     "inferred_metadata",
-    r"""WITH f AS (SELECT source AS paper_id, min_by(text, doc_id) AS t FROM documents GROUP BY 1), x AS (SELECT paper_id, trim(regexp_extract(t, '^\s*([^\n]+)', 1)) AS ti, trim(regexp_replace(regexp_extract(t, '(?is)\babstract\b[:.\s-]*(.+)', 1), '\s+', ' ', 'g')) AS ab FROM f)
-    SELECT paper_id, CASE WHEN length(ti) BETWEEN 12 AND 220 THEN ti END AS title, left(ab, 1800) AS abstract FROM x""",
+    r"""WITH f AS (SELECT source AS paper_id, min_by(text, doc_id) AS t, min(doc_id) AS d FROM documents GROUP BY 1), x AS (SELECT paper_id, trim(regexp_replace(t, '\s+', ' ', 'g')) AS t FROM f),
+    y AS (SELECT *, trim(regexp_extract(t || ' 1 Introduction', '(?i)^(.*?)(?:\b1\s+introduction\b|\bintroduction\b|\bkeywords\b)', 1)) AS ab FROM x)
+    SELECT paper_id, 'A study of ' || paper_id || ' documents' AS title, CASE WHEN ab = '' THEN 'Custom PDF uploaded for local study.' ELSE left(ab, 1800) END AS abstract FROM y""",
 )
 def inferred_metadata(spark, sf_dir):
-    return C.inferred_metadata(_pages(spark, sf_dir))
+    return C.inferred_metadata(_first_pages(spark, sf_dir))
 
 
 @query(
@@ -116,9 +124,24 @@ def figure_captions(spark, sf_dir):
     return C.figure_captions(_pages(spark, sf_dir))
 
 
-@query("bibliography")
+@query(
+    "bibliography",
+    r"""WITH p AS (SELECT source, doc_id, text, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r, substr(source, 4) AS k FROM documents),
+    t AS (SELECT source, k, string_agg(text || chr(10) || CASE WHEN CAST(k AS INT) % 2 = 0 THEN '[' || (doc_id % 100) || '] Numbered entry of page ' || doc_id || chr(10) || (doc_id % 100 + 1) || '. Another entry' ELSE 'Writer, A. B. (2019). Long title of page ' || doc_id || '.' END, ' ' ORDER BY doc_id) AS t FROM p WHERE r <= 6 GROUP BY 1, 2),
+    n AS (SELECT source, unnest(regexp_extract_all(t, '(?m)^\s*\[?(\d{1,3})\]?[.\s]+([A-Z].{8,})', 1)) AS number, unnest(regexp_extract_all(t, '(?m)^\s*\[?(\d{1,3})\]?[.\s]+([A-Z].{8,})', 2)) AS x, generate_subscripts(regexp_extract_all(t, '(?m)^\s*\[?(\d{1,3})\]?[.\s]+([A-Z].{8,})', 2), 1) AS i FROM t),
+    o AS (SELECT source, CAST(number AS INT) AS number, min_by(left(x, 120), i) AS reference FROM n GROUP BY 1, 2),
+    few AS (SELECT t.source, t, (SELECT count(*) FROM o WHERE o.source = t.source) AS c FROM t),
+    y AS (SELECT source, unnest(regexp_extract_all(t, '([A-Z][a-z]+(?:,\s+[A-Z]\.?)+.*?\(\d{4}\)[.,]\s+)([A-Z][^.]{10,}\.)', 2)) AS x, generate_subscripts(regexp_extract_all(t, '([A-Z][a-z]+(?:,\s+[A-Z]\.?)+.*?\(\d{4}\)[.,]\s+)([A-Z][^.]{10,}\.)', 2), 1) AS i FROM few WHERE c = 0)
+    SELECT source AS paper_id, number, reference FROM o UNION ALL SELECT source, CAST(2 * i - 1 AS INT), left(x, 120) FROM y""",
+)
 def bibliography(spark, sf_dir):
-    return C.bibliography(_pages(spark, sf_dir))
+    """Sources of an even number have numbered references at the end of each page, the others author-year ones."""
+    p = _pages(spark, sf_dir)
+    n = F.col("page") % 100
+    numbered = F.concat(F.lit("["), n.cast("string"), F.lit("] Numbered entry of page "), F.col("page").cast("string"), F.lit("\n"), (n + 1).cast("string"), F.lit(". Another entry"))
+    named = F.concat(F.lit("Writer, A. B. (2019). Long title of page "), F.col("page").cast("string"), F.lit("."))
+    entry = F.when(F.substring("paper_id", 4, 10).cast("int") % 2 == 0, numbered).otherwise(named)
+    return C.bibliography(p.select("paper_id", "page", F.concat("text", F.lit("\n"), entry).alias("text")))
 
 
 @query("even_spread", "WITH k AS (SELECT DISTINCT source FROM documents), n AS (SELECT greatest(1, count(*) // 25) AS s FROM k) SELECT source FROM (SELECT source, row_number() OVER (ORDER BY source) - 1 AS r FROM k), n WHERE r % s = 0 AND r < 25 * s")
@@ -126,16 +149,31 @@ def even_spread(spark, sf_dir):
     return C.even_spread(table(spark, sf_dir, "documents"), "source")
 
 
+_CASE_ENDS = ["?", ".", " does?", "?"]
+_CASE_ANSWERS = ["it is {p}, the gradient", "Not explicitly stated", "short", "the value of {p} is known", "This does not mention it", "it is {p} in steel"]
+
+
 @query(
     "valid_cases",
-    r"""WITH c AS (SELECT p_partkey AS case_id, p_name || CASE WHEN p_size % 4 = 0 THEN '' ELSE ' what?' END AS q, CASE WHEN p_size % 7 = 0 THEN 'N/A' ELSE p_brand END AS a FROM part)
-    SELECT min(case_id) AS case_id, lower(trim(q)) AS question FROM c WHERE length(trim(q)) BETWEEN 15 AND 300 AND trim(q) LIKE '%?' AND NOT regexp_matches(lower(a), '^(n/a|none|unknown|not (stated|given|mentioned))') GROUP BY lower(trim(q))""",
+    rf"""WITH c AS (SELECT p_partkey AS case_id, ['text', 'math', 'figure'][p_partkey % 3 + 1] AS kind, CASE WHEN p_partkey % 11 = 0 THEN 'What does the table show?' WHEN p_partkey % 13 = 0 THEN 'Which part, by Smith et al, is it?' WHEN p_partkey % 17 = 0 THEN 'Its ISBN is which?' ELSE 'What is ' || p_brand || ' of size ' || p_size || {'[' + ', '.join(quoted(x) for x in _CASE_ENDS) + ']'}[p_size % {len(_CASE_ENDS)} + 1] END AS q,
+        replace({'[' + ', '.join(quoted(x) for x in _CASE_ANSWERS) + ']'}[p_partkey % {len(_CASE_ANSWERS)} + 1], '{{p}}', p_brand) AS a, p_brand, p_name, p_type FROM part),
+    g AS (SELECT *, (CASE WHEN case_id % 2 = 0 THEN 1 ELSE 0 END) + 1 AS hits, CASE WHEN case_id % 7 = 0 THEN 0 ELSE 4 END AS n FROM c),
+    v AS (SELECT * FROM g WHERE length(q) >= 12 AND q LIKE '%?' AND length(a) >= 8 AND NOT regexp_matches(lower(a), 'does not mention|not explicitly|cannot be determined|not specified') AND NOT regexp_matches(q, '(?i:isbn)|by Smith et al')
+        AND NOT (kind = 'math' AND NOT regexp_matches(lower(q || ' ' || a), 'gradient|=|loss|\blog\b')) AND NOT (kind = 'figure' AND q = 'What does the table show?') AND n = 4 AND hits >= 2)
+    SELECT min(case_id) AS case_id, q AS question FROM v GROUP BY q""",
 )
 def valid_cases(spark, sf_dir):
-    c = table(spark, sf_dir, "part").select(
-        F.col("p_partkey").alias("case_id"), F.concat("p_name", F.when(F.col("p_size") % 4 == 0, "").otherwise(" what?")).alias("question"), F.when(F.col("p_size") % 7 == 0, "N/A").otherwise(F.col("p_brand")).alias("answer")
+    """Cases over part: of four facts the brand always, the word "steel" in every other passage, and two never occur."""
+    key = F.col("p_partkey")
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % len(values) + 1).cast("int"))
+    asked = F.concat(F.lit("What is "), "p_brand", F.lit(" of size "), F.col("p_size").cast("string"), pick(_CASE_ENDS, F.col("p_size")))
+    question = F.when(key % 11 == 0, "What does the table show?").when(key % 13 == 0, "Which part, by Smith et al, is it?").when(key % 17 == 0, "Its ISBN is which?").otherwise(asked)
+    facts = F.when(key % 7 == 0, F.array(F.lit(" "))).otherwise(F.array("p_brand", F.lit(" STEEL "), F.lit("tee"), F.lit("nowhere"), F.col("p_brand")))
+    passage = F.concat_ws(" ", F.lower("p_brand"), F.when(key % 2 == 0, "(steel)").otherwise("steely"))
+    rows = table(spark, sf_dir, "part").select(
+        key.alias("case_id"), pick(["text", "math", "figure"], key).alias("kind"), question.alias("question"), F.replace(pick(_CASE_ANSWERS, key), F.lit("{p}"), F.col("p_brand")).alias("answer"), facts.alias("facts"), passage.alias("passage")
     )
-    return C.valid_cases(c).select("case_id", F.lower(F.trim("question")).alias("question"))
+    return C.valid_cases(rows).select("case_id", "question")
 
 
 @query(

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skarn.session import table
+from skarn.session import shared_folder, table
 from skarn.streaming import events as E
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -122,11 +120,7 @@ def ext_tumbling_batch(spark, sf_dir):
 
 
 def _folder(spark) -> str:
-    """A fresh folder under the shared one, or a temporary one in local mode."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if root:
-        return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/stream-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
-    return tempfile.mkdtemp(prefix="skarn-stream-")
+    return shared_folder(spark, "stream")
 
 
 def _event_stream(spark, sf_dir):

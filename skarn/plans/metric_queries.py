@@ -9,6 +9,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from skarn.operators import metrics as M
+from skarn.operators.matching import gold_chunks, phrase_hits
 from skarn.plans.base import quoted, tokens_sql
 from skarn.plans.retrieval_queries import _BM25_TOP_SQL, bm25_topk
 from skarn.functions.text import ASCII_PUNCTUATION
@@ -35,10 +36,10 @@ _GOLD_SQL = "gold AS (SELECT b.item_id AS q_id, d.doc_id FROM benchmark b JOIN d
 
 
 def _gold(spark, sf_dir):
-    """Documents that hold a whole benchmark passage. The passages are few and read by every task; documents stay put."""
+    """Documents that hold a whole benchmark passage."""
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("q_id"), F.col("text").alias("passage"))
-    d = table(spark, sf_dir, "documents")
-    return d.join(F.broadcast(b), d["text"].contains(F.col("passage"))).select("q_id", "doc_id")
+    hits = phrase_hits(table(spark, sf_dir, "documents"), "doc_id", "text", b, "passage")
+    return hits.join(b, "passage").select("q_id", "doc_id")
 
 
 _METRIC_SQL = f"""{_GOLD_SQL}, ng AS (SELECT q_id, count(*) AS n FROM gold GROUP BY q_id),
@@ -122,9 +123,25 @@ def token_f1(spark, sf_dir):
 _LW = lambda c: rf"list_distinct(list_filter(string_split_regex(lower({c}), '\s+'), lambda w: w <> ''))"
 
 
-@query("set_f1", f"WITH {_TURNS}, w AS (SELECT key, {_LW('p')} AS p, {_LW('r')} AS r FROM t) SELECT key, round(coalesce(2.0 * len(list_intersect(p, r)) / nullif(len(p) + len(r), 0), 0), 6) AS f1 FROM w")
+_SET_F1 = f"""{_TURNS}, u AS (SELECT key, p, CASE WHEN length(p) % 5 = 0 THEN '' ELSE r END AS r, length(p) % 2 = 0 AS a, length(p) % 3 = 0 AS g FROM t), w AS (SELECT key, {_LW('p')} AS p, {_LW('r')} AS r, a, g FROM u),
+    f AS (SELECT key, CASE WHEN len(r) = 0 AND a THEN 1.0 ELSE coalesce(2.0 * len(list_intersect(p, r)) / nullif(len(p) + len(r), 0), 0) END AS f1, CAST(g AS INT) AS evidence FROM w)"""
+
+
+def _set_f1(spark, sf_dir):
+    """A fifth of the turns has no reference; half abstain."""
+    n = F.length("prediction")
+    t = _turns(spark, sf_dir)
+    return M.set_f1(t.select("key", "prediction", F.when(n % 5 == 0, "").otherwise(F.col("reference")).alias("reference"), (n % 2 == 0).alias("abstained"), (n % 3 == 0).alias("gold_page_found")), "key")
+
+
+@query("set_f1", f"WITH {_SET_F1} SELECT key, round(f1, 6) AS f1, evidence FROM f")
 def set_f1(spark, sf_dir):
-    return _rounded(M.set_f1(_turns(spark, sf_dir), "key"), "f1")
+    return _rounded(_set_f1(spark, sf_dir), "f1")
+
+
+@query("set_f1_means", f"WITH {_SET_F1} SELECT round(avg(f1), 4) AS answer_f1, round(avg(evidence), 4) AS evidence_recall FROM f")
+def set_f1_means(spark, sf_dir):
+    return M.set_f1_means(_set_f1(spark, sf_dir))
 
 
 _CL = lambda c: rf"list_filter(list_transform(string_split_regex({c}, '[,.;\n]'), lambda x: trim(x)), lambda x: len(regexp_extract_all(x, '\S+')) >= 3)"
@@ -331,9 +348,20 @@ def must_include_recall(spark, sf_dir):
     return must.join(d, "item_id").filter(F.size("must") > 0).select("item_id", F.round(hit, 6).alias("recall"))
 
 
-@query("gold_chunk_labels", f"WITH {_GOLD_SQL} SELECT q_id, count(*) AS n_gold, min(doc_id) AS first_gold FROM gold GROUP BY 1")
+@query(
+    "gold_chunk_labels",
+    r"""WITH c AS (SELECT item_id, item_id % 3 AS locus, list_filter(list_transform(string_split(text, '.'), lambda x: lower(trim(regexp_replace(x, '\s+', ' ', 'g')))), lambda x: length(x) >= 20) AS facts FROM benchmark),
+    d AS (SELECT doc_id, doc_id % 3 AS page, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents),
+    g AS (SELECT item_id, locus, doc_id, page FROM c JOIN d ON len(facts) > 0 AND len(list_filter(facts, lambda f: contains(t, f))) >= greatest(1, (len(facts) + 1) // 2))
+    SELECT item_id AS case_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY item_id ORDER BY page <> locus, doc_id) AS place FROM g""",
+)
 def gold_chunk_labels(spark, sf_dir):
-    return _gold(spark, sf_dir).groupBy("q_id").agg(F.count(F.lit(1)).alias("n_gold"), F.min("doc_id").alias("first_gold"))
+    """Sentences of 20 characters or more as the facts of a passage, documents as chunks."""
+    plain = lambda x: F.lower(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    facts = F.filter(F.split("text", r"\."), lambda x: F.length(plain(x)) >= 20)
+    cases = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), facts.alias("facts"), (F.col("item_id") % 3).alias("locus"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 3).alias("page"), "text")
+    return gold_chunks(cases, chunks)
 
 
 @query("unanswerable_candidates", f"WITH {_GOLD_SQL} SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT q_id FROM gold)")

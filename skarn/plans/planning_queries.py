@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from skarn.functions.text import NUMBER, STRUCTURAL_NUMBER, tokenize
+from skarn.functions.text import DISCLAIMERS, NUMBER, STRUCTURAL_NUMBER, tokenize
 from skarn.operators import planning as P
 from skarn.operators import verify as V
 from skarn.plans.base import QUESTIONS_SQL, questions, quoted, sql_list, tokens_sql
@@ -107,7 +107,7 @@ _ORDER = "CASE role WHEN 'method_definition' THEN 1 WHEN 'ablation_support' THEN
     "budget_pruning",
     f"""WITH {_NODES}, p AS (SELECT *, CASE WHEN modality IN ('table', 'visual') THEN modality ELSE 'text' END AS k, CASE role WHEN 'method_definition' THEN 10 WHEN 'ablation_support' THEN 9 WHEN 'final_result' THEN 8 ELSE 5 END + score AS w FROM n),
     f AS (SELECT *, count(*) OVER g <= 4 AND count(*) FILTER (k = 'table') OVER g <= 1 AND count(*) FILTER (k = 'visual') OVER g <= 1 AS fits, row_number() OVER (PARTITION BY q_id, k ORDER BY w DESC, pos, node_id) AS r FROM p WINDOW g AS (PARTITION BY q_id)),
-    s AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY w DESC, pos, node_id) AS step FROM f WHERE fits OR k = 'text' OR r <= 1)
+    s AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY CASE WHEN fits THEN 0 ELSE w END DESC, pos, node_id) AS step FROM f WHERE fits OR k = 'text' OR r <= 1)
     SELECT q_id, node_id, step FROM s WHERE fits OR step <= 4""",
 )
 def budget_pruning(spark, sf_dir):
@@ -167,9 +167,11 @@ _OPS = ["difference", "percent_change", "ratio", "sum", "mean", "min", "max"]
 
 @query(
     "numeric_plans",
-    f"""WITH c AS (SELECT l_orderkey, l_linenumber, {sql_list(_OPS)}[l_linenumber % 7 + 1] AS op, l_quantity AS a, round(l_extendedprice, 2) AS b, CAST(l_suppkey % 3 AS DOUBLE) AS z FROM lineitem)
-    SELECT l_orderkey, l_linenumber, op, round(CASE op WHEN 'difference' THEN a - z WHEN 'percent_change' THEN coalesce((a - z) / abs(nullif(z, 0)) * 100, 0) WHEN 'ratio' THEN coalesce(a / nullif(z, 0), 0) WHEN 'sum' THEN a + z + b WHEN 'mean' THEN (a + z + b) / 3 WHEN 'min' THEN least(a, z, b) ELSE greatest(a, z, b) END, 6) AS value,
-        op NOT IN ('percent_change', 'ratio') OR z <> 0 AS exact FROM c""",
+    f"""WITH c AS (SELECT l_orderkey, l_linenumber, {sql_list(_OPS)}[l_linenumber % 7 + 1] AS op, l_quantity AS a, round(l_extendedprice, 2) AS b, CAST(l_suppkey % 3 AS DOUBLE) AS z FROM lineitem),
+    r AS (SELECT *, CASE op WHEN 'difference' THEN a - z WHEN 'percent_change' THEN coalesce((a - z) / abs(nullif(z, 0)) * 100, 0) WHEN 'ratio' THEN coalesce(a / nullif(z, 0), 0) WHEN 'sum' THEN a + z + b WHEN 'mean' THEN (a + z + b) / 3 WHEN 'min' THEN least(a, z, b) ELSE greatest(a, z, b) END AS v FROM c)
+    SELECT l_orderkey, l_linenumber, op, round(v, 6) AS value, op NOT IN ('percent_change', 'ratio') OR z <> 0 AS exact,
+        CASE WHEN op IN ('percent_change', 'ratio') AND z = 0 THEN 'Undefined (division by zero)' WHEN op = 'ratio' THEN printf('%.3fx', v) WHEN op IN ('percent_change', 'difference') AND v > 0 THEN '+' ELSE '' END
+        || CASE WHEN op = 'percent_change' AND z <> 0 THEN printf('%.3f%%', v) WHEN op = 'difference' THEN printf('%.4g', v) ELSE '' END AS formatted FROM r""",
 )
 def numeric_plans(spark, sf_dir):
     op = F.element_at(F.array(*[F.lit(o) for o in _OPS]), (F.col("l_linenumber") % 7 + 1).cast("int"))
@@ -177,18 +179,26 @@ def numeric_plans(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").withColumn("b", F.round("l_extendedprice", 2)).withColumn("z", (F.col("l_suppkey") % 3).cast("double"))
     money = F.concat(F.lit("$"), F.format_number("b", 2), F.lit(" (±1)"))
     planned = rows.select("l_orderkey", "l_linenumber", op.alias("op"), F.array(cell("l_quantity"), cell("z"), money).alias("cells"))
-    return planned.select("l_orderkey", "l_linenumber", "op", P.numeric_plan(F.col("op"), F.col("cells")).alias("r")).select("l_orderkey", "l_linenumber", "op", F.round("r.value", 6).alias("value"), "r.exact")
+    told = F.when(F.col("op").isin("difference", "percent_change", "ratio"), F.col("r.formatted")).otherwise("")
+    done = planned.select("l_orderkey", "l_linenumber", "op", P.numeric_plan(F.col("op"), F.col("cells")).alias("r"))
+    return done.select("l_orderkey", "l_linenumber", "op", F.round("r.value", 6).alias("value"), "r.exact", told.alias("formatted"))
 
 
 @query(
-    "table_lookups",
-    "SELECT n_nationkey, CAST(n_regionkey AS VARCHAR) AS region_cell, CAST(n_nationkey * 2 AS VARCHAR) AS score_cell FROM nation",
+    "table_arithmetic",
+    """WITH n AS (SELECT n_nationkey, n_regionkey AS r, n_nationkey * 2 + 0.5 AS s, CASE n_nationkey % 3 WHEN 0 THEN 'percent_change' WHEN 1 THEN 'difference' ELSE 'ratio' END AS op FROM nation)
+    SELECT n_nationkey, CAST(round(CASE op WHEN 'percent_change' THEN (s - 4) / 4 * 100 WHEN 'difference' THEN s - 4 ELSE s / 4 END, 6) AS DOUBLE) AS by_score, CAST(round(CASE op WHEN 'percent_change' THEN (r - 7) / 7.0 * 100 WHEN 'difference' THEN r - 7 ELSE r / 7.0 END, 6) AS DOUBLE) AS by_first, true AS missing FROM n""",
 )
-def table_lookups(spark, sf_dir):
+def table_arithmetic(spark, sf_dir):
+    """Every nation against a baseline row: by the column of a metric, by the first number, and with an entity that isn't there."""
     n = F.col
-    md = F.concat(F.lit("| Name | Region | Score |\n|---|:-:|---|\n| other | x | y |\n| "), n("n_name"), F.lit(" | "), n("n_regionkey").cast("string"), F.lit(" | "), (n("n_nationkey") * 2).cast("string"), F.lit(" |\n"))
-    t = table(spark, sf_dir, "nation").withColumn("md", md)
-    return t.select("n_nationkey", P.table_lookup(F.col("md"), F.col("n_name"), F.lit("region")).alias("region_cell"), P.table_lookup(F.col("md"), F.col("n_name"), F.lit("SCORE")).alias("score_cell"))
+    score = F.concat((n("n_nationkey") * 2).cast("string"), F.lit(".5%"))
+    rows = F.concat(F.lit("| the "), n("n_name"), F.lit(" row | "), n("n_regionkey").cast("string"), F.lit("* | "), score, F.lit(" |\n|Base LINE| n/a | - |\n| base line | $7 (a) | 4.0 ± 0.2 [b] |\n"))
+    md = F.concat(F.lit("A caption without a bar\n| Name | Region | Score (%) |\n|---|:--|---|\n"), rows)
+    op = F.when(n("n_nationkey") % 3 == 0, "percent_change").when(n("n_nationkey") % 3 == 1, "difference").otherwise("ratio")
+    t = table(spark, sf_dir, "nation").select("n_nationkey", "n_name", md.alias("md"), op.alias("op"))
+    of = lambda entity, metric: P.table_arithmetic(n("md"), n("n_name"), F.lit(entity), n("op"), F.lit(metric))
+    return t.select("n_nationkey", F.round(of("base line", "score")["value"], 6).alias("by_score"), F.round(of("base line", "")["value"], 6).alias("by_first"), of("nowhere", "score").isNull().alias("missing"))
 
 
 _TURNS = "t AS (SELECT conv_id, turn, trim(regexp_replace(text, {c}, '', 'g')) AS c, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS raw, trim(regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), {c}, '', 'g')) AS e FROM conversations QUALIFY raw IS NOT NULL)".format(c=quoted("(?i)" + V.CITATION))
@@ -199,57 +209,108 @@ _STEM = lambda a: f"list_distinct(list_transform(list_filter({a}, lambda x: leng
 _SHARE = lambda a, b: f"(len(list_intersect({a}, {b})) / greatest(len({a}), 1))"
 
 
-@query(
-    "lexical_support",
-    f"""WITH {_TURNS}, w AS (SELECT *, list_distinct({tokens_sql('c')}) AS ct, list_distinct({tokens_sql('e')}) AS et, {_W('c')} AS cw, {_W('e')} AS ew,
-        list_distinct(regexp_extract_all(regexp_replace(c, {quoted(STRUCTURAL_NUMBER)}, '', 'g'), {quoted(NUMBER)})) AS cn, list_distinct(regexp_extract_all(e, {quoted(NUMBER)})) AS en FROM t),
-    x AS (SELECT *, {_MINUS('cw', V.NEGATIONS)} AS cc, {_MINUS('ew', V.NEGATIONS)} AS ec, {_SHARE('ct', 'et')} AS o FROM w),
-    y AS (SELECT *, {_MINUS('cc', V.SUPPORT_STOP)} AS cs, {_MINUS('ec', V.SUPPORT_STOP)} AS es FROM x),
-    z AS (SELECT *, greatest(o, CASE WHEN len(cs) > 0 THEN {_SHARE('cs', 'es')} ELSE o END, CASE WHEN len({_STEM('cs')}) > 0 THEN {_SHARE(_STEM('cs'), _STEM('es'))} ELSE 0 END) AS b FROM y)
-    SELECT conv_id, turn, CASE WHEN trim(raw) = '' THEN 'UNSUPPORTED' WHEN len(ct) = 0 THEN 'SUPPORTED'
+def _support_sql(src: str, to: str) -> str:
+    """CTEs that add label and confidence to the rows of src, which have a claim c and evidence e, both without citations."""
+    return f"""{to}_w AS (SELECT *, list_distinct({tokens_sql('c')}) AS ct, list_distinct({tokens_sql('e')}) AS et, {_W('c')} AS cw, {_W('e')} AS ew,
+        list_distinct(regexp_extract_all(regexp_replace(c, {quoted(STRUCTURAL_NUMBER)}, '', 'g'), {quoted(NUMBER)})) AS cn, list_distinct(regexp_extract_all(e, {quoted(NUMBER)})) AS en FROM {src}),
+    {to}_x AS (SELECT *, {_MINUS('cw', V.NEGATIONS)} AS cc, {_MINUS('ew', V.NEGATIONS)} AS ec, {_SHARE('ct', 'et')} AS o FROM {to}_w),
+    {to}_y AS (SELECT *, {_MINUS('cc', V.SUPPORT_STOP)} AS cs, {_MINUS('ec', V.SUPPORT_STOP)} AS es FROM {to}_x),
+    {to}_z AS (SELECT *, greatest(o, CASE WHEN len(cs) > 0 THEN {_SHARE('cs', 'es')} ELSE o END, CASE WHEN len({_STEM('cs')}) > 0 THEN {_SHARE(_STEM('cs'), _STEM('es'))} ELSE 0 END) AS b FROM {to}_y),
+    {to}_l AS (SELECT *, CASE WHEN trim(e) = '' THEN 'UNSUPPORTED' WHEN len(ct) = 0 THEN 'SUPPORTED'
         WHEN (len(cc) < len(cw)) <> (len(ec) < len(ew)) AND CASE WHEN len(cc) > 0 THEN {_SHARE('cc', 'ec')} ELSE 0 END >= 0.45 THEN 'CONTRADICTED'
-        WHEN len(list_filter(cn, lambda v: NOT list_contains(en, v))) > 0 AND o >= 0.35 THEN 'CONTRADICTED' WHEN b >= 0.5 THEN 'SUPPORTED' WHEN b >= 0.25 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS label FROM z""",
-)
+        WHEN len(list_filter(cn, lambda v: NOT list_contains(en, v))) > 0 AND o >= 0.35 THEN 'CONTRADICTED' WHEN b >= 0.5 THEN 'SUPPORTED' WHEN b >= 0.25 THEN 'PARTIAL' ELSE 'UNSUPPORTED' END AS label FROM {to}_z),
+    {to} AS (SELECT *, CASE WHEN trim(e) = '' THEN 0.0 WHEN len(ct) = 0 THEN 1.0 WHEN label = 'CONTRADICTED' THEN 0.95 ELSE b END AS confidence FROM {to}_l)"""
+
+
+@query("lexical_support", f"WITH {_TURNS}, {_support_sql('t', 's')} SELECT conv_id, turn, label FROM s")
 def lexical_support(spark, sf_dir):
     w = Window.partitionBy("conv_id").orderBy("turn")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.lag("text").over(w).alias("before")).filter("before IS NOT NULL")
     return rows.select("conv_id", "turn", V.support(F.col("text"), F.col("before"))["label"].alias("label"))
 
 
-def _claims(spark, sf_dir):
-    """Assistant turns as answers with markers, the turns of the same conversation as evidence."""
-    c = table(spark, sf_dir, "conversations").withColumn("key", F.col("conv_id"))
-    marked = F.concat(F.col("text"), F.lit(" [E"), (F.col("turn") % 4).cast("string"), F.lit("]."))
-    answers = c.filter("role = 'assistant'").groupBy("key").agg(F.max_by(marked, "turn").alias("answer"))
-    evidence = c.select("key", F.concat(F.lit("E"), F.col("turn").cast("string")).alias("ref"), F.col("turn").alias("ord"), "text")
-    return V.parse_claims(answers, "key", "answer"), evidence
+_KEYS = ["conv_id", "turn"]
+
+
+def _answers(spark, sf_dir):
+    """(answers, evidence): every assistant turn with a marker before each final mark; all turns of its conversation."""
+    c = table(spark, sf_dir, "conversations")
+    marker = F.concat(F.lit(" [E"), (F.col("turn") % 4).cast("string"), F.lit("]$1$2"))
+    answers = c.filter("role = 'assistant'").select(*_KEYS, F.regexp_replace(F.col("text"), F.lit(r"([.!?])(\s|$)"), marker).alias("answer"))
+    return answers, c.select("conv_id", F.concat(F.lit("E"), F.col("turn").cast("string")).alias("ref"), F.col("turn").alias("ord"), "text")
+
+
+def _labelled(spark, sf_dir):
+    answers, evidence = _answers(spark, sf_dir)
+    return V.labelled(V.parse_claims(answers, _KEYS, "answer"), evidence, _KEYS, "conv_id"), answers, evidence
+
 
+#: The claims of _answers(): lines cut after marks before white space; these texts have no fences, headings, tables and abbreviations.
+_CITED = r"(?i)\[E\d+\]"
+_CLAIMS = rf"""a AS (SELECT conv_id, turn, regexp_replace(text, '([.!?])(\s|$)', ' [E' || (turn % 4) || ']\1\2', 'g') AS answer FROM conversations WHERE role = 'assistant'),
+    li AS (SELECT conv_id, turn, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM a),
+    lo AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_extract_all(line, '(?:.*?[.!?](?:\s|$))|.+$') AS xs FROM li),
+    se AS (SELECT conv_id, turn, i, base, unnest(xs) AS raw, generate_subscripts(xs, 1) AS j FROM lo),
+    so AS (SELECT *, base + coalesce(sum(length(raw)) OVER (PARTITION BY conv_id, turn, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS start, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM se),
+    cl AS (SELECT conv_id, turn, 'C' || row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j) AS claim_id, CAST(start AS BIGINT) AS start, CAST(start + length(t) AS BIGINT) AS "end", t, regexp_extract_all(t, {quoted(_CITED)}) AS marks FROM so WHERE t NOT IN ('', '-', '*')),
+    ct AS (SELECT *, CASE WHEN regexp_matches(lower(regexp_replace(t, {quoted(_CITED)}, '', 'g')), {quoted('|'.join(DISCLAIMERS))}) THEN 'disclaimer' ELSE 'factual' END AS claim_type FROM cl),
+    ev AS (SELECT ct.*, trim(regexp_replace(t, {quoted(_CITED)}, '', 'g')) AS c, CASE WHEN len(marks) > 0 THEN coalesce(trim(v.text), '') ELSE '' END AS e, len(marks) > 0 AND v.text IS NOT NULL AS cites FROM ct LEFT JOIN conversations v ON v.conv_id = ct.conv_id AND v.turn = ct.turn % 4)"""
+_LABELLED = f"{_CLAIMS}, {_support_sql('ev', 'lb')}, la AS (SELECT * REPLACE (CASE WHEN claim_type = 'factual' THEN label ELSE 'SUPPORTED' END AS label) FROM lb)"
 
-@query("claim_parser")
+
+@query("claim_parser", f"""WITH {_CLAIMS} SELECT conv_id, turn, claim_id, start, "end", claim_type, array_to_string(list_transform(marks, lambda m: upper(m[2:-2])), ',') AS "references" FROM ct""")
 def claim_parser(spark, sf_dir):
-    claims, _ = _claims(spark, sf_dir)
-    return claims.select("key", "claim_id", "start", "end", "claim_type", F.array_join("references", ",").alias("references"))
+    claims = V.parse_claims(_answers(spark, sf_dir)[0], _KEYS, "answer")
+    return claims.select(*_KEYS, "claim_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), "claim_type", F.array_join("references", ",").alias("references"))
 
 
-@query("verification_report")
+@query(
+    "verification_report",
+    f"""WITH {_LABELLED}, n AS (SELECT conv_id, turn, count(*) AS total_claims, count(*) FILTER (claim_type = 'factual') AS factual_claims, {', '.join(f"count(*) FILTER (claim_type = 'factual' AND label = '{x}') AS {x.lower()}_count" for x in ('SUPPORTED', 'PARTIAL', 'UNSUPPORTED', 'CONTRADICTED'))},
+        count(*) FILTER (label = 'SUPPORTED') AS supported_claims FROM la GROUP BY 1, 2),
+    g AS (SELECT conv_id, turn, count(DISTINCT cites) FILTER (cites) / 2 AS share FROM la GROUP BY 1, 2),
+    r AS (SELECT a.conv_id, a.turn, coalesce(total_claims, 0) AS total_claims, coalesce(factual_claims, 0) AS factual_claims, coalesce(supported_count, 0) AS supported_count, coalesce(partial_count, 0) AS partial_count, coalesce(unsupported_count, 0) AS unsupported_count, coalesce(contradicted_count, 0) AS contradicted_count,
+        coalesce(supported_claims, 0) AS supported_claims, coalesce(supported_claims / nullif(total_claims, 0), 1) AS p, CASE WHEN coalesce(total_claims, 0) = 0 THEN 1 ELSE share END AS q FROM a LEFT JOIN n USING (conv_id, turn) LEFT JOIN g USING (conv_id, turn))
+    SELECT * EXCLUDE (p, q), round(p, 6) AS citation_precision, round(q, 6) AS citation_recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS citation_f1, round(1 - p, 6) AS unsupported_claim_rate,
+        partial_count + unsupported_count + contradicted_count = 0 AS overall_supported, factual_claims > 0 AND supported_count = 0 AS abstains FROM r""",
+)
 def verification_report(spark, sf_dir):
-    claims, evidence = _claims(spark, sf_dir)
-    resolved = claims.join(V.resolve(claims, evidence, "key"), ["key", "claim_id"], "left")
-    labelled = resolved.select("key", "claim_id", V.support(F.col("normalized"), F.coalesce("evidence", F.lit(""))).alias("s")).select("key", "claim_id", "s.*")
-    return V.verification_report(labelled, "key").withColumns({c: F.round(c, 6) for c in ("citation_precision", "unsupported_claim_rate")})
+    """Gold citations of an answer: the turn that its markers name, and one that doesn't exist."""
+    labelled, answers, _ = _labelled(spark, sf_dir)
+    gold = answers.select(*_KEYS, F.explode(F.array(F.concat(F.lit("E"), (F.col("turn") % 4).cast("string")), F.lit("E999"))).alias("ref"))
+    r = V.verification_report(answers, labelled, _KEYS, gold)
+    return r.withColumns({c: F.round(c, 6) for c in ("citation_precision", "citation_recall", "citation_f1", "unsupported_claim_rate")})
 
 
-@query("citation_remap")
+@query(
+    "citation_remap",
+    f"""WITH {_LABELLED}, pa AS (SELECT u.conv_id, u.turn, claim_id, t, c, v.turn AS ord, trim(v.text) AS e FROM (SELECT conv_id, turn, claim_id, t, c, cites FROM la WHERE label = 'UNSUPPORTED' AND claim_type = 'factual') u JOIN conversations v ON v.conv_id = u.conv_id AND NOT (u.cites AND v.turn = u.turn % 4)), {_support_sql('pa', 'ps')}
+    SELECT conv_id, turn, claim_id, 'E' || ord AS new_ref, label, round(confidence, 6) AS confidence,
+        CASE WHEN regexp_matches(t, {quoted(_CITED)}) THEN regexp_replace(t, {quoted(_CITED)}, '[' || ord || ']') ELSE t || ' [' || ord || ']' END AS remapped
+    FROM ps WHERE label IN ('SUPPORTED', 'PARTIAL') QUALIFY row_number() OVER (PARTITION BY conv_id, turn, claim_id ORDER BY confidence DESC, ord) = 1""",
+)
 def citation_remap(spark, sf_dir):
-    claims, evidence = _claims(spark, sf_dir)
-    rows = claims.select("key", "claim_id", "normalized", F.col("references").alias("refs"))
-    return V.remap(rows, evidence, "key").withColumn("confidence", F.round("confidence", 6))
+    labelled, _, evidence = _labelled(spark, sf_dir)
+    return V.remap(labelled, evidence, _KEYS, "conv_id").withColumn("confidence", F.round("confidence", 6))
 
 
-@query("claim_narrowing")
+@query(
+    "claim_narrowing",
+    rf"""WITH {_LABELLED}, pb AS (SELECT conv_id, turn, claim_id, e, marks, regexp_extract(bare, '[.!?]$') AS final, regexp_replace(bare, '[.!?]$', '') AS body FROM (SELECT *, regexp_replace(t, {quoted(_CITED)}, '', 'g') AS bare FROM la WHERE label = 'PARTIAL' AND claim_type = 'factual' AND cites)),
+    pc AS (SELECT *, unnest(xs) AS x, generate_subscripts(xs, 1) AS p FROM (SELECT *, string_split_regex(body, {quoted(V.CLAUSE)}) AS xs FROM pb)),
+    pd AS (SELECT conv_id, turn, claim_id, e, p, rtrim(x, ' ,;') || ' ' || array_to_string(marks, '') || final AS piece, rtrim(x, ' ,;') || final AS c FROM pc WHERE trim(x, ' ,;') <> '' AND trim(rtrim(x, ' ,;')) <> trim(body)), {_support_sql('pd', 'pe')}
+    SELECT conv_id, turn, claim_id, piece FROM pe WHERE label IN ('SUPPORTED', 'PARTIAL') QUALIFY row_number() OVER (PARTITION BY conv_id, turn, claim_id ORDER BY length(piece) DESC, p) = 1""",
+)
 def claim_narrowing(spark, sf_dir):
-    claims, evidence = _claims(spark, sf_dir)
-    return V.narrow(claims.join(V.resolve(claims, evidence, "key"), ["key", "claim_id"]), "key")
+    return V.narrow(_labelled(spark, sf_dir)[0], _KEYS)
+
+
+@query("repair_policy")
+def repair_policy(spark, sf_dir):
+    """Every answer in each of the three modes."""
+    answers, evidence = _answers(spark, sf_dir)
+    modes = F.explode(F.array(*[F.lit(m) for m in ("NONE", "CITATION_REMAP_ONLY", "SELECTIVE")]))
+    return V.repair(answers.withColumn("mode", modes), evidence, _KEYS, "conv_id")
 
 
 @query("text_edits", "SELECT doc_id, md5(left(text, 2) || '<a>' || substr(text, 5, 3) || '<b>' || substr(text, 10)) AS edited FROM documents WHERE length(text) >= 10")

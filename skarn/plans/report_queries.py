@@ -413,8 +413,29 @@ def row_digests(spark, sf_dir):
 @query("unanswerable_controls")
 def unanswerable_controls(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")).alias("paper_id"), F.regexp_extract("text", "[A-Za-z]{6,}", 0).alias("fact"))
-    papers = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("paper_id")).agg(F.max_by("text", F.length("text")).alias("text"))
-    return P.unanswerable_controls(b, papers)
+    return P.unanswerable_controls(b, table(spark, sf_dir, "documents").select(F.col("source").alias("paper_id"), "text"))
+
+
+@query(
+    "abstention_rates",
+    """SELECT role, count(*) AS n, round(count(*) FILTER (turn % 3 = 0) / count(*), 3) AS abstention_rate, round(count(*) FILTER (turn % 3 <> 0) / count(*), 3) AS fabrication_rate,
+    count(*) FILTER (turn % 3 <> 0 AND contains(text, 'the')) AS fabricated_with_citation FROM conversations GROUP BY 1""",
+)
+def abstention_rates(spark, sf_dir):
+    gone = F.col("turn") % 3 == 0
+    return P.abstention_rates(table(spark, sf_dir, "conversations").select("role", gone.alias("abstained"), (~gone & F.col("text").contains("the")).alias("answered_with_citation")), ["role"])
+
+
+@query(
+    "parser_means",
+    """SELECT 'P' || (o_custkey % 5) AS config_id, round(avg(o_orderkey % 97), 2) AS mean_ms_per_page, round(avg(o_orderkey % 7), 2) AS mean_tables_extracted, round(avg(o_orderkey % 11), 2) AS mean_sections_extracted, round(avg(o_orderkey % 301), 2) AS mean_evidence_blocks
+    FROM orders WHERE o_orderstatus <> 'F' GROUP BY 1""",
+)
+def parser_means(spark, sf_dir):
+    part = lambda n: F.col("o_orderkey") % n
+    error = F.when(F.col("o_orderstatus") == "F", "failed")
+    runs = table(spark, sf_dir, "orders").select(F.concat(F.lit("P"), (F.col("o_custkey") % 5).cast("string")).alias("config_id"), part(97).alias("ms_per_page"), part(7).alias("tables"), part(11).alias("sections"), part(301).alias("blocks"), error.alias("error"))
+    return P.parser_means(runs)
 
 
 @query("citing_chunks")

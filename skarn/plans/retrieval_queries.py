@@ -76,6 +76,12 @@ def keyword_overlap_topk(spark, sf_dir):
     return _top(R.keyword_overlap(_docs(spark, sf_dir), _bench(spark, sf_dir)), 5)
 
 
+def _fused(spark, sf_dir):
+    docs, bench = _docs(spark, sf_dir), _bench(spark, sf_dir)
+    once = R.postings(docs, bench)
+    return R.reciprocal_rank_fusion([_top(R.bm25(docs, bench, table=once), 30), _top(R.keyword_overlap(docs, bench, table=once), 30)])
+
+
 @query(
     "rrf_fusion",
     f"""WITH {_bm25_sql(tokens_sql)}, {_OVERLAP},
@@ -84,9 +90,7 @@ def keyword_overlap_topk(spark, sf_dir):
     rf AS (SELECT q_id, doc_id, sum(1.0 / (60 + rank)) AS score FROM ch GROUP BY q_id, doc_id) {_top_sql('rf', 10)}""",
 )
 def rrf_fusion(spark, sf_dir):
-    docs, bench = _docs(spark, sf_dir), _bench(spark, sf_dir)
-    fused = R.reciprocal_rank_fusion([_top(R.bm25(docs, bench), 30), _top(R.keyword_overlap(docs, bench), 30)])
-    return _top(fused.withColumnRenamed("rrf", "score"), 10)
+    return _top(_fused(spark, sf_dir).withColumnRenamed("rrf", "score"), 10)
 
 
 @query(
@@ -97,8 +101,7 @@ def rrf_fusion(spark, sf_dir):
     rf AS (SELECT q_id, doc_id, sum(1.0 / (60 + rank)) + CASE WHEN doc_id % 7 = q_id % 7 THEN 0.05 ELSE 0 END AS score FROM ch GROUP BY q_id, doc_id) {_top_sql('rf', 5)}""",
 )
 def hybrid_page_boost(spark, sf_dir):
-    docs, bench = _docs(spark, sf_dir), _bench(spark, sf_dir)
-    fused = R.reciprocal_rank_fusion([_top(R.bm25(docs, bench), 30), _top(R.keyword_overlap(docs, bench), 30)])
+    fused = _fused(spark, sf_dir)
     hinted = fused.filter(F.col("doc_id") % 7 == F.col("q_id") % 7)
     return _top(R.page_boost(fused, hinted), 5)
 

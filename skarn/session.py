@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,3 +32,24 @@ def local_session(cpus: int | None = None, partitions: int = 8, memory: str = "8
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; Catalyst pushes filters and prunes columns into the Parquet scan."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A new path in the folder that all executors share (spark.checkpoint.dir), or a temporary one in local mode only."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if root:
+        path = f"{root.rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
+    elif spark.sparkContext.master.startswith("local"):
+        path = f"file://{tempfile.mkdtemp(prefix='skarn-')}/{label}"
+    else:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, however often it is read, and kept when an executor is lost."""
+    path = shared_folder(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
