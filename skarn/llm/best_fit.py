@@ -45,7 +45,10 @@ class OpenBins:
         return found
 
     def place(self, length: int) -> tuple[int, int]:
-        """(bin number, offset in it) of the next piece."""
+        """(bin number, offset in it) of the next piece. A piece of whole length is a sequence of its own and closes no bin."""
+        if length >= self.capacity:
+            self.made += 1
+            return self.made - 1, 0
         room = self.bits >> length
         if room:
             free = length + (room & -room).bit_length() - 1

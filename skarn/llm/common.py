@@ -70,6 +70,27 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+RUN = 256
+
+
+def running(values: Column, step=lambda a, x: a + x) -> Column:
+    """array<int> -> for each place the sum (or another step from 0) of the values before it.
+
+    A fold copies its array at every step, so values go in runs of RUN: the work grows with the array, not its square.
+    """
+
+    def scan(a):
+        add = lambda acc, x: F.struct(step(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out"))
+        return F.aggregate(a, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add, lambda acc: acc["out"])
+
+    def joined(runs):
+        whole = F.transform(runs, lambda r: F.aggregate(r, F.lit(0), lambda a, x: step(a, x)))
+        return F.flatten(F.zip_with(runs, let(whole, scan), lambda r, at: F.transform(scan(r), lambda x: step(at, x))))
+
+    last = F.greatest(F.lit(0), F.floor((F.size(values) - 1) / RUN).cast("int"))
+    return let(F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * RUN + 1, F.lit(RUN))), joined)
+
+
 def without_white(text: Column) -> Column:
     """text with every contract white-space character deleted (byte-level replace, no regex)."""
     for c in WHITE:

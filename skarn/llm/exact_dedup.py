@@ -2,7 +2,7 @@
 
 Texts are equal when identical after all white space ([\\x20\\x09-\\x0D]) is deleted. Null text is an empty text, so
 nulls, empty texts and white-space-only texts form one group. Of equal texts the row with most code points in the
-original stays, then the smallest doc_id (a null doc_id sorts first), then the smallest hash of the original. Every
+original stays, then the smallest doc_id (a null doc_id sorts last), then the smallest hash of the original. Every
 input row gets one output row; a repeated (doc_id, text) row shares its verdict, other rows of that doc_id do not. Extra
 columns are ignored, or carried when named. An empty table gives no rows.
 
@@ -46,7 +46,7 @@ def exact_dedup(docs: DataFrame, carry: dict[str, Column] | None = None, bitmap_
             F.col("doc_id"),
             F.coalesce(full, alone).alias("__key"),
             F.col("__survives"),
-            F.struct((-F.length(text)).alias("less"), F.col("doc_id").alias("id"), F.when(F.col("__survives"), F.xxhash64(text)).alias("text")).alias("__row"),
+            F.struct((-F.length(text)).alias("less"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.when(F.col("__survives"), F.xxhash64(text)).alias("text")).alias("__row"),
             *[c.alias(k) for k, c in carry.items()],
         ),
         "dedup-rows",

@@ -8,8 +8,8 @@ breaks, are matched against licence rules: a rule is an ordered run of identifie
 SQL, which looks single pieces up; TEXTS and MORE_RULES add the real sentences of licence texts, headers and notices.
 
 Null or empty text, and text without a licence sentence, gives zero counts and empty strings. A licence found twice is
-named once, at its first place. Every input row gives one output row; repeated rows give equal rows; extra columns are
-ignored. An empty table gives no rows. Plan: one projection over the scan, no shuffle, no Python; the tables are literals.
+named once, at its first place. Every input row gives one output row; repeated rows give equal rows; extra columns come
+along, but for those with a result's name. An empty table gives no rows. Plan: one projection over the scan, no shuffle, no Python; the tables are literals.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import let
+from skarn.llm.common import let, running
 
 #: Normalised licence sentences and their identifiers.
 SENTENCES = {
@@ -156,26 +156,29 @@ def _known(joined: Column) -> Column:
     before = F.zip_with(F.split(joined, pattern), F.regexp_extract_all(joined, pattern, F.lit(1)), lambda g, n: F.struct(g.alias("gap"), n.alias("number")))
     parts = F.zip_with(before, F.regexp_extract_all(joined, pattern, F.lit(2)), lambda b, x: F.struct(b["gap"].alias("gap"), b["number"].alias("number"), x.alias("found")))
 
-    def step(a, x):
-        at = a["next"] + lines(x["gap"]) + lines(x["number"]) - 1
-        hit = F.struct(at.alias("at"), (~x["gap"].rlike("[a-z0-9]")).alias("joins"), let(F.regexp_replace(x["found"], "[ \n]+", " "), _identifier).alias("id"))
-        return F.struct((at + lines(x["found"]) + 1).alias("next"), F.concat(a["hits"], F.array(hit)).alias("hits"))
+    def hits(found):
+        n = F.transform(found, lambda x: F.struct((lines(x["gap"]) + lines(x["number"])).alias("ahead"), lines(x["found"]).alias("inside")))
+        before = let(n, lambda n: F.zip_with(n, running(F.transform(n, lambda x: x["ahead"] + x["inside"])), lambda x, b: b + x["ahead"] - 1))
+        hit = lambda x, at: F.struct(at.alias("at"), (~x["gap"].rlike("[a-z0-9]")).alias("joins"), let(F.regexp_replace(x["found"], "[ \n]+", " "), _identifier).alias("id"))
+        return F.zip_with(found, before, hit)
 
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,joins:boolean,id:string>>").alias("hits"))
-    return F.aggregate(F.filter(parts, lambda x: x["found"].isNotNull()), start, step, lambda a: a["hits"])
+    return let(F.filter(parts, lambda x: x["found"].isNotNull()), hits)
 
 
 def recognise_licenses(docs: DataFrame) -> DataFrame:
-    """docs plus n_license_sentences long, license_ids string ("at:id" joined by commas), licenses string."""
-    with_ids = docs.withColumn("__all", license_sentences(F.col("text")))
+    """docs plus n_license_sentences long, license_ids string ("at:id" joined by commas), licenses string. Columns of these
+    names in docs are replaced."""
+    mine = ["n_license_sentences", "license_ids", "licenses"]
+    others = [c for c in docs.columns if c.lower() not in mine]
+    with_ids = docs.select(*others).withColumn("__all", license_sentences(F.col("text")))
     with_ids = with_ids.withColumn("__hits", F.when(F.size("__all") > 0, F.col("__all")))
     # unknown sentences break runs: a bar stands between hits that words part
-    line = F.aggregate("__hits", F.lit(" "), lambda a, h: F.concat(a, F.when(h["joins"], "").otherwise("| "), h["id"], F.lit(" ")))
+    line = F.concat(F.lit(" "), F.array_join(F.transform("__hits", lambda h: F.concat(F.when(h["joins"], "").otherwise("| "), h["id"], F.lit(" "))), ""))
     with_ids = with_ids.withColumn("__line", line)
     found = F.array(*[F.struct(F.instr("__line", f" {' '.join(ids)} ").alias("p"), F.lit(i).alias("i"), F.lit(name).alias("name")) for i, (name, ids) in enumerate(RULES + MORE_RULES)])
     named = F.array_distinct(F.transform(F.sort_array(F.filter(found, lambda r: r["p"] > 0)), lambda r: r["name"]))
     return with_ids.select(
-        *docs.columns,
+        *others,
         F.coalesce(F.size("__hits"), F.lit(0)).cast("long").alias("n_license_sentences"),
         F.coalesce(F.array_join(F.transform("__hits", lambda h: F.concat_ws(":", h["at"].cast("string"), h["id"])), ","), F.lit("")).alias("license_ids"),
         F.coalesce(F.array_join(F.when(F.col("__line").isNotNull(), named), ","), F.lit("")).alias("licenses"),

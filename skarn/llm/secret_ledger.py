@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skarn.llm.common import durable, mark_keys
+from skarn.llm.common import durable, let, mark_keys, running
 
 #: Fixed values of the rules: kind, pattern, group whose length counts, least length.
 RULES = [
@@ -35,21 +35,18 @@ LEDGER = f"blob binary, rule_version string, spans {SPANS}"
 
 
 def kind_spans(text: Column, rule: int) -> Column:
-    """Spans of one rule in a non-null text: the gaps of split() and the matches, summed up in one fold."""
+    """Spans of one rule in a non-null text, from the gaps of split() and the matches between them."""
     _, pattern, group, least = RULES[rule]
     gap, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else whole
-    rows = F.arrays_zip(gap.alias("gap"), whole.alias("whole"), value.alias("value"))
+    found = F.arrays_zip(F.transform(F.slice(gap, 1, F.greatest(F.size(gap) - 1, F.lit(0))), F.length).alias("gap"), F.transform(whole, F.length).alias("n"), F.transform(value, lambda v: F.length(v) >= least).alias("ok"))
 
-    def add(acc, row):
-        start = acc["at"] + F.length(row["gap"])
-        end = start + F.coalesce(F.length(row["whole"]), F.lit(0))
-        one = F.array(F.struct(start.alias("start"), F.lit(rule).alias("kind"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(row["value"]) >= least, F.concat(acc["spans"], one)).otherwise(acc["spans"]).alias("spans"))
+    def spans(rows):
+        before = running(F.transform(rows, lambda r: r["gap"] + r["n"]))
+        at = F.zip_with(rows, before, lambda r, b: F.struct((b + r["gap"]).alias("start"), F.lit(rule).alias("kind"), (b + r["gap"] + r["n"]).alias("end"), r["ok"].alias("ok")))
+        return F.transform(F.filter(at, lambda x: x["ok"]), lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end")))
 
-    none = F.array().cast(SPANS)
-    folded = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), folded).otherwise(none)
+    return F.when(text.rlike(pattern), let(found, spans)).otherwise(F.array().cast(SPANS))
 
 
 def secret_spans(text: Column) -> Column:
@@ -99,12 +96,12 @@ def secret_columns(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
-    """text with every span, overlapping ones merged, replaced by mask."""
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    """text with every span, overlapping ones merged, replaced by mask; spans in order of start."""
 
-    def add(acc, s):
-        part = F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))), F.when(s["start"] >= acc["at"], mask).otherwise(""))
-        return F.struct(part.alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
+    def parts(found):
+        before = running(F.transform(found, lambda s: s["end"]), lambda a, x: F.greatest(a, x))
+        kept = F.zip_with(found, before, lambda s, b: F.when(s["start"] >= b, F.concat(F.substring(text, b + 1, s["start"] - b), F.lit(mask))).otherwise(""))
+        last = F.array_max(F.transform(found, lambda s: s["end"]))
+        return F.concat(F.array_join(kept, ""), F.substring(text, last + 1, F.length(text)))
 
-    end = F.aggregate(spans, zero, add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, end).otherwise(text)
+    return F.when(F.size(spans) > 0, let(spans, parts)).otherwise(text)

@@ -39,7 +39,7 @@ from skarn.llm.word_ids import slices
 
 WORDS, NEED = 4, 85  # words of a shingle; least similarity in hundredths
 OF = 100
-FLUSH = 2_000_000  # shingles that a task holds before it passes them on
+FLUSH = 1_000_000  # shingles that a task holds before it passes them on
 LIGHT, ONCE, TWICE, PAIRS, SIZES = range(5)  # kinds of rows
 PROFILE = "part int, kind int, doc_id long, n long, key long, hash long, tokens binary, keys binary"
 COLUMNS = [c.split()[0] for c in PROFILE.split(", ")]
@@ -209,12 +209,13 @@ def part_bits(spark) -> int:
 
 def blocks(kind: int, part: np.ndarray, tokens: np.ndarray, keys: np.ndarray | None = None) -> pa.RecordBatch:
     """A row (part, kind, tokens, keys) for each run of equal parts; tokens and keys are 64-bit numbers of the run's entries."""
-    cuts = np.concatenate([[0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]])
+    heads = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])[: len(part)])
+    cuts = np.append(heads, len(part))
     packed = lambda x: pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((8 * cuts).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
-    m = len(cuts) - 1
+    m = len(heads)
     none = pa.nulls(m, pa.int64())
     own = pa.nulls(m, pa.binary()) if keys is None else packed(keys)
-    return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32)), pa.array(np.full(m, kind, np.int32)), none, none, none, none, packed(tokens), own], COLUMNS)
+    return pa.RecordBatch.from_arrays([pa.array(part[heads].astype(np.int32)), pa.array(np.full(m, kind, np.int32)), none, none, none, none, packed(tokens), own], COLUMNS)
 
 
 def by_key(kind: int, bits: int, tokens: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
