@@ -7,7 +7,7 @@ columns of docs; the last returns the packed pieces.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skarn.llm.best_fit import best_fit_packing
@@ -28,32 +28,37 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.filter(F.col("__score") >= DECISION).select(*docs.columns)
 
 
-def own_ids(docs: DataFrame) -> DataFrame:
-    """docs with long __own, unique to each row, in the order of doc_id (nulls last) and then text: doc_id itself where it
-    is unique and never null, else the place of the row in that order."""
-    if not docs.groupBy("doc_id").count().filter("count > 1 OR doc_id IS NULL").limit(1).count():
-        return docs.withColumn("__own", F.col("doc_id").cast("long"))
+def own_key() -> Column:
+    """A 64-bit name of a row's doc_id and text; rows that share it are repeated rows."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    ordered = docs.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(text, F.length(text)))
-    return durable(ordered.withColumn("__own", F.monotonically_increasing_id()), "own-ids")
+    return F.xxhash64(F.col("doc_id").cast("string"), text, F.length(text))
+
+
+def without(docs: DataFrame, gone: DataFrame, light: DataFrame) -> DataFrame:
+    """docs without the rows whose key gone (__key) names, and each repeated row once. light holds the __key of every row.
+
+    Only rows that go, repeated rows and few others are shuffled, whatever the ids are like.
+    """
+    repeated = light.groupBy("__key").count().filter("count > 1").select("__key")
+    keys = durable(gone.select("__key").unionByName(repeated).distinct(), "gone-keys")
+    sure, maybe = split_by_key(docs, own_key(), keys)
+    return sure.unionByName(maybe.join(gone, "__key", "left_anti").dropDuplicates(["__key"]).drop("__key")).select(*docs.columns)
 
 
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts one row stays, also where rows share a doc_id or have none."""
-    rows = own_ids(docs)
-    alike = rows.select(F.col("__own").alias("doc_id"), "text")
-    gone = durable(exact_dedup(alike).filter(~F.col("kept")).select(F.col("doc_id").alias("__key")), "gone-copies")
-    sure, maybe = split_by_key(rows, F.col("__own"), gone)
-    return sure.unionByName(maybe.join(gone, "__key", "left_anti").drop("__key")).select(*docs.columns)
+    found = durable(exact_dedup(docs.select("doc_id", "text"), carry={"__own": own_key()}).select(F.col("__own").alias("__key"), "kept"), "dedup-verdicts")
+    return without(docs, found.filter(~F.col("kept")).select("__key"), found)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked rows the first by doc_id, then text stays, also where rows share a doc_id or have none."""
-    rows = own_ids(docs)
-    groups = linked_groups(rows.select(F.col("__own").alias("doc_id"), "text"), NEAR_WORDS, NEAR_NEED)
-    gone = durable(groups.filter(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("__key")).distinct(), "gone-near")
-    sure, maybe = split_by_key(rows, F.col("__own"), gone)
-    return sure.unionByName(maybe.join(gone, "__key", "left_anti").drop("__key")).select(*docs.columns)
+    """Of each group of linked rows the first by doc_id (nulls last) stays, also where rows share a doc_id or have none."""
+    light = durable(docs.select(own_key().alias("__key"), F.struct(F.col("doc_id").isNull().alias("none"), "doc_id").alias("__id")), "row-keys")
+    groups = linked_groups(docs.select(own_key().alias("doc_id"), "text"), NEAR_WORDS, NEAR_NEED).select(F.col("doc_id").alias("__key"), "component_id").distinct()
+    rows = light.dropDuplicates(["__key"]).join(groups, "__key").select("__key", "component_id", F.struct("__id", "__key").alias("__row"))
+    first = rows.groupBy("component_id").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    gone = rows.join(first, "component_id").filter(F.col("__row") != F.col("__first")).select("__key")
+    return without(docs, durable(gone, "gone-near"), light)
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
