@@ -81,30 +81,88 @@ def document_tree(chunks: DataFrame) -> DataFrame:
 
 
 def write_traces(df: DataFrame, path: str) -> None:
-    """Answer traces as JSON lines."""
-    df.write.mode("append").json(path)
+    """Answer traces as JSON lines; times keep their microseconds."""
+    df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+
+
+def list_traces(spark: SparkSession, path: str, schema: str, limit: int) -> DataFrame:
+    """The latest `limit` traces at path by ts, then trace_id."""
+    return spark.read.schema(schema).json(path).orderBy(F.col("ts").desc(), F.col("trace_id").desc()).limit(limit)
+
+
+#: Tables and their columns; the first partitions the files of papers' tables. Keys and indexes have no counterpart.
+LAYOUT = {
+    "papers": {"paper_id": "string", "title": "string", "summary": "string", "authors": "array<string>", "published": "string"},
+    "sections": {"paper_id": "string", "section_title": "string", "ord": "int", "page": "int"},
+    "chunks": {"paper_id": "string", "ord": "int", "section_title": "string", "text": "string"},
+    "figures": {"paper_id": "string", "figure_id": "string", "page": "int", "caption": "string", "image_file": "string"},
+}
+
+
+def layout_ddl(name: str) -> str:
+    return ", ".join(f"`{c}` {kind}" for c, kind in LAYOUT[name].items())
+
+
+def create_tables(spark: SparkSession, database: str) -> None:
+    """The tables of LAYOUT in a database of the catalog, partitioned by paper; existing ones are left alone."""
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+    for name in LAYOUT:
+        spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({layout_ddl(name)}) USING parquet PARTITIONED BY (paper_id)")
 
 
 def canonical_json(df: DataFrame) -> DataFrame:
-    """Each row as JSON with sorted keys; NaN and infinities become null."""
+    """Each row as JSON with sorted keys, nulls included; NaN and infinities become null."""
     clean = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in sorted(df.dtypes)]
-    return df.select(F.to_json(F.struct(*clean)).alias("json"))
+    return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("json"))
 
 
 def publish(df: DataFrame, root: str, version: str, checks: list) -> str:
-    """Write a version folder, validate what was written, and return its path; a version that fails is not returned.
+    """Write a version folder, validate what was written, and return its path. A version that fails is deleted.
 
-    Readers follow a pointer that the caller moves after this returns, so they never see half a version.
+    Readers follow the pointer that move_pointer() sets after this returns, so they never see half a version, and the
+    version before stays current when this one fails.
     """
     path = f"{root.rstrip('/')}/version={version}"
     df.write.mode("errorifexists").parquet(path)
     written = df.sparkSession.read.parquet(path)
     faults = [name for name, check in checks if not check(written)]
     if faults:
+        _files(df.sparkSession, path, lambda fs, at: fs.delete(at, True))
         raise ValueError(f"version {version} fails: {', '.join(faults)}")
     return path
 
 
+def _files(spark: SparkSession, path: str, use):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return use(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at)
+
+
+def move_pointer(spark: SparkSession, root: str, version: str) -> None:
+    """Make a published version the current one: a pointer file of a higher number, renamed into place."""
+    root = root.rstrip("/")
+    if not _files(spark, f"{root}/version={version}/_SUCCESS", lambda fs, at: fs.exists(at)):
+        raise ValueError(f"version {version} is not published")
+    n = len(_pointers(spark, root))
+    new = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/_pointer-{n:09d}@{version}")
+    hidden = f"{root}/_moving-{n:09d}"
+    _files(spark, hidden, lambda fs, at: fs.create(at, True).close())
+    if not _files(spark, hidden, lambda fs, at: fs.rename(at, new)):
+        raise ValueError("the pointer was moved at the same time")
+
+
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    found = _files(spark, f"{root.rstrip('/')}/_pointer-*", lambda fs, at: fs.globStatus(at))
+    return sorted(f.getPath().getName() for f in found or [])
+
+
+def current_version(spark: SparkSession, root: str) -> str:
+    """The path of the version that the pointer names."""
+    found = _pointers(spark, root)
+    if not found:
+        raise ValueError("no version is published")
+    return f"{root.rstrip('/')}/version={found[-1].partition('@')[2]}"
+
+
 def load_if_complete(spark: SparkSession, path: str, manifest: DataFrame) -> DataFrame | None:
     """The table at path when its counts by paper equal the manifest (paper_id, n), else None."""
     rows = spark.read.parquet(path)
@@ -113,6 +171,18 @@ def load_if_complete(spark: SparkSession, path: str, manifest: DataFrame) -> Dat
     return None if got.exceptAll(want).limit(1).count() or want.exceptAll(got).limit(1).count() else rows
 
 
+def write_csv(df: DataFrame, path: str) -> None:
+    """A table as CSV files with a header."""
+    df.write.option("header", True).csv(path)
+
+
+def latex_report(title: str, sections: dict[str, list[str]]) -> str:
+    """A small report as a LaTeX document: paragraphs a section, special characters escaped."""
+    safe = lambda v: "".join("\\" + c if c in "&%$#_{}" else c for c in v)
+    body = "\n".join(f"\\section{{{safe(name)}}}\n" + "\n\n".join(map(safe, lines)) for name, lines in sections.items())
+    return f"\\documentclass{{article}}\n\\title{{{safe(title)}}}\n\\begin{{document}}\n\\maketitle\n{body}\n\\end{{document}}\n"
+
+
 def latex_table(rows: Iterator, columns: list[str]) -> str:
     """A small result as a LaTeX tabular; special characters are escaped."""
     safe = lambda v: "" if v is None else "".join("\\" + c if c in "&%$#_{}" else c for c in str(v))

@@ -14,6 +14,7 @@ from skarn.operators import planning as P
 from skarn.operators import reports as R
 from skarn.operators import retrieval
 from skarn.operators import verify as V
+from skarn.sources import tables as S
 
 FACT = "The model reaches an accuracy of 91.5 on the benchmark"
 OTHER = "Training used eight large graphics cards for three days"
@@ -175,3 +176,22 @@ def test_shared_postings_give_the_same_scores(spark):
     for f in (retrieval.bm25, retrieval.keyword_overlap):
         one, two = ({(r.q_id, r.doc_id): r.score for r in f(docs, queries, table=t).collect()} for t in (None, table))
         assert one == two and set(one) == {(1, 1), (1, 2), (2, 1), (2, 2)}
+
+
+def test_versions_pointers_and_layout(spark, tmp_path):
+    root, rows = f"file://{tmp_path}/v", spark.createDataFrame([("a", 1)], "paper_id string, n int")
+    with pytest.raises(ValueError, match="no version"):
+        S.current_version(spark, root)
+    for v in ("1", "2"):
+        S.publish(rows, root, v, [])
+        S.move_pointer(spark, root, v)
+    with pytest.raises(ValueError, match="fails"):
+        S.publish(rows, root, "3", [("never", lambda d: False)])
+    with pytest.raises(ValueError, match="not published"):
+        S.move_pointer(spark, root, "3")
+    assert S.current_version(spark, root).endswith("version=2") and not (tmp_path / "v" / "version=3").exists()
+    S.move_pointer(spark, root, "1")
+    assert S.current_version(spark, root).endswith("version=1")
+    assert set(S.LAYOUT) == {"papers", "sections", "chunks", "figures"} and spark.createDataFrame([], S.layout_ddl("papers")).columns[0] == "paper_id"
+    report = S.latex_report("A & B", {"Part_1": ["50 % of it"]})
+    assert "A \\& B" in report and "\\section{Part\\_1}" in report and "50 \\% of it" in report
