@@ -80,17 +80,17 @@ def document_tree(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("paper_id").agg(F.sort_array(F.collect_list(node)).alias("chunks"))
 
 
-TRACE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+TRACE_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
 
 
 def write_traces(df: DataFrame, path: str) -> None:
     """Answer traces as JSON lines; times keep their microseconds."""
-    df.write.mode("append").option("timestampFormat", TRACE_TIME).json(path)
+    df.write.mode("append").option("timestampFormat", TRACE_TIME + "XXX").option("timestampNTZFormat", TRACE_TIME).json(path)
 
 
 def list_traces(spark: SparkSession, path: str, schema: str, limit: int) -> DataFrame:
     """The latest `limit` traces at path by ts, then trace_id."""
-    return spark.read.schema(schema).option("timestampFormat", TRACE_TIME).json(path).orderBy(F.col("ts").desc(), F.col("trace_id").desc()).limit(limit)
+    return spark.read.schema(schema).option("timestampFormat", TRACE_TIME + "[XXX]").option("timestampNTZFormat", TRACE_TIME).json(path).orderBy(F.col("ts").desc(), F.col("trace_id").desc()).limit(limit)
 
 
 #: Tables and their columns; the first partitions the files of papers' tables. Keys and indexes have no counterpart.
