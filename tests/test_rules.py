@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as T
 from skarn.operators import chunking as C
+from skarn.operators import evidence as E
 from skarn.operators import matching
 from skarn.operators import metrics as M
 from skarn.operators import planning as P
@@ -195,3 +196,39 @@ def test_versions_pointers_and_layout(spark, tmp_path):
     assert set(S.LAYOUT) == {"papers", "sections", "chunks", "figures"} and spark.createDataFrame([], S.layout_ddl("papers")).columns[0] == "paper_id"
     report = S.latex_report("A & B", {"Part_1": ["50 % of it"]})
     assert "A \\& B" in report and "\\section{Part\\_1}" in report and "50 \\% of it" in report
+
+
+def test_image_channel_flags_slot_and_prior(spark):
+    chunks = spark.createDataFrame([(1, "", "words of accuracy"), (2, "Figure 2", "a curve"), (3, "Figure 3", "a map"), (4, "Figure 4", "a plot")], "doc_id int, label string, text string")
+    images = spark.createDataFrame([(7, 2, 0.9, 1), (7, 3, 0.8, 2), (7, 4, 0.7, 3)], "q_id int, doc_id int, score double, rank int")
+    lexical = spark.createDataFrame([(7, 1, True), (7, 3, True), (7, 4, False)], "q_id int, doc_id int, overlaps boolean")
+    labels = spark.createDataFrame([(7, "figure 2")], "q_id int, label string")
+    got = E.corroborated(images, lexical, labels, chunks)
+    assert {r.doc_id: r.corroborated for r in got.collect()} == {2: True, 3: True, 4: False}
+    ranked = spark.createDataFrame([(7, 1, 1), (7, 5, 2), (7, 6, 3), (8, 1, 1)], "q_id int, doc_id int, rank int")
+    best = got.filter("corroborated").select("q_id", "doc_id", "rank")
+    slot = E.with_inspection_slot(ranked, best, 3).collect()
+    assert sorted((r.q_id, r["rank"], r.doc_id, r.inspection) for r in slot) == [(7, 1, 1, False), (7, 2, 5, False), (7, 3, 2, True), (8, 1, 1, False)]
+    there = E.with_inspection_slot(ranked.unionByName(best.filter("doc_id = 2").selectExpr("q_id", "doc_id", "4 AS rank")), best, 4).collect()
+    assert not any(r.inspection for r in there)
+    prior = spark.createDataFrame([(1,), (4,), (None,), (0,)], "r int").select(retrieval.rank_prior(F.col("r"), 0.12).alias("p")).collect()
+    assert [r.p for r in prior] == [0.12, pytest.approx(0.06), 0.0, 0.0]
+
+
+def test_retrieval_with_all_channels(spark):
+    """A dense hit without a shared word is ranked; the best corroborated image takes a place."""
+    kinds = [("a", 1, "the accuracy of the encoder", False, False, "", "body"), ("a", 2, "unrelated words entirely", False, False, "", "body"), ("a", 3, "a training curve of the encoder", True, False, "Figure 2", "figure")]
+    rows = [(i, s, page, text, fig, tab, label, "", "section", kind) for i, (s, page, text, fig, tab, label, kind) in enumerate(kinds, 1)]
+    chunks = spark.createDataFrame(rows, "doc_id int, source string, page int, text string, is_figure boolean, is_table boolean, label string, caption string, section string, chunk_type string")
+    queries = spark.createDataFrame([(7, "what accuracy has the encoder")], "q_id int, text string")
+    dense = spark.createDataFrame([(7, 2, 1)], "q_id int, doc_id int, rank int")
+    images = spark.createDataFrame([(7, 3, 0.9, 1)], "q_id int, doc_id int, score double, rank int")
+    plain = {r.doc_id for r in E.retrieve(chunks, queries, 3).collect()}
+    every = {r.doc_id: r.place for r in E.retrieve(chunks, queries, 3, dense, images).collect()}
+    assert 2 not in plain and set(every) == {1, 2, 3} and every[2] == 3
+
+
+def test_cues_meet_once(spark):
+    q = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["c"])], "q_id int, cues array<string>")
+    c = spark.createDataFrame([(10, ["a", "b"]), (11, ["b"]), (12, [])], "doc_id int, cues array<string>")
+    assert sorted(tuple(r) for r in E.met_by_cue(q, c).collect()) == [(1, 10), (1, 11)]
