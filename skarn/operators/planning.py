@@ -54,6 +54,12 @@ LEVEL_COMPARATIVE = [
     r"\b(outperform|ablation|support the (?:claim|hypothesis|main claim)|connect .+ with|based on)\b",
 ]
 CROSS_SECTION_WORDS = ["method", "experiment", "result", "ablation", "limitation", "conclusion"]
+SECOND_QUESTION = r"(?i)\s*,\s*(?:and|while|whereas)\s+(?:what|how|why|does|which|where)\s+"
+QUESTION_HEAD = r"(?i)^(?:how does|what is|why does|how do|what are)\s+"
+COMPARED = r"(?i)(?:compare|comparison between|difference between|tradeoff between|versus|vs\.?)\s+([^,]+?)\s+(?:and|with|versus|vs\.?)\s+([^,?.!]+)(?:\?|\.|$)"
+COMPARED_HEAD = r"(?i)^(?:the|what is|how does|what are)\s+"
+COMPARED_TO = r"(?i)(?:how does|how do)\s+(.+?)\s+compare\s+(?:to|with)\s+(.+?)(?:\s+in terms of\s+([^,?.!]+))?(?:,\s*(?:and|while|whereas|\?|\.|$)|$)"
+SAME_KIND = r"(?i)\b([a-zA-Z_]+)\s+(\d+|[A-Z])\s+(?:and|vs\.?|with)\s+(?:\1\s+)?(\d+|[A-Z])\b"
 #: tier: least RAM in GB, context tokens, evidence blocks, tables, visual crops
 TIERS = {"8GB": (0, 2048, 4, 1, 1), "16GB": (12, 4096, 6, 2, 2), "32GB+": (24, 8192, 10, 4, 4)}
 ROLE_ORDER = {"method_definition": 1, "ablation_support": 2, "final_result": 3, "primary_evidence": 4}
@@ -124,15 +130,15 @@ def decompose(question: Column | str) -> Column:
         name = lambda a: F.transform(F.slice(a, 1, 4), lambda n: F.concat(F.lit(kind + " "), n))
         return F.when(F.size(direct) >= 2, name(direct)).when(F.size(span) >= 2, name(span))
 
-    pieces = F.split(q, r"(?i)\s*,\s*(?:and|while|whereas)\s+(?:what|how|why|does|which|where)\s+")
-    clean = F.transform(F.slice(pieces, 1, 3), lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), r"(?i)^(?:how does|what is|why does|how do|what are)\s+", ""), r"[?. ]+$", ""))
+    pieces = F.split(q, SECOND_QUESTION)
+    clean = F.transform(F.slice(pieces, 1, 3), lambda p: F.regexp_replace(F.regexp_replace(F.trim(p), QUESTION_HEAD, ""), r"[?. ]+$", ""))
     parts = F.filter(clean, lambda p: F.length(p) > 10)
-    pair = r"(?i)(?:compare|comparison between|difference between|tradeoff between|versus|vs\.?)\s+([^,]+?)\s+(?:and|with|versus|vs\.?)\s+([^,?.!]+)(?:\?|\.|$)"
-    side = lambda g: F.trim(F.regexp_replace(F.trim(F.regexp_extract(q, pair, g)), r"(?i)^(?:the|what is|how does|what are)\s+", ""))
-    to = r"(?i)(?:how does|how do)\s+(.+?)\s+compare\s+(?:to|with)\s+(.+?)(?:\s+in terms of\s+([^,?.!]+))?(?:,\s*(?:and|while|whereas|\?|\.|$)|$)"
+    pair = COMPARED
+    side = lambda g: F.trim(F.regexp_replace(F.trim(F.regexp_extract(q, pair, g)), COMPARED_HEAD, ""))
+    to = COMPARED_TO
     suffix = F.trim(F.regexp_extract(q, to, 3))
     named = lambda g: F.trim(F.concat_ws(" ", F.trim(F.regexp_extract(q, to, g)), F.when(suffix != "", suffix)))
-    same = r"(?i)\b([a-zA-Z_]+)\s+(\d+|[A-Z])\s+(?:and|vs\.?|with)\s+(?:\1\s+)?(\d+|[A-Z])\b"
+    same = SAME_KIND
     item = lambda g: F.concat_ws(" ", F.regexp_extract(q, same, 1), F.regexp_extract(q, same, g))
     return F.coalesce(
         numbered("Figure", r"figures?|figs?\.?"),

@@ -21,6 +21,7 @@ SUPPORT_STOP = (
 CLAUSE = r"\s*;\s*|,?\s+(?:and|but|while|whereas|although|however)\s+"
 ABSTENTION = "The paper does not provide sufficient evidence to answer this question."
 ABBREVIATIONS = ("e.g.", "i.e.", "et al.", "fig.", "eq.", "dr.", "mr.", "mrs.", "vs.")
+VERB = r"\b(is|are|was|were|does|do|can|has|have)\b"
 SUPPORTED, PARTIAL = 0.50, 0.25
 
 
@@ -264,7 +265,7 @@ def corrupted(text: str) -> str:
     """Numbers times three plus seven, else the first verb negated."""
     if re.search(r"\d+(?:\.\d+)?", text):
         return re.sub(r"\d+(?:\.\d+)?", lambda m: f"{float(m[0]) * 3 + 7:g}", text)
-    return re.sub(r"\b(is|are|was|were|does|do|can|has|have)\b", r"\1 not", text, count=1) if re.search(r"\b(is|are|was|were|does|do|can|has|have)\b", text) else "It is not true that " + text
+    return re.sub(VERB, r"\1 not", text, count=1) if re.search(VERB, text) else "It is not true that " + text
 
 
 def normalize_citations(text: str | None, known: list[str] | None) -> str:
