@@ -42,10 +42,6 @@ def op5_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(documents(spark, sf_dir))
 
 
-def op5_line_quality_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_quality(documents(spark, sf_dir), share=0, whole_documents=True)
-
-
 def op6_lsa_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -73,7 +69,6 @@ QUERIES = {
     "op3_license_rules": op3_license_rules,
     "op4_secret_ledger": op4_secret_ledger,
     "op5_line_quality": op5_line_quality,
-    "op5_line_quality_absolute": op5_line_quality_absolute,
     "op6_lsa_knn_quality": op6_lsa_knn_quality,
     "op7_language_mixture": op7_language_mixture,
     "op8_trie_bpe": op8_trie_bpe,
@@ -86,5 +81,4 @@ ORACLE_SQL = {
     "op3_license_rules": sql.LICENSES,
     "op4_secret_ledger": sql.SECRETS,
     "op5_line_quality": sql.LINES,
-    "op5_line_quality_absolute": sql.LINES_ABSOLUTE,
 }

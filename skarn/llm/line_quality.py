@@ -2,13 +2,13 @@
 
 Per document: word and symbol counts, repeated lines, words inside repeated 5-word windows (base rules). Across
 documents: lines with a word are normalised (lower case, trimmed, white space runs as one space) and hashed; for each
-host the distinct documents that hold a line are counted. A document here is a distinct text: exact copies count once,
-so that a copied page is no boilerplate. A line above both limits of its host is removed; a document whose rest is
-below REST_WORDS words or a REST_SHARE share of its words is depleted and rejected.
+host the distinct documents that hold a line are counted. A document is a row's (doc_id, text), so repeated rows count
+once and copies under other ids count each. A line that more than MIN_DOCS documents of its host hold is removed,
+whatever the host's size; a document whose rest is below REST_WORDS words or a REST_SHARE share of its words is depleted
+and rejected.
 
-The second limit grows with the host, so on a large host the verdict of a line depends on the host's size. With share 0
-and whole_documents the limit is absolute: a line that more than min_docs documents of the host hold is removed, where a
-document is a row's (doc_id, text), so that copies under other ids count and repeated rows do not.
+Two other rules can be asked for: with whole_documents off, exact copies of a text count once, so that a page that was
+only copied is no boilerplate; a share sets a second limit that grows with the host.
 
 Null text is an empty text (no words, so base_failed). A null host is a host of its own. Every input row gives one
 output row, repeated rows equal ones. Extra columns are ignored. An empty table gives no rows.
@@ -28,7 +28,6 @@ from skarn.llm.common import WHITE_RE, durable, let, without_white, words_of
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 MIN_DOCS = 20
-HOST_SHARE = 0.1
 REST_WORDS = 10
 REST_SHARE = 0.3
 
@@ -88,10 +87,9 @@ def _replaced(text: Column) -> Column:
     return text
 
 
-def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = HOST_SHARE, whole_documents: bool = False) -> DataFrame:
-    """(host, h) of lines that more than min_docs distinct texts and more than a share of the host's texts hold.
-
-    With whole_documents, documents count in place of texts; a share of 0 sets no second limit."""
+def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = 0, whole_documents: bool = True) -> DataFrame:
+    """(host, h) of lines that more than min_docs documents and more than a share of the host's documents hold; without
+    whole_documents distinct texts count in their place."""
     unit = F.xxhash64("doc_id", "text_hash") if whole_documents else F.col("text_hash")
     rows = rows.select("host", unit.alias("unit"), "lines")
     lines = rows.select("host", "unit", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
@@ -102,7 +100,7 @@ def frequent_lines(rows: DataFrame, min_docs: int = MIN_DOCS, share: float = HOS
     return held.join(hosts, "host").filter(F.col("n") > F.col("all") * share).select("host", "h")
 
 
-def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = HOST_SHARE, whole_documents: bool = False) -> DataFrame:
+def line_quality(docs: DataFrame, min_docs: int = MIN_DOCS, share: float = 0, whole_documents: bool = True) -> DataFrame:
     """The contract's columns plus n_removed_words long for docs (doc_id, text, source, ...)."""
     rows = durable(text_figures(docs), "line-figures")
     often = frequent_lines(rows, min_docs, share, whole_documents)

@@ -229,16 +229,17 @@ def test_secret_edges_and_redaction(spark):
 # 5: quality rules
 
 
-def line_want(rows):
+def line_want(rows, share=0, whole=True):
     plain = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x.lower()).strip(" ")
     host = lambda r: r[3] or ""
     texts, held = defaultdict(set), defaultdict(set)
     for r in rows:
         t = r[1] or ""
-        texts[host(r)].add(t)
+        unit = (r[0], t) if whole else t
+        texts[host(r)].add(unit)
         for x in t.split("\n"):
             if split_words(x):
-                held[host(r), plain(x)].add(t)
+                held[host(r), plain(x)].add(unit)
     out = []
     for r in rows:
         t, w = r[1] or "", split_words(r[1])
@@ -246,7 +247,7 @@ def line_want(rows):
         times = Counter(windows)
         repeated = len({i + k for i, x in enumerate(windows) if times[x] > 1 for k in range(5)})
         lines = [x for x in t.split("\n") if split_words(x)]
-        removed = sum(len(split_words(x)) for x in lines if len(held[host(r), plain(x)]) > 20 and len(held[host(r), plain(x)]) > 0.1 * len(texts[host(r)]))
+        removed = sum(len(split_words(x)) for x in lines if len(held[host(r), plain(x)]) > 20 and len(held[host(r), plain(x)]) > share * len(texts[host(r)]))
         failed = len(w) < 10 or 100 * repeated > 20 * len(w)
         rest = len(w) - removed
         kept = not failed and not (removed and (rest < 10 or rest < 0.3 * len(w)))
@@ -255,8 +256,9 @@ def line_want(rows):
 
 
 def test_line_quality(docs, rows, empty):
-    got = line_quality.line_quality(docs).collect()
-    assert sorted(tuple(r) for r in got) == line_want(rows)
+    for share, whole in ((0, True), (0.1, False)):
+        got = line_quality.line_quality(docs, share=share, whole_documents=whole).collect()
+        assert sorted(tuple(r) for r in got) == line_want(rows, share, whole)
     assert line_quality.line_quality(empty).count() == 0
 
 
@@ -266,20 +268,19 @@ def test_line_limit_does_not_grow_with_the_host(spark):
     texts = [f"{common}\n" * 3 + body(i, 5) for i in range(25)] + [copied] * 21 + [body(i, 30) for i in range(25, 400)]
     rows = [(i, t, "s") for i, t in enumerate(texts)] + [(50 + i % 2, texts[50 + i % 2], "s") for i in range(60)]  # repeated rows are no documents
     docs = spark.createDataFrame(rows, "doc_id int, text string, source string")
-    got = {r.doc_id: r for r in line_quality.line_quality(docs, share=0, whole_documents=True).collect()}
+    got = {r.doc_id: r for r in line_quality.line_quality(docs).collect()}
     assert [i for i in range(400) if got[i].n_removed_words] == list(range(46))  # 25 texts of 401 are below a tenth of the host
     assert all(not got[i].kept for i in range(25, 46)) and got[50].kept
-    assert sum(r.n_removed_words for r in line_quality.line_quality(docs).collect()) == 0
+    assert sum(r.n_removed_words for r in line_quality.line_quality(docs, share=0.1, whole_documents=False).collect()) == 0
 
 
-def test_absolute_line_quality_equals_sql(spark):
+def test_line_quality_equals_sql(spark):
     from skarn.llm import entry, sql
 
-    assert sql.LINES_ABSOLUTE != sql.LINES
     c = duckdb.connect()
     c.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.1/documents.parquet'")
-    got = entry.QUERIES["op5_line_quality_absolute"](spark, "/root/testdata/sf0.1")
-    want = c.sql(sql.LINES_ABSOLUTE).fetchall()
+    got = entry.QUERIES["op5_line_quality"](spark, "/root/testdata/sf0.1")
+    want = c.sql(sql.LINES).fetchall()
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert any(r[-1] for r in want)
 
