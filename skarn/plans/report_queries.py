@@ -164,7 +164,11 @@ def uninformative_answers(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", V.is_uninformative(F.col("text")).alias("uninformative"))
 
 
-@query("evidence_identities")
+@query(
+    "evidence_identities",
+    """SELECT doc_id, source, CASE doc_id % 3 WHEN 0 THEN 'chunk_id' WHEN 1 THEN 'evidence_id' ELSE 'content_sha256' END AS kind,
+    CASE WHEN doc_id % 3 < 2 THEN CAST(doc_id AS VARCHAR) ELSE sha256('{"lang":' || to_json(lang) || ',"text":' || to_json(text) || '}') END AS id FROM documents""",
+)
 def evidence_identities(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     some = F.when(F.col("doc_id") % 3 == 0, F.col("doc_id"))
@@ -331,9 +335,9 @@ def localisation(spark, sf_dir):
 
 @query("negative_control")
 def negative_control(spark, sf_dir):
-    """Claims against their own text, whole and corrupted: the corrupted ones must score lower."""
+    """Passages with a number in every sentence against themselves, whole and corrupted: the corrupted ones must score lower."""
     bad = F.pandas_udf(lambda s: s.map(corrupted), "string")
-    c = table(spark, sf_dir, "benchmark").select("item_id", F.concat("text", F.lit(" 12 of 40")).alias("text"))
+    c = table(spark, sf_dir, "benchmark").select("item_id", F.regexp_replace("text", r"\.", " near 12 percent.").alias("text"))
     own = c.select("item_id", F.lit(0).alias("place"), "text")
     true = P.faithfulness(c, own, "item_id").select("item_id", F.col("strict").alias("true_score"))
     false = P.faithfulness(c.withColumn("text", bad("text")), own, "item_id").select("item_id", F.col("strict").alias("corrupt_score"), F.col("n_contradicted").alias("corrupt_contradicted"))
@@ -405,7 +409,7 @@ def citation_scores(spark, sf_dir):
     return _rounded(P.citation_scores(cites, cases, hits), "precision", "page_accuracy")
 
 
-@query("row_digests")
+@query("row_digests", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS digest FROM nation""")
 def row_digests(spark, sf_dir):
     return P.row_digest(table(spark, sf_dir, "nation")).select("n_nationkey", "digest")
 
