@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import all_matches, chunk_type, paragraph_preview, section_path, section_title, text_of
+from skarn.operators.ranks import ascending, in_order
+from skarn.session import written
 
 # Caption, reference and dialogue patterns.
 CAPTION = r"(?i)(?:^|\n)\s*((?:figure|fig\.?|table)\s*\d+(?:\.\d+)?[.:]?[^\n]*)"
@@ -207,16 +209,11 @@ def valid_cases(cases: DataFrame) -> DataFrame:
 
 
 def even_spread(papers: DataFrame, key: str, most: int = 25) -> DataFrame:
-    """Every step-th paper in key order, step = max(1, n // most), the first `most`.
-
-    Ranks come from one partition of keys alone after a range partition count: keys are light and their number is one
-    row a paper.
-    """
-    n = papers.select(key).distinct().count()
-    step = max(1, n // most)
-    ranked = papers.select(key).distinct().orderBy(key).withColumn("__id", F.monotonically_increasing_id())
-    order = Window.orderBy("__id")
-    return ranked.withColumn("__r", F.row_number().over(order) - 1).filter((F.col("__r") % step == 0) & (F.col("__r") < step * most)).select(key)
+    """Every step-th paper in key order, step = max(1, n // most), the first `most`; places come from in_order()."""
+    keys = written(papers.select(key).distinct(), "papers")
+    step = max(1, keys.count() // most)
+    placed = in_order(keys, ascending(key))
+    return placed.filter((F.col("__place") % step == 0) & (F.col("__place") < step * most)).select(key)
 
 
 def resolved_queries(turns: DataFrame) -> DataFrame:

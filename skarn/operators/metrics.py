@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import squad_normalized
+from skarn.operators.ranks import ascending, by_key, mean_ranks, numbered, running
+from skarn.session import written
 
 
 def ranking_metrics(ranked: DataFrame, gold: DataFrame, by: list[str]) -> DataFrame:
@@ -141,14 +143,14 @@ def pearson(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
-    """Ranks from 1 with ties averaged."""
+    """Ranks from 1 with ties averaged, in groups that a task can hold; ranks.mean_ranks() is for groups of any size."""
     w = Window.partitionBy(*by)
     return rows.withColumn(name, F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2)
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     some = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return pearson(average_ranks(average_ranks(some, x, by, "__rx"), y, by, "__ry"), "__rx", "__ry", by).select(*by, "n", "r")
+    return pearson(mean_ranks(mean_ranks(some, by, x, "__rx"), by, y, "__ry"), "__rx", "__ry", by).select(*by, "n", "r")
 
 
 def cohens_kappa(rows: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
@@ -205,10 +207,10 @@ def friedman(rows: DataFrame, subject: str, treatment: str, value: str) -> DataF
 
 def holm(rows: DataFrame, p: str, by: list[str]) -> DataFrame:
     """Holm's step-down adjustment, (*rows, p_adjusted); ties keep the order of the other columns."""
-    order = Window.partitionBy(*by).orderBy(p, *[c for c in rows.columns if c != p and c not in by])
-    m = F.count(F.lit(1)).over(Window.partitionBy(*by))
-    stepped = rows.withColumn("__s", F.least(F.lit(1.0), (m - F.row_number().over(order) + 1) * F.col(p)))
-    return stepped.withColumn("p_adjusted", F.max("__s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__s")
+    placed = written(numbered(rows, by, ascending(p, *[c for c in rows.columns if c != p and c not in by]), "__i"), "holm-places")
+    sized = by_key(placed, placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__m")), by)
+    stepped = F.least(F.lit(1.0), (F.col("__m") - F.col("__i") + 1) * F.col(p))
+    return running(sized, by, ascending("__i"), stepped, F.max, "p_adjusted").drop("__i", "__m")
 
 
 def cluster_bootstrap(rows: DataFrame, by: str, cluster: str, value: str, draws: int = 10_000, seed: int = 2027) -> DataFrame:
@@ -253,9 +255,19 @@ def paired_delta(rows: DataFrame, by: str, case: str, a: str, b: str, draws: int
 
 def order_statistic(rows: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:
     """(*by, value): the element at index min(n - 1, floor(q * n)) of the sorted values, without collecting a group."""
-    w = Window.partitionBy(*by)
-    ranked = rows.filter(F.col(value).isNotNull()).withColumn("__i", F.row_number().over(w.orderBy(value)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
-    return ranked.filter(F.col("__i") == F.least(F.col("__n") - 1, F.floor(F.lit(q) * F.col("__n")))).select(*by, value)
+    return order_statistics(rows, value, {value: q}, by)
+
+
+def order_statistics(rows: DataFrame, value: str, qs: dict[str, float], by: list[str]) -> DataFrame:
+    """(*by, one column for each of qs): values are put in order once, whatever the number of quantiles."""
+    placed = written(numbered(rows.filter(F.col(value).isNotNull()).select(*by, value), by, ascending(value), "__i"), "order-statistics")
+    sizes = placed.groupBy(*by).agg(F.count(F.lit(1)).alias("__n"))
+    at = lambda q: F.least(F.col("__n") - 1, F.floor(F.lit(q) * F.col("__n"))) + 1
+    picked = by_key(placed, sizes, by)
+    wanted = F.lit(False)
+    for q in qs.values():
+        wanted = wanted | (F.col("__i") == at(q))
+    return picked.filter(wanted).groupBy(*by).agg(*[F.max(F.when(F.col("__i") == at(q), F.col(value))).alias(k) for k, q in qs.items()])
 
 
 def random_floor(rows: DataFrame, n: str) -> DataFrame:
