@@ -14,7 +14,9 @@ from skarn.llm.language_mixture import languages
 from skarn.llm.license_rules import recognise_licenses
 from skarn.llm.line_quality import line_quality
 from skarn.llm.lsa_knn import quality
+from skarn.llm.prefix_trie import prefix_trie
 from skarn.llm.secret_ledger import scan_secrets, secret_columns
+from skarn.llm.shards import shard_documents
 from skarn.llm.signature_join import linked_groups
 from skarn.llm.token_files import read_token_files, write_token_files
 from skarn.llm.trie_bpe import bpe_round_trip
@@ -63,6 +65,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_packing(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_documents(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_token_files": op1_token_files,
     "op2_exact_dedup": op2_exact_dedup,
@@ -74,6 +84,8 @@ QUERIES = {
     "op8_trie_bpe": op8_trie_bpe,
     "op9_signature_join": op9_signature_join,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_jump_shards": op12_jump_shards,
 }
 
 ORACLE_SQL = {
@@ -81,4 +93,6 @@ ORACLE_SQL = {
     "op3_license_rules": sql.LICENSES,
     "op4_secret_ledger": sql.SECRETS,
     "op5_line_quality": sql.LINES,
+    "op11_prefix_trie": sql.TRIE,
+    "op12_jump_shards": sql.SHARDS,
 }

@@ -102,3 +102,59 @@ LINES = rf"""
            n_removed_words
     FROM v
 """
+
+
+def _jumps(shards: int, name: str) -> str:
+    """Column `name`: the shard of seed k among `shards`, from `shards` jumps unrolled (each moves ahead by one at least)."""
+    q = "SELECT *, CAST(k AS HUGEINT) AS j_key, CAST(0 AS HUGEINT) AS j_at, CAST(0 AS HUGEINT) AS j_ahead FROM s"
+    for _ in range(shards):
+        q = f"""SELECT * EXCLUDE (n_key) REPLACE (CASE WHEN j_ahead < {shards} THEN j_ahead ELSE j_at END AS j_at, CASE WHEN j_ahead < {shards} THEN n_key ELSE j_key END AS j_key,
+            CASE WHEN j_ahead < {shards} THEN CAST(floor((j_ahead + 1) * (2147483648.0::DOUBLE / CAST((n_key // 8589934592) + 1 AS DOUBLE))) AS HUGEINT) ELSE j_ahead END AS j_ahead)
+            FROM (SELECT *, ((j_key % 4294967296) * 2862933555777941757 + ((((j_key // 4294967296) * 2862933555777941757) % 4294967296) * 4294967296) + 1) % 18446744073709551616 AS n_key FROM ({q}))"""
+    return f"SELECT n, CAST(j_at AS INTEGER) AS {name} FROM ({q})"
+
+
+def _crc_table() -> str:
+    """The 256 remainders of a byte under the reversed CRC-32 polynomial, as a list."""
+    rest = list(range(256))
+    for _ in range(8):
+        rest = [(x >> 1) ^ (0xEDB88320 if x & 1 else 0) for x in rest]
+    return str(rest)
+
+
+_CRC = "list_reduce(list_transform(regexp_extract_all(hex(encode({})), '..'), lambda h: CAST('0x' || h AS BIGINT)), lambda c, b: xor(tab[CAST(xor(c, b) & 255 AS INTEGER) + 1], c >> 8), CAST(4294967295 AS BIGINT))"
+
+SHARDS = f"""
+    WITH s AS (
+        SELECT row_number() OVER () AS n, doc_id, octet_length(encode(coalesce(text, ''))) + 1 AS size, coalesce(text, '') AS t,
+               CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 15) AS BIGINT) AS k
+        FROM documents
+    ), c AS (SELECT n, xor({_CRC.format('t')}, 4294967295) AS text_crc32 FROM s, (SELECT CAST({_crc_table()} AS BIGINT[]) AS tab)),
+    a AS ({_jumps(8, 'shard')}), b AS ({_jumps(9, 'grown_shard')})
+    SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'key' AS law, shard,
+           row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+    FROM s JOIN c USING (n) JOIN a USING (n) JOIN b USING (n)
+"""
+
+_TURN = "sha256(CAST(length(role) AS VARCHAR) || ':' || role || text)"  # equal for equal (role, text) alone
+
+TRIE = f"""
+    WITH raw AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+    t AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, {_TURN}) AS i FROM raw
+    ), hs AS (SELECT conv_id, conv_id - conv_id % 100 AS base, xor({_CRC.format('CAST(conv_id AS VARCHAR)')}, 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM raw), (SELECT CAST({_crc_table()} AS BIGINT[]) AS tab)),
+    own AS (
+        SELECT hs.conv_id, 0 AS part, i, role, text FROM hs JOIN t ON t.conv_id = hs.base AND i <= h
+        UNION ALL SELECT hs.conv_id, 1, i, role, text FROM hs JOIN t ON t.conv_id = hs.conv_id AND i > h
+    ), p AS (
+        SELECT conv_id, row_number() OVER w AS d, length(text) AS len, list({_TURN}) OVER (w ROWS UNBOUNDED PRECEDING) AS path FROM own WINDOW w AS (PARTITION BY conv_id ORDER BY part, i)
+    ), q AS (SELECT conv_id, 0 AS d, 0 AS len, CAST([] AS VARCHAR[]) AS path FROM hs UNION ALL SELECT conv_id, d, len, path FROM p),
+    n AS (SELECT path, any_value(d) AS d, any_value(len) AS len, min(conv_id) AS conv_id, count(*) AS n FROM q GROUP BY path),
+    e AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ends FROM (SELECT * FROM q QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY path),
+    k AS (SELECT path[:d - 1] AS path, count(*) AS kids FROM n WHERE d > 0 GROUP BY ALL),
+    s AS (SELECT n.*, coalesce(kids, 0) AS kids, (n - 1) * len AS saves FROM n LEFT JOIN k USING (path)),
+    u AS (SELECT up AS path, sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS leaves, sum(saves) AS saved FROM (SELECT kids, saves, path[:unnest(range(0, d + 1))] AS up FROM s) GROUP BY up)
+    SELECT s.conv_id, CAST(s.d AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, s.n AS n_convs, s.kids AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+           CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+    FROM s JOIN u USING (path) LEFT JOIN e USING (path) LEFT JOIN n AS parent ON s.d > 0 AND parent.path = s.path[:s.d - 1]
+"""
