@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import durable
+from skarn.llm.common import durable, trimmed
 from skarn.llm.word_ids import ROWS, SIZE, ChunkEncoder, slices
 
 OPEN = 512
@@ -70,7 +70,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
     """(doc_id, piece, start, length, ids_crc32) of every document's pieces."""
 
     def run(batches):
-        coder, tail = ChunkEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        coder, tail = ChunkEncoder(tokenizer_path, budget=96 << 20), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts, ROWS, SIZE):
@@ -86,7 +86,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = 2048, end_id: int
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_pieces(found: DataFrame, capacity: int = 2048, open_bins: int = OPEN, shard: int = SHARD) -> DataFrame:
@@ -109,7 +109,7 @@ def pack_pieces(found: DataFrame, capacity: int = 2048, open_bins: int = OPEN, s
         .repartitionById(shards, F.col("__shard"))
         .sortWithinPartitions("__mix", "doc_id", "piece", "ids_crc32")
         .select("doc_id", "piece", "start", "length", "ids_crc32", "__shard")
-        .mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+        .mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     )
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +67,21 @@ def forget(*tables: DataFrame) -> None:
             hadoop.getFileSystem(table.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def trimmed(run):
+    """run for mapInArrow; when its task ends, freed memory goes back to the system, as the idle worker would keep it."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library alone
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once a row, also where body uses it inside lambdas."""
     return F.transform(F.array(value), body)[0]

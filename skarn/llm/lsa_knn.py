@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skarn.llm.common import trimmed
 from skarn.llm.folds import held_out, smallest_hashes
 from skarn.llm.word_ids import slices
 
@@ -185,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int =
             at, n = zip(*map(bags.counts, batch.column(2).to_pylist())) if batch.num_rows else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1), pa.array([x.astype("<i4").tobytes() for x in at], pa.binary()), pa.array([x.astype("<f4").tobytes() for x in n], pa.binary())], ["doc_id", "y", "at", "n"])
 
-    found = texts.mapInArrow(counted, "doc_id string, y int, at binary, n binary")
+    found = texts.mapInArrow(trimmed(counted), "doc_id string, y int, at binary, n binary")
     got = sorted(((r.doc_id, r.y, np.frombuffer(r.at, "<i4").astype(np.int64), np.frombuffer(r.n, "<f4")) for r in found.toLocalIterator()), key=lambda r: r[:2])
     total = sum(prior.values())
     return LatentVoters.of_counts([r[2:] for r in got], [r[1] for r in got]), (prior.get(1, 0) / total if total else 0.5)
@@ -206,7 +207,7 @@ def score_quality(docs: DataFrame, model: LatentVoters, prior: float, keep: list
 
     rows = docs.select(*keep, F.col("text").cast("binary").alias("__raw"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(run, f"{schema}, `{name}` double")
+    return rows.mapInArrow(trimmed(run), f"{schema}, `{name}` double")
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import durable, forget, mark_keys, shuffle_partitions
+from skarn.llm.common import durable, forget, mark_keys, shuffle_partitions, trimmed
 from skarn.llm.word_ids import slices
 
 WORDS, NEED = 4, 85  # words of a shingle; least similarity in hundredths
@@ -282,7 +282,7 @@ def profile(docs: DataFrame, bits: int, n_words: int = WORDS, need: int = NEED)
         if held:
             yield from flush()
 
-    return _rows(docs).mapInArrow(run, PROFILE)
+    return _rows(docs).mapInArrow(trimmed(run), PROFILE)
 
 
 def _dealt(rows: DataFrame) -> DataFrame:
@@ -335,7 +335,7 @@ def settled(rows: DataFrame, bits: int) -> DataFrame:
         if found:
             yield flush()
 
-    return _dealt(rows).mapInArrow(run, PROFILE)
+    return _dealt(rows).mapInArrow(trimmed(run), PROFILE)
 
 
 def prefixes(rows: DataFrame, need: int = NEED) -> DataFrame:
@@ -377,7 +377,7 @@ def prefixes(rows: DataFrame, need: int = NEED) -> DataFrame:
             yield cut()
 
     packed = rows.filter(F.col("kind").isin(PAIRS, SIZES)).select("part", "kind", "tokens", "keys")
-    return _dealt(packed).mapInArrow(run, "token long, key long, n int")
+    return _dealt(packed).mapInArrow(trimmed(run), "token long, key long, n int")
 
 
 def exact_sets(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
@@ -393,7 +393,7 @@ def exact_sets(docs: DataFrame, n_words: int = WORDS) -> DataFrame:
                 met.update(sets)
                 yield pa.RecordBatch.from_arrays([pa.array(list(sets), pa.int64()), pa.array([len(s) for s in sets.values()], pa.int32()), pa.array([signature(s) for s in sets.values()], pa.binary()), pa.array([s.tobytes() for s in sets.values()], pa.binary())], ["key", "n", "sig", "tokens"])
 
-    return docs.mapInArrow(run, "key long, n int, sig binary, tokens binary").dropDuplicates(["key"])
+    return docs.mapInArrow(trimmed(run), "key long, n int, sig binary, tokens binary").dropDuplicates(["key"])
 
 
 def exact_links(sets: DataFrame, pairs: DataFrame, need: int = NEED) -> DataFrame:
@@ -412,7 +412,7 @@ def exact_links(sets: DataFrame, pairs: DataFrame, need: int = NEED) -> DataFram
     ends = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key")))
     some = mark_keys(sets.select("key", "tokens"), F.col("key"), ends, "__named").filter("__named")
     both = pairs.join(some.select(F.col("key").alias("b"), F.col("tokens").alias("y")), "b").join(some.select(F.col("key").alias("a"), F.col("tokens").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(trimmed(check), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -486,7 +486,7 @@ def tree_pairs(rows: DataFrame, sigs: DataFrame, best_only: bool, need: int = NE
 
     columns = ["lead", "i", "j", "mine", "key", "comp", "n", "sig"]
     cells = dealt.select(*columns).repartition(shuffle_partitions(rows.sparkSession), "lead", "i", "j").sortWithinPartitions("lead", "i", "j", "key")
-    return cells.mapInArrow(run, "a long, b long").distinct()
+    return cells.mapInArrow(trimmed(run), "a long, b long").distinct()
 
 
 def linked_groups(docs: DataFrame, n_words: int = WORDS, need: int = NEED) -> DataFrame:
@@ -548,4 +548,4 @@ def promising(pairs: DataFrame, sigs: DataFrame, need: int = NEED) -> DataFrame:
 
     with_a = pairs.join(sigs.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("sig").alias("x")), "a")
     with_b = with_a.join(sigs.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("y")), "b")
-    return with_b.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+    return with_b.select("a", "b", "na", "nb", "x", "y").mapInArrow(trimmed(run), "a long, b long")
