@@ -48,6 +48,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return path
 
 
+def lasting_folder(spark: SparkSession, label: str) -> str:
+    """A new path as of shared_folder() whose files stay when the application ends."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{(root or f'file://{tempfile.mkdtemp(prefix="skarn-")}').rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: computed once, however often it is read, and kept when an executor is lost."""
     path = shared_folder(df.sparkSession, label)
