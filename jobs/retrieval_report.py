@@ -4,7 +4,7 @@
 
 Questions (item_id, text) are asked of documents (doc_id, text, lang, ...). A document is gold for a question when it holds
 the question's whole text. Three systems rank: BM25, keyword overlap, and both fused by reciprocal ranks. Output under
---out, by Spark's writers; a later run overwrites the partitions of its systems with the same rows:
+--out, by Spark's writers; a later run replaces it, over the same tables by the same rows:
 
     hits/system=S         q_id, doc_id, score, rank, gold
     questions/system=S    q_id, n_gold, first_rank, hit_1, hit_3, hit_5, reciprocal_rank, ndcg_5, top
@@ -37,9 +37,9 @@ FIGURES = ["hit_1", "hit_3", "hit_5", "reciprocal_rank", "ndcg_5"]
 
 
 def put(rows: DataFrame, path: str) -> DataFrame:
-    """Overwrite the systems that rows has, no other partition; what stands there then."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("system").parquet(path)
-    return rows.sparkSession.read.parquet(path)
+    """Replace the table at path by rows, as every run ranks with all systems; what stands there then."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy("system").parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def ranked(scored: DataFrame, k: int) -> DataFrame:
