@@ -84,41 +84,6 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def norm(a: Column) -> Column:
-    return F.sqrt(dot(a, a))
-
-
-def cosine(queries: DataFrame, vectors: DataFrame, block: int = 4096) -> DataFrame:
-    """(q_id, doc_id, score) of query vectors against all vectors; negative similarity counts as 0.
-
-    The query set is stated by the caller and goes in blocks of `block` rows, each small enough to broadcast
-    (block * dimension * 4 bytes), against the vectors, which stay where they are.
-    """
-    q = queries.select(F.col("doc_id").alias("q_id"), F.col("vector").alias("qv"), norm(F.col("vector")).alias("qn"))
-    v = vectors.withColumn("vn", norm(F.col("vector")))
-    sim = F.when((F.col("vn") > 0) & (F.col("qn") > 0), dot(F.col("vector"), F.col("qv")) / (F.col("vn") * F.col("qn"))).otherwise(F.lit(0.0))
-    return _against(q, v, block).select("q_id", "doc_id", F.greatest(sim, F.lit(0.0)).alias("score"))
-
-
-def _against(queries: DataFrame, rows: DataFrame, block: int) -> DataFrame:
-    """rows (doc_id, ...) beside every query (q_id, ...) of another id, queries broadcast in blocks of about `block` rows."""
-    blocks = max(1, -(-queries.count() // block))
-    out = None
-    for i in range(blocks):
-        part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("q_id"), F.lit(blocks)) == i)
-        pairs = rows.join(F.broadcast(part), F.col("doc_id") != F.col("q_id"))
-        out = pairs if out is None else out.unionByName(pairs)
-    return out
-
-
-def maxsim(queries: DataFrame, pages: DataFrame, block: int = 512) -> DataFrame:
-    """Late interaction. queries (q_id, tokens array<array>), pages (doc_id, patches array<array>): mean over
-    query tokens of the best patch. Queries go in blocks of `block` rows, as in cosine()."""
-    best = lambda t: F.array_max(F.transform("patches", lambda p: dot(t, p)))
-    pairs = _against(queries, pages, block)
-    return pairs.select("q_id", "doc_id", (F.aggregate(F.transform("tokens", best), F.lit(0.0), lambda s, x: s + x) / F.size("tokens")).alias("score"))
-
-
 def reciprocal_rank_fusion(channels: list[DataFrame], k: int = RRF_K) -> DataFrame:
     """Channels (q_id, doc_id, rank) -> (q_id, doc_id, rrf). The order of channels does not matter."""
     all_rows = channels[0].select("q_id", "doc_id", "rank")

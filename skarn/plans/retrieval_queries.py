@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as T
 from skarn.operators import retrieval as R
+from skarn.operators import vectors as X
 from skarn.plans.base import plain_tokens_sql, sql_list, tokens_sql
 from skarn.session import table
 
@@ -48,7 +49,11 @@ def _top_sql(src: str, k: int, extra: str = "") -> str:
 def _top(scored, k):
     """Ranks on scores rounded to nine decimals, so that the order of summation can't decide a tie."""
     ranked = R.top_k(scored.withColumn("key", F.round("score", 9)), k, "key")
-    return ranked.select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _ranked(ranked)
+
+
+def _ranked(rows):
+    return rows.select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 #: CTEs that end in top (q_id, doc_id, score, rank), the ten best documents of each passage.
@@ -120,7 +125,7 @@ _VEC = """v AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS e, label
 )
 def cosine_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir).select("doc_id", "vector")
-    return _top(R.cosine(v.filter("doc_id % 50 = 0"), v), 10)
+    return _ranked(X.cosine_topk(v.filter("doc_id % 50 = 0"), v, 10))
 
 
 @query(
@@ -133,7 +138,7 @@ def maxsim_topk(spark, sf_dir):
     patches = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("vector", i * 8 + 1, F.lit(8)))
     pages = _vectors(spark, sf_dir).select("doc_id", patches.alias("patches"))
     queries = pages.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("q_id"), F.col("patches").alias("tokens"))
-    return _top(R.maxsim(queries, pages), 10)
+    return _ranked(X.maxsim_topk(queries, pages, 10))
 
 
 @query(
