@@ -130,22 +130,6 @@ def heuristic_rerank(rows: DataFrame) -> DataFrame:
     return rows.withColumn("rerank_score", F.least(F.lit(1.0), score))
 
 
-def modality_score(rows: DataFrame) -> DataFrame:
-    """Rows (question flags and chunk fields) with modality_score: one of the exclusive cues plus additive ones."""
-    first = (
-        F.when(F.col("is_bridged"), 3.0)
-        .when(F.col("is_table") & F.col("tabular_intent"), 2.5)
-        .when(F.col("is_figure") & F.col("comparative") & F.lower("caption").rlike(CAPTION_WORDS + "|benchmark"), 3.0)
-        .when(F.col("is_figure") & F.col("visual_intent"), 2.0)
-        .when(F.col("is_table") & (F.col("asks_table") | F.col("result_hint")), 2.0)
-        .otherwise(0.0)
-    )
-    section = F.when(F.col("comparative") & (F.col("chunk_type").isin("result", "experiment") | F.lower("section").rlike(RESULT_SECTIONS)), 2.5).otherwise(0.0)
-    page = F.when(F.col("page_preferred"), 1.0).otherwise(0.0)
-    hint = F.when(F.col("section_hinted"), 0.8).otherwise(0.0)
-    return rows.withColumn("modality_score", first + section + page + hint)
-
-
 def bridge_edges(nodes: DataFrame) -> DataFrame:
     """Nodes (q_id, pos, source, text): pairs of different sources that share two tokens of four letters or more.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skarn.operators import evidence as V
 from skarn.operators import reports as P
+from skarn.operators.vectors import cosine_topk, maxsim_topk
 from skarn.operators.verify import corrupted
 from skarn.plans.base import quoted, sentences_sql
 from skarn.plans.metric_queries import _RUNS, _SQ, _TURNS, _UNIVERSE, _axes, _runs, _turns
@@ -56,9 +57,58 @@ def _asked(spark, sf_dir):
     return b.select(F.col("item_id").alias("q_id"), F.concat(cue, "text").alias("text"))
 
 
+#: Page units stand behind the documents' ids.
+_PAGES_FROM = 10**9
+
+
+def _page_units(spark, sf_dir):
+    """A page for each embedding: the page of the document of that id, as a chunk of the page channel."""
+    c = _chunks(spark, sf_dir).select("doc_id", "source", "page", "ord")
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    fixed = {"text": "", "caption": "", "section": "Full-page visual", "chunk_type": "page_visual"}
+    label = F.concat(F.lit("Page "), F.col("page").cast("string"))
+    return c.join(e, "doc_id").select((F.col("doc_id") + _PAGES_FROM).alias("doc_id"), "source", "page", "ord", label.alias("label"), *[F.lit(v).alias(k) for k, v in fixed.items()], F.lit(True).alias("is_figure"), F.lit(False).alias("is_table"))
+
+
+def _vectors_of_questions(spark, sf_dir):
+    """The embedding of a question's own number stands for its vector."""
+    e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vector"))
+    return e, e.join(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id")
+
+
+def _patches(vector):
+    return F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice(vector, i * 8 + 1, F.lit(8)))
+
+
+def _page_hits(spark, sf_dir, k, least):
+    vectors, asked = _vectors_of_questions(spark, sf_dir)
+    pages = vectors.select((F.col("doc_id") + _PAGES_FROM).alias("doc_id"), _patches("vector").alias("patches")).join(_page_units(spark, sf_dir).select("doc_id"), "doc_id")
+    return maxsim_topk(asked.select(F.col("doc_id").alias("q_id"), _patches("vector").alias("tokens")), pages, k, least)
+
+
+@query(
+    "page_channel",
+    f"""WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), p AS (SELECT vec_id, list_transform(range(0, 8), lambda i: e[i * 8 + 1:i * 8 + 8]) AS m FROM v),
+    c AS (SELECT a.vec_id AS q_id, b.vec_id + {_PAGES_FROM} AS doc_id, list_sum(list_transform(a.m, lambda t: list_max(list_transform(b.m, lambda x: list_dot_product(t, x))))) / 8 AS score
+          FROM p a JOIN benchmark ON item_id = a.vec_id CROSS JOIN p b JOIN documents d ON d.doc_id = b.vec_id),
+    r AS (SELECT *, row_number() OVER (PARTITION BY q_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM c WHERE score >= 0.12)
+    SELECT q_id, r.doc_id, source, d.doc_id % 9 + 1 AS page, round(score, 6) AS score, rank FROM r JOIN documents d ON d.doc_id + {_PAGES_FROM} = r.doc_id WHERE rank <= 24""",
+)
+def page_channel(spark, sf_dir):
+    """Page hits above the floor with their source and page, pages chosen by bounds on their patches."""
+    hits = _page_hits(spark, sf_dir, 24, 0.12).join(_page_units(spark, sf_dir).select("doc_id", "source", "page"), "doc_id")
+    return hits.select("q_id", "doc_id", "source", "page", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query("full_retrieval")
 def full_retrieval(spark, sf_dir):
-    return V.retrieve(_chunks(spark, sf_dir), _asked(spark, sf_dir), 6)
+    """D21 with all channels: words, modality, dense and image vectors, and pages."""
+    chunks = _chunks(spark, sf_dir)
+    vectors, asked = _vectors_of_questions(spark, sf_dir)
+    known = vectors.join(chunks.select("doc_id", "is_figure"), "doc_id")
+    dense = cosine_topk(asked, known.select("doc_id", "vector"), 48).select("q_id", "doc_id", "rank")
+    images = V.image_channel(asked, known.filter("is_figure").select("doc_id", "vector"), k=36)
+    return V.retrieve(chunks, _asked(spark, sf_dir), 6, dense, images, _page_hits(spark, sf_dir, 24, 0.12), _page_units(spark, sf_dir), image_floor=0.2, page_floor=0.12)
 
 
 @query("multi_hop_retrieval")
@@ -75,10 +125,23 @@ def evidence_items(spark, sf_dir):
     return items.select("q_id", "item", "doc_id", F.md5(F.col("quote").cast("binary")).alias("quote"), F.round("score", 6).alias("score"))
 
 
-@query("expanded_references")
+@query(
+    "expanded_references",
+    """WITH c AS (SELECT doc_id, source, doc_id % 6 = 0 AS fig, CASE WHEN doc_id % 12 = 0 THEN 'table ' ELSE 'figure ' END || (doc_id % 10) AS l, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL),
+    s AS (SELECT * FROM c WHERE place <= 12), f AS (SELECT source, l, min(doc_id) AS doc_id FROM c WHERE fig GROUP BY ALL),
+    w AS (SELECT source, place, 1 AS p, 'figure ' || (doc_id * 7 % 10) AS l FROM s WHERE NOT fig AND place <= 8 UNION ALL SELECT source, place, 2, 'table ' || (doc_id * 5 % 10) FROM s WHERE NOT fig AND place <= 8),
+    n AS (SELECT source, l, min(place * 10 + p) AS first FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.fig AND s.source = w.source AND s.l = w.l) GROUP BY ALL),
+    r AS (SELECT source AS q_id, doc_id, l, row_number() OVER (PARTITION BY source ORDER BY first, l) AS r FROM n JOIN f USING (source, l))
+    SELECT q_id, doc_id, l FROM r WHERE r <= 2""",
+)
 def expanded_references(spark, sf_dir):
-    c = _chunks(spark, sf_dir).withColumn("text", F.concat("text", F.lit(" see Figure 6 and Table 12")))
-    return V.expand_references(V.retrieve(c, _asked(spark, sf_dir), 6), c, 2)
+    """D30 over the first twelve chunks of every source, which name a figure and a table each."""
+    n = F.col("doc_id")
+    c = _chunks(spark, sf_dir).filter("source IS NOT NULL").withColumn("text", F.concat(F.lit("see Figure "), (n * 7 % 10).cast("string"), F.lit(" and Table "), (n * 5 % 10).cast("string")))
+    c = c.withColumn("label", F.when(n % 6 == 0, F.concat(F.when(n % 12 == 0, "Table ").otherwise("Figure "), (n % 10).cast("string"))))
+    first = Window.partitionBy("source").orderBy("doc_id")
+    selected = c.select(F.col("source").alias("q_id"), "doc_id", F.row_number().over(first).alias("place")).filter("place <= 12")
+    return V.expand_references(selected, c, 2)
 
 
 _IMP = " + ".join(f"CASE WHEN contains(lower(s), {quoted(w)}) THEN 2 ELSE 0 END" for w in V.IMPORTANT)
