@@ -127,18 +127,18 @@ def evidence_items(spark, sf_dir):
 
 @query(
     "expanded_references",
-    """WITH c AS (SELECT doc_id, source, doc_id % 6 = 0 AS fig, CASE WHEN doc_id % 12 = 0 THEN 'table ' ELSE 'figure ' END || (doc_id % 10) AS l, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL),
+    """WITH c AS (SELECT doc_id, source, doc_id % 6 = 0 AS fig, CASE WHEN doc_id % 12 = 0 THEN 'table ' ELSE 'figure ' END || (doc_id // 20 % 10) AS l, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS place FROM documents WHERE source IS NOT NULL),
     s AS (SELECT * FROM c WHERE place <= 12), f AS (SELECT source, l, min(doc_id) AS doc_id FROM c WHERE fig GROUP BY ALL),
-    w AS (SELECT source, place, 1 AS p, 'figure ' || (doc_id * 7 % 10) AS l FROM s WHERE NOT fig AND place <= 8 UNION ALL SELECT source, place, 2, 'table ' || (doc_id * 5 % 10) FROM s WHERE NOT fig AND place <= 8),
+    w AS (SELECT source, place, 1 AS p, 'figure ' || (doc_id // 20 * 7 % 10) AS l FROM s WHERE NOT fig AND place <= 8 UNION ALL SELECT source, place, 2, 'table ' || (doc_id // 20 * 3 % 10) FROM s WHERE NOT fig AND place <= 8),
     n AS (SELECT source, l, min(place * 10 + p) AS first FROM w WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.fig AND s.source = w.source AND s.l = w.l) GROUP BY ALL),
     r AS (SELECT source AS q_id, doc_id, l, row_number() OVER (PARTITION BY source ORDER BY first, l) AS r FROM n JOIN f USING (source, l))
     SELECT q_id, doc_id, l FROM r WHERE r <= 2""",
 )
 def expanded_references(spark, sf_dir):
     """D30 over the first twelve chunks of every source, which name a figure and a table each."""
-    n = F.col("doc_id")
-    c = _chunks(spark, sf_dir).filter("source IS NOT NULL").withColumn("text", F.concat(F.lit("see Figure "), (n * 7 % 10).cast("string"), F.lit(" and Table "), (n * 5 % 10).cast("string")))
-    c = c.withColumn("label", F.when(n % 6 == 0, F.concat(F.when(n % 12 == 0, "Table ").otherwise("Figure "), (n % 10).cast("string"))))
+    n, k = F.col("doc_id"), F.floor(F.col("doc_id") / 20)
+    c = _chunks(spark, sf_dir).filter("source IS NOT NULL").withColumn("text", F.concat(F.lit("see Figure "), (k * 7 % 10).cast("string"), F.lit(" and Table "), (k * 3 % 10).cast("string")))
+    c = c.withColumn("label", F.when(n % 6 == 0, F.concat(F.when(n % 12 == 0, "Table ").otherwise("Figure "), (k % 10).cast("string"))))
     first = Window.partitionBy("source").orderBy("doc_id")
     selected = c.select(F.col("source").alias("q_id"), "doc_id", F.row_number().over(first).alias("place")).filter("place <= 12")
     return V.expand_references(selected, c, 2)
