@@ -18,9 +18,9 @@ def smallest_hashes(rows: DataFrame, by: str, sizes: dict, most: int) -> DataFra
     `most` of them at least (short of chances below 1e-20); only these are sorted. Values not in sizes are left out.
     """
     h = F.xxhash64("doc_id")
-    share = {v: (1.2 * most + 200) / n for v, n in sizes.items() if n}
-    some = F.lit(False)
-    for v, x in share.items():
-        some = some | ((F.col(by) == F.lit(v)) & (h <= F.lit(min(2**63 - 1, int(-(2**63) + x * 2**64)))))
+    bounds = [(v, min(2**63 - 1, int(-(2**63) + (1.2 * most + 200) / n * 2**64))) for v, n in sizes.items() if n]
+    kind = rows.schema[by].dataType.simpleString()
+    small = rows.sparkSession.createDataFrame(bounds, f"`{by}` {kind}, __most long")  # a row a value, from the driver
+    some = rows.join(F.broadcast(small), by).filter(h <= F.col("__most")).select(*rows.columns)
     order = Window.partitionBy(by).orderBy(h, "doc_id")
-    return rows.filter(some).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).drop("__r")
+    return some.withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= most).drop("__r")

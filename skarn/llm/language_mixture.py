@@ -11,8 +11,9 @@ whole texts of each language, those with the smallest hash of doc_id outside the
 language that occurs only in the held-out fold or is null is not learnt. Every input row gives one output row; extra
 columns are ignored; an empty table gives no rows.
 
-Plan: learning counts trigrams in one distributed map with partial sums (languages * BUCKETS rows at most, so the model
-is bounded and broadcast); scoring is one map over the scan without a shuffle of the corpus.
+Plan: learning counts trigrams in one distributed map with partial sums; the model is broadcast. It has 2**BITS buckets a
+language, and fewer from 401 languages on, so that it stays below some 100 MB up to 51,200 languages. Scoring is one map
+over the scan without a shuffle of the corpus.
 """
 
 from __future__ import annotations
@@ -25,11 +26,13 @@ from pyspark.sql import functions as F
 from skarn.llm.folds import held_out, smallest_hashes
 from skarn.llm.word_ids import slices
 
-BUCKETS = 1 << 15
+BITS = 15
 MAX_TEXTS = 2000
 PENALTY = 4.0
 ROUNDS = 12
-MOST_LANGUAGES = 400  # bound of the model: more languages raise an error
+NUMBERS = 400 << BITS  # a model of more numbers has fewer trigram buckets a language, LEAST_BITS at least
+LEAST_BITS = 8
+BROADCAST_ROWS = 1_000_000  # light rows of labelled texts; more are joined
 
 #: ASCII letters to lower case, other ASCII to blanks, all other bytes as they are.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -37,7 +40,15 @@ FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 3
 SMALL = {**{c: c + 32 for c in range(0xC0, 0xDF) if c != 0xD7}, **{c: " " for c in (*range(0x80, 0xAA), *range(0xAB, 0xB5), *range(0xB6, 0xBA), *range(0xBB, 0xC0), 0xD7, 0xF7, *range(0x2000, 0x2070))}}
 
 
-def trigrams(text: bytes | None) -> np.ndarray:
+def bits_for(languages: int) -> int:
+    """Bits of a trigram id: BITS for up to 400 languages, then one less each time their number doubles."""
+    bits = BITS
+    while bits > LEAST_BITS and languages << bits > NUMBERS:
+        bits -= 1
+    return bits
+
+
+def trigrams(text: bytes | None, bits: int = BITS) -> np.ndarray:
     """Hashed trigram ids of a whole text; empty when it has no letter."""
     if not text:
         return np.zeros(0, np.int64)
@@ -47,7 +58,7 @@ def trigrams(text: bytes | None) -> np.ndarray:
     if len(raw) < 3:
         return np.zeros(0, np.int64)
     b = np.frombuffer(raw, np.uint8).astype(np.uint32)
-    return (((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
+    return (((b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 #: ASCII bytes that are no letters.
@@ -81,9 +92,10 @@ class Mixture:
         """(language, score, proportions of the chosen set)."""
         if not self.languages or not has_letter(text):
             return "und", 0.0, {}
-        ids = trigrams(text)
+        bits = len(self.p).bit_length() - 1
+        ids = trigrams(text, bits)
         if not len(ids):  # letters that leave no trigram
-            ids = trigrams(b"e")
+            ids = trigrams(b"e", bits)
         n = np.bincount(ids, minlength=len(self.p))
         at = np.flatnonzero(n)
         like, n = self.p[at], n[at].astype(np.float64)
@@ -95,9 +107,9 @@ class Mixture:
         while len(chosen) < len(self.languages):
             # the language that explains best what the set explains badly
             mixed = like[:, chosen] @ weights
-            rest = [k for k in range(len(self.languages)) if k not in chosen]
-            gain = [(n * (like[:, k] / mixed)).sum() / total for k in rest]
-            trial = [*chosen, rest[int(np.argmax(gain))]]
+            gain = (n / mixed) @ like
+            gain[chosen] = -1.0
+            trial = [*chosen, int(np.argmax(gain))]
             w = np.append(weights * (1 - 1 / len(trial)), 1 / len(trial))
             for _ in range(ROUNDS):  # expectation and maximisation in one step
                 part = like[:, trial] * w
@@ -116,19 +128,19 @@ class Mixture:
 def fit(docs: DataFrame, most: int = MAX_TEXTS) -> Mixture:
     """Trigram models of the languages of docs (doc_id, text, lang), from rows outside the held-out fold."""
     rows = docs.filter(F.col("lang").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    chosen = smallest_hashes(rows, "lang", sizes, most)  # MOST_LANGUAGES * most light rows at most
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
+    bits = bits_for(len(sizes))
+    chosen = smallest_hashes(rows, "lang", sizes, most)  # `most` light rows a language
     texts = docs.select("doc_id", F.col("lang").alias("l"), F.col("text").cast("binary").alias("raw"))
     same = (texts["doc_id"] == chosen["doc_id"]) & (texts["l"] == chosen["lang"])
-    taken = texts.join(F.broadcast(chosen), same, "left_semi").select("l", "raw")
+    side = F.broadcast(chosen) if len(sizes) * most <= BROADCAST_ROWS else chosen
+    taken = texts.join(side, same, "left_semi").select("l", "raw")
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                n = np.bincount(trigrams(raw), minlength=BUCKETS)
+                n = np.bincount(trigrams(raw, bits), minlength=1 << bits)
                 sums[lang] = sums[lang] + n if lang in sums else n
         for lang, n in sums.items():
             at = np.flatnonzero(n)
@@ -136,7 +148,7 @@ def fit(docs: DataFrame, most: int = MAX_TEXTS) -> Mixture:
 
     sums = taken.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
     got = sums.groupBy("lang").agg(F.collect_list("bucket").alias("bucket"), F.collect_list("n").alias("n")).orderBy("lang").collect()
-    counts = np.zeros((BUCKETS, len(got)))
+    counts = np.zeros((1 << bits, len(got)))
     for k, r in enumerate(got):
         counts[r.bucket, k] = r.n
     return Mixture([r.lang for r in got], counts)

@@ -1,7 +1,7 @@
 """Operator 6: quality by nearest-neighbour voting among labelled latent-semantic vectors.
 
-A text becomes a bag of hashed features over its words: the letters of a word below five letters, else the last three
-bytes of its letters, its shape, marks, capitals and length; a longer word is no feature as a whole. Then logarithmic
+A text becomes a bag of hashed features over its words: the whole word's letters, their last three bytes, its shape,
+marks, capitals and length. Then logarithmic
 counts times inverse document frequency, projected on the first latent directions of the labelled texts (truncated SVD)
 and scaled to length one. The labelled vectors are broadcast; every document's cosine products with all of them are
 computed exactly, block by block, and the NEIGHBOURS nearest vote with a weight that grows with similarity.
@@ -45,7 +45,7 @@ EXPONENT = float(np.log(DECISION) / np.log(0.5))  # a balanced vote scores exact
 
 LETTERS = bytes([*range(65, 91), *range(97, 123), *range(128, 256)])
 MARKS = bytes(set(range(256)) - set(LETTERS))
-PER_WORD = 5
+PER_WORD = 6
 
 
 class Bags:
@@ -59,7 +59,7 @@ class Bags:
         core, marks, size = low.translate(None, MARKS), word.translate(None, LETTERS), len(word)
         caps = b"l" if low == word else b"U" if core and size > 1 and word.upper() == word else b"t"
         marks = bytes(sorted(set(marks))) if marks else marks
-        names = (b"w" + core if len(core) < 5 else b"e" + core[-3:], b"s%s%d|%s" % (caps, min(len(core), 12), marks), b"m" + marks, b"c" + caps, b"n%d" % min(size, 15))
+        names = (b"w" + core, b"e" + core[-3:], b"s%s%d|%s" % (caps, min(len(core), 12), marks), b"m" + marks, b"c" + caps, b"n%d" % min(size, 15))
         return np.array([zlib.crc32(x) % self.buckets for x in names], np.int32).tobytes()
 
     def counts(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray]:

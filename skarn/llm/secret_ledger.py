@@ -69,7 +69,10 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, ledger_path: str, version: str = VERSION) -> DataFrame:
-    """(doc_id, blob, spans) of docs (doc_id, text, ...); brings the ledger up to date first."""
+    """(doc_id, blob, spans) of docs (doc_id, text, ...); brings the ledger up to date first.
+
+    Two runs that scan the same blob at once both add it, with the same spans; a blob that is there twice is read once.
+    """
     spark = docs.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     blob = F.unhex(F.sha2(text.cast("binary"), 256))
@@ -83,7 +86,7 @@ def scan_secrets(docs: DataFrame, ledger_path: str, version: str = VERSION) -> D
     scanned = due.select("blob", secret_spans(F.col("__text")).alias("spans"))
     new = scanned.groupBy("blob").agg(F.first("spans").alias("spans")).join(seen.select("blob"), "blob", "left_anti")
     new.select("blob", F.lit(version).alias("rule_version"), "spans").write.mode("append").parquet(ledger_path)
-    found = read_ledger(spark, ledger_path).filter((F.col("rule_version") == version) & (F.size("spans") > 0)).select("blob", "spans")
+    found = read_ledger(spark, ledger_path).filter((F.col("rule_version") == version) & (F.size("spans") > 0)).dropDuplicates(["blob"]).select("blob", "spans")
     return versions.join(found, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
