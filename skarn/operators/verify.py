@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skarn.functions.text import NUMBER, STRUCTURAL_NUMBER, all_matches, is_disclaimer, tokenize
+from skarn.session import written
 
 # Word lists and patterns that decide labels.
 CITATION = r"\[\s*(?:E_?[A-Za-z0-9_]+|\d+)(?:\s*(?:,|;|/|&|and)\s*(?:E_?[A-Za-z0-9_]+|\d+))*\s*\]"
@@ -109,40 +110,110 @@ def parse_claims(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
     return each.withColumn("claim_type", F.when(is_disclaimer("normalized"), "disclaimer").otherwise("factual"))
 
 
+#: Where evidence comes from. Only the first two can support a claim by their text.
+TEXT, TABLE, PIXELS, OBSERVED, IMPUTED = "SOURCE_TEXT", "SOURCE_TABLE", "SOURCE_PIXELS", "MODEL_VISUAL_OBSERVATION", "APPLICATION_IMPUTED"
+ORIGINS = [TEXT, TABLE, PIXELS, OBSERVED, IMPUTED]
+
+
+def evidence_origin(rows: DataFrame) -> Column:
+    """The origin of evidence rows: as stated in `origin` when that is one of ORIGINS, else by what is known of the row."""
+    column = lambda c, kind="boolean": F.col(c) if c in rows.columns else F.lit(None).cast(kind)
+    kind = F.lower(F.coalesce(F.nullif(column("chunk_type", "string"), F.lit("")), column("figure_type", "string"), F.lit("")))
+    yes = lambda c: F.coalesce(column(c), F.lit(False))
+    stated = column("origin", "string")
+    return (
+        F.when(stated.isin(*ORIGINS), stated)
+        .when((kind == "table") | yes("is_table"), TABLE)
+        .when(yes("observed_by_model") | yes("is_page") | column("vision_input_kind", "string").isNotNull(), PIXELS)
+        .when(yes("imputed"), IMPUTED)
+        .otherwise(TEXT)
+    )
+
+
+def prepared(evidence: DataFrame, scope: str) -> DataFrame:
+    """evidence (scope, ref, ord, text[, evidence_id, source_evidence_id, chunk_id, and fields of evidence_origin()]) as
+    (scope, ord, ref, ref_id, text, origin, names), in ord, each (id, text) of a scope once.
+
+    ref becomes the row's id: evidence_id, source_evidence_id, chunk_id or ref itself. ref_id is the number of ref ("E_3",
+    "E3" and "3" are 3) unless an earlier row has it; such rows, and those without a number, get one more than the largest
+    before them. text is empty where the origin can't support a claim. names: what a marker may call the row, upper case.
+    """
+    named = lambda c: F.nullif(F.col(c).cast("string"), F.lit("")) if c in evidence.columns else F.lit(None).cast("string")
+    number = F.regexp_extract(F.coalesce("ref", F.lit("")), r"^(?i:E_?)?(\d{1,9})$", 1)
+    ids = [named(c) for c in ("evidence_id", "source_evidence_id", "chunk_id")]
+    rows = evidence.select(
+        scope,
+        F.col("ord").cast("long").alias("ord"),
+        F.coalesce(*ids, named("ref"), F.concat(F.lit("E_"), F.col("ord").cast("string"))).alias("ref"),
+        F.when(number != "", number.cast("int")).alias("want"),
+        evidence_origin(evidence).alias("origin"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.array_compact(F.array(*[F.upper(x) for x in [*ids, named("ref")]])).alias("names"),
+    )
+    rows = rows.withColumn("text", F.when(F.col("origin").isin(TEXT, TABLE), F.col("text")).otherwise(""))
+    once = rows.groupBy(scope, "ref", "text").agg(F.min(F.struct("ord", "want", "origin", "names")).alias("x")).select(scope, F.struct("x.ord", "ref", "x.want", "text", "x.origin", "x.names").alias("r"))
+    listed = once.groupBy(scope).agg(F.sort_array(F.collect_list("r")).alias("rows"))  # the evidence of one scope
+    start = F.struct(F.lit(0).alias("top"), F.array().cast("array<int>").alias("ids"))
+
+    def number_of(acc, r):
+        own = F.when(r["want"].isNotNull() & ~F.array_contains(acc["ids"], r["want"]), r["want"]).otherwise(acc["top"] + 1)
+        return F.struct(F.greatest(acc["top"], own).alias("top"), F.array_append(acc["ids"], own).alias("ids"))
+
+    numbers = F.aggregate("rows", start, number_of, lambda acc: acc["ids"])
+    each = listed.withColumn("ids", numbers).select(scope, F.explode(F.arrays_zip("rows", "ids")).alias("z"))
+    out = each.select(scope, "z.rows.*", F.col("z.ids").alias("ref_id"))
+    names = F.filter(F.array_append("names", F.concat(F.lit("E"), F.col("ref_id").cast("string"))), lambda n: ~n.rlike(r"^\d+$"))
+    return out.select(scope, "ord", "ref", "ref_id", "text", "origin", F.array_append(F.array_distinct(names), F.col("ref_id").cast("string")).alias("names"))
+
+
 def resolve(claims: DataFrame, evidence: DataFrame, keys: list[str], scope: str) -> DataFrame:
-    """evidence (scope, ref, ord, text) that a claim's markers name: (*keys, claim_id, refs, evidence).
+    """evidence that a claim's markers name: (*keys, claim_id, refs, evidence, origins, numbers), in order of the markers.
 
-    scope is the one of keys that says whose evidence an answer may cite.
+    scope is the one of keys that says whose evidence an answer may cite. Of rows with one name the last by ord is meant.
+    evidence is the text of those rows that have any; origins and numbers are those of all.
     """
-    alias = evidence.withColumn("alias", F.explode(F.array(F.upper("ref"), F.regexp_replace(F.upper("ref"), "^E_?", "")))).dropDuplicates([scope, "alias"])
+    rows = prepared(evidence, scope).select(scope, "ord", "ref", "ref_id", "text", "origin", F.explode("names").alias("alias"))
+    last = rows.groupBy(scope, "alias").agg(F.max(F.struct("ord", "ref", "ref_id", "text", "origin")).alias("x")).select(scope, "alias", "x.*")
     cited = claims.select(*keys, "claim_id", F.posexplode("references").alias("p", "alias")).groupBy(*keys, "claim_id", "alias").agg(F.min("p").alias("p"))
-    hit = cited.join(alias.select(scope, "alias", "ref", F.col("text").alias("said")), [scope, "alias"]).groupBy(*keys, "claim_id", "ref", "said").agg(F.min("p").alias("p"))
-    ordered = hit.groupBy(*keys, "claim_id").agg(F.sort_array(F.collect_list(F.struct("p", "ref", "said"))).alias("e"))  # one claim's own citations
-    return ordered.select(*keys, "claim_id", F.transform("e", lambda x: x["ref"]).alias("refs"), F.array_join(F.transform("e", lambda x: x["said"]), " ").alias("evidence"))
+    hit = cited.join(last, [scope, "alias"]).groupBy(*keys, "claim_id", "ord", "ref", "ref_id", "text", "origin").agg(F.min("p").alias("p"))
+    ordered = hit.groupBy(*keys, "claim_id").agg(F.sort_array(F.collect_list(F.struct("p", "ref", "text", "origin", "ref_id"))).alias("e"))  # one claim's own citations
+    of = lambda name: F.transform("e", lambda x: x[name])
+    said = F.array_join(F.filter(of("text"), lambda t: t != ""), " ")
+    return ordered.select(*keys, "claim_id", of("ref").alias("refs"), said.alias("evidence"), of("origin").alias("origins"), of("ref_id").alias("numbers"))
 
 
 def labelled(claims: DataFrame, evidence: DataFrame, keys: list[str], scope: str) -> DataFrame:
-    """claims with refs, evidence, label and confidence; what is no factual claim needs no evidence."""
+    """claims with refs, evidence, origins, numbers, label and confidence; what is no factual claim needs no evidence.
+
+    A factual claim whose evidence is pixels, without any text or table, is UNVERIFIED_VISUAL with confidence 0: only a
+    reader of the pixels can judge it, and what a model has seen in them is no support.
+    """
     found = claims.join(resolve(claims, evidence, keys, scope), [*keys, "claim_id"], "left")
-    found = found.withColumns({"evidence": F.coalesce("evidence", F.lit("")), "refs": F.coalesce("refs", F.array().cast("array<string>"))})
+    none = {"evidence": F.lit(""), "refs": F.array().cast("array<string>"), "origins": F.array().cast("array<string>"), "numbers": F.array().cast("array<int>")}
+    found = found.withColumns({c: F.coalesce(c, v) for c, v in none.items()})
     free = F.struct(F.lit("SUPPORTED").alias("label"), F.lit(1.0).alias("confidence"))
-    return found.withColumn("s", F.when(F.col("claim_type") != "factual", free).otherwise(support(F.col("text"), F.col("evidence")))).select("*", "s.*").drop("s")
+    unseen = F.struct(F.lit("UNVERIFIED_VISUAL").alias("label"), F.lit(0.0).alias("confidence"))
+    pixels_only = F.array_contains("origins", PIXELS) & ~F.arrays_overlap("origins", F.array(F.lit(TEXT), F.lit(TABLE)))
+    status = F.when(F.col("claim_type") != "factual", free).when(pixels_only, unseen).otherwise(support(F.col("text"), F.col("evidence")))
+    return found.withColumn("s", status).select("*", "s.*").drop("s")
 
 
 def verification_report(answers: DataFrame, claims: DataFrame, keys: list[str], gold: DataFrame | None = None) -> DataFrame:
     """F5/F10 of every answer, those without claims too, from labelled() claims.
 
-    The counts of labels and abstains (factual claims, none SUPPORTED) go by factual claims; precision, recall, F1 and the
-    unsupported rate by all. Recall is the share of gold (*keys, ref) that is cited; without gold 1 when anything is
-    supported, else 0. Without claims they are 1, 1, 1 and 0.
+    The counts of labels and abstains (factual claims, none SUPPORTED nor UNVERIFIED_VISUAL) go by factual claims;
+    precision, recall, F1 and the rates by all. The unsupported rate is of PARTIAL, UNSUPPORTED and CONTRADICTED claims,
+    visual claims that nobody has judged have their own. Recall is the share of gold (*keys, ref) that is cited; without
+    gold 1 when anything is supported, else 0. Without claims they are 1, 1, 1, 0 and 0.
     """
     fact = F.col("claim_type") == "factual"
     of = lambda name: F.count_if(fact & (F.col("label") == name))
     n = claims.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total_claims"),
         F.count_if(fact).alias("factual_claims"),
-        *[of(x).alias(f"{x.lower()}_count") for x in ("SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED")],
+        *[of(x).alias(f"{x.lower()}_count") for x in ("SUPPORTED", "PARTIAL", "UNSUPPORTED", "CONTRADICTED", "UNVERIFIED_VISUAL")],
         F.count_if(F.col("label") == "SUPPORTED").alias("supported_claims"),
+        F.count_if(F.col("label") == "UNVERIFIED_VISUAL").alias("visual_claims"),
     )
     counts = [c for c in n.columns if c not in keys]
     r = answers.select(*keys).join(n, keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
@@ -153,23 +224,25 @@ def verification_report(answers: DataFrame, claims: DataFrame, keys: list[str],
         r = r.join(met, keys, "left")
         recall = F.coalesce("share", recall)
     none = F.col("total_claims") == 0
-    r = r.withColumns({"citation_precision": F.when(none, 1.0).otherwise(F.try_divide("supported_claims", "total_claims")), "citation_recall": F.when(none, 1.0).otherwise(recall)})
+    share = lambda c: F.coalesce(F.try_divide(c, F.col("total_claims")), F.lit(0.0))
+    r = r.withColumns({"citation_precision": F.when(none, 1.0).otherwise(share(F.col("supported_claims"))), "citation_recall": F.when(none, 1.0).otherwise(recall)})
     both = F.col("citation_precision") + F.col("citation_recall")
     return r.select(
         *keys,
-        *counts,
+        *[c for c in counts if c != "visual_claims"],
         "citation_precision",
         "citation_recall",
         F.when(both > 0, 2 * F.col("citation_precision") * F.col("citation_recall") / both).otherwise(0.0).alias("citation_f1"),
-        (1 - F.col("citation_precision")).alias("unsupported_claim_rate"),
-        (F.col("partial_count") + F.col("unsupported_count") + F.col("contradicted_count") == 0).alias("overall_supported"),
-        ((F.col("factual_claims") > 0) & (F.col("supported_count") == 0)).alias("abstains"),
+        share(F.col("total_claims") - F.col("supported_claims") - F.col("visual_claims")).alias("unsupported_claim_rate"),
+        share(F.col("visual_claims")).alias("unverified_visual_claim_rate"),
+        (F.col("partial_count") + F.col("unsupported_count") + F.col("contradicted_count") + F.col("unverified_visual_count") == 0).alias("overall_supported"),
+        ((F.col("factual_claims") > 0) & (F.col("supported_count") + F.col("unverified_visual_count") == 0)).alias("abstains"),
     )
 
 
-def with_marker(text: Column, ref: Column) -> Column:
-    """text with one marker [ref]: in place of its first citation, the others go; without one before its final mark."""
-    marker = F.concat(F.lit("["), F.regexp_replace(ref, "(?i)^E_?", ""), F.lit("]"))
+def with_marker(text: Column, number: Column) -> Column:
+    """text with one marker [number]: in place of its first citation, the others go; without one before its final mark."""
+    marker = F.concat(F.lit("["), number.cast("string"), F.lit("]"))
     parts = F.split(text, "(?i)" + CITATION)
     ends = text.rlike("[.!?]$")
     body = F.rtrim(F.when(ends, F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text))
@@ -178,13 +251,14 @@ def with_marker(text: Column, ref: Column) -> Column:
 
 
 def remap(claims: DataFrame, evidence: DataFrame, keys: list[str], scope: str) -> DataFrame:
-    """for UNSUPPORTED claims the evidence they don't cite that supports them best, if any does at least in part:
-    (*keys, claim_id, new_ref, label, confidence, remapped)."""
-    due = claims.filter("label = 'UNSUPPORTED' AND claim_type = 'factual'").select(*keys, "claim_id", F.col("text").alias("claim"), "refs")
-    pairs = due.join(evidence, scope).filter(~F.array_contains("refs", F.col("ref"))).withColumn("s", support(F.col("claim"), F.col("text")))
-    best = F.max_by(F.struct("ref", "s", "claim"), F.struct(F.col("s.confidence"), -F.col("ord"), "ref")).alias("x")
+    """for UNSUPPORTED claims the evidence they don't cite that supports them best, if any does at least in part, the
+    first of equals: (*keys, claim_id, new_ref, new_number, label, confidence, remapped)."""
+    due = claims.filter("label = 'UNSUPPORTED' AND claim_type = 'factual'").select(*keys, "claim_id", F.col("text").alias("claim"), "numbers")
+    pool = prepared(evidence, scope).filter("text <> ''")
+    pairs = due.join(pool, scope).filter(~F.array_contains("numbers", F.col("ref_id"))).withColumn("s", support(F.col("claim"), F.col("text")))
+    best = F.max_by(F.struct("ref", "ref_id", "s", "claim"), F.struct(F.col("s.confidence"), -F.col("ord"), -F.col("ref_id"))).alias("x")
     one = pairs.filter("s.label IN ('SUPPORTED', 'PARTIAL')").groupBy(*keys, "claim_id").agg(best)
-    return one.select(*keys, "claim_id", F.col("x.ref").alias("new_ref"), "x.s.label", "x.s.confidence", with_marker(F.col("x.claim"), F.col("x.ref")).alias("remapped"))
+    return one.select(*keys, "claim_id", F.col("x.ref").alias("new_ref"), F.col("x.ref_id").alias("new_number"), "x.s.label", "x.s.confidence", with_marker(F.col("x.claim"), F.col("x.ref_id")).alias("remapped"))
 
 
 def narrow(claims: DataFrame, keys: list[str]) -> DataFrame:
@@ -203,51 +277,103 @@ def narrow(claims: DataFrame, keys: list[str]) -> DataFrame:
     return kept.groupBy(*keys, "claim_id").agg(F.max_by("piece", F.struct(F.length("piece"), -F.col("p"))).alias("piece"))
 
 
-def repair(answers: DataFrame, evidence: DataFrame, keys: list[str], scope: str, abstain: bool = True) -> DataFrame:
-    """answers (*keys, answer, mode) repaired against evidence (scope, ref, ord, text) and verified again:
-    (*keys, mode, final_answer, n_edits, abstained, reverified).
+class Repair:
+    """answers (*keys, answer, mode) repaired against evidence (scope, ref, ord, text, ...) and verified again.
 
     Mode NONE changes nothing. CITATION_REMAP_ONLY gives UNSUPPORTED claims the evidence of remap(). SELECTIVE does so too
     and deletes those without; it deletes CONTRADICTED claims, narrows PARTIAL ones, which stay when they can't be
-    narrowed, and takes the markers from what makes no claim. An answer that had factual claims and keeps none that is
-    SUPPORTED or PARTIAL becomes ABSTENTION, one edit, if abstain is set.
+    narrowed, and takes the markers from what makes no claim. Claims that rest on pixels alone are left as they are. An
+    answer that had factual claims and keeps none that is SUPPORTED, PARTIAL or UNVERIFIED_VISUAL becomes ABSTENTION, one
+    edit, if abstain is set.
+
+    outcomes(), edits() and citations() are tables of its answers, its edit records and its final citations.
     """
-    first = labelled(parse_claims(answers.select(*keys, "mode", "answer"), [*keys, "mode"], "answer"), evidence, [*keys, "mode"], scope).drop("normalized")
-    names = [*keys, "mode", "claim_id"]
-    moved = remap(first.filter("mode <> 'NONE'"), evidence, [*keys, "mode"], scope).select(*names, "remapped")
-    cut = narrow(first.filter("mode = 'SELECTIVE'"), [*keys, "mode"])
-    rows = first.filter("mode <> 'NONE'").join(moved, names, "left").join(cut, names, "left")
-    fact, all_of_it = F.col("claim_type") == "factual", F.col("mode") == "SELECTIVE"
-    new = (
-        F.when((F.col("label") == "PARTIAL") & all_of_it, F.coalesce("piece", "text"))
-        .when(F.col("label") == "UNSUPPORTED", F.coalesce("remapped", F.when(all_of_it, "").otherwise(F.col("text"))))
-        .when((F.col("label") == "CONTRADICTED") & all_of_it, "")
-        .otherwise(F.col("text"))
-    )
-    one = lambda a, b, c: F.struct(a.alias("start"), b.alias("end"), c.alias("new"))
-    blank = lambda m: F.substring("text", m["start"] - F.col("start"), F.lit(1)).rlike(r"^\s$") & (m["start"] > F.col("start"))
-    bare = F.transform("markers", lambda m: one(m["start"] - F.when(blank(m), 1).otherwise(0), m["end"], F.lit("")))
-    none = F.array().cast("array<struct<start:int,end:int,new:string>>")
-    edits = F.when(~fact, F.when(all_of_it, bare).otherwise(none)).when(new == F.col("text"), none).otherwise(F.array(one(F.col("start"), F.col("end"), new)))
-    by_answer = rows.groupBy(*keys, "mode").agg(F.flatten(F.collect_list(edits)).alias("edits"))  # one answer's claims
-    done = answers.join(by_answer, [*keys, "mode"], "left").withColumn("edits", F.coalesce("edits", none))
-    text = apply_edits(F.col("answer"), F.col("edits"))
-    tidy = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*[-*+]\s*$\n?", ""), r"\n{3,}", "\n\n")
-    tidy = F.regexp_replace(tidy, r"^\s+|\s+$", "")
-    done = done.withColumn("final", F.when(text == F.col("answer"), F.col("answer")).otherwise(tidy))
-    second = labelled(parse_claims(done.select(*keys, "mode", "final"), [*keys, "mode"], "final"), evidence, [*keys, "mode"], scope)
-    had = first.groupBy(*keys, "mode").agg(F.count_if(fact).alias("had"))
-    has = second.groupBy(*keys, "mode").agg(F.count_if(fact & F.col("label").isin("SUPPORTED", "PARTIAL")).alias("has"))
-    rows = done.join(had, [*keys, "mode"], "left").join(has, [*keys, "mode"], "left").withColumns({"had": F.coalesce("had", F.lit(0)), "has": F.coalesce("has", F.lit(0))})
-    gives_up = (F.col("mode") != "NONE") & (F.col("had") > 0) & (F.col("has") == 0) & F.lit(abstain)
-    return rows.select(
-        *keys,
-        "mode",
-        F.when(gives_up, ABSTENTION).otherwise(F.col("final")).alias("final_answer"),
-        F.when(gives_up, 1).otherwise(F.size("edits")).cast("long").alias("n_edits"),
-        gives_up.alias("abstained"),
-        ((F.col("mode") != "NONE") & (F.col("has") > 0)).alias("reverified"),
-    )
+
+    def __init__(self, answers: DataFrame, evidence: DataFrame, keys: list[str], scope: str, abstain: bool = True):
+        self.keys = [*keys, "mode"]
+        first = labelled(parse_claims(answers.select(*self.keys, "answer"), self.keys, "answer"), evidence, self.keys, scope).drop("normalized")
+        self.first = written(first, "first-pass")
+        self.edited = written(self._edited(evidence, scope), "edit-records")
+        self.evidence, self.scope = evidence, scope
+        self.rows = written(self._finished(answers, abstain), "repaired")
+
+    def _edited(self, evidence: DataFrame, scope: str) -> DataFrame:
+        """A row for each edit of a claim or of a marker, before an answer is given up."""
+        names = [*self.keys, "claim_id"]
+        moved = remap(self.first.filter("mode <> 'NONE'"), evidence, self.keys, scope).select(*names, "remapped", "new_ref", "new_number")
+        cut = narrow(self.first.filter("mode = 'SELECTIVE'"), self.keys)
+        rows = self.first.filter("mode <> 'NONE'").join(moved, names, "left").join(cut, names, "left")
+        fact, all_of_it, label = F.col("claim_type") == "factual", F.col("mode") == "SELECTIVE", F.col("label")
+        one = lambda action, start, end, old, new, second, refs: F.struct(action.alias("action"), start.alias("start"), end.alias("end"), old.alias("original_text"), new.alias("replacement_text"), second.alias("second_pass_status"), refs.alias("resolved_refs"))
+        none = F.array().cast("array<string>")
+        whole = lambda action, new, second, refs: F.array(one(F.lit(action), F.col("start"), F.col("end"), F.col("text"), new, F.lit(second).cast("string"), refs))
+        gone = whole("CLAIM_DELETION", F.lit(""), None, none)
+        change = (
+            F.when((label == "PARTIAL") & all_of_it & F.col("piece").isNotNull(), whole("CLAIM_NARROWING", F.col("piece"), "SUPPORTED", F.col("refs")))
+            .when((label == "UNSUPPORTED") & F.col("remapped").isNotNull() & (F.col("remapped") != F.col("text")), whole("CITATION_REMAP", F.col("remapped"), "SUPPORTED", F.array("new_ref")))
+            .when(label.isin("UNSUPPORTED", "CONTRADICTED") & all_of_it, gone)
+        )
+        blank = lambda m: F.substring("text", m["start"] - F.col("start"), F.lit(1)).rlike(r"^\s$") & (m["start"] > F.col("start"))
+
+        def bare(m):
+            start = m["start"] - F.when(blank(m), 1).otherwise(0)
+            return one(F.lit("CITATION_REMAP"), start, m["end"], F.substring("text", start - F.col("start") + 1, m["end"] - start), F.lit(""), F.lit("SUPPORTED"), none)
+
+        edits = F.when(~fact & all_of_it, F.transform("markers", bare)).when(fact, change)
+        each = rows.select(*names, label.alias("initial_status"), F.col("refs").alias("original_refs"), (label == "UNSUPPORTED").alias("remap_attempted"), F.col("new_number"), F.explode(edits).alias("e"))
+        return each.select(*names, "e.*", "initial_status", "original_refs", "remap_attempted", F.when(F.col("e.action") == "CITATION_REMAP", F.col("new_number")).alias("new_number"))
+
+    def _finished(self, answers: DataFrame, abstain: bool) -> DataFrame:
+        by_answer = self.edited.groupBy(*self.keys).agg(F.collect_list(F.struct("start", "end", F.col("replacement_text").alias("new"))).alias("edits"))  # one answer's claims
+        done = answers.select(*self.keys, "answer").join(by_answer, self.keys, "left").withColumn("edits", F.coalesce("edits", F.array().cast("array<struct<start:int,end:int,new:string>>")))
+        text = apply_edits(F.col("answer"), F.col("edits"))
+        tidy = F.regexp_replace(F.regexp_replace(text, r"(?m)^\s*[-*+]\s*$\n?", ""), r"\n{3,}", "\n\n")
+        tidy = F.regexp_replace(tidy, r"^\s+|\s+$", "")
+        done = done.withColumn("final", F.when(text == F.col("answer"), F.col("answer")).otherwise(tidy))
+        second = self.second_pass(done.select(*self.keys, F.col("final").alias("answer")))
+        fact = F.col("claim_type") == "factual"
+        had = self.first.groupBy(*self.keys).agg(F.count_if(fact).alias("had"), F.min_by("label", F.col("start")).alias("status"))
+        has = second.groupBy(*self.keys).agg(F.count_if(fact & F.col("label").isin("SUPPORTED", "PARTIAL")).alias("has"), F.count_if(fact & (F.col("label") == "UNVERIFIED_VISUAL")).alias("unseen"))
+        rows = done.join(had, self.keys, "left").join(has, self.keys, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("had", "has", "unseen")})
+        gives_up = (F.col("mode") != "NONE") & (F.col("had") > 0) & (F.col("has") + F.col("unseen") == 0) & F.lit(abstain)
+        return rows.select(*self.keys, "answer", F.when(gives_up, ABSTENTION).otherwise(F.col("final")).alias("final_answer"), F.size("edits").alias("n"), gives_up.alias("abstained"), ((F.col("mode") != "NONE") & (F.col("has") > 0)).alias("reverified"), "status")
+
+    def second_pass(self, answers: DataFrame) -> DataFrame:
+        return labelled(parse_claims(answers, self.keys, "answer"), self.evidence, self.keys, self.scope)
+
+    def outcomes(self) -> DataFrame:
+        """(*keys, mode, final_answer, n_edits, abstained, reverified)."""
+        return self.rows.select(*self.keys, "final_answer", F.when(F.col("abstained"), 1).otherwise(F.col("n")).cast("long").alias("n_edits"), "abstained", "reverified")
+
+    def edits(self) -> DataFrame:
+        """(*keys, mode, claim_id, action, start, end, original_text, replacement_text, initial_status, second_pass_status,
+        original_refs, resolved_refs, remap_attempted); an answer that is given up has one record, ABSTAIN, over all of it."""
+        columns = [*self.keys, "claim_id", "action", "start", "end", "original_text", "replacement_text", "initial_status", "second_pass_status", "original_refs", "resolved_refs", "remap_attempted"]
+        up = self.rows.filter("abstained")
+        tried = self.edited.groupBy(*self.keys).agg(F.bool_or("remap_attempted").alias("remap_attempted"))
+        none = F.array().cast("array<string>")
+        given = up.join(tried, self.keys, "left").withColumns({
+            "claim_id": F.lit("ABSTAIN"), "action": F.lit("ABSTAIN"), "start": F.lit(0), "end": F.length("answer"), "original_text": F.col("answer"), "replacement_text": F.col("final_answer"),
+            "initial_status": F.coalesce("status", F.lit("UNSUPPORTED")), "second_pass_status": F.lit(None).cast("string"), "original_refs": none, "resolved_refs": none, "remap_attempted": F.coalesce("remap_attempted", F.lit(False)),
+        })
+        return self.edited.join(up.select(*self.keys), self.keys, "left_anti").select(*columns).unionByName(given.select(*columns))
+
+    def citations(self) -> DataFrame:
+        """(*keys, mode, ref_id, ref, verification, confidence, repair_origin) of the evidence that a final answer cites
+        by number: SUPPORTED when all claims that cite it are, UNVERIFIED_VISUAL when all are that, else UNSUPPORTED; the
+        least confidence; REMAPPED where a repair of this answer led to it. Mode NONE has none, its citations stay as given."""
+        claims = self.second_pass(self.rows.filter("mode <> 'NONE'").select(*self.keys, F.col("final_answer").alias("answer")))
+        cited = claims.select(*self.keys, "label", "confidence", F.explode(F.array_distinct("references")).alias("r")).filter(F.col("r").rlike(r"^\d{1,9}$")).withColumn("ref_id", F.col("r").cast("int"))
+        known = prepared(self.evidence, self.scope).select(self.scope, "ref_id", "ref")
+        all_of = lambda x: F.bool_and(F.col("label") == x)
+        found = cited.join(known, [self.scope, "ref_id"]).groupBy(*self.keys, "ref_id", "ref").agg(F.when(all_of("SUPPORTED"), "SUPPORTED").when(all_of("UNVERIFIED_VISUAL"), "UNVERIFIED_VISUAL").otherwise("UNSUPPORTED").alias("verification"), F.min("confidence").alias("confidence"))
+        moved = self.edited.filter("new_number IS NOT NULL").select(*self.keys, F.col("new_number").alias("ref_id"), F.lit("REMAPPED").alias("repair_origin")).distinct()
+        return found.join(moved, [*self.keys, "ref_id"], "left")
+
+
+def repair(answers: DataFrame, evidence: DataFrame, keys: list[str], scope: str, abstain: bool = True) -> DataFrame:
+    """(*keys, mode, final_answer, n_edits, abstained, reverified) of Repair."""
+    return Repair(answers, evidence, keys, scope, abstain).outcomes()
 
 
 def apply_edits(text: Column, edits: Column) -> Column:
@@ -256,11 +382,6 @@ def apply_edits(text: Column, edits: Column) -> Column:
     return F.aggregate(last_first, text, lambda t, e: F.concat(F.substring(t, 1, e["start"]), e["new"], F.substring(t, e["end"] + 1, F.length(t))))
 
 
-def citation_label(refs: DataFrame) -> DataFrame:
-    """(answer, ref): whether all its claims are supported and the least confidence."""
-    return refs.groupBy("key", "ref").agg(F.bool_and(F.col("label") == "SUPPORTED").alias("supported"), F.min("confidence").alias("confidence"))
-
-
 def corrupted(text: str) -> str:
     """Numbers times three plus seven, else the first verb negated."""
     if re.search(r"\d+(?:\.\d+)?", text):

@@ -233,11 +233,13 @@ _KEYS = ["conv_id", "turn"]
 
 
 def _answers(spark, sf_dir):
-    """(answers, evidence): every assistant turn with a marker before each final mark; all turns of its conversation."""
+    """(answers, evidence): every assistant turn with a marker before each final mark; all turns of its conversation, of
+    which every fourth is known by its pixels alone."""
     c = table(spark, sf_dir, "conversations")
     marker = F.concat(F.lit(" [E"), (F.col("turn") % 4).cast("string"), F.lit("]$1$2"))
     answers = c.filter("role = 'assistant'").select(*_KEYS, F.regexp_replace(F.col("text"), F.lit(r"([.!?])(\s|$)"), marker).alias("answer"))
-    return answers, c.select("conv_id", F.concat(F.lit("E"), F.col("turn").cast("string")).alias("ref"), F.col("turn").alias("ord"), "text")
+    origin = F.when(F.col("turn") % 4 == 3, V.PIXELS).otherwise(V.TEXT)
+    return answers, c.select("conv_id", F.concat(F.lit("E"), F.col("turn").cast("string")).alias("ref"), F.col("turn").alias("ord"), "text", origin.alias("origin"))
 
 
 def _labelled(spark, sf_dir):
@@ -245,17 +247,34 @@ def _labelled(spark, sf_dir):
     return V.labelled(V.parse_claims(answers, _KEYS, "answer"), evidence, _KEYS, "conv_id"), answers, evidence
 
 
-#: The claims of _answers(): lines cut after marks before white space; these texts have no fences, headings, tables and abbreviations.
+#: Markers of the answers, and of answers whose citations were remapped.
 _CITED = r"(?i)\[E\d+\]"
-_CLAIMS = rf"""a AS (SELECT conv_id, turn, regexp_replace(text, '([.!?])(\s|$)', ' [E' || (turn % 4) || ']\1\2', 'g') AS answer FROM conversations WHERE role = 'assistant'),
-    li AS (SELECT conv_id, turn, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM a),
-    lo AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY conv_id, turn ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_extract_all(line, '(?:.*?[.!?](?:\s|$))|.+$') AS xs FROM li),
-    se AS (SELECT conv_id, turn, i, base, unnest(xs) AS raw, generate_subscripts(xs, 1) AS j FROM lo),
-    so AS (SELECT *, base + coalesce(sum(length(raw)) OVER (PARTITION BY conv_id, turn, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS start, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM se),
-    cl AS (SELECT conv_id, turn, 'C' || row_number() OVER (PARTITION BY conv_id, turn ORDER BY i, j) AS claim_id, CAST(start AS BIGINT) AS start, CAST(start + length(t) AS BIGINT) AS "end", t, regexp_extract_all(t, {quoted(_CITED)}) AS marks FROM so WHERE t NOT IN ('', '-', '*')),
-    ct AS (SELECT *, CASE WHEN regexp_matches(lower(regexp_replace(t, {quoted(_CITED)}, '', 'g')), {quoted('|'.join(DISCLAIMERS))}) THEN 'disclaimer' ELSE 'factual' END AS claim_type FROM cl),
-    ev AS (SELECT ct.*, trim(regexp_replace(t, {quoted(_CITED)}, '', 'g')) AS c, CASE WHEN len(marks) > 0 THEN coalesce(trim(v.text), '') ELSE '' END AS e, len(marks) > 0 AND v.text IS NOT NULL AS cites FROM ct LEFT JOIN conversations v ON v.conv_id = ct.conv_id AND v.turn = ct.turn % 4)"""
-_LABELLED = f"{_CLAIMS}, {_support_sql('ev', 'lb')}, la AS (SELECT * REPLACE (CASE WHEN claim_type = 'factual' THEN label ELSE 'SUPPORTED' END AS label) FROM lb)"
+_RECITED = r"(?i)\[E?\d+\]"
+
+
+def _claims_sql(answers: str, n: str = "", keys: str = "conv_id, turn", cited: str = _CITED) -> str:
+    """CTEs of the claims of rows (keys, answer) of `answers`, ending in ct{n}: lines are cut after marks before white space;
+    these texts have no fences, headings, tables and abbreviations. ev{n}: claim c and evidence e; cites: the turn cited."""
+    return rf"""li{n} AS (SELECT {keys}, unnest(string_split(answer, chr(10))) AS line, generate_subscripts(string_split(answer, chr(10)), 1) AS i FROM {answers}),
+    lo{n} AS (SELECT *, coalesce(sum(length(line) + 1) OVER (PARTITION BY {keys} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base, regexp_extract_all(line, '(?:.*?[.!?](?:\s|$))|.+$') AS xs FROM li{n}),
+    se{n} AS (SELECT {keys}, i, base, unnest(xs) AS raw, generate_subscripts(xs, 1) AS j FROM lo{n}),
+    so{n} AS (SELECT *, base + coalesce(sum(length(raw)) OVER (PARTITION BY {keys}, i ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + length(raw) - length(regexp_replace(raw, '^\s+', '')) AS start, regexp_replace(raw, '^\s+|\s+$', '', 'g') AS t FROM se{n}),
+    cl{n} AS (SELECT {keys}, 'C' || row_number() OVER (PARTITION BY {keys} ORDER BY i, j) AS claim_id, CAST(start AS BIGINT) AS start, CAST(start + length(t) AS BIGINT) AS "end", t, regexp_extract_all(t, {quoted(cited)}) AS marks FROM so{n} WHERE t NOT IN ('', '-', '*')),
+    ct{n} AS (SELECT *, CASE WHEN regexp_matches(lower(regexp_replace(t, {quoted(cited)}, '', 'g')), {quoted('|'.join(DISCLAIMERS))}) THEN 'disclaimer' ELSE 'factual' END AS claim_type,
+        CASE WHEN len(marks) > 0 THEN CAST(regexp_extract(marks[1], '\d+') AS BIGINT) END AS cited FROM cl{n}),
+    ev{n} AS (SELECT ct{n}.*, trim(regexp_replace(t, {quoted(cited)}, '', 'g')) AS c, CASE WHEN v.turn % 4 <> 3 THEN coalesce(trim(v.text), '') ELSE '' END AS e, v.turn IS NOT NULL AS cites, coalesce(v.turn % 4 = 3, FALSE) AS pixels
+        FROM ct{n} LEFT JOIN conversations v ON v.conv_id = ct{n}.conv_id AND v.turn = ct{n}.cited)"""
+
+
+def _labelled_sql(n: str = "") -> str:
+    """CTE la{n}: the claims of ev{n} with label and confidence."""
+    return f"""{_support_sql(f'ev{n}', f'lb{n}')}, la{n} AS (SELECT * REPLACE (CASE WHEN claim_type <> 'factual' THEN 'SUPPORTED' WHEN pixels THEN 'UNVERIFIED_VISUAL' ELSE label END AS label,
+        CASE WHEN claim_type <> 'factual' THEN 1.0 WHEN pixels THEN 0.0 ELSE confidence END AS confidence) FROM lb{n})"""
+
+
+_ANSWERS = r"a AS (SELECT conv_id, turn, regexp_replace(text, '([.!?])(\s|$)', ' [E' || (turn % 4) || ']\1\2', 'g') AS answer FROM conversations WHERE role = 'assistant')"
+_CLAIMS = f"{_ANSWERS}, {_claims_sql('a')}"
+_LABELLED = f"{_CLAIMS}, {_labelled_sql()}"
 
 
 @query("claim_parser", f"""WITH {_CLAIMS} SELECT conv_id, turn, claim_id, start, "end", claim_type, array_to_string(list_transform(marks, lambda m: upper(m[2:-2])), ',') AS "references" FROM ct""")
@@ -266,32 +285,32 @@ def claim_parser(spark, sf_dir):
 
 @query(
     "verification_report",
-    f"""WITH {_LABELLED}, n AS (SELECT conv_id, turn, count(*) AS total_claims, count(*) FILTER (claim_type = 'factual') AS factual_claims, {', '.join(f"count(*) FILTER (claim_type = 'factual' AND label = '{x}') AS {x.lower()}_count" for x in ('SUPPORTED', 'PARTIAL', 'UNSUPPORTED', 'CONTRADICTED'))},
-        count(*) FILTER (label = 'SUPPORTED') AS supported_claims FROM la GROUP BY 1, 2),
+    f"""WITH {_LABELLED}, n AS (SELECT conv_id, turn, count(*) AS total_claims, count(*) FILTER (claim_type = 'factual') AS factual_claims, {', '.join(f"count(*) FILTER (claim_type = 'factual' AND label = '{x}') AS {x.lower()}_count" for x in ('SUPPORTED', 'PARTIAL', 'UNSUPPORTED', 'CONTRADICTED', 'UNVERIFIED_VISUAL'))},
+        count(*) FILTER (label = 'UNVERIFIED_VISUAL') AS visual, count(*) FILTER (label = 'SUPPORTED') AS supported_claims FROM la GROUP BY 1, 2),
     g AS (SELECT conv_id, turn, count(DISTINCT cites) FILTER (cites) / 2 AS share FROM la GROUP BY 1, 2),
-    r AS (SELECT a.conv_id, a.turn, coalesce(total_claims, 0) AS total_claims, coalesce(factual_claims, 0) AS factual_claims, coalesce(supported_count, 0) AS supported_count, coalesce(partial_count, 0) AS partial_count, coalesce(unsupported_count, 0) AS unsupported_count, coalesce(contradicted_count, 0) AS contradicted_count,
+    r AS (SELECT a.conv_id, a.turn, coalesce(total_claims, 0) AS total_claims, coalesce(factual_claims, 0) AS factual_claims, coalesce(supported_count, 0) AS supported_count, coalesce(partial_count, 0) AS partial_count, coalesce(unsupported_count, 0) AS unsupported_count, coalesce(contradicted_count, 0) AS contradicted_count, coalesce(unverified_visual_count, 0) AS unverified_visual_count, coalesce(visual / nullif(total_claims, 0), 0) AS u,
         coalesce(supported_claims, 0) AS supported_claims, coalesce(supported_claims / nullif(total_claims, 0), 1) AS p, CASE WHEN coalesce(total_claims, 0) = 0 THEN 1 ELSE share END AS q FROM a LEFT JOIN n USING (conv_id, turn) LEFT JOIN g USING (conv_id, turn))
-    SELECT * EXCLUDE (p, q), round(p, 6) AS citation_precision, round(q, 6) AS citation_recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS citation_f1, round(1 - p, 6) AS unsupported_claim_rate,
-        partial_count + unsupported_count + contradicted_count = 0 AS overall_supported, factual_claims > 0 AND supported_count = 0 AS abstains FROM r""",
+    SELECT * EXCLUDE (p, q, u), round(p, 6) AS citation_precision, round(q, 6) AS citation_recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 6) AS citation_f1, round(1 - p - u, 6) AS unsupported_claim_rate, round(u, 6) AS unverified_visual_claim_rate,
+        partial_count + unsupported_count + contradicted_count + unverified_visual_count = 0 AS overall_supported, factual_claims > 0 AND supported_count + unverified_visual_count = 0 AS abstains FROM r""",
 )
 def verification_report(spark, sf_dir):
     """Gold citations of an answer: the turn that its markers name, and one that doesn't exist."""
     labelled, answers, _ = _labelled(spark, sf_dir)
     gold = answers.select(*_KEYS, F.explode(F.array(F.concat(F.lit("E"), (F.col("turn") % 4).cast("string")), F.lit("E999"))).alias("ref"))
     r = V.verification_report(answers, labelled, _KEYS, gold)
-    return r.withColumns({c: F.round(c, 6) for c in ("citation_precision", "citation_recall", "citation_f1", "unsupported_claim_rate")})
+    return r.withColumns({c: F.round(c, 6) for c in ("citation_precision", "citation_recall", "citation_f1", "unsupported_claim_rate", "unverified_visual_claim_rate")})
 
 
 @query(
     "citation_remap",
-    f"""WITH {_LABELLED}, pa AS (SELECT u.conv_id, u.turn, claim_id, t, c, v.turn AS ord, trim(v.text) AS e FROM (SELECT conv_id, turn, claim_id, t, c, cites FROM la WHERE label = 'UNSUPPORTED' AND claim_type = 'factual') u JOIN conversations v ON v.conv_id = u.conv_id AND NOT (u.cites AND v.turn = u.turn % 4)), {_support_sql('pa', 'ps')}
+    f"""WITH {_LABELLED}, pa AS (SELECT u.conv_id, u.turn, claim_id, t, c, v.turn AS ord, trim(v.text) AS e FROM (SELECT conv_id, turn, claim_id, t, c, CASE WHEN cites THEN cited END AS cited FROM la WHERE label = 'UNSUPPORTED' AND claim_type = 'factual') u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn % 4 <> 3 AND v.turn IS DISTINCT FROM u.cited), {_support_sql('pa', 'ps')}
     SELECT conv_id, turn, claim_id, 'E' || ord AS new_ref, label, round(confidence, 6) AS confidence,
         CASE WHEN regexp_matches(t, {quoted(_CITED)}) THEN regexp_replace(t, {quoted(_CITED)}, '[' || ord || ']') ELSE t || ' [' || ord || ']' END AS remapped
     FROM ps WHERE label IN ('SUPPORTED', 'PARTIAL') QUALIFY row_number() OVER (PARTITION BY conv_id, turn, claim_id ORDER BY confidence DESC, ord) = 1""",
 )
 def citation_remap(spark, sf_dir):
     labelled, _, evidence = _labelled(spark, sf_dir)
-    return V.remap(labelled, evidence, _KEYS, "conv_id").withColumn("confidence", F.round("confidence", 6))
+    return V.remap(labelled, evidence, _KEYS, "conv_id").withColumn("confidence", F.round("confidence", 6)).drop("new_number")
 
 
 @query(
@@ -305,12 +324,78 @@ def claim_narrowing(spark, sf_dir):
     return V.narrow(_labelled(spark, sf_dir)[0], _KEYS)
 
 
-@query("repair_policy")
+_REMAPPED = f"""pa AS (SELECT u.conv_id, u.turn, claim_id, t, c, v.turn AS ord, trim(v.text) AS e FROM la u JOIN conversations v ON v.conv_id = u.conv_id AND v.turn % 4 <> 3 AND NOT (u.cites AND v.turn = u.cited) WHERE label = 'UNSUPPORTED' AND claim_type = 'factual'), {_support_sql('pa', 'ps')},
+    mv AS (SELECT conv_id, turn, claim_id, ord AS new_number, CASE WHEN regexp_matches(t, {quoted(_CITED)}) THEN regexp_replace(t, {quoted(_CITED)}, '[' || ord || ']') ELSE t || ' [' || ord || ']' END AS remapped
+        FROM ps WHERE label IN ('SUPPORTED', 'PARTIAL') QUALIFY row_number() OVER (PARTITION BY conv_id, turn, claim_id ORDER BY confidence DESC, ord) = 1)"""
+_NARROWED = rf"""pb AS (SELECT conv_id, turn, claim_id, e, marks, regexp_extract(bare, '[.!?]$') AS final, regexp_replace(bare, '[.!?]$', '') AS body FROM (SELECT *, regexp_replace(t, {quoted(_CITED)}, '', 'g') AS bare FROM la WHERE label = 'PARTIAL' AND claim_type = 'factual' AND cites)),
+    pc AS (SELECT *, unnest(xs) AS x, generate_subscripts(xs, 1) AS p FROM (SELECT *, string_split_regex(body, {quoted(V.CLAUSE)}) AS xs FROM pb)),
+    pd AS (SELECT conv_id, turn, claim_id, e, p, rtrim(x, ' ,;') || ' ' || array_to_string(marks, '') || final AS piece, rtrim(x, ' ,;') || final AS c FROM pc WHERE trim(x, ' ,;') <> '' AND trim(rtrim(x, ' ,;')) <> trim(body)), {_support_sql('pd', 'pe')},
+    nw AS (SELECT conv_id, turn, claim_id, piece FROM pe WHERE label IN ('SUPPORTED', 'PARTIAL') QUALIFY row_number() OVER (PARTITION BY conv_id, turn, claim_id ORDER BY length(piece) DESC, p) = 1)"""
+_MODES = ["NONE", "CITATION_REMAP_ONLY", "SELECTIVE"]
+#: Every answer in each mode with its edits: ed has a row a claim, n its edits; fi a row an answer.
+_EDITED = rf"""{_REMAPPED}, {_NARROWED}, md AS (SELECT unnest({sql_list(_MODES)}) AS mode),
+    ed AS (SELECT mode, la.*, new_number, CASE
+            WHEN mode = 'NONE' THEN t
+            WHEN claim_type <> 'factual' THEN CASE WHEN mode = 'SELECTIVE' THEN regexp_replace(t, '(?i)\s?\[E\d+\]', '', 'g') ELSE t END
+            WHEN label = 'PARTIAL' AND mode = 'SELECTIVE' THEN coalesce(piece, t)
+            WHEN label = 'UNSUPPORTED' THEN coalesce(remapped, CASE WHEN mode = 'SELECTIVE' THEN '' ELSE t END)
+            WHEN label = 'CONTRADICTED' AND mode = 'SELECTIVE' THEN '' ELSE t END AS new,
+            lag("end", 1, 0) OVER (PARTITION BY mode, conv_id, turn ORDER BY start) AS before
+        FROM la CROSS JOIN md LEFT JOIN mv USING (conv_id, turn, claim_id) LEFT JOIN nw USING (conv_id, turn, claim_id)),
+    jo AS (SELECT mode, a.conv_id, a.turn, any_value(answer) AS answer, string_agg(substr(answer, before + 1, start - before) || new, '' ORDER BY start) || substr(any_value(answer), max("end") + 1) AS text,
+            sum(CASE WHEN claim_type <> 'factual' AND mode = 'SELECTIVE' THEN len(marks) WHEN new <> t THEN 1 ELSE 0 END) AS n, count(*) FILTER (claim_type = 'factual') AS had, arg_min(label, start) AS first_status
+        FROM a JOIN ed USING (conv_id, turn) GROUP BY 1, 2, 3),
+    fi AS (SELECT mode, conv_id, turn, a.answer, coalesce(n, 0) AS n, coalesce(had, 0) AS had, first_status, CASE WHEN text IS NULL OR text = a.answer THEN a.answer ELSE trim(regexp_replace(regexp_replace(text, '(?m)^\s*[-*+]\s*$\n?', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), chr(10) || chr(9) || ' ') END AS final
+        FROM a CROSS JOIN md LEFT JOIN jo USING (mode, conv_id, turn)),
+    fa AS (SELECT mode, conv_id, turn, final AS answer FROM fi), {_claims_sql('fa', '2', 'mode, conv_id, turn', _RECITED)}, {_labelled_sql('2')},
+    hs AS (SELECT mode, conv_id, turn, count(*) FILTER (claim_type = 'factual' AND label IN ('SUPPORTED', 'PARTIAL')) AS has, count(*) FILTER (claim_type = 'factual' AND label = 'UNVERIFIED_VISUAL') AS unseen FROM la2 GROUP BY ALL),
+    up AS (SELECT fi.*, coalesce(has, 0) AS has, mode <> 'NONE' AND had > 0 AND coalesce(has, 0) + coalesce(unseen, 0) = 0 AS abstained FROM fi LEFT JOIN hs USING (mode, conv_id, turn))"""
+
+
+def _repair(spark, sf_dir):
+    answers, evidence = _answers(spark, sf_dir)
+    modes = F.explode(F.array(*[F.lit(m) for m in _MODES]))
+    return V.Repair(answers.withColumn("mode", modes), evidence, _KEYS, "conv_id")
+
+
+@query(
+    "repair_policy",
+    f"""WITH {_LABELLED}, {_EDITED} SELECT conv_id, turn, mode, CASE WHEN abstained THEN {quoted(V.ABSTENTION)} ELSE final END AS final_answer, CAST(CASE WHEN abstained THEN 1 ELSE n END AS BIGINT) AS n_edits, abstained,
+        mode <> 'NONE' AND has > 0 AS reverified FROM up""",
+)
 def repair_policy(spark, sf_dir):
     """Every answer in each of the three modes."""
-    answers, evidence = _answers(spark, sf_dir)
-    modes = F.explode(F.array(*[F.lit(m) for m in ("NONE", "CITATION_REMAP_ONLY", "SELECTIVE")]))
-    return V.repair(answers.withColumn("mode", modes), evidence, _KEYS, "conv_id")
+    return _repair(spark, sf_dir).outcomes()
+
+
+@query(
+    "repair_records",
+    rf"""WITH {_LABELLED}, {_EDITED}, own AS (SELECT e.* FROM ed e JOIN up u USING (mode, conv_id, turn) WHERE NOT u.abstained)
+    SELECT conv_id, turn, mode, claim_id, CASE WHEN label = 'PARTIAL' THEN 'CLAIM_NARROWING' WHEN new = '' THEN 'CLAIM_DELETION' ELSE 'CITATION_REMAP' END AS action, start, "end", t AS original_text, new AS replacement_text, label AS initial_status,
+        CASE WHEN new <> '' THEN 'SUPPORTED' END AS second_pass_status, label = 'UNSUPPORTED' AS remap_attempted FROM own WHERE claim_type = 'factual' AND new <> t
+    UNION ALL SELECT conv_id, turn, mode, claim_id, 'CITATION_REMAP', start + instr(t, m) - 1, start + instr(t, m) - 1 + length(m), m, '', 'SUPPORTED', 'SUPPORTED', FALSE
+        FROM (SELECT *, unnest(regexp_extract_all(t, '(?i)\s?\[E\d+\]')) AS m FROM own WHERE claim_type <> 'factual' AND mode = 'SELECTIVE')
+    UNION ALL SELECT conv_id, turn, mode, 'ABSTAIN', 'ABSTAIN', 0, length(answer), answer, {quoted(V.ABSTENTION)}, coalesce(first_status, 'UNSUPPORTED'), NULL,
+        EXISTS (SELECT 1 FROM ed e WHERE e.mode = up.mode AND e.conv_id = up.conv_id AND e.turn = up.turn AND claim_type = 'factual' AND label = 'UNSUPPORTED' AND new <> t) FROM up WHERE abstained""",
+)
+def repair_records(spark, sf_dir):
+    """the record of every edit, in code points of the original answer."""
+    e = _repair(spark, sf_dir).edits().drop("original_refs", "resolved_refs")
+    return e.withColumns({c: F.col(c).cast("long") for c in ("start", "end")})
+
+
+@query(
+    "final_citations",
+    f"""WITH {_LABELLED}, {_EDITED}, fin AS (SELECT l.* FROM la2 l JOIN up u USING (mode, conv_id, turn) WHERE mode <> 'NONE' AND NOT u.abstained),
+    nums AS (SELECT mode, conv_id, turn, label, confidence, unnest(list_distinct(list_transform(list_filter(marks, lambda m: regexp_matches(m, '^\\[\\d')), lambda m: CAST(m[2:-2] AS INTEGER)))) AS ref_id FROM fin),
+    moved AS (SELECT DISTINCT mode, conv_id, turn, CAST(new_number AS INTEGER) AS ref_id FROM ed WHERE mode <> 'NONE' AND label = 'UNSUPPORTED' AND claim_type = 'factual' AND new_number IS NOT NULL)
+    SELECT n.conv_id, n.turn, n.mode, n.ref_id, 'E' || n.ref_id AS ref, CASE WHEN bool_and(label = 'SUPPORTED') THEN 'SUPPORTED' WHEN bool_and(label = 'UNVERIFIED_VISUAL') THEN 'UNVERIFIED_VISUAL' ELSE 'UNSUPPORTED' END AS verification,
+        round(min(confidence), 6) AS confidence, CASE WHEN bool_or(m.ref_id IS NOT NULL) THEN 'REMAPPED' END AS repair_origin
+    FROM nums n JOIN conversations v ON v.conv_id = n.conv_id AND v.turn = n.ref_id LEFT JOIN moved m ON m.mode = n.mode AND m.conv_id = n.conv_id AND m.turn = n.turn AND m.ref_id = n.ref_id GROUP BY 1, 2, 3, 4""",
+)
+def final_citations(spark, sf_dir):
+    """what the repaired answers cite by number, with the label of their second pass."""
+    return _repair(spark, sf_dir).citations().withColumn("confidence", F.round("confidence", 6))
 
 
 @query("text_edits", "SELECT doc_id, md5(left(text, 2) || '<a>' || substr(text, 5, 3) || '<b>' || substr(text, 10)) AS edited FROM documents WHERE length(text) >= 10")
