@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from skarn.functions import text as T
 from skarn.operators import retrieval as R
+from skarn.operators import sparse as S
 from skarn.operators import vectors as X
 from skarn.plans.base import plain_tokens_sql, sql_list, tokens_sql
 from skarn.session import table
@@ -62,12 +63,12 @@ _BM25_TOP_SQL = f"{_bm25_sql(tokens_sql)}, top AS ({_top_sql('bm', 10)})"
 
 @query("bm25_topk", f"WITH {_bm25_sql(tokens_sql)} {_top_sql('bm', 10)}")
 def bm25_topk(spark, sf_dir):
-    return _top(R.bm25(_docs(spark, sf_dir), _bench(spark, sf_dir)), 10)
+    return _ranked(S.bm25_topk(_docs(spark, sf_dir), _bench(spark, sf_dir), 10))
 
 
 @query("bm25_plain_topk", f"WITH {_bm25_sql(plain_tokens_sql)} {_top_sql('bm', 10)}")
 def bm25_plain_topk(spark, sf_dir):
-    return _top(R.bm25(_docs(spark, sf_dir), _bench(spark, sf_dir), T.tokenize_plain), 10)
+    return _ranked(S.bm25_topk(_docs(spark, sf_dir), _bench(spark, sf_dir), 10, T.tokenize_plain))
 
 
 _OVERLAP = f"""
@@ -78,13 +79,13 @@ _OVERLAP = f"""
 
 @query("keyword_overlap_topk", f"WITH {_OVERLAP} {_top_sql('ov', 5)}")
 def keyword_overlap_topk(spark, sf_dir):
-    return _top(R.keyword_overlap(_docs(spark, sf_dir), _bench(spark, sf_dir)), 5)
+    return _ranked(S.overlap_topk(_docs(spark, sf_dir), _bench(spark, sf_dir), 5))
 
 
 def _fused(spark, sf_dir):
     docs, bench = _docs(spark, sf_dir), _bench(spark, sf_dir)
     once = R.postings(docs, bench)
-    return R.reciprocal_rank_fusion([_top(R.bm25(docs, bench, table=once), 30), _top(R.keyword_overlap(docs, bench, table=once), 30)])
+    return R.reciprocal_rank_fusion([S.bm25_topk(docs, bench, 30, table=once), S.overlap_topk(docs, bench, 30, table=once)])
 
 
 @query(
