@@ -1,14 +1,16 @@
 """Evaluation aggregates: ranking, text, agreement and interval metrics as grouped DataFrame plans.
 
-Only the seeded bootstraps use Python, once a group of paper or case means, because their draws follow Python's
-generator; everything else is built-in aggregation.
+Only the seeded bootstraps use Python, in parts of a group's draws, because these follow Python's generator; everything
+else is built-in aggregation.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 import random
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,44 +215,77 @@ def holm(rows: DataFrame, p: str, by: list[str]) -> DataFrame:
     return running(sized, by, ascending("__i"), stepped, F.max, "p_adjusted").drop("__i", "__m")
 
 
-def cluster_bootstrap(rows: DataFrame, by: str, cluster: str, value: str, draws: int = 10_000, seed: int = 2027) -> DataFrame:
-    """(by, mean, ci_low, ci_high, clusters): percentile interval of the mean of cluster means.
+#: Draws that one task makes from a stored state of the generator.
+DRAWS_AT_ONCE = 250
+
+
+def bootstrap_means(values: DataFrame, by: str, draws: int, seed: int, at_once: int | None = None) -> DataFrame:
+    """(by, draw, mean) of values (by, place, v): the means of `draws` resamples of each group, and as draw -1 its own mean.
 
-    Cluster means come from a distributed aggregation; one task a group draws from the means, ordered by cluster.
+    The draws are those of one Python generator a group, seeded with seed, over the group's values in order of place. How far
+    the generator is after a number of draws depends on the group's size alone: one light pass a size stores its state every
+    at_once draws, and tasks resume from there, so a group's draws are made in many tasks. A task holds the values of one group.
     """
-    means = rows.filter(F.col(value).isNotNull()).groupBy(by, cluster).agg(F.avg(value).alias("m"))
+    at_once = at_once or DRAWS_AT_ONCE
+    kind = values.schema[by].dataType.simpleString()
+    groups = values.groupBy(by).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias("vs"))  # the clusters or cases of a group
+    groups = written(groups.withColumn("n", F.size("vs")), "bootstrap-groups")
+
+    def states(batches):
+        for pdf in batches:
+            for n in pdf["n"].tolist():
+                rng = random.Random(seed)
+                for first in range(0, draws, at_once):
+                    yield pd.DataFrame({"n": [n], "first": [first], "state": [pickle.dumps(rng.getstate())]})
+                    for _ in range(at_once * n):
+                        rng.randrange(n)
+
+    def resample(batches):
+        for pdf in batches:
+            for group, vs, first, state in zip(pdf[by], pdf["vs"], pdf["first"], pdf["state"]):
+                vs, rng = vs.tolist(), random.Random()
+                rng.setstate(pickle.loads(state))
+                many = range(first, min(first + at_once, draws))
+                means = [sum(rng.choice(vs) for _ in vs) / len(vs) for _ in many]
+                whole = [(-1, sum(vs) / len(vs))] if first == 0 else []
+                rows = [*zip(many, means), *whole]
+                yield pd.DataFrame({by: [group] * len(rows), "draw": [d for d, _ in rows], "mean": [m for _, m in rows]}).astype({"draw": "int64"})
 
-    def run(pdf):
-        values = pdf.sort_values(cluster)["m"].tolist()
-        mean = sum(values) / len(values)
-        low = high = mean
-        if len(values) > 1:
-            rng = random.Random(seed)
-            boot = sorted(sum(rng.choice(values) for _ in values) / len(values) for _ in range(draws))
-            low, high = boot[int(0.025 * draws)], boot[min(int(0.975 * draws), draws - 1)]
-        out = pdf[[by]].head(1).copy()
-        out["mean"], out["ci_low"], out["ci_high"], out["clusters"] = mean, low, high, len(values)
-        return out
+    sizes = groups.select("n").distinct().repartition("n")
+    known = written(sizes.mapInPandas(states, "n int, first int, state binary"), "generator-states")
+    parts = groups.join(known, "n")
+    spread = parts.repartition(shuffle_partitions(values), F.xxhash64(by, "first"))
+    return written(spread.select(by, "vs", "first", "state").mapInPandas(resample, f"`{by}` {kind}, draw long, mean double"), "resampled")
 
-    kind = rows.schema[by].dataType.simpleString()
-    return means.groupBy(by).applyInPandas(run, f"`{by}` {kind}, mean double, ci_low double, ci_high double, clusters long")
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def interval(means: DataFrame, by: str, low: int, high: int) -> DataFrame:
+    """(by, mean, lo, hi) of bootstrap_means(): the group's mean, and its resamples' means at two places of their order."""
+    order = Window.partitionBy(by).orderBy("mean")  # the draws of one group, a parameter
+    placed = means.filter("draw >= 0").withColumn("at", F.row_number().over(order) - 1)
+    ends = placed.groupBy(by).agg(F.max(F.when(F.col("at") == low, F.col("mean"))).alias("lo"), F.max(F.when(F.col("at") == high, F.col("mean"))).alias("hi"))
+    own = means.filter("draw = -1").select(F.col(by).alias("__g"), "mean")
+    return ends.join(own, F.col(by).eqNullSafe(F.col("__g"))).select(by, "mean", "lo", "hi")
+
+
+def cluster_bootstrap(rows: DataFrame, by: str, cluster: str, value: str, draws: int = 10_000, seed: int = 2027) -> DataFrame:
+    """(by, mean, ci_low, ci_high, clusters): percentile interval of the mean of cluster means, in order of cluster."""
+    means = written(rows.filter(F.col(value).isNotNull()).groupBy(by, cluster).agg(F.avg(value).alias("v")).select(by, F.col(cluster).alias("place"), "v"), "cluster-means")
+    found = interval(bootstrap_means(means, by, draws, seed), by, int(0.025 * draws), min(int(0.975 * draws), draws - 1))
+    sizes = means.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("clusters"))
+    return found.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).select(by, "mean", F.col("lo").alias("ci_low"), F.col("hi").alias("ci_high"), "clusters")
 
 
 def paired_delta(rows: DataFrame, by: str, case: str, a: str, b: str, draws: int = 10_000, seed: int = 20260715) -> DataFrame:
-    """(by, delta, lo, hi, n, significant): bootstrap of the mean paired difference, one seed a group."""
-
-    def run(pdf):
-        d = (pdf.sort_values(case)["__d"]).tolist()
-        rng = random.Random(seed)
-        boot = sorted(sum(d[rng.randrange(len(d))] for _ in d) / len(d) for _ in range(draws))
-        out = pdf[[by]].head(1).copy()
-        lo, hi = boot[int(0.025 * draws)], boot[int(0.975 * draws)]
-        out["delta"], out["lo"], out["hi"], out["n"], out["significant"] = sum(d) / len(d), lo, hi, len(d), bool(lo > 0 or hi < 0)
-        return out
-
-    kind = rows.schema[by].dataType.simpleString()
-    some = rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, case, (F.col(a) - F.col(b)).alias("__d"))
-    return some.groupBy(by).applyInPandas(run, f"`{by}` {kind}, delta double, lo double, hi double, n long, significant boolean")
+    """(by, delta, lo, hi, n, significant): bootstrap of the mean paired difference, in order of case."""
+    some = written(rows.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(by, F.col(case).alias("place"), (F.col(a) - F.col(b)).alias("v")), "paired-differences")
+    found = interval(bootstrap_means(some, by, draws, seed), by, int(0.025 * draws), int(0.975 * draws))
+    sizes = some.groupBy(F.col(by).alias("__by")).agg(F.count(F.lit(1)).alias("n"))
+    both = found.join(sizes, F.col(by).eqNullSafe(F.col("__by")))
+    return both.select(by, F.col("mean").alias("delta"), "lo", "hi", "n", ((F.col("lo") > 0) | (F.col("hi") < 0)).alias("significant"))
 
 
 def order_statistic(rows: DataFrame, value: str, q: float, by: list[str]) -> DataFrame:

@@ -85,6 +85,24 @@ def test_order_statistics_and_holm(spark, table, rows):
     assert adjusted == want
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 1000])
+def test_bootstrap_in_parts_draws_like_one_loop(spark, at_once):
+    """Parts of any length give the draws of a plain loop, for groups of several sizes, one value and a null group."""
+    rng = random.Random(9)
+    rows = [(g, i, rng.random()) for g, n in (("a", 5), ("b", 37), (None, 5), ("one", 1)) for i in range(n)]
+    values = spark.createDataFrame(rows, "g string, place int, v double").repartition(3)
+    got = M.bootstrap_means(values, "g", 40, 2027, at_once).collect()
+    assert spark.createDataFrame([(0,)], "x int").count() and len(got) == 4 * 41
+    for g in ("a", "b", None, "one"):
+        vs = [v for k, _, v in rows if k == g]
+        draw = random.Random(2027)
+        want = {-1: sum(vs) / len(vs)} | {d: sum(draw.choice(vs) for _ in vs) / len(vs) for d in range(40)}
+        assert {r.draw: r["mean"] for r in got if r.g == g} == want
+    low, high = sorted(want[d] for d in range(40))[1], want[0]
+    ends = {r.g: (r.lo, r.hi) for r in M.interval(M.bootstrap_means(values, "g", 40, 2027, at_once), "g", 1, 39).collect()}
+    assert ends["one"] == (low, high) and len(ends) == 4
+
+
 def test_empty(spark, table):
     none = table.limit(0)
     assert R.numbered(none, ["g"], R.ascending("v"), "at").count() == 0
