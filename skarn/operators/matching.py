@@ -1,58 +1,70 @@
-"""Many phrases in many texts: one automaton scan a text instead of a comparison of every phrase with every text."""
+"""Many phrases in many texts: an anchor of each phrase meets the words of the texts by an equi-join, then the text decides."""
 
 from __future__ import annotations
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Phrases of one automaton; a broadcast block holds at most so many, and BLOCK_BYTES bytes, but one phrase at least.
-BLOCK, BLOCK_BYTES = 50_000, 16 << 20
+from skarn.session import written
 
+#: Words of a long phrase's anchor, and letters of a short one's.
+WORDS, LETTERS = 4, 3
 
-def _blocks(phrases: DataFrame):
-    block, size = [], 0
-    for r in phrases.toLocalIterator():
-        if block and (len(block) >= BLOCK or size + len(r[0]) > BLOCK_BYTES):
-            yield block
-            block, size = [], 0
-        block.append(r[0])
-        size += len(r[0])
-    if block:
-        yield block
 
+def _hashes(words: Column, n: int) -> Column:
+    """Hashes of all runs of n words, each once."""
+    if n == 1:
+        return F.transform(F.array_distinct(words), lambda w: F.xxhash64(w))
+    runs = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, F.lit(n)), " ")))
+    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<bigint>"))
 
-def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
-    """(key, phrase) for each text that holds the phrase as a substring, once. Null and empty phrases are left out.
 
-    The phrases are the caller's query set. They go in blocks of bounded size, each one scan of the texts, which stay where
-    they are; a scan takes time in proportion to a text's length whatever the number of phrases.
-    """
-    spark = texts.sparkSession
-    kind = texts.schema[key].dataType
-    wanted = phrases.select(F.col(phrase).alias("phrase")).filter("length(phrase) > 0").distinct()
-    rows = texts.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    out = spark.createDataFrame([], f"`{key}` {kind.simpleString()}, `{phrase}` string")
-    for block in _blocks(wanted):
-        shared = spark.sparkContext.broadcast(block)
+def _grams(token: Column, n: int) -> Column:
+    return F.when(F.length(token) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(token) - n + 1), lambda i: F.substring(token, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
-        def run(batches, shared=shared):
-            import ahocorasick
 
-            found = ahocorasick.Automaton()
-            for i, p in enumerate(shared.value):
-                found.add_word(p, i)
-            found.make_automaton()
-            for batch in batches:
-                at, which = [], []
-                for i, t in enumerate(batch.column(1).to_pylist()):
-                    hits = {k for _, k in found.iter(t)}
-                    at += [i] * len(hits)
-                    which += [shared.value[k] for k in hits]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(which, pa.string())], [key, phrase])
+def phrase_hits(texts: DataFrame, key: str, text: str, phrases: DataFrame, phrase: str) -> DataFrame:
+    """(key, phrase) for each text that holds the phrase as a substring, once a row of texts. Null, empty and all-blank
+    phrases are left out; null texts hold nothing.
 
-        out = out.unionByName(rows.mapInArrow(run, out.schema))
-    return out
+    A phrase's words but its first and last are whole words of any text that holds it. A run of WORDS of them, or else the
+    longest, is the phrase's anchor and meets the texts' runs of words by hash. A phrase of one or two words has no whole
+    word: its longer one meets the distinct words of all texts that share its first LETTERS letters anywhere and contain it,
+    and these lead to the texts. Whoever meets is a candidate, and is settled by the text itself. Nothing passes the driver.
+    """
+    kind = texts.schema[key].dataType.simpleString()
+    pieces = F.split("phrase", r"\s+")
+    wanted = phrases.select(F.col(phrase).alias("phrase")).filter(F.trim(F.regexp_replace("phrase", r"\s+", " ")) != "").distinct().withColumn("p", pieces)
+    wanted = wanted.withColumn("whole", F.expr("slice(p, 2, greatest(size(p) - 2, 0))"))
+    longest = lambda a: F.element_at(F.array_sort(F.transform(a, lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    known = written(
+        wanted.select(
+            "phrase",
+            F.when(F.size("whole") >= WORDS, WORDS).when(F.size("whole") > 0, 1).otherwise(0).alias("words"),
+            F.when(F.size("whole") >= WORDS, F.xxhash64(F.array_join(F.slice("whole", 1, WORDS), " "))).when(F.size("whole") > 0, F.xxhash64(longest(F.col("whole")))).alias("anchor"),
+            F.when(F.size("whole") == 0, longest(F.col("p"))).alias("piece"),
+        ),
+        "phrases",
+    )
+    shapes = {(r.words, r.n) for r in known.select("words", F.least(F.length("piece"), F.lit(LETTERS)).alias("n")).distinct().collect()}  # a few at most
+    rows = texts.select(F.col(key).alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
+    words = rows.select("__key", F.filter(F.split("__text", r"\s+"), lambda w: w != "").alias("w"))
+    empty = texts.sparkSession.createDataFrame([], f"__key {kind}, phrase string")
+    found = empty
+    for n in sorted({w for w, _ in shapes if w}):
+        each = words.select("__key", F.explode(_hashes(F.col("w"), n)).alias("anchor"))
+        found = found.unionByName(each.join(known.filter(F.col("words") == n).select("anchor", "phrase"), "anchor").select("__key", "phrase"))
+    letters = sorted(n for w, n in shapes if w == 0)
+    if letters:
+        each = words.select("__key", F.explode(F.array_distinct("w")).alias("token"))
+        vocabulary = written(each.select("token").distinct(), "vocabulary")
+        short = known.filter("words = 0").select("phrase", "piece", F.substring("piece", 1, LETTERS).alias("gram"))
+        for n in letters:
+            met = vocabulary.select("token", F.explode(_grams(F.col("token"), n)).alias("gram")).join(short.filter(F.length("gram") == n), "gram").filter(F.col("token").contains(F.col("piece")))
+            found = found.unionByName(each.join(met.select("token", "phrase"), "token").select("__key", "phrase"))
+    candidates = written(found.distinct(), "phrase-candidates").withColumnRenamed("__key", "__k")
+    held = rows.join(candidates, F.col("__key").eqNullSafe(F.col("__k"))).filter(F.col("__text").contains(F.col("phrase")))
+    return held.select(F.col("__key").alias(key), F.col("phrase").alias(phrase))
 
 
 def gold_chunks(cases: DataFrame, chunks: DataFrame) -> DataFrame:
