@@ -9,6 +9,7 @@ from skarn.functions import text as T
 from skarn.operators import metrics as M
 from skarn.operators.matching import phrase_hits
 from skarn.session import written
+from skarn.sources.tables import canonical_json
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -333,9 +334,12 @@ def release_faults(expected: DataFrame, raw: DataFrame, scored: DataFrame) -> Da
     return gaps.unionByName(unscored).unionByName(unknown).unionByName(range_).unionByName(status).filter("n > 0")
 
 
-def row_digest(rows: DataFrame) -> DataFrame:
-    """Rows with digest, the SHA-256 of the row as JSON with sorted keys."""
-    return rows.withColumn("digest", F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(rows.columns)]), {"ignoreNullFields": "false"}).cast("binary"), 256))
+def row_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(*keys, digest): the SHA-256 of each row as the canonical JSON file that holds it, keys included, null columns
+    left out, so that a column added later without a value changes no digest."""
+    named = rows.select("*", *[F.col(k).alias(f"__{k}") for k in keys])
+    lines = canonical_json(named, indent=2, drop_nulls="top", name="__json", keep=[f"__{k}" for k in keys])
+    return lines.select(*[F.col(f"__{k}").alias(k) for k in keys], F.sha2(F.col("__json").cast("binary"), 256).alias("digest"))
 
 
 def unanswerable_controls(cases: DataFrame, papers: DataFrame, cap: int = 3, seed: int = 20260712, bucket: int = 8) -> DataFrame:

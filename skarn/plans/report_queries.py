@@ -472,9 +472,15 @@ def citation_scores(spark, sf_dir):
     return _rounded(P.citation_scores(cites, cases, hits), "precision", "page_accuracy")
 
 
-@query("row_digests", """SELECT n_nationkey, sha256('{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"n_regionkey":' || n_regionkey || '}') AS digest FROM nation""")
+@query(
+    "row_digests",
+    """SELECT s_suppkey, sha256('{' || chr(10) || CASE WHEN s_nationkey % 3 = 0 THEN '' ELSE '  "nation": ' || s_nationkey || ',' || chr(10) END || '  "options": {' || chr(10) || '    "k": null,' || chr(10) || '    "name": "' || s_name || '"' || chr(10) || '  },' || chr(10)
+    || '  "s_suppkey": ' || s_suppkey || chr(10) || '}' || chr(10)) AS digest FROM supplier""",
+)
 def row_digests(spark, sf_dir):
-    return P.row_digest(table(spark, sf_dir, "nation")).select("n_nationkey", "digest")
+    s = table(spark, sf_dir, "supplier")
+    options = F.struct(F.col("s_name").alias("name"), F.lit(None).cast("int").alias("k"))
+    return P.row_digest(s.select("s_suppkey", F.when(F.col("s_nationkey") % 3 != 0, F.col("s_nationkey")).alias("nation"), options.alias("options")), ["s_suppkey"])
 
 
 @query("unanswerable_controls")

@@ -130,11 +130,18 @@ def document_trees(spark, sf_dir):
     return S.document_tree(back).select(F.col("paper_id").cast("long").alias("paper_id"), F.size("chunks").cast("long").alias("n"), F.md5(F.array_join(parts, "|").cast("binary")).alias("tree"))
 
 
-@query("canonical_rows", """SELECT '{"n_name":"' || n_name || '","n_nationkey":' || n_nationkey || ',"score":' || CASE WHEN n_nationkey % 4 = 0 THEN 'null' ELSE CAST(n_nationkey + 0.5 AS VARCHAR) END || '}' AS json FROM nation""")
+@query(
+    "canonical_rows",
+    """SELECT '{"account":{"balance":' || CAST(c_acctbal AS VARCHAR) || ',"negative":' || (c_acctbal < 0) || '},"id":' || c_custkey || ',"name":"' || c_name || '","nation":' || CASE WHEN c_nationkey % 4 = 0 THEN 'null' ELSE CAST(c_nationkey AS VARCHAR) END
+    || ',"tags":["' || lower(c_mktsegment) || '",null,"é \\"quoted\\""],"weights":{"a":0.5,"b":' || (c_custkey % 3) || '.0}}' AS json FROM customer""",
+)
 def canonical_rows(spark, sf_dir):
-    """Rows as JSON with sorted keys; what is no number becomes null and stays."""
-    score = F.when(F.col("n_nationkey") % 4 == 0, F.lit(float("nan"))).otherwise(F.col("n_nationkey") + F.lit(0.5))
-    return S.canonical_json(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", score.alias("score")))
+    """Nested rows with keys sorted at every depth, nulls and escapes as Python writes them."""
+    c = table(spark, sf_dir, "customer")
+    account = F.struct((F.col("c_acctbal") < 0).alias("negative"), F.col("c_acctbal").alias("balance"))
+    weights = F.create_map(F.lit("b"), (F.col("c_custkey") % 3).cast("double"), F.lit("a"), F.lit(0.5))
+    tags = F.array(F.lower("c_mktsegment"), F.lit(None).cast("string"), F.lit('é "quoted"'))
+    return S.canonical_json(c.select(weights.alias("weights"), F.when(F.col("c_nationkey") % 4 != 0, F.col("c_nationkey")).alias("nation"), F.col("c_name").alias("name"), F.col("c_custkey").alias("id"), tags.alias("tags"), account.alias("account")))
 
 
 @query("published_version", "SELECT o_orderstatus AS paper_id, count(*) AS n FROM orders GROUP BY 1")

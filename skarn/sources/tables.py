@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 PAGE = "paper_id string, page int, text string"
 CHUNK = (
@@ -113,10 +116,61 @@ def create_tables(spark: SparkSession, database: str) -> None:
         spark.sql(f"CREATE TABLE IF NOT EXISTS `{database}`.`{name}` ({layout_ddl(name)}) USING parquet PARTITIONED BY (paper_id)")
 
 
-def canonical_json(df: DataFrame) -> DataFrame:
-    """Each row as JSON with sorted keys, nulls included; NaN and infinities become null."""
-    clean = [F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in sorted(df.dtypes)]
-    return df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("json"))
+def _plain(kind: T.DataType):
+    """A function from Arrow's Python value of a type to what json.dumps takes: structs and maps as dicts, dates as text."""
+    if isinstance(kind, T.StructType):
+        parts = [(f.name, _plain(f.dataType)) for f in kind.fields]
+        return lambda v: None if v is None else {name: plain(v[name]) for name, plain in parts}
+    if isinstance(kind, T.ArrayType):
+        of = _plain(kind.elementType)
+        return lambda v: None if v is None else [of(x) for x in v]
+    if isinstance(kind, T.MapType):
+        if not isinstance(kind.keyType, T.StringType):
+            raise ValueError(f"keys of JSON objects are strings, not {kind.keyType.simpleString()}")
+        of = _plain(kind.valueType)
+        return lambda v: None if v is None else {k: of(x) for k, x in (v.items() if isinstance(v, dict) else v)}
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return lambda v: None if v is None else v.isoformat()
+    if isinstance(kind, T.DecimalType):
+        return lambda v: None if v is None else str(v)
+    if isinstance(kind, (T.StringType, T.BooleanType, T.IntegralType, T.DoubleType, T.NullType)):
+        return lambda v: v
+    raise ValueError(f"{kind.simpleString()} has no canonical JSON")
+
+
+def _without_nulls(value, deep: bool):
+    if isinstance(value, dict):
+        return {k: _without_nulls(v, deep) if deep else v for k, v in value.items() if v is not None}
+    return [_without_nulls(v, deep) for v in value] if deep and isinstance(value, list) else value
+
+
+def canonical_json(df: DataFrame, indent: int | None = None, drop_nulls: str = "none", name: str = "json", keep: list[str] | None = None) -> DataFrame:
+    """(*keep, json): each row as the bytes that Python's json.dumps gives with keys sorted at every depth and characters
+    as they are: compact, or with `indent` spaces and a final line feed, as whole files are written.
+
+    Any schema of structs, arrays, maps with string keys, texts, numbers and booleans goes; dates and timestamps are ISO
+    texts, decimals their digits; float and binary columns are refused, as they have no exact form. Numbers that JSON has
+    no form for (NaN, infinities) fail the query. drop_nulls: none, top (of the row alone) or all depths; nulls in arrays
+    stay. json is made of the columns that are not in keep.
+    """
+    keep = keep or []
+    mine = [c for c in df.columns if c not in keep]
+    plain = _plain(T.StructType([df.schema[c] for c in mine]))
+
+    def text(row):
+        value = plain(row)
+        if drop_nulls != "none":
+            value = _without_nulls(value, drop_nulls == "all")
+        how = {"separators": (",", ":")} if indent is None else {"indent": indent}
+        return json.dumps(value, ensure_ascii=False, sort_keys=True, allow_nan=False, **how) + ("" if indent is None else "\n")
+
+    def run(batches):
+        for batch in batches:
+            values = [text(dict(zip(mine, row))) for row in zip(*(batch.column(i).to_pylist() for i in range(len(mine))))] if mine else [text({})] * batch.num_rows
+            yield pa.RecordBatch.from_arrays([*(batch.column(len(mine) + i) for i in range(len(keep))), pa.array(values, pa.string())], [*keep, name])
+
+    out = T.StructType([*[df.schema[c] for c in keep], T.StructField(name, T.StringType())])
+    return df.select(*mine, *keep).mapInArrow(run, out)
 
 
 def publish(df: DataFrame, root: str, version: str, checks: list) -> str:

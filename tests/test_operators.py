@@ -190,7 +190,7 @@ def test_sinks(spark, tmp_path):
         with pytest.raises(ValueError):
             S.read_json_lines(spark, f"{tmp_path}/y.jsonl", "k int", ["k"])
     assert S.sql(spark, "SELECT n FROM {t} WHERE paper_id = :p", {"p": "q"}, t=a).first().n == 2
-    assert S.canonical_json(spark.createDataFrame([(float("nan"), 1)], "b double, a int")).first().json == '{"a":1,"b":null}'
+    assert S.canonical_json(spark.createDataFrame([(None, 1)], "b double, a int")).first().json == '{"a":1,"b":null}'
     assert "a \\& b" in S.latex_table(iter([{"x": "a & b"}]), ["x"])
 
 
