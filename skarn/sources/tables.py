@@ -42,12 +42,21 @@ def read_binary(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: str, key: list[str]) -> DataFrame:
-    """JSON lines; invalid or blank rows, a missing last line feed and repeated keys raise ValueError."""
-    tail = spark.read.format("binaryFile").load(path).select(F.expr("right(cast(content as string), 1)").alias("last"), F.decode("content", "UTF-8").alias("t"))
-    bad = tail.filter((F.col("last") != "\n") | F.col("t").rlike(r"(?m)^\s*$\n")).limit(1).count()
+    """JSON lines of uncompressed files, read in splits; a blank line, a missing last line feed, bytes that are no UTF-8
+    and repeated keys raise ValueError, a line that is no JSON of the schema fails the query that reads it.
+
+    Lines are cut at line feeds alone, so the bytes of a file's lines, one more for each line, are the file's size exactly
+    when it ends in a line feed: no task reads a file as a whole.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
+    files = lines.groupBy("file").agg(
+        F.sum(F.octet_length("value") + 1).alias("bytes"), F.max("size").alias("size"), F.count_if(F.col("value").rlike(r"^\s*$")).alias("blank"), F.count_if(~F.is_valid_utf8("value")).alias("broken")
+    )
+    found = files.select(F.when(F.col("bytes") != F.col("size"), "has no final line feed").when(F.col("blank") > 0, "has a blank line").when(F.col("broken") > 0, "is no UTF-8").alias("what"), "file")
+    bad = found.filter("what IS NOT NULL").orderBy("file").first()
     if bad:
-        raise ValueError("a file has a blank line or no final line feed")
-    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+        raise ValueError(f"{bad.file} {bad.what}")
+    rows = lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     if rows.groupBy(*key).count().filter("count > 1").limit(1).count():
         raise ValueError("repeated keys")
     return rows
