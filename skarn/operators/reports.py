@@ -216,14 +216,20 @@ def mutual_entailment(vectors: DataFrame, cell: int = 2048) -> DataFrame:
     return each.groupBy("key").agg(F.avg(found).alias("score")).withColumn("label", entailment_label(F.col("score"), 0.42, 0.25))
 
 
-def faithfulness(claims: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+def judged(rows: DataFrame, claim: str, premise: str) -> DataFrame:
+    """Rows with r, struct<label, score>: how far the premise entails the claim, numbers checked."""
+    with_score = rows.withColumn("__s", lexical_entailment(F.col(claim), F.col(premise)))
+    return with_score.withColumn("r", number_downgraded(entailment_label(F.col("__s")), F.col("__s"), F.col(claim), F.col(premise))).drop("__s")
+
+
+def faithfulness(claims: DataFrame, chunks: DataFrame, key: str, first: int = 5) -> DataFrame:
     """Claims (key, text), chunks (key, place, text): (key, n_atoms, n_entailed, n_contradicted, strict, soft, label).
 
-    Each atom takes its best chunk; with all scores 0 it stays a contradiction."""
+    Each atom takes its best of the first chunks by place; with all scores 0 it stays a contradiction."""
     atoms = claims.select(key, F.posexplode(T.atoms("text")).alias("a", "atom"))
-    pairs = atoms.join(chunks.select(key, "place", F.col("text").alias("premise")), key, "left")
-    s = lexical_entailment(F.col("atom"), F.col("premise"))
-    down = pairs.withColumn("s", s).withColumn("r", number_downgraded(entailment_label(F.col("s")), F.col("s"), F.col("atom"), F.col("premise")))
+    order = Window.partitionBy(key).orderBy("place")
+    near = chunks.select(key, "place", F.col("text").alias("premise")).withColumn("__r", F.row_number().over(order)).filter(F.col("__r") <= first).drop("__r")
+    down = judged(atoms.join(near, key, "left"), "atom", "premise")
     best = down.groupBy(key, "a").agg(F.max_by("r", F.struct(F.col("r.score"), -F.col("place"))).alias("r"))
     label = F.when(F.coalesce(F.col("r.score"), F.lit(0.0)) > 0, F.col("r.label")).otherwise("CONTRADICTION")
     g = best.withColumn("label", label).groupBy(key).agg(F.count(F.lit(1)).alias("n_atoms"), F.count_if(F.col("label") == "ENTAILMENT").alias("n_entailed"), F.count_if(F.col("label") == "CONTRADICTION").alias("n_contradicted"))
@@ -241,15 +247,31 @@ def cited_sentences(rows: DataFrame, key: str) -> DataFrame:
     return each.select(key, "p", clean.alias("sentence"), ids.alias("ids")).filter((F.size("ids") > 0) & (F.length("sentence") > 12))
 
 
-def answer_scores(rows: DataFrame, key: str) -> DataFrame:
+def answer_scores(rows: DataFrame, key: str, pages: DataFrame | None = None) -> DataFrame:
     """Rows (key, answer, n_pages, gold_page): citations, invalid page rate, cited share of substantive sentences and
-    whether the gold page is cited."""
-    c = cited_sentences(rows, key).select(key, F.explode("ids").alias("page")).join(rows.select(key, "n_pages", "gold_page"), key)
-    g = c.groupBy(key).agg(F.count(F.lit(1)).alias("n_citations"), F.avg(((F.col("page") < 1) | (F.col("page") > F.col("n_pages"))).cast("int")).alias("invalid_page_rate"), F.max((F.col("page") == F.col("gold_page")).cast("int")).alias("gold_cited"))
+    whether the gold page is cited.
+
+    With pages (key, page, text) also citation precision (the share of citations whose page entails their sentence), F1 with
+    the cited share, and hallucination rate; null where there are no citations. Shares have three decimals.
+    """
+    c = cited_sentences(rows, key).select(key, "p", "sentence", F.explode("ids").alias("page")).join(rows.select(key, "n_pages", "gold_page"), key)
+    invalid = (F.col("page") < 1) | (F.col("page") > F.col("n_pages"))
+    supported = F.lit(None).cast("int")
+    if pages is not None:
+        shown = pages.select(key, "page", F.col("text").alias("premise"))
+        c = judged(c.join(shown, [key, "page"], "left"), "sentence", "premise")
+        supported = (~invalid & F.col("premise").isNotNull() & (F.col("r.score") > 0) & (F.col("r.label") == "ENTAILMENT")).cast("int")
+    g = c.groupBy(key).agg(F.count(F.lit(1)).alias("n_citations"), F.round(F.avg(invalid.cast("int")), 3).alias("invalid_page_rate"), F.max((F.col("page") == F.col("gold_page")).cast("int")).alias("gold_cited"), F.avg(F.coalesce(supported, F.lit(0)) if pages is not None else supported).alias("share"))
     s = T.substantive_sentences("answer")
     cited = F.size(F.filter(s, lambda x: x.rlike(r"\[\s*(?:p\.?\s*|E_?)?\d+")))
-    base = rows.select(key, "gold_page", F.size(s).alias("n_substantive"), ratio(cited, F.size(s)).alias("citation_recall"))
-    return base.join(g, key, "left").select(key, F.coalesce("n_citations", F.lit(0)).alias("n_citations"), "invalid_page_rate", "n_substantive", "citation_recall", F.when(F.col("gold_page").isNotNull(), F.coalesce("gold_cited", F.lit(0))).alias("gold_cited"))
+    base = rows.select(key, "gold_page", F.size(s).alias("n_substantive"), F.round(ratio(cited, F.size(s)), 3).alias("citation_recall"))
+    out = base.join(g, key, "left").withColumn("citation_precision", F.round("share", 3))
+    shown = [F.coalesce("n_citations", F.lit(0)).alias("n_citations"), "invalid_page_rate", "n_substantive", "citation_recall", F.when(F.col("gold_page").isNotNull(), F.coalesce("gold_cited", F.lit(0))).alias("gold_cited")]
+    if pages is None:
+        return out.select(key, *shown)
+    p, r = F.col("citation_precision"), F.col("citation_recall")
+    f1 = F.when((p > 0) & (r > 0), F.round(2 * p * r / (p + r), 3)).when(p.isNotNull() & r.isNotNull(), 0.0)
+    return out.select(key, *shown, "citation_precision", f1.alias("citation_f1"), F.round(1 - F.col("share"), 3).alias("hallucination_rate"))
 
 
 def macro_micro(rows: DataFrame, by: list[str]) -> DataFrame:

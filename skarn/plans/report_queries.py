@@ -317,10 +317,13 @@ def key_term_coverage(spark, sf_dir):
 
 @query("faithfulness_scores")
 def faithfulness_scores(spark, sf_dir):
+    """Every assistant turn against the user turns of its conversation, of which the first five count."""
     c = table(spark, sf_dir, "conversations")
-    claims = c.filter("role = 'assistant'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
-    chunks = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("place"), "text")
-    return _rounded(P.faithfulness(claims, chunks, "conv_id"), "strict", "soft")
+    key = F.concat_ws(":", "conv_id", "turn")
+    claims = c.filter("role = 'assistant'").select("conv_id", key.alias("key"), "text")
+    said = c.filter("role = 'user'").select("conv_id", F.col("turn").alias("place"), F.col("text").alias("t"))
+    chunks = claims.select("conv_id", "key").join(said, "conv_id").select("key", "place", F.col("t").alias("text"))
+    return _rounded(P.faithfulness(claims.select("key", "text"), chunks, "key"), "strict", "soft")
 
 
 @query(
@@ -352,10 +355,16 @@ def semantic_entailment_all(spark, sf_dir):
 
 @query("answer_scores")
 def answer_scores(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
-    mark = F.concat(F.col("text"), F.lit(" This closing sentence is long enough to count as a claim [p. "), (F.col("turn") % 5).cast("string"), F.lit("]."))
-    rows = c.select(F.concat_ws(":", "conv_id", "turn").alias("key"), mark.alias("answer"), F.lit(3).alias("n_pages"), (F.col("turn") % 4).cast("int").alias("gold_page"))
-    return _rounded(P.answer_scores(rows, "key"), "invalid_page_rate", "citation_recall")
+    """Each assistant turn with a closing sentence that cites a page; the pages are the first turns of its conversation."""
+    c = table(spark, sf_dir, "conversations")
+    key = F.concat_ws(":", "conv_id", "turn")
+    answers = c.filter("role = 'assistant'")
+    first = F.regexp_extract("text", r"^[^.!?]{13,}", 0)
+    mark = F.concat(F.col("text"), F.lit(" "), first, F.lit(" [p. "), (F.col("turn") % 5).cast("string"), F.lit("]."))
+    rows = answers.select(key.alias("key"), mark.alias("answer"), F.lit(3).alias("n_pages"), (F.col("turn") % 4).cast("int").alias("gold_page"))
+    shown = c.select("conv_id", F.col("turn").cast("int").alias("page"), F.col("text").alias("t")).filter("page BETWEEN 1 AND 3")
+    pages = answers.select("conv_id", key.alias("key")).join(shown, "conv_id").select("key", "page", F.col("t").alias("text"))
+    return P.answer_scores(rows, "key", pages)
 
 
 @query(
@@ -517,7 +526,7 @@ def citing_chunks(spark, sf_dir):
     word = F.regexp_extract("text", r"([A-Za-z]{5,})", 1)
     b = table(spark, sf_dir, "benchmark").withColumn("source", F.concat(F.lit("src"), (F.col("item_id") % 20).cast("string")))
     refs = b.select("source", F.col("item_id").cast("int").alias("number"), "text", F.lower(word).alias("author"))
-    return V.citing_chunks(refs, b.select("source", word.alias("entity")), _chunks(spark, sf_dir))
+    return V.citing_chunks(refs, b.select("source", F.col("item_id").alias("place"), word.alias("entity")), _chunks(spark, sf_dir))
 
 
 @query(
