@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skarn.llm.common import shuffle_partitions
+from skarn.llm.common import shuffle_partitions, trimmed
 from skarn.llm.simple8b import n_values, pack_all, unpack_all
 from skarn.llm.word_ids import ROWS, SIZE, ChunkEncoder, slices
 
@@ -40,7 +40,7 @@ def packed_ids(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[i
     cuts = np.array(bounds, np.int64)
 
     def run(batches):
-        coder, tail = ChunkEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes()
+        coder, tail = ChunkEncoder(tokenizer_path, budget=320 << 20, keep=True), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1).to_pylist()
             known = ids.is_valid().to_numpy(zero_copy_only=False)
@@ -51,7 +51,7 @@ def packed_ids(docs: DataFrame, tokenizer_path: str, end_id: int, bounds: list[i
                 yield pa.RecordBatch.from_arrays([pa.array(part[a:b]), ids.slice(a, b - a), pa.array(rows, pa.binary())], ["part", "doc_id", "payload"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("raw"))
-    return rows.mapInArrow(run, "part int, doc_id long, payload binary")
+    return rows.mapInArrow(trimmed(run), "part int, doc_id long, payload binary")
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = 2, parts: int | None = None) -> None:

@@ -24,11 +24,12 @@ class ChunkEncoder:
     """bytes of UTF-8 text -> bytes of little-endian uint32 ids.
 
     The lookup tables hold about `budget` bytes and start anew beyond that, so memory stays bounded whatever the
-    vocabulary of the corpus. They live as long as a task, as idle workers would otherwise hold a table each; with the
-    Python worker stay only the library's tokenizer and the first SHARED plain words that it met.
+    vocabulary of the corpus. They live as long as a task, as idle workers would otherwise hold a table each, or with
+    `keep` as long as the Python worker, which then learns a word once for all its tasks. The library's tokenizer and the
+    first SHARED plain words that it met stay with the worker in any case.
     """
 
-    def __init__(self, path: str, budget: int = 200 << 20):
+    def __init__(self, path: str, budget: int = 200 << 20, keep: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tokenizers
 
@@ -40,10 +41,15 @@ class ChunkEncoder:
             vocab = tok.get_vocab(with_added_tokens=False)
             ends = np.zeros(max(vocab.values()) + 1, bool)  # tokens that end a word
             ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-            kept[path] = tok, ends, {}
-        self.tok, self.ends, self.shared = kept[path]
+            kept[path] = tok, ends, {}, self._tables()
+        self.tok, self.ends, self.shared, tables = kept[path]
         self.plain = re.compile(PLAIN).fullmatch
-        self.budget, self.held, self.ids, self.cores = budget, 0, {}, {b"": b""}
+        self.budget, self.tables = budget, tables if keep else self._tables()
+        self.ids, self.cores = self.tables["ids"], self.tables["cores"]
+
+    @staticmethod
+    def _tables() -> dict:
+        return {"ids": {}, "cores": {b"": b""}, "held": 0}
 
     def _each(self, chunks: list[bytes]) -> list[bytes]:
         found = []
@@ -94,11 +100,14 @@ class ChunkEncoder:
         cores.update(zip(tails, self._each(tails)))
         ids.update(zip(odd, self._each(odd)))
         ids.update((c, cores[core] + cores[c[len(core) :]]) for c, core in plain)
-        self.held += sum(map(len, chunks)) * 3 + 160 * len(chunks) + 160 * len(fresh)
+        self.tables["held"] += sum(map(len, chunks)) * 3 + 160 * len(chunks) + 160 * len(fresh)
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
-        if self.held > self.budget:
-            self.ids, self.cores, self.held = {}, {b"": b""}, 0
+        if self.tables["held"] > self.budget:
+            self.tables["held"] = 0
+            self.ids.clear()
+            self.cores.clear()
+            self.cores[b""] = b""
         # the tokenizer lower-cases anyway; a special token's string must not come about by it
         chunks = [(t if b"<|" in t else t.lower()).split() if t else [] for t in texts]
         new = set().union(*chunks).difference(self.ids)
