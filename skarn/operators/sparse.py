@@ -1,6 +1,6 @@
 """Exact top-k over weighted terms with bounds, so that common terms make no row for every query and document.
 
-The postings of a term lie in order of their impact, in blocks with a maximum each. A first probe of each term's best block
+The postings of a term lie in order of their impact, in blocks with a maximum each. A first probe of the best blocks of a few terms
 gives every query the score that its k-th answer has at least. Terms whose bounds together stay below it are passive: a
 document that has only such terms is no answer, so their lists are not read for candidates. Of the other terms only blocks
 are read whose maximum, with the bounds of all other terms, may reach the threshold. Candidates are then scored exactly
@@ -17,8 +17,9 @@ from skarn.operators.ranks import ascending, numbered
 from skarn.operators.retrieval import B, K1, postings, term_counts, top_k
 from skarn.session import written
 
-#: Postings of a block.
+#: Postings of a block, and a query's terms of largest bound whose best blocks are probed first.
 BLOCK = 128
+PROBED = 6
 
 #: What rounding may take from a bound; scores are compared to nine decimals.
 SLACK = 1e-6
@@ -42,10 +43,11 @@ def scored(pairs: DataFrame, impacts: Impacts, weights: DataFrame) -> DataFrame:
 
 def candidates(impacts: Impacts, weights: DataFrame, k: int) -> DataFrame:
     """(q_id, doc_id), once: all pairs that may be among the k best of weights (q_id, term, w), and others."""
-    near = weights.select("q_id", "term").join(impacts.table.filter("block = 0").select("term", "doc_id"), "term").select("q_id", "doc_id").distinct()
+    own = written(weights.join(impacts.terms, "term").withColumn("bound", F.col("w") * F.col("top")), "term-bounds")
+    first = own.withColumn("__r", F.row_number().over(Window.partitionBy("q_id").orderBy(F.desc("bound"), "term"))).filter(F.col("__r") <= PROBED)  # the terms of one query
+    near = first.select("q_id", "term").join(impacts.table.filter("block = 0").select("term", "doc_id"), "term").select("q_id", "doc_id").distinct()
     best = top_k(scored(near, impacts, weights).withColumn("__key", F.round("score", 9)), k, "__key")
     known = best.filter(F.col("rank") == k).select("q_id", F.col("score").alias("tau"))
-    own = weights.join(impacts.terms, "term").withColumn("bound", F.col("w") * F.col("top"))
     order = Window.partitionBy("q_id").orderBy(F.col("bound") / F.col("df"), "term")  # the terms of one query
     upto = own.withColumn("__upto", F.sum("bound").over(order)).withColumn("__all", F.sum("bound").over(Window.partitionBy("q_id")))
     active = upto.join(known, "q_id", "left").withColumn("need", F.coalesce("tau", F.lit(-1.0)) - SLACK).filter("__upto >= need")
