@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skarn.functions.text import four_digits, has_any, let, number_text, text_of
+from skarn.operators.ranks import by_key
+from skarn.session import written
 
 # Cue patterns and budgets that decide routes and levels.
 CODE = r"\b(algorithm|pseudo-?code|code snippet|implementation|forward pass|pytorch|tensor|complexity|function|pseudocode|algorithm \d+|routine|subroutine)\b"
@@ -224,19 +226,55 @@ def reasoning_labels(nodes: DataFrame, requires_arithmetic: Column) -> DataFrame
     return n.withColumn("mode", mode)
 
 
-def plan_faults(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+#: Rows of a plan, of nodes and edges, up to which it is looked at whole.
+SMALL_PLAN = 128
+
+
+def plan_faults(edges: DataFrame, nodes: DataFrame, small: int = SMALL_PLAN) -> DataFrame:
     """(plan_id, fault) of plans with repeated ids, unknown dependencies or cycles.
 
     edges (plan_id, node_id, depends_on). Nodes whose dependencies are all settled are removed round by round; what is
-    left when nothing can be removed lies on or behind a cycle.
+    left when nothing can be removed lies on or behind a cycle. A plan of at most `small` rows is an array, whose rounds
+    are made where it lies; the larger ones are joined, and what a round leaves is written before the next.
     """
+    e, n = (edges.select("plan_id", "node_id", "depends_on", F.lit(True).alias("__edge")), nodes.select("plan_id", "node_id", F.lit(None).alias("depends_on"), F.lit(False).alias("__edge")))
+    rows = e.unionByName(n)
+    large = written(rows.groupBy("plan_id").agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > small), "large-plans")
+    n_large = large.count()
+    if not n_large:
+        return _faults_of_small(rows)
+    sized = by_key(rows, large, ["plan_id"], n_large)
+    some = written(sized.filter("__n IS NOT NULL"), "large-plan-rows")
+    few = _faults_of_small(sized.filter("__n IS NULL"))
+    return few.unionByName(_faults_of_large(some.filter("__edge").drop("__edge", "__n"), some.filter("NOT __edge").select("plan_id", "node_id")))
+
+
+def _faults_of_small(rows: DataFrame) -> DataFrame:
+    node, edge = F.struct("node_id"), F.struct("node_id", "depends_on")
+    plans = rows.groupBy("plan_id").agg(F.collect_list(F.when(~F.col("__edge"), node)).alias("nodes"), F.collect_set(F.when(F.col("__edge"), edge)).alias("edges"))  # of at most SMALL_PLAN rows
+    ids = lambda xs: F.array_distinct(F.transform(xs, lambda x: x["node_id"]))
+    some_plan = F.col("plan_id").isNotNull()  # rows without a plan know no dependency of one another
+    inside = lambda e, known: F.coalesce(F.array_contains(known, e["depends_on"]), F.lit(False)) & some_plan
+    unknown = let(ids(F.col("nodes")), lambda known: F.exists("edges", lambda e: ~inside(e, known)))
+    # a round that removes nothing is followed by none that does
+    left = F.aggregate("edges", F.col("edges"), lambda acc, _: F.when(F.size(acc) == 0, acc).otherwise(let(ids(acc), lambda known: F.filter(acc, lambda e: inside(e, known)))))
+    faults = F.array(
+        F.when(F.size("nodes") > F.size(ids(F.col("nodes"))), "repeated id"),
+        F.when(unknown, "unknown dependency"),
+        F.when(F.size(left) > 0, "cycle"),
+    )
+    return plans.select("plan_id", F.explode(F.array_compact(faults)).alias("fault"))
+
+
+def _faults_of_large(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     repeated = nodes.groupBy("plan_id", "node_id").count().filter("count > 1").select("plan_id", F.lit("repeated id").alias("fault")).distinct()
     known = nodes.select("plan_id", F.col("node_id").alias("depends_on")).distinct()
     unknown = edges.join(known, ["plan_id", "depends_on"], "left_anti").select("plan_id", F.lit("unknown dependency").alias("fault")).distinct()
-    left, count = edges, edges.count()
+    left = written(edges.distinct(), "open-edges")
+    count = left.count()
     while count:
         open_nodes = left.select("plan_id", F.col("node_id").alias("depends_on")).distinct()
-        left = left.join(open_nodes, ["plan_id", "depends_on"], "left_semi")
+        left = written(left.join(open_nodes, ["plan_id", "depends_on"], "left_semi"), "open-edges")
         now = left.count()
         if now == count:
             break

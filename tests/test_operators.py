@@ -154,6 +154,18 @@ def test_plan_faults(spark):
     assert {(r.plan_id, r.fault) for r in P.plan_faults(edges, nodes).collect()} == {(2, "cycle"), (3, "repeated id"), (3, "unknown dependency")}
 
 
+def test_plan_faults_rounds_do_not_pile_up(spark):
+    nodes = [(p, str(i)) for p in (1, 2) for i in range(9)] + [(None, "a"), (3, None), (3, None), (4, "a")]
+    edges = [(1, str(i), str(i - 1)) for i in range(1, 9)] + [(2, str(i), str((i + 1) % 9)) for i in range(9)] + [(None, "a", "a"), (3, "a", None), (4, "a", "a"), (4, "a", "a")]
+    n = spark.createDataFrame(nodes, "plan_id int, node_id string")
+    e = spark.createDataFrame(edges, "plan_id int, node_id string, depends_on string")
+    want = [(None, "unknown dependency"), (2, "cycle"), (3, "repeated id"), (3, "unknown dependency"), (4, "cycle")]
+    for small in (0, 10, P.SMALL_PLAN):
+        got = P.plan_faults(e, n, small)
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str), small
+        assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") <= 3  # not one a round
+
+
 def test_universe_gaps(spark):
     axis = lambda c, vs: spark.createDataFrame([(v,) for v in vs], f"{c} {'int' if isinstance(vs[0], int) else 'string'}")
     expected = M.key_universe(axis("system", ["s"]), axis("model", ["m"]), axis("seed", [0, 1]), axis("case_id", [1, 2]))
