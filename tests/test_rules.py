@@ -232,3 +232,26 @@ def test_cues_meet_once(spark):
     q = spark.createDataFrame([(1, ["a", "b", "a"]), (2, []), (3, ["c"])], "q_id int, cues array<string>")
     c = spark.createDataFrame([(10, ["a", "b"]), (11, ["b"]), (12, [])], "doc_id int, cues array<string>")
     assert sorted(tuple(r) for r in E.met_by_cue(q, c).collect()) == [(1, 10), (1, 11)]
+
+
+def test_repair_judges_a_text_once_and_deals_long_conversations(spark, monkeypatch):
+    pages = [(1, f"E{i}", i, f"The model number {i} reaches an accuracy of {i} percent on the validation images.") for i in range(1, 9)]
+    answer = " ".join(f"The model number {i} reaches an accuracy of {i} percent on the validation images [E{i % 8 + 1}]. Bananas ripen slowly in winter [E{i}]." for i in range(1, 9))
+    answers = spark.createDataFrame([(1, 1, answer, m) for m in ("NONE", "CITATION_REMAP_ONLY", "SELECTIVE")], "d int, i int, answer string, mode string")
+    evidence = spark.createDataFrame(pages, "d int, ref string, ord int, text string")
+
+    def tables():
+        r = V.Repair(answers, evidence, ["d", "i"], "d")
+        return r, [sorted(map(str, t.collect())) for t in (r.outcomes(), r.edits(), r.citations())]
+
+    whole, want = tables()
+    assert whole.first.count() == 16 and {tuple(r.modes) for r in whole.first.select("modes").collect()} == {("CITATION_REMAP_ONLY", "NONE", "SELECTIVE")}
+    monkeypatch.setattr(V, "CLAIMS", 1)
+    monkeypatch.setattr(V, "ANSWERS", 1)
+    assert tables()[1] == want
+
+
+def test_support_reads_each_text_once(spark):
+    rows = spark.createDataFrame([("a b", "a b")], "c string, e string").select(V.support(F.col("c"), F.col("e")).alias("s"))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?U)") == 2 and plan.count("step|ref|row|column") == 1
