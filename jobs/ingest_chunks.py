@@ -30,7 +30,7 @@ if __name__ == "__main__":
     sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 from skarn.functions.text import tokenize
-from skarn.operators.chunking import page_windows
+from skarn.operators.chunking import cut_pages
 
 log = logging.getLogger("jobs.ingest_chunks")
 
@@ -49,7 +49,7 @@ def taken_before(spark: SparkSession, papers: str, batch: int) -> DataFrame:
 
 
 def windows_of(words: Column, target: int, overlap: int) -> Column:
-    """How many windows page_windows() cuts a page of so many words into."""
+    """How many windows cut_pages() cuts a page of so many words into."""
     step = max(target - overlap, 1)
     more = F.ceil((words - target) / F.lit(step))
     return F.when(words > 0, 1 + F.greatest(more, F.lit(0))).otherwise(0).cast("long")
@@ -60,31 +60,33 @@ def ingest_batch(batch: DataFrame, number: int, out: str, target: int, overlap:
     spark = batch.sparkSession
     text = F.coalesce(F.col("text"), F.lit(""))
     lang = F.coalesce(F.nullif(F.col("lang"), F.lit("")), F.lit("und"))
-    rows = batch.withColumns({"text": text, "lang": lang, "text_sha256": F.sha2(text.cast("binary"), 256), "batch": F.lit(number).cast("long")})
+    fixed = {"lang": lang, "batch": F.lit(number).cast("long")}
     seen = Observation()
-    counted = rows.observe(seen, F.count(F.lit(1)).alias("n"))
-    put(counted.filter("doc_id IS NULL").drop("text_sha256"), f"{out}/rejected", "batch")
+    lost = batch.observe(seen, F.count(F.lit(1)).alias("n")).filter("doc_id IS NULL")
+    put(lost.withColumns({"text": text, **fixed}), f"{out}/rejected", "batch")
 
-    new = rows.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id", "text_sha256"])
+    n_words = F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+    rows = batch.filter("doc_id IS NOT NULL").withColumns({"text": text, **fixed, "text_sha256": F.sha2(text.cast("binary"), 256), "n_words": n_words})
+    new = rows.dropDuplicates(["doc_id", "text_sha256"])
     if number > 0:
         new = new.join(taken_before(spark, f"{out}/papers", number), ["doc_id", "text_sha256"], "left_anti")
-    # one version of an id in a batch has chunk numbers of its own: the id of a paper is its id and text
-    pages = new.select(F.struct("doc_id", "text_sha256").alias("paper_id"), F.lit(1).alias("page"), "text", "lang", "batch")
-    chunks = page_windows(pages, target, overlap).select(
-        F.col("paper_id.doc_id").alias("doc_id"),
-        F.col("chunk_no").cast("long").alias("chunk_no"),
+    # one version of an id in a batch is a page and has chunk numbers of its own
+    pages = new.select("doc_id", "text_sha256", F.lit(1).alias("page"), "text", "lang", "batch")
+    chunks = cut_pages(pages, target, overlap).select(
+        "doc_id",
+        F.col("window").cast("long").alias("chunk_no"),
         "section_title",
         "chunk_type",
         F.col("char_start").cast("long").alias("char_start"),
         F.col("char_end").cast("long").alias("char_end"),
         F.size(tokenize("text")).cast("long").alias("n_tokens"),
         "text",
-        F.col("paper_id.text_sha256").alias("text_sha256"),
+        "text_sha256",
         "batch",
         "lang",
     )
     put(chunks, f"{out}/chunks", "batch", "lang")
-    papers = new.select("doc_id", "text_sha256", F.size(F.filter(F.split("text", r"\s+"), lambda w: w != "")).cast("long").alias("n_words"), "batch", "lang")
+    papers = new.select("doc_id", "text_sha256", "n_words", "batch", "lang")
     put(papers.withColumn("n_chunks", windows_of(F.col("n_words"), target, overlap)), f"{out}/papers", "batch", "lang")
     return seen.get["n"]
 

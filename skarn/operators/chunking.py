@@ -30,30 +30,36 @@ GENERIC = ["what does the figure show", "what does the table show", "what does t
 QUESTION_LEAD = r"(?i)^(what|how|why|when|where|is|are|does|do|can|could|would)\s+(is|are|does|do)?\s*"
 
 
-def page_windows(pages: DataFrame, target: int = 1400, overlap: int = 120) -> DataFrame:
-    """A10: pages (paper_id, page, text) -> word windows with character offsets and a running chunk id a paper.
+def cut_pages(pages: DataFrame, target: int = 1400, overlap: int = 120) -> DataFrame:
+    """pages (page, text, ...) -> word windows, the text of each in place of its page's, with window, its place from 1 in the
+    page, and character offsets there. Titles are read once a page and words are joined once a window.
 
     A window stops the page once it reaches its end, so there is no short trailing window. Empty pages give none.
     """
     step = max(target - overlap, 1)
     words = F.filter(F.split(text_of("text"), r"\s+"), lambda w: w != "")
-    p = pages.withColumn("__w", words).withColumn("__n", F.size("__w")).filter("__n > 0")
+    title, path = section_title(F.col("text"), F.col("page")), F.array_join(section_path(F.col("text"), F.col("page")), " > ")
+    p = pages.withColumns({"__w": words, "section_title": title, "section_prefix": path}).withColumn("__n", F.size("__w"))
     starts = F.filter(F.sequence(F.lit(0), F.col("__n") - 1, F.lit(step)), lambda s: (s == 0) | (s - step + target < F.col("__n")))
-    each = p.withColumn("__s", F.explode(starts))
-    text = F.array_join(F.slice("__w", F.col("__s") + 1, F.lit(target)), " ")
-    before = F.array_join(F.slice("__w", F.lit(1), F.col("__s")), " ")
-    at = F.when(F.col("__s") > 0, F.length(before)).otherwise(0)
-    title, path = section_title(F.col("__page_text"), F.col("page")), F.array_join(section_path(F.col("__page_text"), F.col("page")), " > ")
-    each = each.withColumn("__page_text", F.col("text")).withColumn("text", text).withColumn("char_start", at)
-    each = each.withColumns({"char_end": F.col("char_start") + F.length("text"), "section_title": title, "section_prefix": path})
-    order = Window.partitionBy("paper_id").orderBy("page", "__s")
-    each = each.withColumns({
-        "chunk_no": F.row_number().over(order),
+    joined = lambda s, n: F.array_join(F.slice("__w", s + 1, F.lit(n)), " ")
+    cut = F.transform(starts, lambda s: F.struct(joined(s, target).alias("text"), F.length(joined(s, step)).alias("own")))
+    p = p.withColumn("__cut", F.when(F.col("__n") > 0, cut)).drop("__w", "__n", "text")
+    each = p.withColumn("__own", F.transform("__cut", lambda x: x["own"])).select("*", F.posexplode("__cut").alias("__i", "__x"))
+    before = F.aggregate(F.slice("__own", F.lit(1), F.col("__i")), F.col("__i") - 1, lambda a, x: a + x)  # a blank between the pieces
+    each = each.withColumns({"window": F.col("__i") + 1, "text": F.col("__x.text"), "char_start": F.when(F.col("__i") > 0, before).otherwise(0)})
+    return each.withColumns({
+        "char_end": F.col("char_start") + F.length("text"),
         "chunk_type": chunk_type(F.col("text"), F.col("section_title"), F.col("page")),
         "paragraph_text": paragraph_preview("text"),
         "retrieval_text": F.concat_ws(". ", "section_prefix", "text"),
-    })
-    return each.withColumn("chunk_id", F.format_string("chunk_%03d", "chunk_no")).drop("__w", "__n", "__s", "__page_text")
+    }).drop("__cut", "__own", "__i", "__x")
+
+
+def page_windows(pages: DataFrame, target: int = 1400, overlap: int = 120) -> DataFrame:
+    """A10: pages (paper_id, page, text) -> cut_pages() with a running chunk id a paper."""
+    order = Window.partitionBy("paper_id").orderBy("page", "window")
+    each = cut_pages(pages, target, overlap).withColumn("chunk_no", F.row_number().over(order))
+    return each.withColumn("chunk_id", F.format_string("chunk_%03d", "chunk_no")).drop("window")
 
 
 def figure_chunks(figures: DataFrame) -> DataFrame:

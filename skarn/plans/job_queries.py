@@ -31,9 +31,9 @@ def job1_ingest_chunks(spark, sf_dir):
     for _ in range(2):
         ingest_chunks(spark, f"{sf_dir}/documents.parquet*", f"{out}/evidence", f"{out}/checkpoint", target=200, overlap=20)
     papers = spark.read.parquet(f"{out}/evidence/papers").select("doc_id", "text_sha256", "n_words", "n_chunks")
-    chunks = spark.read.parquet(f"{out}/evidence/chunks")
+    chunks = spark.read.parquet(f"{out}/evidence/chunks").withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
     both = chunks.join(papers, ["doc_id", "text_sha256"])
-    return both.select("doc_id", "chunk_no", "char_start", "char_end", "n_tokens", F.md5(F.col("text").cast("binary")).alias("text_md5"), "lang", F.col("batch").cast("long").alias("batch"), "n_words", "n_chunks", "text_sha256")
+    return both.select("doc_id", "chunk_no", "char_start", "char_end", "n_tokens", "text_md5", "lang", F.col("batch").cast("long").alias("batch"), "n_words", "n_chunks", "text_sha256")
 
 
 QUERIES["job1_ingest_chunks"] = job1_ingest_chunks
