@@ -30,7 +30,6 @@ if __name__ == "__main__":
 from skarn.operators import metrics as M
 from skarn.operators import retrieval as R
 from skarn.operators.matching import phrase_hits
-from skarn.operators.sparse import bm25_topk, overlap_topk
 from skarn.session import written
 
 log = logging.getLogger("jobs.retrieval_report")
@@ -51,9 +50,9 @@ def ranked(scored: DataFrame, k: int) -> DataFrame:
 
 def hits_of(docs: DataFrame, questions: DataFrame, k: int, pool: int) -> DataFrame:
     """(system, q_id, doc_id, score, rank): the k best documents of each question by each system, fused from pools of `pool`."""
-    once = R.postings(docs, questions)
-    single = {"bm25": bm25_topk(docs, questions, pool, table=once), "overlap": overlap_topk(docs, questions, pool, table=once)}
-    single = {name: written(rows.select("q_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank")), name) for name, rows in single.items()}
+    scores = written(R.word_scores(docs, questions), "word-scores")
+    single = {name: scores.select("q_id", "doc_id", F.col(c).alias("score")) for name, c in (("bm25", "score"), ("overlap", "overlap"))}
+    single = {name: written(ranked(rows, pool), name) for name, rows in single.items()}
     single["fused"] = ranked(R.reciprocal_rank_fusion(list(single.values())).withColumnRenamed("rrf", "score"), k)
     named = [rows.filter(F.col("rank") <= k).withColumn("system", F.lit(name)) for name, rows in single.items()]
     return named[0].unionByName(named[1]).unionByName(named[2])
