@@ -347,13 +347,24 @@ def split_overlaps(manifest: DataFrame) -> DataFrame:
 
 def release_faults(expected: DataFrame, raw: DataFrame, scored: DataFrame) -> DataFrame:
     """(fault, n) of a release: universe gaps, keys that raw and scored do not share, statuses and values out of range."""
-    gaps = M.universe_gaps(expected, raw).groupBy(F.concat(F.lit("raw "), "fault").alias("fault")).agg(F.count(F.lit(1)).alias("n"))
-    keys = scored.select(*M.KEY).distinct()
-    unscored = raw.join(keys, M.KEY, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("not scored").alias("fault"), "n")
-    unknown = keys.join(raw, M.KEY, "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit("scored without raw").alias("fault"), "n")
-    range_ = scored.filter("value < 0 OR isnan(value)").agg(F.count(F.lit(1)).alias("n")).select(F.lit("value out of range").alias("fault"), "n")
-    status = raw.filter(~F.col("status").isin("SUCCESS", "ABSTAINED", "ERROR")).agg(F.count(F.lit(1)).alias("n")).select(F.lit("unknown status").alias("fault"), "n")
-    return gaps.unionByName(unscored).unionByName(unknown).unionByName(range_).unionByName(status).filter("n > 0")
+    bad = lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    keys = M.sums_by_key(
+        expected.select(*M.KEY, F.lit(1).alias("expected")),
+        raw.select(*M.KEY, F.lit(1).alias("actual"), bad(~F.col("status").isin("SUCCESS", "ABSTAINED", "ERROR")).alias("unknown")),
+        scored.select(*M.KEY, F.lit(1).alias("scored"), bad((F.col("value") < 0) | F.isnan("value")).alias("outside")),
+    )
+    none = lambda c: (F.col(c) == 0) | ~F.col("whole")
+    found = {
+        "raw missing": F.when(none("actual"), F.col("expected")),
+        "raw extra": F.when((F.col("actual") > 0) & none("expected"), 1),
+        "raw repeated": F.when(F.col("actual") > 1, 1),
+        "not scored": F.when(none("scored"), F.col("actual")),
+        "scored without raw": F.when((F.col("scored") > 0) & none("actual"), 1),
+        "value out of range": F.col("outside"),
+        "unknown status": F.col("unknown"),
+    }
+    sums = keys.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in found.items()])
+    return sums.select(F.explode(F.array(*[F.struct(F.lit(name).alias("fault"), F.col(name).alias("n")) for name in found])).alias("f")).select("f.*").filter("n > 0")
 
 
 def row_digest(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -375,7 +386,7 @@ def unanswerable_controls(cases: DataFrame, papers: DataFrame, cap: int = 3, see
     """
     facts = cases.select("case_id", "paper_id", F.lower("fact").alias("fact"))
     lower = papers.select(F.col("paper_id").alias("target"), F.lower("text").alias("t"))
-    held = written(phrase_hits(lower, "target", "t", facts, "fact").distinct(), "held-facts")
+    held = written(phrase_hits(lower, "target", "t", facts, "fact", each_row=False), "held-facts")
     ids = papers.select(F.col("paper_id").alias("target")).distinct()
     buckets = max(1, ids.count() // bucket)
     dealt = written(ids.withColumn("b", F.pmod(F.xxhash64(F.lit(seed), "target"), F.lit(buckets)).cast("int")), "paper-buckets")
