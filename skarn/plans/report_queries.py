@@ -195,19 +195,12 @@ def image_channel(spark, sf_dir):
     return _rounded(V.image_channel(v.filter("doc_id % 50 = 0"), v), "score")
 
 
-#: Tasks in which one label's pairs are made.
-_SLOTS = 32
-
-
 @query("candidate_regions")
 def candidate_regions(spark, sf_dir):
     part = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.slice("embedding", i * 4 + 1, F.lit(4)))
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "label", part.alias("patches"))
     asked = v.filter("doc_id % 50 = 0").select(F.col("doc_id").alias("q_id"), "label", F.col("patches").alias("tokens"))
-    # a label's vectors meet its queries in many tasks
-    dealt = v.withColumn("slot", F.pmod(F.xxhash64("doc_id"), F.lit(_SLOTS)).cast("int")).hint("merge")
-    pairs = dealt.join(asked.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(_SLOTS - 1)))), ["label", "slot"]).drop("slot")
-    return _rounded(V.candidate_regions(pairs, 4, 4), "score")
+    return _rounded(V.regions_by_label(asked, v, 4, 4), "score")
 
 
 @query(
